@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, line_dedup, quality, secret_scan, sharding, simhash, warc
+from tidemark.llm import bpe, chat, decontaminate, line_dedup, quality, secret_scan, sharding, simhash, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), *_vocabulary())
 
@@ -127,7 +131,8 @@ from doc left join hit using (k) left join its using (k)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op1_sharding, op2_chat, op4_bpe, op5_simhash, op6_warc, op7_secret_scan, op8_line_dedup, op9_quality_rules, op10_decontaminate,
+        op1_sharding, op2_chat, op3_substring_dedup, op4_bpe, op5_simhash,
+        op6_warc, op7_secret_scan, op8_line_dedup, op9_quality_rules, op10_decontaminate,
     ]
     return {f.__name__: f for f in found}
 
