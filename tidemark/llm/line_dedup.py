@@ -12,38 +12,82 @@ than ``min_words`` words always stay: at five words, one edit is a similarity of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.store import stash
 
 MIN_WORDS = 5
+_BLANKS = str.maketrans(dict.fromkeys("\t\x0b\x0c\r", " "))
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+
 
+def line_words(line: str) -> list[str]:
+    """Lower-cased words of a line; space and U+0009 to U+000D part them."""
+    words = line.translate(_BLANKS).lower().split(" ")
+    return [w for w in words if w] if "" in words else words
 
-def normal_line(line: Column) -> Column:
-    """Lower case, white space runs (space, U+0009 to U+000D) as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
-def n_words(norm: Column) -> Column:
-    return F.when(norm == "", F.lit(0)).otherwise(F.length(norm) - F.length(F.translate(norm, " ", "")) + 1)
 
+def line_key(words: list[str]) -> tuple[int, int]:
+    """128-bit hash of a line's words, as two signed numbers."""
+    h = xxhash.xxh3_128_intdigest(" ".join(words))
+    return _signed(h >> 64), _signed(h & ((1 << 64) - 1))
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """``(doc, line, norm, n)`` of every line that counts."""
-    raw = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line", "raw"))
-    return raw.select("doc", "line", normal_line(F.col("raw")).alias("norm")).withColumn("n", n_words(F.col("norm"))).where(F.col("n") >= min_words)
 
+def half_keys(words: list[str]) -> list[int]:
+    """Keys of the unchanged half: two lines one edit apart share one, taken by the word count of the shorter line."""
+    out = []
+    for m in (len(words), len(words) - 1):
+        cut = m // 2
+        out.append(_signed(xxhash.xxh64_intdigest(" ".join(words[:cut]), seed=2 * m)))
+        out.append(_signed(xxhash.xxh64_intdigest(" ".join(words[len(words) - (m - cut) :]), seed=2 * m + 1)))
+    return out
 
-def _half_keys(norm: str, n: str) -> Column:
-    """Keys of the unchanged half: a pair one edit apart shares one of them, its shorter line having m words."""
-    def pair(m: str) -> list[str]:
-        return [
-            f"xxhash64('p', {m}, substring_index({norm}, ' ', cast({m} div 2 as int)))",
-            f"xxhash64('s', {m}, substring_index({norm}, ' ', -cast({m} - {m} div 2 as int)))",
-        ]
 
-    return F.expr(f"array({', '.join(pair(n) + pair(f'({n} - 1)'))})")
+def variant_keys(words: list[str]) -> tuple[int, np.ndarray]:
+    """Hash of the word sequence, and of the sequence less each of its words, in one pass.
+
+    The hash is a polynomial in the words' hashes modulo 2^64: without word ``i``, what follows it moves down a place.
+    """
+    n = len(words)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=n)
+    powers = np.cumprod(np.full(n, _BASE, dtype=np.uint64))
+    before = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each * powers)))
+    less = before[:-1] + (before[-1] - before[1:]) * np.uint64(_BASE_INVERSE)
+    return _signed(int(before[-1])), less.view(np.int64)
+
+
+def hash_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """``(doc, line, h, h2, halves)`` of every line of ``min_words`` words or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "line", "h", "h2", "halves"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        for b in batches:
+            rows = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for number, line in enumerate((text.as_py() or "").split("\n")):
+                    words = line_words(line)
+                    if len(words) >= min_words:
+                        rows.append((doc, number, *line_key(words), half_keys(words)))
+                if len(rows) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows = []
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("t"))
+    return rows.mapInArrow(run, "doc bigint, line int, h bigint, h2 bigint, halves array<bigint>")
 
 
 def _place(doc: str, line: str) -> Column:
@@ -57,55 +101,77 @@ def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
 
 def _likely(distinct: DataFrame) -> DataFrame:
     """``(h, h2, first)`` of the different lines that share an unchanged half with another; the rest have no near line."""
-    halves = distinct.select("h", "h2", F.explode("halves").alias("half"))
+    halves = distinct.select("h", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
-    chosen = halves.join(shared, "half", "left_semi").select("h", "h2").distinct()
-    return distinct.join(chosen, ["h", "h2"], "left_semi").select("h", "h2", "first")
+    chosen = halves.join(shared, "half", "left_semi").select("h").distinct()
+    return distinct.join(chosen, "h", "left_semi").select("h", "h2", "first")
 
 
 def _variants(texts: DataFrame) -> DataFrame:
-    """Hashed keys of each line: itself, and the line less its word ``at``, by place and for lines that equal it."""
-    words = texts.select("h", "first", "norm", F.split("norm", " ", -1).alias("words"))
-    less = words.select(
-        "h", "first", "norm",
-        F.expr("transform(words, (w, i) -> xxhash64(array_join(filter(words, (v, k) -> k <> i), ' ')))").alias("less"),
-    )
-    keys = F.expr(
-        "concat(array(struct(-1 as place, xxhash64(norm) as key, -1 as at)),"
-        " transform(less, (x, i) -> struct(i as place, x as key, i as at)),"
-        " transform(less, (x, i) -> struct(-1 as place, x as key, i as at)))"
-    )
-    return less.select("h", "first", F.explode(keys).alias("v")).select("h", "first", "v.place", "v.key", "v.at")
+    """``(h, first, key, at)``: hash of the line less its word ``at``, and of the line itself with ``at`` -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, key, at = [], [], []
+            for k, words in enumerate(b.column(2).to_pylist()):
+                whole, less = variant_keys(words)
+                row.append(np.full(len(words) + 1, k))
+                key += [np.array([whole], dtype=np.int64), less]
+                at.append(np.arange(-1, len(words), dtype=np.int32))
+            if row:
+                rows = pa.array(np.concatenate(row))
+                made = [pa.array(np.concatenate(key)), pa.array(np.concatenate(at))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *made], names=["h", "first", "key", "at"])
+
+    return texts.select("h", "first", "words").mapInArrow(run, "h bigint, first struct<doc:bigint,line:int>, key bigint, at int")
 
 
 def _near(texts: DataFrame) -> DataFrame:
-    """``(h, bound)``: the earliest verified near line of each line that has an earlier one."""
-    keyed = stash(_variants(texts), "variants")
-    entry = F.struct(F.col("first").alias("first"), F.col("h").alias("h"), F.col("at").alias("at"))
-    groups = (
-        keyed.groupBy("place", "key")
-        .agg(F.min(F.when(F.col("at") < 0, entry)).alias("self"), F.min(F.when(F.col("at") >= 0, entry)).alias("cut"), F.count(F.lit(1)).alias("c"))
-        .where("c > 1")
-    )
-    met = keyed.join(groups, ["place", "key"]).select(
-        "h", "first", "at",
-        F.when((F.col("place") >= 0) | (F.col("at") < 0), F.col("cut")).otherwise(F.col("self")).alias("o"),
-    )
-    offers = met.where(F.col("o").isNotNull() & (F.col("o.first") < F.col("first"))).select(
-        "h", F.col("at"), F.col("o.first").alias("bound"), F.col("o.h").alias("oh"), F.col("o.at").alias("oat")
-    ).distinct()
-    own = texts.select(F.col("h"), F.split("norm", " ", -1).alias("a"))
-    other = texts.select(F.col("h").alias("oh"), F.split("norm", " ", -1).alias("b"))
-    cut = lambda words, at: F.filter(words, lambda w, k: k != F.col(at))
-    seen = offers.join(own, "h").join(other, "oh").where(cut("a", "at") == cut("b", "oat"))
+    """``(h, bound)``: the earliest verified near line of each line that has an earlier one.
+
+    Lines with the same variant and the same word left out differ in that word; a variant that equals a line has that
+    word more. Each line is offered the earliest member of its groups, and each offer is verified.
+    """
+    keyed = _variants(texts)
+    entry = F.struct(F.col("first").alias("first"), F.col("h").alias("h"))
+    groups = stash(keyed.groupBy("key", "at").agg(F.min(entry).alias("e"), F.count(F.lit(1)).alias("c")), "variants")
+    whole = groups.where("at = -1").select("key", F.col("e").alias("w"))
+    cut = groups.where("at >= 0")
+    changed = keyed.join(_small(cut.where("c > 1").select("key", "at", "e")), ["key", "at"]).select("h", "first", "at", "e", F.col("at").alias("oat"))
+    longer = cut.join(_small(whole), "key").select("key", "at", "e", "w")
+    # the whole line is offered the earliest line with one word more, and each of those the whole line
+    shorter = longer.select(F.col("w.h").alias("h"), F.col("w.first").alias("first"), F.lit(-1).alias("at"), "e", F.col("at").alias("oat"))
+    added = keyed.join(_small(longer.select("key", "at", "w")), ["key", "at"]).select("h", "first", "at", F.col("w").alias("e"), F.lit(-1).alias("oat"))
+    offers = changed.unionByName(shorter).unionByName(added).where(F.col("e.first") < F.col("first"))
+    offers = offers.select("h", "at", F.col("e.first").alias("bound"), F.col("e.h").alias("oh"), "oat").distinct()
+    own = texts.select(F.col("h"), F.col("words").alias("a"))
+    other = texts.select(F.col("h").alias("oh"), F.col("words").alias("b"))
+    less = lambda words, at: F.filter(words, lambda w, k: k != F.col(at))
+    seen = offers.join(own, "h").join(other, "oh").where(less("a", "at") == less("b", "oat"))
     return seen.groupBy("h").agg(F.min("bound").alias("bound"))
 
 
+def _texts(docs: DataFrame, likely: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(h, first, words)`` of the likely lines, read where they first stand."""
+    raw = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "raw"))
+    at = _small(likely.select("h", "h2", "first", F.col("first.doc").alias("d"), F.col("first.line").alias("n")))
+    found = raw.join(at, raw["doc"].eqNullSafe(at["d"]) & (raw["line"] == at["n"])).select("h", "h2", "first", "raw")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [line_words(x) for x in b.column(3).to_pylist()]
+            # rows that share an id may hold other lines at this place
+            keys = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            good = pa.array([line_key(w) == k for w, k in zip(words, keys, strict=True)], type=pa.bool_())
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(words, type=pa.list_(pa.string()))], names=["h", "first", "words"])
+            yield out.filter(good)
+
+    return found.mapInArrow(run, "h bigint, first struct<doc:bigint,line:int>, words array<string>").dropDuplicates(["h"])
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc, line)`` of the lines that repeat an earlier line, or are one word edit away from one."""
-    lines = lines_of(docs, id_col, text_col, min_words)
-    hashed = lines.withColumns({"h": F.xxhash64("norm"), "h2": F.hash("norm")})
-    seen = stash(hashed.select("doc", "line", "h", "h2", _half_keys("norm", "n").alias("halves")), "lines")
+    seen = stash(hash_lines(docs, id_col, text_col, min_words), "lines")
     distinct = stash(
         seen.groupBy("h", "h2").agg(
             F.min(_place("doc", "line")).alias("first"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("c")
@@ -113,14 +179,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "different",
     )
     likely = stash(_likely(distinct), "likely")
-    texts = stash(
-        hashed.join(_small(likely), ["h", "h2"])
-        .where(F.col("doc").eqNullSafe(F.col("first")["doc"]) & (F.col("line") == F.col("first")["line"]))
-        .groupBy("h")
-        .agg(F.first("first").alias("first"), F.first("norm").alias("norm")),
-        "texts",
-    )
-    near = _near(texts)
+    near = _near(stash(_texts(docs, likely, id_col, text_col), "texts"))
     bounds = distinct.join(near, "h", "left").where((F.col("c") > 1) | F.col("bound").isNotNull())
     bounds = bounds.select("h", "h2", F.least("first", F.coalesce("bound", "first")).alias("bound"))
     return seen.join(bounds, ["h", "h2"]).where(_place("doc", "line") > F.col("bound")).select("doc", "line").distinct()
@@ -130,8 +189,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with repeated and nearly repeated lines taken out of ``text_col``, and ``removed array<int>`` (line numbers).
 
     The other columns stay. Rows that share an id count as one document read twice: neither is earlier, and what is
-    removed at a line number leaves both. A null id is earlier than all others. A null text stays null. Keys are two
-    hashes of 96 bits together; a near line is verified word by word.
+    removed at a line number leaves both. A null id is earlier than all others. A null text stays null. Equal lines are
+    told by 128-bit hashes; a near line is verified word by word.
     """
     gone = removed_lines(docs, id_col, text_col, min_words).groupBy(F.col("doc").alias("gone_doc")).agg(F.collect_set("line").alias("gone"))
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("bigint").alias("id"))
