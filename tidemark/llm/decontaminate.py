@@ -19,21 +19,23 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _FIND = re.compile(WORD)
+#: What parts words becomes a space, A-Z lower case; the bytes of other characters stay.
+_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def words_of(text: str | None) -> list[str]:
+def words_of(text: str | bytes | None) -> list[bytes]:
     """Words of a text, A-Z lower-cased; a null text has none."""
-    return _FIND.findall((text or "").translate(_LOWER))
+    raw = text.encode() if isinstance(text, str) else text or b""
+    return raw.translate(_TABLE).split()
 
 
 class SuffixAutomaton:
     """Generalised suffix automaton over lists of words, with the items of every window of ``window`` words."""
 
-    def __init__(self, items: list[tuple[object, list[str]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[object, list[bytes]]], window: int = WINDOW):
         self.window = window
-        self.vocab: dict[str, int] = {}
+        self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link: list[int] = [-1]
         self.len: list[int] = [0]
@@ -108,7 +110,7 @@ class SuffixAutomaton:
                 state, length = self.next[state][w], length + 1
             yield i, state, length
 
-    def scan(self, words: list[str]) -> tuple[list[tuple[int, int]], set]:
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Hit intervals (first word, word after the last; disjoint, ascending) and the items with occurring windows."""
         if not self.vocab:
             return [], set()
@@ -152,7 +154,7 @@ class SuffixAutomaton:
         return [(a, b + extra) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b + extra - a >= self.least]
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[object, list[str]]]]:
+def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[object, list[bytes]]]]:
     """Items in lists of about ``block_words`` words; rows with a null id or without words have no window to find."""
     block, size = [], 0
     for row in items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").toLocalIterator():
@@ -167,6 +169,10 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> I
         yield block
 
 
+def _texts(column: pa.Array) -> Iterator[bytes | None]:
+    return (x.as_py() for x in column.cast(pa.binary()))
+
+
 def _merge(old: list[tuple[int, int]], new: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(old + new):
@@ -200,8 +206,8 @@ def find_hits(
             automaton = SuffixAutomaton(held.value, window)
             for b in batches:
                 hits, ids, counts = [], [], []
-                for text, old, had in zip(b.column(0).field(at), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    words = words_of(text.as_py())
+                for text, old, had in zip(_texts(b.column(0).field(at)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    words = words_of(text)
                     got, found = automaton.scan(words)
                     merged = _merge([(h["lo"], h["hi"]) for h in old or ()], got) if old else got
                     hits.append([{"lo": x, "hi": y} for x, y in merged])
@@ -235,7 +241,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def cut_words(text: str, hits: list[tuple[int, int]]) -> str:
     """The text without the characters from each interval's first word to its last."""
-    spans = [m.span() for m in _FIND.finditer(text.translate(_LOWER))]
+    spans = [m.span() for m in _FIND.finditer("".join([c.lower() if "A" <= c <= "Z" else c for c in text]))]
     out, at = [], 0
     for lo, hi in hits:
         out.append(text[at : spans[lo][0]])

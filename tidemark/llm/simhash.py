@@ -11,6 +11,7 @@ after their complete distance has been verified.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +25,22 @@ from tidemark.llm.store import stash
 SEED = 42
 MAX_BITS = 2
 SEGMENTS = 4
-_FOLD = str.maketrans({**{chr(c): chr(c + 32) for c in range(65, 91)}, **dict.fromkeys("\t\n\x0b\x0c\r", " ")})
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64-bit SimHash of the word shingles of a text; zero for a text without words."""
-    words = [w for w in (text or "").translate(_FOLD).split(" ") if w]
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """64-bit SimHash of the word shingles of a UTF-8 text; zero for a text without words.
+
+    Of bytes, ``lower`` and ``split`` know A-Z and the six ASCII spaces only, which is what is asked for.
+    """
+    words = (text or b"").lower().split()
     if not words:
         return 0
     if len(words) < shingle:
-        parts = [" ".join(words)]
+        parts = [b" ".join(words)]
     else:
-        parts = map(" ".join, zip(*[words[k:] for k in range(shingle)], strict=False))
-    digest, seed = xxhash.xxh64_intdigest, SEED
-    hashes = np.fromiter((digest(p, seed) for p in parts), dtype=np.uint64)
+        parts = map(b" ".join, zip(*[words[k:] for k in range(shingle)], strict=False))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype=np.uint64)
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), _CHUNK):
         bits = np.unpackbits(hashes[k : k + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -54,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = pa.array((fingerprint(t.as_py(), shingle) for t in b.column(1)), type=pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fps], names=["id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("t"))
     return rows.mapInArrow(run, "id bigint, fp bigint")
 
 
