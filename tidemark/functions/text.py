@@ -59,7 +59,7 @@ def choice(text: Column) -> Column:
     final = F.nullif(F.regexp_extract(F.upper(strip(last_match(s, FINAL_LINE))), CHOICE_LINE, 1), F.lit(""))
     said = F.upper(last_match(s, CHOICE_SAID))
     lines = F.filter(F.split(s, r"\r\n|[\n\r\x0b\x0c]", -1), lambda x: strip(x).rlike(CHOICE_LINE))
-    lone = F.upper(F.regexp_extract(strip(F.try_element_at(lines, F.lit(-1))), CHOICE_LINE, 1))
+    lone = F.upper(F.nullif(F.regexp_extract(strip(F.try_element_at(lines, F.lit(-1))), CHOICE_LINE, 1), F.lit("")))
     token = last_match(F.upper(s), r"(?<![\p{L}\p{N}_])([A-J])(?![\p{L}\p{N}_])")
     return F.coalesce(final, said, lone, token, F.upper(F.substring(s, 1, 1)))
 

@@ -69,37 +69,47 @@ def match_row(anchor: Column, candidates: Column, tolerance: float = 0.03) -> Co
     return F.coalesce(F.get(ranked, F.lit(0))["x"], F.get(candidates, F.lit(0)))
 
 
+def _walk(paths: list[dict], max_switches: int, tolerance: float = 0.03) -> tuple[int, int, float]:
+    """Final trace, switches and tokens of one problem's walk from its first trace."""
+    at = step = switches = 0
+    used = 0.0
+    best = max(range(len(paths)), key=lambda k: paths[k]["score"])
+    for _ in range(max(8, 2 * max(len(p["progress"]) for p in paths))):
+        path = paths[at]["progress"]
+        if step >= len(path):
+            break
+        here = path[step]
+        used = max(used, here * paths[at]["token_count"])
+        if switches < max_switches and paths[best]["score"] > paths[at]["score"]:
+            at, switches = best, switches + 1
+            step = next((k for k, p in enumerate(paths[at]["progress"]) if p + tolerance >= here), len(paths[at]["progress"]))
+        else:
+            step += 1
+    return at, switches, used + max(0.0, paths[at]["token_count"] - used)
+
+
 def replay_walks(states: DataFrame, max_switches: int = 8, keys: Sequence[str] = PROBLEM) -> DataFrame:
-    """Walk each problem's traces from its first action, switching to the best-scored other trace at each boundary.
+    """Walk each problem's traces from its first action, switching to the best-scored trace at a boundary.
 
-    ``states(keys, info_mode, cot_mode, score, token_count, progress array<double>)``. A problem has as many traces as
-    there are actions at most, so one group is small. A walk stops after ``max_switches`` switches or
-    max(8, twice the longest trace) steps. Result: final action, switches, tokens (most consumed plus the tail that is
-    left of the final trace).
+    ``states(keys, info_mode, cot_mode, score, token_count, progress array<double>)``, one row by action, so a problem has
+    as many rows as there are actions at most. A walk ends after max(8, twice the longest trace) steps. Result: final
+    action, switches, tokens (most consumed, plus what is left of the final trace).
     """
-    import pandas as pd
-
-    names = list(keys)
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["info_mode", "cot_mode"]).reset_index(drop=True)
-        at, step, switches, used = 0, 0, 0, 0.0
-        longest = max((len(p) for p in g["progress"]), default=0)
-        for _ in range(max(8, 2 * longest)):
-            path = g["progress"][at]
-            if step >= len(path):
-                break
-            used = max(used, path[step] * g["token_count"][at])
-            better = int(g["score"].idxmax())
-            if better != at and switches < max_switches and g["score"][better] > g["score"][at]:
-                here, at, switches = path[step], better, switches + 1
-                later = [k for k, p in enumerate(g["progress"][at]) if p + 0.03 >= here]
-                step = later[0] if later else len(g["progress"][at])
-            else:
-                step += 1
-        tail = max(0.0, g["token_count"][at] - used)
-        row = {k: g[k][0] for k in names}
-        return pd.DataFrame([{**row, "info_mode": int(g["info_mode"][at]), "cot_mode": int(g["cot_mode"][at]), "switches": switches, "tokens": float(used + tail)}])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in states.schema if f.name in names)
-    return states.groupBy(*names).applyInPandas(walk, f"{schema}, info_mode int, cot_mode int, switches int, tokens double")
+    import pyarrow as pa
+
+    row = F.struct("info_mode", "cot_mode", "score", "token_count", "progress")
+    grouped = states.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("paths"))
+    n = len(keys)
+
+    def run(batches):
+        for b in batches:
+            ends = []
+            for paths in b.column(n).to_pylist():
+                at, switches, tokens = _walk(paths, max_switches)
+                ends.append((paths[at]["info_mode"], paths[at]["cot_mode"], switches, tokens))
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64())
+            made = [pa.array([e[k] for e in ends], type=t) for k, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names=[*keys, "info_mode", "cot_mode", "switches", "tokens"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grouped.schema if f.name in keys)
+    return grouped.mapInArrow(run, f"{schema}, info_mode int, cot_mode int, switches int, tokens double")
