@@ -260,7 +260,8 @@ def decontaminate(
     found = find_hits(docs, items, text_col, window=window, block_words=block_words)
     hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda acc, h: acc + h["hi"] - h["lo"])
     kept = found.where(hit <= max_coverage * F.col("n_words"))
-    at = list(docs.columns).index(text_col)
+    names, schema = list(docs.columns), docs.schema
+    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -268,7 +269,7 @@ def decontaminate(
                 cut_words(t, [(h["lo"], h["hi"]) for h in hits]) if hits else t
                 for t, hits in zip(b.column(0).field(at).to_pylist(), b.column(1).to_pylist(), strict=True)
             ]
-            columns = [b.column(0).field(k) if k != at else pa.array(texts, type=pa.string()) for k in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            columns = [b.column(0).field(k) if k != at else pa.array(texts, type=pa.string()) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return kept.mapInArrow(run, docs.schema)
+    return kept.mapInArrow(run, schema)
