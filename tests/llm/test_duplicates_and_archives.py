@@ -18,7 +18,8 @@ def union(nodes, edges):
 
     def find(x):
         while root[x] != x:
-            x = root[x] = root[root[x]]
+            root[x] = root[root[x]]
+            x = root[x]
         return x
 
     for a, b in edges:
@@ -62,7 +63,7 @@ def test_simhash_matches_brute_force(spark):
     want = union(ids, edges)
     assert len({*want.values()}) < len(ids) - 10
     for r in simhash.simhash_groups(docs).collect():
-        key = r.doc_id if r.doc_id is not None else ids[0] if False else 6 * 3
+        key = r.doc_id if r.doc_id is not None else 6 * 3  # the text of the row without an id
         assert r.fingerprint == f"{fps[key]:016x}"
         assert r.component_id == want[key]
     kept = [r.doc_id for r in simhash.keep_first(docs).collect()]
