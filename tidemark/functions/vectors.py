@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -120,3 +120,23 @@ def soft_cross_entropy(target: Column, logits: Column) -> Column:
     top = F.array_max(logits)
     total = F.log(vsum(F.transform(logits, lambda x: F.exp(x - top)))) + top
     return vsum(F.zip_with(target, logits, lambda t, x: -t * (x - total)))
+
+
+def sampling_filter(rows: DataFrame, logits: str, temperature: float = 1.0, top_k: int = 0, top_p: float = 1.0, min_p: float = 0.0) -> DataFrame:
+    """``rows`` with ``kept array<struct<p, i>>``: the tokens left by temperature, top-k, min-p and top-p, best first, summing to 1.
+
+    A temperature of 0 leaves the best token. A token stays in the nucleus while those before it sum to less than ``top_p``.
+    Each step is a column of its own, so that none is evaluated anew for every token.
+    """
+    names = rows.columns
+    p = rows.select(*names, F.transform(logits, lambda x: x.cast("double") / (temperature or 1.0)).alias("z_"))
+    p = p.select(*names, F.array_max("z_").alias("top_"), "z_").select(*names, F.transform("z_", lambda x, i: F.struct(F.exp(x - F.col("top_")).alias("p"), (-i).alias("n"))).alias("e_"))
+    ranked = p.select(*names, F.reverse(F.array_sort("e_")).alias("r_"), vsum(F.transform("e_", lambda x: x["p"])).alias("all_"))
+    first = 1 if not temperature else top_k
+    cut = ranked.select(*names, (F.slice("r_", 1, first) if first else F.col("r_")).alias("r_"), "all_", F.get("r_", F.lit(0))["p"].alias("best_"))
+    cut = cut.select(*names, "all_", F.filter("r_", lambda x: x["p"] >= min_p * F.col("best_")).alias("r_"))
+    empty = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    size = F.aggregate("r_", empty, lambda a, x: F.struct((a["sum"] + x["p"] / F.col("all_")).alias("sum"), (a["n"] + F.when(a["sum"] < top_p, 1).otherwise(0)).alias("n")), lambda a: a["n"])
+    nucleus = cut.select(*names, F.slice("r_", F.lit(1), size).alias("k_"))
+    total = nucleus.select(*names, "k_", vsum(F.transform("k_", lambda x: x["p"])).alias("t_"))
+    return total.select(*names, F.transform("k_", lambda x: F.struct((x["p"] / F.col("t_")).alias("p"), (-x["n"]).alias("i"))).alias("kept"))

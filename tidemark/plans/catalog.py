@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import text_queries, trace_queries, vector_queries  # noqa: F401
+from tidemark.plans import source_queries, text_queries, trace_queries, vector_queries  # noqa: F401
 from tidemark.plans.registry import QUERIES, SQL, Query
 
 
