@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ REASONING = (
 ASSERTED = r"(?i)assert\s+([A-Za-z_][A-Za-z0-9_]*)\s*(?:\(|==|!=|<=|>=|<|>|is\b|in\b)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def last_match(text: Column, pattern: str, group: int = 1) -> Column:
     """Group of the last match, null if there is none."""
     return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(-1))
@@ -40,22 +47,19 @@ def prompt_form(text: Column) -> Column:
 
 def number_text(value: Column) -> Column:
     """A number's plain form: no commas, integers without a point; anything else stays as it is."""
-    s = strip(F.regexp_replace(value, ",", ""))
-    number = s.try_cast("double")
-    whole = F.abs(number - F.rint(number)) < 1e-9
-    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
-    return F.when(~finite | (s == ""), s).when(whole, F.rint(number).cast("decimal(38,0)").cast("string")).when(number.isNotNull(), number.cast("string")).otherwise(s)
+
+    def form(s: Column) -> Column:
+        return let(s.try_cast("double"), lambda n: F.when(n.isNull() | F.isnan(n) | (F.abs(n) == float("inf")), s).when(F.abs(n - F.rint(n)) < 1e-9, F.rint(n).cast("decimal(38,0)").cast("string")).otherwise(n.cast("string")))
+
+    return let(strip(F.regexp_replace(value, ",", "")), form)
 
 
 def last_number(text: Column) -> Column:
     """Plain form of the last number, commas left out; empty if there is none."""
-    found = last_match(F.regexp_replace(text, ",", ""), NUMBER, 0)
-    return F.when(found.isNull(), F.lit("")).otherwise(number_text(found))
+    return let(F.coalesce(last_match(F.regexp_replace(text, ",", ""), NUMBER, 0), F.lit("")), number_text)
 
 
-def choice(text: Column) -> Column:
-    """Letter A to J: final line, explicit mention, lone line, standalone letter, first character, in this order."""
-    s = strip(text)
+def _choice(s: Column) -> Column:
     final = F.nullif(F.regexp_extract(F.upper(strip(last_match(s, FINAL_LINE))), CHOICE_LINE, 1), F.lit(""))
     said = F.upper(last_match(s, CHOICE_SAID))
     lines = F.filter(F.split(s, r"\r\n|[\n\r\x0b\x0c]", -1), lambda x: strip(x).rlike(CHOICE_LINE))
@@ -64,49 +68,63 @@ def choice(text: Column) -> Column:
     return F.coalesce(final, said, lone, token, F.upper(F.substring(s, 1, 1)))
 
 
+def choice(text: Column) -> Column:
+    """Letter A to J: final line, explicit mention, lone line, standalone letter, first character, in this order."""
+    return let(strip(text), _choice)
+
+
+def _balanced(tail: Column) -> Column:
+    """A text up to the brace that closes the one before it, or whole."""
+    kind = "struct<depth:int,n:int>"
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")).cast(kind)
+
+    def step(a: Column, ch: Column) -> Column:
+        depth = a["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
+        return F.when(a["depth"] == 0, a).otherwise(F.struct(depth.alias("depth"), (a["n"] + 1).alias("n")).cast(kind))
+
+    walked = F.aggregate(F.split(tail, ""), start, step)
+    return let(walked, lambda w: F.when(w["depth"] == 0, F.substring(tail, F.lit(1), w["n"] - 1)).otherwise(tail))
+
+
 def boxed(text: Column) -> Column:
     """Content of the last ``\\boxed{``, braces balanced; to the end if they are not; empty without one."""
-    marker = "\\boxed{"
-    parts = F.split(text, r"\\boxed\{", -1)
-    tail = F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise(F.lit(None))
-    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
-    walk = F.aggregate(
-        F.split(tail, ""), start.cast("struct<depth:int,n:int>"),
-        lambda a, ch: F.when(a["depth"] == 0, a).otherwise(F.struct((a["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)).alias("depth"), (a["n"] + 1).alias("n"))).cast("struct<depth:int,n:int>"),
-    )
-    kept = F.when(walk["depth"] == 0, F.substring(tail, F.lit(1), walk["n"] - 1)).otherwise(tail)
-    return F.when(F.contains(text, F.lit(marker)), strip(kept)).otherwise(F.lit(""))
+    tail = F.element_at(F.split(text, r"\\boxed\{", -1), -1)
+    return F.when(F.contains(text, F.lit("\\boxed{")), strip(let(tail, _balanced))).otherwise(F.lit(""))
 
 
 def _tight(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", ""), r"^\$+|\$+$", "")
 
 
+def _math(s: Column) -> Column:
+    tail = strip(F.element_at(F.split(s, "####", -1), -1))
+    marked = let(tail, lambda t: F.coalesce(F.nullif(last_number(t), F.lit("")), _tight(t)))
+    number = F.nullif(last_number(s), F.lit(""))
+    symbolic = lambda c: (c != "") & (F.length(c) <= 80) & (F.contains(c, F.lit("\\")) | c.rlike("[A-Za-z]"))
+    other = let(_tight(s), lambda c: F.when(symbolic(c), c).otherwise(F.coalesce(number, c)))
+    return F.when(F.contains(s, F.lit("####")), marked).otherwise(let(boxed(s), lambda b: F.when(b != "", _tight(b)).otherwise(other)))
+
+
 def math_text(text: Column) -> Column:
     """Normal form of a mathematical answer: final line, ``####`` tail, boxed content, short symbols, last number."""
-    s0 = strip(text)
-    s = F.when(last_match(s0, FINAL_LINE).isNotNull(), strip(last_match(s0, FINAL_LINE))).otherwise(s0)
-    tail = strip(F.element_at(F.split(s, "####", -1), -1))
-    box, cleaned, number = boxed(s), _tight(s), last_number(s)
-    symbolic = (cleaned != "") & (F.length(cleaned) <= 80) & (F.contains(cleaned, F.lit("\\")) | cleaned.rlike("[A-Za-z]"))
-    return (
-        F.when(F.contains(s, F.lit("####")), F.when(last_number(tail) != "", last_number(tail)).otherwise(_tight(tail)))
-        .when(box != "", _tight(box)).when(symbolic, cleaned).when(number != "", number).otherwise(cleaned)
-    )
+    return let(strip(text), lambda s: let(F.coalesce(F.when(last_match(s, FINAL_LINE).isNotNull(), strip(last_match(s, FINAL_LINE))), s), _math))
 
 
 def math_candidate(text: Column) -> Column:
     """Final line, else boxed content, else the text."""
-    s = strip(text)
-    final = last_match(s, FINAL_LINE)
-    return F.when(final.isNotNull(), strip(final)).when(boxed(s) != "", boxed(s)).otherwise(s)
+
+    def pick(s: Column) -> Column:
+        final = last_match(s, FINAL_LINE)
+        return F.when(final.isNotNull(), strip(final)).otherwise(F.coalesce(F.nullif(boxed(s), F.lit("")), s))
+
+    return let(strip(text), pick)
 
 
 def bool_text(text: Column) -> Column:
     """``true``, ``false`` or empty: the last explicit mention, else the last such word."""
-    s = F.lower(strip(text))
-    token = F.coalesce(last_match(s, BOOL_SAID), last_match(s, r"(?<![\p{L}\p{N}_])(true|false|yes|no)(?![\p{L}\p{N}_])"))
-    return F.when(token.isin("true", "yes"), F.lit("true")).when(token.isNotNull(), F.lit("false")).otherwise(F.lit(""))
+    word = r"(?<![\p{L}\p{N}_])(true|false|yes|no)(?![\p{L}\p{N}_])"
+    token = let(F.lower(strip(text)), lambda s: F.coalesce(last_match(s, BOOL_SAID), last_match(s, word)))
+    return let(token, lambda t: F.when(t.isin("true", "yes"), F.lit("true")).when(t.isNotNull(), F.lit("false")).otherwise(F.lit("")))
 
 
 def code_text(text: Column) -> Column:
@@ -120,25 +138,30 @@ def code_text(text: Column) -> Column:
 
 def answer(text: Column, category: Column) -> Column:
     """Extracted answer by category."""
-    s = strip(text)
-    logic = F.when(bool_text(s) != "", bool_text(s)).otherwise(choice(s))
-    return F.when(s == "", F.lit("")).when(category == "logic", logic).when(category == "math", math_text(s)).when(category == "code", code_text(s)).otherwise(s)
+
+    def pick(s: Column) -> Column:
+        logic = F.coalesce(F.nullif(bool_text(s), F.lit("")), _choice(s))
+        return F.when(s == "", F.lit("")).when(category == "logic", logic).when(category == "math", math_text(s)).when(category == "code", code_text(s)).otherwise(s)
+
+    return let(strip(text), pick)
 
 
 def code_match(prediction: Column, reference: Column) -> Column:
     """1.0 if the reference's code is that of the prediction or inside it."""
-    p, r = code_text(prediction), code_text(reference)
-    return F.when((p == "") | (r == ""), F.lit(0.0)).when((p == r) | F.contains(p, r), F.lit(1.0)).otherwise(F.lit(0.0))
+    match = lambda p, r: F.when((p == "") | (r == ""), F.lit(0.0)).when((p == r) | F.contains(p, r), F.lit(1.0)).otherwise(F.lit(0.0))
+    return let(code_text(prediction), lambda p: let(code_text(reference), lambda r: match(p, r)))
 
 
 def correctness(label: Column, prediction: Column, reference: Column, category: Column) -> Column:
     """An explicit label first; else by category: booleans or letters, normal forms, strict equality; code needs a label."""
-    ref_bool = bool_text(reference)
-    logic = F.when(ref_bool != "", ref_bool == bool_text(prediction)).otherwise(choice(prediction) == choice(reference))
-    math = (math_text(prediction) != "") & (math_text(prediction) == math_text(reference))
-    graded = F.when(category == "logic", logic).when(category == "math", math).when(category == "code", F.lit(None)).otherwise(strip(prediction) == strip(reference))
-    missing = (strip(prediction) == "") | (strip(reference) == "")
-    return F.coalesce(label, F.when(~missing, graded.cast("double")))
+
+    def graded(p: Column, t: Column) -> Column:
+        logic = let(bool_text(t), lambda b: F.when(b != "", b == bool_text(p)).otherwise(_choice(p) == _choice(t)))
+        math = let(math_text(p), lambda m: (m != "") & (m == math_text(t)))
+        verdict = F.when(category == "logic", logic).when(category == "math", math).when(category == "code", F.lit(None)).otherwise(p == t)
+        return F.when((p != "") & (t != ""), verdict.cast("double"))
+
+    return F.coalesce(label, let(strip(prediction), lambda p: let(strip(reference), lambda t: graded(p, t))))
 
 
 def word_count(text: Column) -> Column:
