@@ -1,6 +1,7 @@
 """The stateful stream cuts where the fold does, whatever the batches."""
 
 import json
+import os
 
 from tidemark.streaming.segmentation import Segmenter, decide, segment, segment_stream
 
@@ -12,6 +13,7 @@ def test_stream_equals_fold(spark, tmp_path):
     for part in range(3):
         rows = [json.dumps({"key": k, "n": n, "token": t}) for k, ts in tokens.items() for n, t in enumerate(ts) if n // 10 == part]
         (source / f"{part}.json").write_text("\n".join(rows))
+        os.utime(source / f"{part}.json", (1_700_000_000 + 60 * part,) * 2)  # files are taken in the order of their times
     stream = spark.readStream.schema("key string, n bigint, token string").option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(str(source))
     run = segment_stream(stream).writeStream.format("memory").queryName("cuts").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     run.awaitTermination(120)
