@@ -134,14 +134,14 @@ def _cuts(rows: list[dict], name: str, n: int) -> list[float]:
     return [middles[i * (len(middles) - 1) // (n - 1)] for i in range(n)]
 
 
-def _grow(rows: list[dict], n_cuts: int, max_conditions: int) -> Rule:
-    """Add the condition of the highest information gain until no good row is covered."""
+def _grow(rows: list[dict], first: str, n_cuts: int, max_conditions: int) -> Rule:
+    """Add the condition of the highest information gain until no good row is covered; the first one is on ``first``."""
     rule: Rule = ()
     inside = rows
     while len(rule) < max_conditions and any(not r["bad"] for r in inside):
         p, n = sum(r["bad"] for r in inside), len(inside)
         best = (0.0, None)
-        for name in FEATURES:
+        for name in FEATURES if rule else (first,):
             ranked = sorted((r[name], r["bad"]) for r in inside)
             below_p = below_n = k = 0
             for cut in _cuts(inside, name, n_cuts):
@@ -177,22 +177,24 @@ def learn_rules(
 ) -> list[Rule]:
     """Ordered rejecting rules from rows with the keys of :data:`FEATURES` and ``bad`` (0 or 1).
 
-    Every third row prunes, the others grow. A rule that covers fewer than ``min_cover`` bad rows, or less purely than
-    ``min_precision`` on either part, ends the list. No rows, or one class only, give an empty list.
+    Every third row prunes, the others grow. A rule is grown from each statistic; of those that cover ``min_cover`` bad
+    rows and are as pure as ``min_precision`` on both parts, the one that covers most bad rows enters the list. The list
+    ends where there is none. No rows, or one class only, give an empty list.
     """
     grow, prune = [r for i, r in enumerate(rows) if i % 3], rows[::3]
     rules: list[Rule] = []
     while len(rules) < max_rules and any(r["bad"] for r in grow):
-        rule = _grow(grow, n_cuts, max_conditions)
-        if not rule:
-            break
-        rule = _prune(rule, prune)
-        p, n = _tally(rule, grow)
-        q, m = _tally(rule, prune)
-        if p < min_cover or p < min_precision * n or q < min_precision * m:
+        best: tuple[int, Rule] = (0, ())
+        for name in FEATURES:
+            rule = _prune(_grow(grow, name, n_cuts, max_conditions), prune)
+            p, n = _tally(rule, grow)
+            q, m = _tally(rule, prune)
+            if rule and p >= min_cover and p >= min_precision * n and q >= min_precision * m and p + q > best[0]:
+                best = (p + q, rule)
+        if not best[1]:
             break
-        rules.append(rule)
-        grow, prune = [r for r in grow if not _covers(rule, r)], [r for r in prune if not _covers(rule, r)]
+        rules.append(best[1])
+        grow, prune = [r for r in grow if not _covers(best[1], r)], [r for r in prune if not _covers(best[1], r)]
     return rules
 
 
