@@ -23,7 +23,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_TOKENS = 400_000
+from tidemark.llm.store import small_batches
+
+CACHE_TOKENS = 150_000
 LONG_TEXT = 1 << 20
 
 
@@ -186,6 +188,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 out, names = [*out, _lists(all_ids)], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t"))
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * with_ids
     return rows.mapInArrow(run, schema)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.store import small_batches
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -173,6 +175,10 @@ def _texts(column: pa.Array) -> Iterator[bytes | None]:
     return (x.as_py() for x in column.cast(pa.binary()))
 
 
+def _strings(column: pa.Array) -> Iterator[str | None]:
+    return (x.as_py() for x in column)
+
+
 def _merge(old: list[tuple[int, int]], new: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(old + new):
@@ -183,40 +189,55 @@ def _merge(old: list[tuple[int, int]], new: list[tuple[int, int]]) -> list[tuple
     return out
 
 
-_HITS = "hits array<struct<lo:int,hi:int>>, items array<string>, n_words bigint"
+_FOUND = [pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])), pa.list_(pa.string()), pa.int64()]
 
 
 def find_hits(
-    docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS
-) -> DataFrame:
-    """``row`` (all input columns as a struct), ``hits`` (word intervals), ``items`` (ids as strings, sorted), ``n_words``."""
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
+    block_words: int = BLOCK_WORDS, cut_above: float | None = None,
+) -> DataFrame:
+    """``row`` (all input columns as a struct), ``hits`` (word intervals), ``items`` (ids as strings, sorted), ``n_words``.
+
+    With ``cut_above``, the columns of ``docs`` instead: the last block's pass also cuts the hits out of the texts and drops
+    documents of which more than that share of words is hit, so that a task runs one Python worker for each block and
+    none besides.
+    """
     spark = docs.sparkSession
+    small_batches(spark)
     out = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
         F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("hits"),
         F.lit(None).cast("array<string>").alias("items"),
         F.lit(None).cast("bigint").alias("n_words"),
     )
-    schema, names, at = out.schema, out.columns, docs.columns.index(text_col)
-    hit_type = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-    for block in [*_blocks(items, item_id, item_text, block_words)] or [[]]:
+    schema, names, columns, plain = out.schema, out.columns, list(docs.columns), docs.schema
+    at = columns.index(text_col)
+    blocks = [*_blocks(items, item_id, item_text, block_words)] or [[]]
+    for number, block in enumerate(blocks):
         held = spark.sparkContext.broadcast(block)
+        cutting = cut_above is not None and number == len(blocks) - 1
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held, cutting=cutting) -> Iterator[pa.RecordBatch]:
             automaton = SuffixAutomaton(held.value, window)
             for b in batches:
+                row = b.column(0)
                 hits, ids, counts = [], [], []
-                for text, old, had in zip(_texts(b.column(0).field(at)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for text, old, had in zip(_texts(row.field(at)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     words = words_of(text)
                     got, found = automaton.scan(words)
-                    merged = _merge([(h["lo"], h["hi"]) for h in old or ()], got) if old else got
-                    hits.append([{"lo": x, "hi": y} for x, y in merged])
+                    hits.append(_merge([(h["lo"], h["hi"]) for h in old], got) if old else got)
                     ids.append(sorted({*(had or ()), *map(str, found)}))
                     counts.append(len(words))
-                made = [pa.array(hits, type=hit_type), pa.array(ids, type=pa.list_(pa.string())), pa.array(counts, type=pa.int64())]
-                yield pa.RecordBatch.from_arrays([b.column(0), *made], names=names)
-
-        out = out.mapInArrow(run, schema)
+                if cutting:
+                    texts = pa.array((cut_words(t, h) if h else t for t, h in zip(_strings(row.field(at)), hits, strict=True)), type=pa.string())
+                    stay = pa.array([sum(y - x for x, y in h) <= cut_above * n for h, n in zip(hits, counts, strict=True)], type=pa.bool_())
+                    yield pa.RecordBatch.from_arrays([texts if k == at else row.field(k) for k in range(len(columns))], names=columns).filter(stay)
+                else:
+                    listed = [[{"lo": x, "hi": y} for x, y in h] for h in hits]
+                    made = [pa.array(x, type=t) for x, t in zip((listed, ids, counts), _FOUND, strict=True)]
+                    yield pa.RecordBatch.from_arrays([row, *made], names=names)
+
+        out = out.mapInArrow(run, plain if cutting else schema)
     return out
 
 
@@ -257,19 +278,4 @@ def decontaminate(
     Every hit interval leaves the text. A document of which more than ``max_coverage`` of the words are hit leaves as a
     whole. Documents without a hit are unchanged, null texts included.
     """
-    found = find_hits(docs, items, text_col, window=window, block_words=block_words)
-    hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda acc, h: acc + h["hi"] - h["lo"])
-    kept = found.where(hit <= max_coverage * F.col("n_words"))
-    names, schema = list(docs.columns), docs.schema
-    at = names.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [
-                cut_words(t, [(h["lo"], h["hi"]) for h in hits]) if hits else t
-                for t, hits in zip(b.column(0).field(at).to_pylist(), b.column(1).to_pylist(), strict=True)
-            ]
-            columns = [b.column(0).field(k) if k != at else pa.array(texts, type=pa.string()) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return kept.mapInArrow(run, schema)
+    return find_hits(docs, items, text_col, window=window, block_words=block_words, cut_above=max_coverage)

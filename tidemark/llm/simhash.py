@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.store import stash
+from tidemark.llm.store import small_batches, stash
 
 SEED = 42
 MAX_BITS = 2
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = pa.array((fingerprint(t.as_py(), shingle) for t in b.column(1)), type=pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fps], names=["id", "fp"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("t"))
     return rows.mapInArrow(run, "id bigint, fp bigint")
 

@@ -43,3 +43,13 @@ def discard(df: DataFrame | None) -> None:
         sc = df.sparkSession.sparkContext
         target = sc._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Rows and bytes of a batch that goes to a Python worker; long texts make smaller batches.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of this session's Python stages, so that a worker's memory does not depend on its texts' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
