@@ -20,41 +20,38 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import stash
+from tidemark.llm.store import small_batches, stash
 
 MIN_WORDS = 5
-_BLANKS = str.maketrans(dict.fromkeys("\t\x0b\x0c\r", " "))
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def line_words(line: str) -> list[str]:
-    """Lower-cased words of a line; space and U+0009 to U+000D part them."""
-    words = line.translate(_BLANKS).lower().split(" ")
-    return [w for w in words if w] if "" in words else words
+def line_words(line: bytes) -> list[bytes]:
+    """Words of a line in UTF-8, A-Z lower-cased; space and U+0009 to U+000D part them."""
+    return line.lower().split()
 
 
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def line_key(words: list[str]) -> tuple[int, int]:
-    """128-bit hash of a line's words, as two signed numbers."""
-    h = xxhash.xxh3_128_intdigest(" ".join(words))
-    return _signed(h >> 64), _signed(h & ((1 << 64) - 1))
+def line_key(words: list[bytes]) -> bytes:
+    """128-bit hash of a line's words."""
+    return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def half_keys(words: list[str]) -> list[int]:
+def half_keys(words: list[bytes]) -> list[int]:
     """Keys of the unchanged half: two lines one edit apart share one, taken by the word count of the shorter line."""
-    out = []
-    for m in (len(words), len(words) - 1):
+    n = len(words)
+    out, join, digest = [], b" ".join, xxhash.xxh64_intdigest
+    for m in (n, n - 1):
         cut = m // 2
-        out.append(_signed(xxhash.xxh64_intdigest(" ".join(words[:cut]), seed=2 * m)))
-        out.append(_signed(xxhash.xxh64_intdigest(" ".join(words[len(words) - (m - cut) :]), seed=2 * m + 1)))
+        out += [digest(join(words[:cut]), 2 * m), digest(join(words[n - m + cut :]), 2 * m + 1)]
     return out
 
 
-def variant_keys(words: list[str]) -> tuple[int, np.ndarray]:
+def variant_keys(words: list[bytes]) -> tuple[int, np.ndarray]:
     """Hash of the word sequence, and of the sequence less each of its words, in one pass.
 
     The hash is a polynomial in the words' hashes modulo 2^64: without word ``i``, what follows it moves down a place.
@@ -70,23 +67,30 @@ def variant_keys(words: list[str]) -> tuple[int, np.ndarray]:
 def hash_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """``(doc, line, h, h2, halves)`` of every line of ``min_words`` words or more."""
 
+    def pack(ids: list, numbers: list[int], keys: list[bytes], halves: list[int]) -> pa.RecordBatch:
+        key = np.frombuffer(b"".join(keys), dtype=">i8").reshape(-1, 2).astype(np.int64)
+        ends = pa.array(np.arange(0, len(halves) + 1, 4, dtype=np.int32))
+        listed = pa.ListArray.from_arrays(ends, pa.array(np.array(halves, dtype=np.uint64).view(np.int64)))
+        columns = [pa.array(ids, type=pa.int64()), pa.array(numbers, type=pa.int32()), pa.array(np.ascontiguousarray(key[:, 0])), pa.array(np.ascontiguousarray(key[:, 1])), listed]
+        return pa.RecordBatch.from_arrays(columns, names=["doc", "line", "h", "h2", "halves"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "line", "h", "h2", "halves"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         for b in batches:
-            rows = []
+            ids, numbers, keys, halves = [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for number, line in enumerate((text.as_py() or "").split("\n")):
+                for number, line in enumerate((text.as_py() or b"").split(b"\n")):
                     words = line_words(line)
                     if len(words) >= min_words:
-                        rows.append((doc, number, *line_key(words), half_keys(words)))
-                if len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                    rows = []
-            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("t"))
+                        ids.append(doc)
+                        numbers.append(number)
+                        keys.append(line_key(words))
+                        halves += half_keys(words)
+                if len(ids) > 20_000:
+                    yield pack(ids, numbers, keys, halves)
+                    ids, numbers, keys, halves = [], [], [], []
+            yield pack(ids, numbers, keys, halves)
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("binary").alias("t"))
     return rows.mapInArrow(run, "doc bigint, line int, h bigint, h2 bigint, halves array<bigint>")
 
 
@@ -159,18 +163,19 @@ def _texts(docs: DataFrame, likely: DataFrame, id_col: str, text_col: str) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [line_words(x) for x in b.column(3).to_pylist()]
+            words = [line_words(x) for x in b.column(3).cast(pa.binary()).to_pylist()]
             # rows that share an id may hold other lines at this place
-            keys = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-            good = pa.array([line_key(w) == k for w, k in zip(words, keys, strict=True)], type=pa.bool_())
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(words, type=pa.list_(pa.string()))], names=["h", "first", "words"])
+            keys = np.frombuffer(b"".join(map(line_key, words)), dtype=">i8").reshape(-1, 2)
+            good = pa.array((keys[:, 0] == b.column(0).to_numpy()) & (keys[:, 1] == b.column(1).to_numpy()))
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(words, type=pa.list_(pa.binary()))], names=["h", "first", "words"])
             yield out.filter(good)
 
-    return found.mapInArrow(run, "h bigint, first struct<doc:bigint,line:int>, words array<string>").dropDuplicates(["h"])
+    return found.mapInArrow(run, "h bigint, first struct<doc:bigint,line:int>, words array<binary>").dropDuplicates(["h"])
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc, line)`` of the lines that repeat an earlier line, or are one word edit away from one."""
+    small_batches(docs.sparkSession)
     seen = stash(hash_lines(docs, id_col, text_col, min_words), "lines")
     distinct = stash(
         seen.groupBy("h", "h2").agg(
