@@ -160,6 +160,35 @@ def test_repeated_passages_are_found(spark):
     assert substring_dedup.substring_dedup(frame.limit(0)).count() == 0
 
 
+def test_passages_behind_an_unrelated_first_document_are_found(spark):
+    rng = random.Random(8)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    docs, want = {}, set()
+    for k in range(0, 240, 4):
+        passage = prose(80)
+        docs[k] = prose(60) + passage[:40] + prose(60)
+        docs |= {k + j: prose(30) + passage + prose(30) for j in (1, 2, 3)}
+        want |= {k + 2, k + 3}
+    again = prose(30)
+    docs[400] = prose(60) + again + prose(100) + again + (tail := prose(50)) + prose(20)
+    docs[401] = prose(20) + again + tail + prose(60)
+    want.add(401)
+
+    def runs(i):
+        """Words of a document that stand in 50 equal words of an earlier one."""
+        seen = {tuple(w[p : p + 50]) for j, w in docs.items() if j < i for p in range(len(w) - 49)}
+        return {p + q for p in range(len(docs[i]) - 49) if tuple(docs[i][p : p + 50]) in seen for q in range(50)}
+
+    assert want == {i for i in docs if runs(i)}
+    frame = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], DOCS)
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(frame).collect()}
+    assert {i for i, r in got.items() if r.sources} == want
+    assert all(r.component_id == (i if i == 400 else 400 if i == 401 else i - i % 4 + (i % 4 > 0)) for i, r in got.items())
+    for i in want:
+        marked = {w for s in got[i].spans.split(",") for w in range(*map(int, s.split(":")))}
+        assert runs(i) <= marked
+
+
 PAGES = "page_id bigint, url string, html string"
 
 
