@@ -189,6 +189,31 @@ def test_passages_behind_an_unrelated_first_document_are_found(spark):
         assert runs(i) <= marked
 
 
+def test_passages_with_insertions_match_brute_force(spark):
+    import numpy as np
+
+    rng = random.Random(12)
+    width, docs, want = substring_dedup.MIN_WORDS - substring_dedup.SHINGLE + 1, {}, {}
+    for k in range(0, 120, 2):
+        one = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        places = sorted(rng.sample(range(5, 56), rng.choice([1, 1, 2])), reverse=True)
+        two = list(one)
+        for p in places:
+            two[p:p] = [f"n{rng.randrange(10**6)}" for _ in range(rng.choice([1, 3, 5, 7]))]
+        docs[k], docs[k + 1] = (one, two) if k % 4 else (two, one)
+        a, b = (set(substring_dedup.shingles(" ".join(docs[j]).encode()).tolist()) for j in (k, k + 1))
+        want[k + 1] = len(a & b) >= 0.8 * len(a | b)
+        for x, y in ((k, k + 1), (k + 1, k)):
+            h = [substring_dedup.shingles(" ".join(docs[j]).encode()) for j in (x, y)]
+            found = substring_dedup.verified(np.array(h[0]), np.array(h[1]), width, 0.8)
+            assert not want[k + 1] or (found and found[0] == (0, len(h[0]) - 1)), (x, y)
+    assert 20 < sum(want.values()) < 55
+    frame = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], DOCS)
+    # with many hash functions, no pair is left to chance
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(frame, hashes=12).collect()}
+    assert all(got[k].n_dup_words == len(docs[k]) for k in want if want[k])
+
+
 PAGES = "page_id bigint, url string, html string"
 
 
