@@ -10,7 +10,7 @@ from tidemark.functions import grading as G
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
 from tidemark.operators import neighborhood as N
-from tidemark.operators import passk, projections, scoring, splits
+from tidemark.operators import passk, projections, scoring, slots, splits
 from tidemark.operators.pairs import preference_pairs
 from tidemark.streaming.segmentation import Segmenter
 
@@ -135,3 +135,23 @@ def test_registry_is_consistent():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(list(itertools.islice(entry.queries(), 100))) >= 90
+
+
+def test_slot_centres_are_fitted_on_all_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6)) + 4 * rng.normal(size=(5, 6))[rng.integers(0, 5, 400)]
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, e array<double>").repartition(3)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for sample in (50, 400):
+        first = sorted(r.vec_id for r in frame.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect())
+        centres = unit[first][np.random.default_rng(42).choice(sample, 4, replace=False)]
+        for _ in range(25):
+            near = ((unit[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+            moved = np.stack([unit[near == j].mean(0) if (near == j).any() else centres[j] for j in range(4)])
+            shift, centres = np.abs(moved - centres).mean(), moved
+            if shift < 1e-5:
+                break
+        want = centres / np.linalg.norm(centres, axis=1, keepdims=True)
+        assert np.allclose(slots.fit_centres(frame, "e", k=4, sample_rows=sample), want, atol=1e-9)

@@ -2,33 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as V
 
 
-def kmeans(x: np.ndarray, k: int, seed: int = 42, steps: int = 25) -> np.ndarray:
-    """Centres of a bounded sample: random distinct rows at first, until they move by less than 1e-5 on average."""
-    if len(x) <= k:
-        return x.copy()
-    centres = x[np.random.default_rng(seed).choice(len(x), k, replace=False)].copy()
-    for _ in range(steps):
-        near = ((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None]).argmin(1)
-        moved = np.stack([x[near == j].mean(0) if (near == j).any() else centres[j] for j in range(k)])
-        shift = np.abs(moved - centres).mean()
-        centres = moved
-        if shift < 1e-5:
-            break
-    return centres
-
-
-def fit_centres(rows: DataFrame, vector: str, k: int = 8, seed: int = 42, sample_rows: int = 5000, order: str = "vec_id") -> np.ndarray:
-    """Unit centres fitted on at most ``sample_rows`` rows, those of the smallest id digests."""
-    sample = rows.select(order, V.l2_normal(F.col(vector)).alias("v")).orderBy(F.xxhash64(order), order).limit(sample_rows).collect()
-    x = np.array([r["v"] for r in sorted(sample, key=lambda r: r[order])], dtype=np.float64)
-    centres = kmeans(x, min(k, len(x)), seed)
+def _moved(units: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """One k-means step over all rows: sums by nearest centre on the executors, so that only the means reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = np.zeros_like(centres), np.zeros(len(centres))
+        for b in batches:
+            if b.num_rows:
+                x = np.array(b.column(0).to_pylist(), dtype=np.float64)
+                near = ((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None]).argmin(1)
+                np.add.at(total, near, x)
+                count += np.bincount(near, minlength=len(centres))
+        met = np.flatnonzero(count)
+        sums = pa.array(total[met].tolist(), type=pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(met, type=pa.int32()), pa.array(count[met]), sums], names=["slot", "n", "total"])
+
+    parts = units.mapInArrow(run, "slot int, n double, total array<double>").select("slot", "n", F.posexplode("total").alias("i", "s"))
+    out = centres.copy()
+    for row in parts.groupBy("slot", "i").agg((F.sum("s") / F.sum("n")).alias("mean")).collect():
+        out[row["slot"], row["i"]] = row["mean"]
+    return out
+
+
+def fit_centres(rows: DataFrame, vector: str, k: int = 8, seed: int = 42, sample_rows: int = 5000, order: str = "vec_id", steps: int = 25) -> np.ndarray:
+    """Unit centres by k-means over all rows, until they move by less than 1e-5 on average.
+
+    The first centres are random distinct rows among the ``sample_rows`` of the smallest id digests.
+    """
+    units = rows.select(order, V.l2_normal(F.col(vector)).alias("v"))
+    sample = units.orderBy(F.xxhash64(order), order).limit(sample_rows).collect()
+    centres = np.array([r["v"] for r in sorted(sample, key=lambda r: r[order])], dtype=np.float64)
+    if len(centres) > k:
+        centres = centres[np.random.default_rng(seed).choice(len(centres), k, replace=False)].copy()
+        for _ in range(steps):
+            moved = _moved(units.select("v"), centres)
+            shift = np.abs(moved - centres).mean()
+            centres = moved
+            if shift < 1e-5:
+                break
     return centres / np.maximum(1e-8, np.linalg.norm(centres, axis=1, keepdims=True))
 
 
