@@ -1,32 +1,42 @@
 """SimHash near-duplicate groups by multi-index hashing.
 
-Fingerprints that differ in at most two bits are linked. Each different fingerprint is split into segments; inside every
-segment the Hamming ball of radius one is enumerated, and the other segments stay in the key as they are. Two
-fingerprints at distance one or two then meet under at least one key: that of the fingerprint halfway between them. A
-key's table entry is a set of at most 65 fingerprints (which single bits were flipped to get there), held as a bit mask,
-so an entry has a fixed size whatever the size of a group of copies. Members of an entry are linked to the smallest one
-after their complete distance has been verified.
+Fingerprints that differ in few bits are linked. A fingerprint is cut into segments; each segment has a table from its
+value to the fingerprints that hold it. If two fingerprints differ in at most ``max_bits`` bits, they differ in few bits
+within some segment, so each fingerprint enumerates the small Hamming ball of its own value within every segment, fetches
+what the tables hold there, and each candidate's complete distance is verified.
+
+A table entry that holds more than ``crowd`` fingerprints is not fetched. It is cut anew instead: its remaining bits are
+segments of their own, searched with what is left of the distance, and so on. The last cut leaves ``FLOOR_BITS`` bits or
+fewer outside the key, so an entry holds ``2 ** FLOOR_BITS`` different fingerprints at most, whatever the size of a group
+of near copies; nothing is dropped on the way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.store import small_batches, stash
+from tidemark.llm.store import discard, small_batches, stash
 
 SEED = 42
+BITS = 64
 MAX_BITS = 2
-SEGMENTS = 4
+SEGMENTS = 2
+CROWD = 64
+FLOOR_BITS = 8
 _CHUNK = 1 << 16
 
+#: An index: the bits of its key, and the bits that may be flipped in a probe, each with how many were flipped.
+Index = tuple[frozenset[int], list[tuple[int, int]]]
+
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     """64-bit SimHash of the word shingles of a UTF-8 text; zero for a text without words.
@@ -61,41 +71,103 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "id bigint, fp bigint")
 
 
-def index_entries(fps: DataFrame, segments: int = SEGMENTS) -> DataFrame:
-    """Table of the balls: ``(key, mask, centre)``; bit ``k`` of ``mask``: the member ``key xor 2^k`` is there."""
-    width = 64 // segments
-    flips = F.flatten(F.array(*[F.sequence(F.lit(s * width), F.lit(s * width + width - 1)) for s in range(segments)]))
-    ball = fps.select("fp", F.explode(F.concat(F.array(F.lit(-1)), flips)).alias("bit"))
-    one = F.expr("shiftleft(1L, bit)")
-    entries = ball.select(
-        F.when(F.col("bit") < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(one)).alias("key"),
-        F.when(F.col("bit") < 0, F.lit(0).cast("bigint")).otherwise(one).alias("flag"),
-        (F.col("bit") < 0).alias("own"),
-    )
-    return entries.groupBy("key").agg(F.bit_or("flag").alias("mask"), F.max("own").alias("centre"))
+def _number(bits: frozenset[int] | set[int] | tuple[int, ...]) -> int:
+    """The bits as a signed 64-bit number."""
+    n = sum(1 << b for b in bits)
+    return n - (1 << BITS) if n >> (BITS - 1) else n
+
+
+def _balls(rest: list[int], budget: int, segments: int) -> list[tuple[list[int], int]]:
+    """Segments of ``rest`` and the radius within each that finds every pair ``budget`` bits apart at most.
+
+    If no segment but the first ``budget % m + 1`` differs in fewer than ``budget // m`` bits, one of those first ones
+    differs in no more than that; the other segments can do with one bit less.
+    """
+    m = min(segments, len(rest))
+    cuts = [len(rest) * k // m for k in range(m + 1)]
+    radius, more = divmod(budget, m)
+    parts = [(rest[a:b], radius if k <= more else radius - 1) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    return [(p, r) for p, r in parts if r >= 0]
+
+
+def _probes(part: list[int], radius: int) -> list[tuple[int, ...]]:
+    return [c for n in range(min(radius, len(part)) + 1) for c in combinations(part, n)]
+
+
+def first_indexes(max_bits: int, segments: int) -> list[Index]:
+    """One index for each segment that has to be searched."""
+    return [(frozenset(p), [(_number(c), len(c)) for c in _probes(p, r)]) for p, r in _balls(list(range(BITS)), max_bits, segments)]
+
+
+def finer_indexes(key: frozenset[int], used: set[int], max_bits: int) -> list[tuple[frozenset[int], dict[int, list[tuple[int, int]]]]]:
+    """Longer keys for what an index leaves out, with the further flips by the number of those made before."""
+    rest = [b for b in range(BITS) if b not in key]
+    found: dict[frozenset[int], dict[int, list[tuple[int, int]]]] = {}
+    for n in sorted(used):
+        for part, radius in _balls(rest, max_bits - n, 2):
+            found.setdefault(key | set(part), {})[n] = [(_number(c), n + len(c)) for c in _probes(part, radius)]
+    return [*found.items()]
+
+
+def _flipped(from_col: str, index: int, flips: list[tuple[int, int]]) -> Column:
+    """Probes ``(ix, near, used)`` of an index: ``from_col`` with each of the flips."""
+    listed = F.expr(f"array({','.join(f"struct(cast({f} as bigint) as flip, {n} as used)" for f, n in flips)})")
+    return F.transform(listed, lambda x: F.struct(F.lit(index).alias("ix"), F.col(from_col).bitwiseXOR(x["flip"]).alias("near"), x["used"].alias("used")))
 
 
-def links(fps: DataFrame, segments: int = SEGMENTS, max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges ``(a, b)`` between different fingerprints of at most ``max_bits`` (1 or 2) differing bits.
+def links(fps: DataFrame, segments: int = SEGMENTS, max_bits: int = MAX_BITS, crowd: int = CROWD) -> DataFrame:
+    """Edges ``(a, b)``, ``a < b``: all pairs of the different fingerprints ``fps(fp)`` with ``max_bits`` differing bits at most.
 
-    Every entry gives at most 64 edges, from its smallest member to the others; reachability equals that of all pairs.
+    An empty table has no edge. ``segments`` need not divide 64.
     """
-    if not 1 <= max_bits <= 2:
-        raise ValueError("balls of radius one serve distances of one or two bits")
-    met = index_entries(fps, segments).where((F.bit_count("mask") + F.col("centre").cast("int")) > 1)
-    if max_bits == 1:
-        met = met.where("centre")
-    members = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("mask", k) == 1)
-    listed = met.select("key", "mask", "centre", members.alias("bits")).select(
-        F.concat(
-            F.when(F.col("centre"), F.array("key")).otherwise(F.array().cast("array<bigint>")),
-            F.transform("bits", lambda k: F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k))),
-        ).alias("found"),
-        "key", "centre",
-    )
-    hub = F.when(F.lit(max_bits) == 1, F.col("key")).otherwise(F.array_min("found"))
-    edges = listed.select(hub.alias("a"), F.explode("found").alias("b"))
-    return edges.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).distinct()
+    if not 1 <= segments <= BITS or max_bits < 1:
+        raise ValueError("there is at least one segment, of at least one bit, and one differing bit")
+    first = first_indexes(max_bits, segments)
+    at = lambda key: F.col("fp").bitwiseAND(F.lit(_number(key)))
+    held = F.array(*[F.struct(F.lit(k).alias("ix"), at(key).alias("key")) for k, (key, _) in enumerate(first)])
+    table = fps.select("fp", F.explode(held).alias("e")).select("fp", "e.ix", "e.key")
+    asked = F.concat(*[_flipped("fp", k, flips) for k, (_, flips) in enumerate(first)])
+    keys = [key for key, _ in first]
+    probes = fps.select("fp", F.explode(asked).alias("e")).select("fp", "e.*")
+    out: list[DataFrame] = []
+    held_on: list[DataFrame] = []
+    while True:
+        mask = reduce(lambda c, k: c.when(F.col("ix") == k, F.lit(_number(keys[k]))), range(len(keys)), F)
+        probes = probes.select("fp", "ix", "near", "used", F.col("near").bitwiseAND(mask).alias("key"))
+        last = BITS - min(map(len, keys)) <= FLOOR_BITS
+        size = table.groupBy("ix", "key").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("low"))
+        # an entry that holds the asking fingerprint alone has no candidate
+        met = probes.join(size, ["ix", "key"]).where((F.col("c") > 1) | (F.col("low") != F.col("fp")))
+        met = stash(met.select("fp", "ix", "near", "used", "key", "c"), "met")
+        calm = met if last else met.where(F.col("c") <= crowd)
+        fetched = calm.select(F.col("fp").alias("a"), "ix", "key").join(table.select(F.col("fp").alias("b"), "ix", "key"), ["ix", "key"])
+        close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+        pair = fetched.where((F.col("a") != F.col("b")) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        out.append(stash(pair.distinct(), "pairs"))
+        held_on += [met, out[-1]]
+        full = met.where(F.col("c") > crowd)
+        if last or not full.limit(1).count():
+            break
+        crowds = stash(full.select("ix", "key").distinct(), "crowds")
+        used = {r["used"] for r in full.select("used").distinct().collect()}  # max_bits + 1 numbers at most
+        finer = [(k, key, flips) for k in range(len(keys)) for key, flips in finer_indexes(keys[k], used, max_bits)]
+        inside = table.join(crowds, ["ix", "key"])
+        table = stash(
+            inside.select("fp", F.explode(F.array(*[F.struct(F.lit(n).alias("ix"), F.lit(k).alias("was"), at(key).alias("key")) for n, (k, key, _) in enumerate(finer)])).alias("e"), F.col("ix").alias("own"))
+            .where("e.was = own").select("fp", "e.ix", "e.key"), "crowded",
+        )
+        none = F.expr("cast(array() as array<struct<ix:int,near:bigint,used:int>>)")
+        further = F.concat(*[
+            F.when((F.col("ix") == k) & (F.col("used") == u), _flipped("near", n, more)).otherwise(none)
+            for n, (k, _, flips) in enumerate(finer) for u, more in flips.items()
+        ])
+        held_on += [crowds, table]
+        probes = full.select("fp", F.explode(further).alias("e")).select("fp", "e.*")
+        keys = [key for _, key, _ in finer]
+    edges = stash(reduce(DataFrame.unionByName, out).distinct(), "edges")
+    for used_up in held_on:
+        discard(used_up)
+    return edges
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
@@ -107,7 +179,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     prints = stash(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     each = stash(prints.groupBy("fp").agg(F.min("id").alias("low")), "different")
-    joined = connected_components(links(each.select("fp"), max_bits=max_bits))
+    edges = links(each.select("fp"), max_bits=max_bits)
+    joined = connected_components(edges)
+    discard(edges)
     group = each.join(joined, each["fp"] == joined["node"], "left").select(
         "fp", "low", F.coalesce("component", "fp").alias("group")
     )
