@@ -3,24 +3,26 @@
 The automaton is built from the normalised words of all items. A document's words are streamed through it; at each word
 it tells the longest suffix read so far that is part of some item. Where that length reaches a window, the words are
 hit. Items are taken in blocks of a stated number of words; each block's automaton is broadcast by itself and adds its
-hits to those found before, so no more than one block is held at a time, however many items there are.
+hits to those found before: a pass over the documents for each block, written to the shared folder in between, so that
+no more than one block is held at a time, by the driver or by a worker, however many items there are.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import small_batches
+from tidemark.llm.store import discard, small_batches, stash
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
 _FIND = re.compile(WORD)
 #: What parts words becomes a space, A-Z lower case; the bytes of other characters stay.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -32,36 +34,13 @@ def words_of(text: str | bytes | None) -> list[bytes]:
     return raw.translate(_TABLE).split()
 
 
-class SuffixAutomaton:
-    """Generalised suffix automaton over lists of words, with the items of every window of ``window`` words."""
+class _States:
+    """States under construction: edges by word, suffix links, and the length of each state's longest word sequence."""
 
-    def __init__(self, items: list[tuple[object, list[bytes]]], window: int = WINDOW):
-        self.window = window
-        self.vocab: dict[bytes, int] = {}
+    def __init__(self) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.link: list[int] = [-1]
         self.len: list[int] = [0]
-        coded = []
-        for item, words in items:
-            if words:
-                ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words]
-                coded.append((item, ids))
-                self._add(ids)
-        #: items whose window of ``window`` words ends in a state, by the state that holds just that length
-        self.full: dict[int, set] = {}
-        #: (length, items) of whole items shorter than a window, by state
-        self.short: dict[int, dict[int, set]] = {}
-        for item, ids in coded:
-            if len(ids) >= window:
-                for _, state, length in self._walk(ids):
-                    if length >= window:
-                        self.full.setdefault(self._state_of_length(state, window), set()).add(item)
-            else:
-                *_, (_, state, _) = self._walk(ids)
-                self.short.setdefault(state, {}).setdefault(len(ids), set()).add(item)
-        self.least = min((min(len(ids), window) for _, ids in coded), default=window)
-        base = max(1, len(self.vocab))
-        self.pairs = np.unique(np.array([a * base + b for _, ids in coded for a, b in zip(ids, ids[1:], strict=False)], dtype=np.int64))
 
     def _new(self, length: int, edges: dict[int, int], link: int) -> int:
         self.len.append(length)
@@ -81,7 +60,7 @@ class SuffixAutomaton:
             parent = self.link[parent]
         return clone
 
-    def _add(self, ids: list[int]) -> None:
+    def add(self, ids: list[int]) -> None:
         last = 0
         for w in ids:
             if w in self.next[last]:
@@ -96,50 +75,112 @@ class SuffixAutomaton:
                 self.link[made] = self._split(at, w)
             last = made
 
+
+class SuffixAutomaton:
+    """Generalised suffix automaton over lists of words, with the items of every window of ``window`` words.
+
+    It is built once, on the driver, and packed into arrays, which is what travels to the workers. ``items`` are ``(id,
+    words)``; an item whose id is None hits as any other and is not listed.
+    """
+
+    def __init__(self, items: list[tuple[object, list[bytes]]], window: int = WINDOW):
+        self.window = window
+        self.vocab: dict[bytes, int] = {}
+        states = _States()
+        coded = []
+        for item, words in items:
+            if words:
+                ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words]
+                coded.append((item, ids))
+                states.add(ids)
+        self.base = base = max(1, len(self.vocab))
+        self.keys = np.fromiter((s * base + w for s, edges in enumerate(states.next) for w in edges), dtype=np.int64)
+        self.targets = np.fromiter((t for edges in states.next for t in edges.values()), dtype=np.int32)
+        self.link, self.len = np.array(states.link, dtype=np.int32), np.array(states.len, dtype=np.int32)
+        del states
+        self.names = sorted({str(item) for item, _ in coded if item is not None})
+        number = {n: k for k, n in enumerate(self.names)}
+        full: set[tuple[int, int]] = set()
+        #: (length, item) of whole items shorter than a window, by state
+        self.short: dict[int, set[tuple[int, int]]] = {}
+        for item, ids in coded:
+            k = -1 if item is None else number[str(item)]
+            if len(ids) >= window:
+                full |= {(self._state_of_length(state, window), k) for _, state, length in self._walk(ids) if length >= window}
+            else:
+                *_, (_, state, _) = self._walk(ids)
+                self.short.setdefault(state, set()).add((len(ids), k))
+        #: items whose window of ``window`` words ends in a state, by the state that holds just that length
+        self.full = np.array(sorted(full), dtype=np.int32).reshape(-1, 2)
+        #: the nearest state among a state and its suffixes that ends a short item; 0 if none does
+        self.near = np.zeros(len(self.len), dtype=np.int32)
+        if self.short:
+            for s in np.argsort(self.len, kind="stable").tolist()[1:]:
+                self.near[s] = s if s in self.short else self.near[self.link[s]]
+        self.least = min((min(len(ids), window) for _, ids in coded), default=window)
+        self.pairs = np.unique(np.array([a * base + b for _, ids in coded for a, b in zip(ids, ids[1:], strict=False)], dtype=np.int64))
+
+    @cached_property
+    def _ready(self) -> tuple[dict[int, int], list[int], list[int], list[int]]:
+        """The arrays in the form that a walk reads fastest; made where it is needed, and not sent."""
+        return dict(zip(self.keys.tolist(), self.targets.tolist(), strict=True)), self.link.tolist(), self.len.tolist(), self.near.tolist() if self.short else []
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_ready"}
+
     def _state_of_length(self, state: int, length: int) -> int:
-        while self.len[self.link[state]] >= length:
-            state = self.link[state]
+        _, link, size, _ = self._ready
+        while size[link[state]] >= length:
+            state = link[state]
         return state
 
     def _walk(self, ids: list[int]) -> Iterator[tuple[int, int, int]]:
         """Position, state and longest matching length after each word."""
+        step, link, size, _ = self._ready
+        base, get = self.base, step.get
         state = length = 0
         for i, w in enumerate(ids):
-            while state and w not in self.next[state]:
-                state = self.link[state]
-                length = self.len[state]
-            if w in self.next[state]:
-                state, length = self.next[state][w], length + 1
+            to = get(state * base + w)
+            while to is None and state:
+                state = link[state]
+                length = size[state]
+                to = get(state * base + w)
+            if to is not None:
+                state, length = to, length + 1
             yield i, state, length
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Hit intervals (first word, word after the last; disjoint, ascending) and the items with occurring windows."""
         if not self.vocab:
             return [], set()
         get = self.vocab.get
         ids = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        _, link, _, near = self._ready
         hits: list[tuple[int, int]] = []
-        found: set = set()
+        ends: set[int] = set()
+        found: set[int] = set()
         for lo, hi in self._stretches(ids):
             for i, state, length in self._walk(ids[lo:hi].tolist()):
                 reach = 0
                 if length >= self.window:
                     reach = length
-                    found |= self.full[self._state_of_length(state, self.window)]
-                if self.short:
-                    up = state
-                    while up > 0:
-                        for n, items in self.short.get(up, {}).items():
-                            if n <= length:
-                                reach = max(reach, n)
-                                found |= items
-                        up = self.link[up]
+                    ends.add(self._state_of_length(state, self.window))
+                up = near[state] if near else 0
+                while up:
+                    for n, item in self.short[up]:
+                        if n <= length:
+                            reach = max(reach, n)
+                            found.add(item)
+                    up = near[link[up]]
                 if reach:
                     start, end = lo + i + 1 - reach, lo + i + 1
                     while hits and hits[-1][1] >= start:
                         start = min(start, hits.pop()[0])
                     hits.append((start, end))
-        return hits, found
+        for state in ends:
+            a, b = np.searchsorted(self.full[:, 0], [state, state + 1])
+            found.update(self.full[a:b, 1].tolist())
+        return hits, {self.names[k] for k in found if k >= 0}
 
     def _stretches(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """Maximal runs of words whose neighbours are neighbours in some item too; all windows lie within them."""
@@ -147,8 +188,7 @@ class SuffixAutomaton:
         if self.least < 2 or len(ids) < 2:
             good, extra = known, 0
         else:
-            base = max(1, len(self.vocab))
-            code = ids[:-1] * base + ids[1:]
+            code = ids[:-1] * self.base + ids[1:]
             place = np.minimum(np.searchsorted(self.pairs, code), max(0, len(self.pairs) - 1))
             good = known[:-1] & known[1:] & (self.pairs[place] == code if len(self.pairs) else False)
             extra = 1
@@ -156,21 +196,39 @@ class SuffixAutomaton:
         return [(a, b + extra) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b + extra - a >= self.least]
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """Items in lists of about ``block_words`` words; rows with a null id or without words have no window to find."""
+def _pieces(words: list[bytes], size: int, window: int) -> Iterator[list[bytes]]:
+    """A long item in pieces of ``size`` words that overlap so far that every window is inside one of them."""
+    for k in range(0, max(1, len(words) - window + 1), size):
+        yield words[k : k + size + window - 1]
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int, window: int) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """Items in lists of about ``block_words`` words, one at a time; those without words have no window to find.
+
+    The driver holds one input partition of the items and one list.
+    """
     block, size = [], 0
-    for row in items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").toLocalIterator():
+    for row in items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").toLocalIterator():
         words = words_of(row["t"])
-        if words:
-            block.append((row["i"], words))
-            size += len(words)
-        if size >= block_words:
-            yield block
-            block, size = [], 0
+        for piece in _pieces(words, block_words, window) if words else ():
+            block.append((row["i"], piece))
+            size += len(piece)
+            if size >= block_words:
+                yield block
+                block, size = [], 0
     if block:
         yield block
 
 
+def _with_last(blocks: Iterator[list]) -> Iterator[tuple[list, bool]]:
+    """Each block and whether it is the last one; a single empty block if there is none."""
+    held = next(blocks, [])
+    for block in blocks:
+        yield held, False
+        held = block
+    yield held, True
+
+
 def _texts(column: pa.Array) -> Iterator[bytes | None]:
     return (x.as_py() for x in column.cast(pa.binary()))
 
@@ -212,13 +270,13 @@ def find_hits(
     )
     schema, names, columns, plain = out.schema, out.columns, list(docs.columns), docs.schema
     at = columns.index(text_col)
-    blocks = [*_blocks(items, item_id, item_text, block_words)] or [[]]
-    for number, block in enumerate(blocks):
-        held = spark.sparkContext.broadcast(block)
-        cutting = cut_above is not None and number == len(blocks) - 1
+    before = None
+    for block, last in _with_last(_blocks(items, item_id, item_text, block_words, window)):
+        held = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
+        cutting = cut_above is not None and last
 
         def run(batches: Iterator[pa.RecordBatch], held=held, cutting=cutting) -> Iterator[pa.RecordBatch]:
-            automaton = SuffixAutomaton(held.value, window)
+            automaton = held.value
             for b in batches:
                 row = b.column(0)
                 hits, ids, counts = [], [], []
@@ -226,7 +284,7 @@ def find_hits(
                     words = words_of(text)
                     got, found = automaton.scan(words)
                     hits.append(_merge([(h["lo"], h["hi"]) for h in old], got) if old else got)
-                    ids.append(sorted({*(had or ()), *map(str, found)}))
+                    ids.append(sorted({*(had or ()), *found}))
                     counts.append(len(words))
                 if cutting:
                     texts = pa.array((cut_words(t, h) if h else t for t, h in zip(_strings(row.field(at)), hits, strict=True)), type=pa.string())
@@ -238,6 +296,11 @@ def find_hits(
                     yield pa.RecordBatch.from_arrays([row, *made], names=names)
 
         out = out.mapInArrow(run, plain if cutting else schema)
+        if not last:  # a stage runs the automaton of one block
+            out = stash(out, "hits")
+            held.destroy()
+            discard(before)
+            before = out
     return out
 
 
@@ -245,7 +308,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """Per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
 
     Null texts and texts without words have zeros; items without words are in no document; repeated rows of a document
-    or an item each count as they stand (an item id counts once).
+    or an item each count as they stand (an item id counts once). Words of an item with a null id are hit; it has no id
+    to be listed or counted by. Without documents or without items the result is that of no hits.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = find_hits(slim, items, window=window, block_words=block_words)

@@ -105,7 +105,7 @@ from p left join f on p.d = f.d and p.n >= 100
 _OP10 = r"""
 with item as (
   select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
-  from benchmark where item_id is not null and text is not null
+  from benchmark where text is not null
 ), win as (
   select distinct item_id, least(len(w), 10) as n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as s
   from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from item where len(w) > 0)
@@ -121,7 +121,7 @@ with item as (
 ), hit as (
   select k, count(distinct j) as n_hit from (select k, unnest(range(i, i + n)) as j from met) group by k
 ), its as (
-  select k, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct k, cast(item_id as varchar) as item from met) group by k
+  select k, count(item) as n_items, string_agg(item, ',' order by item) as items from (select distinct k, cast(item_id as varchar) as item from met) group by k
 )
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
