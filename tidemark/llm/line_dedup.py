@@ -6,8 +6,8 @@ one word, as hashed keys. A changed word leaves equal variants with the same pla
 line a variant of the other. A key's group is never listed as pairs: each line only needs the earliest line of each of
 its keys, so groups are reduced to their earliest member, and that one is verified by its edit distance.
 
-A line is removed if any earlier line (smaller document id, then line number) equals it or is near it. Lines of fewer
-than ``min_words`` words always stay: at five words, one edit is a similarity of 0.8.
+A line is removed if any earlier line (smaller document id, then line number) equals it or is near it. Equal lines are
+told at any length of a word or more; near ones from ``min_words`` words on: at five words, one edit is a similarity of 0.8.
 """
 
 from __future__ import annotations
@@ -65,30 +65,31 @@ def variant_keys(words: list[bytes]) -> tuple[int, np.ndarray]:
 
 
 def hash_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """``(doc, line, h, h2, halves)`` of every line of ``min_words`` words or more."""
+    """``(doc, line, h, h2, halves)`` of every line with a word; lines of fewer than ``min_words`` words have no halves."""
 
-    def pack(ids: list, numbers: list[int], keys: list[bytes], halves: list[int]) -> pa.RecordBatch:
+    def pack(ids: list, numbers: list[int], keys: list[bytes], halves: list[int], ends: list[int]) -> pa.RecordBatch:
         key = np.frombuffer(b"".join(keys), dtype=">i8").reshape(-1, 2).astype(np.int64)
-        ends = pa.array(np.arange(0, len(halves) + 1, 4, dtype=np.int32))
-        listed = pa.ListArray.from_arrays(ends, pa.array(np.array(halves, dtype=np.uint64).view(np.int64)))
+        listed = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(np.array(halves, dtype=np.uint64).view(np.int64)))
         columns = [pa.array(ids, type=pa.int64()), pa.array(numbers, type=pa.int32()), pa.array(np.ascontiguousarray(key[:, 0])), pa.array(np.ascontiguousarray(key[:, 1])), listed]
         return pa.RecordBatch.from_arrays(columns, names=["doc", "line", "h", "h2", "halves"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, numbers, keys, halves = [], [], [], []
+            ids, numbers, keys, halves, ends = [], [], [], [], [0]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 for number, line in enumerate((text.as_py() or b"").split(b"\n")):
                     words = line_words(line)
-                    if len(words) >= min_words:
+                    if words:
                         ids.append(doc)
                         numbers.append(number)
                         keys.append(line_key(words))
-                        halves += half_keys(words)
+                        if len(words) >= min_words:
+                            halves += half_keys(words)
+                        ends.append(len(halves))
                 if len(ids) > 20_000:
-                    yield pack(ids, numbers, keys, halves)
-                    ids, numbers, keys, halves = [], [], [], []
-            yield pack(ids, numbers, keys, halves)
+                    yield pack(ids, numbers, keys, halves, ends)
+                    ids, numbers, keys, halves, ends = [], [], [], [], [0]
+            yield pack(ids, numbers, keys, halves, ends)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("binary").alias("t"))
     return rows.mapInArrow(run, "doc bigint, line int, h bigint, h2 bigint, halves array<bigint>")
@@ -105,10 +106,10 @@ def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
 
 def _likely(distinct: DataFrame) -> DataFrame:
     """``(h, h2, first)`` of the different lines that share an unchanged half with another; the rest have no near line."""
-    halves = distinct.select("h", F.explode("halves").alias("half"))
+    halves = distinct.select("h", "h2", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
-    chosen = halves.join(shared, "half", "left_semi").select("h").distinct()
-    return distinct.join(chosen, "h", "left_semi").select("h", "h2", "first")
+    chosen = halves.join(shared, "half", "left_semi").select("h", "h2").distinct()
+    return distinct.join(chosen, ["h", "h2"], "left_semi").select("h", "h2", "first")
 
 
 def _variants(texts: DataFrame) -> DataFrame:
@@ -131,10 +132,11 @@ def _variants(texts: DataFrame) -> DataFrame:
 
 
 def _near(texts: DataFrame) -> DataFrame:
-    """``(h, bound)``: the earliest verified near line of each line that has an earlier one.
+    """``(h, h2, bound)``: the earliest verified near line of each line that has an earlier one.
 
     Lines with the same variant and the same word left out differ in that word; a variant that equals a line has that
-    word more. Each line is offered the earliest member of its groups, and each offer is verified.
+    word more. Each line is offered the earliest member of its groups, and each offer is verified on the words of the
+    two lines, so that lines with one half of the hash in common are not taken for one another.
     """
     keyed = _variants(texts)
     entry = F.struct(F.col("first").alias("first"), F.col("h").alias("h"))
@@ -148,15 +150,15 @@ def _near(texts: DataFrame) -> DataFrame:
     added = keyed.join(_small(longer.select("key", "at", "w")), ["key", "at"]).select("h", "first", "at", F.col("w").alias("e"), F.lit(-1).alias("oat"))
     offers = changed.unionByName(shorter).unionByName(added).where(F.col("e.first") < F.col("first"))
     offers = offers.select("h", "at", F.col("e.first").alias("bound"), F.col("e.h").alias("oh"), "oat").distinct()
-    own = texts.select(F.col("h"), F.col("words").alias("a"))
-    other = texts.select(F.col("h").alias("oh"), F.col("words").alias("b"))
+    own = texts.select("h", "h2", F.col("words").alias("a"))
+    other = texts.select(F.col("h").alias("oh"), F.col("first").alias("bound"), F.col("words").alias("b"))
     less = lambda words, at: F.filter(words, lambda w, k: k != F.col(at))
-    seen = offers.join(own, "h").join(other, "oh").where(less("a", "at") == less("b", "oat"))
-    return seen.groupBy("h").agg(F.min("bound").alias("bound"))
+    seen = offers.join(own, "h").join(other, ["oh", "bound"]).where(less("a", "at") == less("b", "oat"))
+    return seen.groupBy("h", "h2").agg(F.min("bound").alias("bound"))
 
 
 def _texts(docs: DataFrame, likely: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(h, first, words)`` of the likely lines, read where they first stand."""
+    """``(h, h2, first, words)`` of the likely lines, read where they first stand."""
     raw = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "raw"))
     at = _small(likely.select("h", "h2", "first", F.col("first.doc").alias("d"), F.col("first.line").alias("n")))
     found = raw.join(at, raw["doc"].eqNullSafe(at["d"]) & (raw["line"] == at["n"])).select("h", "h2", "first", "raw")
@@ -167,10 +169,10 @@ def _texts(docs: DataFrame, likely: DataFrame, id_col: str, text_col: str) -> Da
             # rows that share an id may hold other lines at this place
             keys = np.frombuffer(b"".join(map(line_key, words)), dtype=">i8").reshape(-1, 2)
             good = pa.array((keys[:, 0] == b.column(0).to_numpy()) & (keys[:, 1] == b.column(1).to_numpy()))
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(words, type=pa.list_(pa.binary()))], names=["h", "first", "words"])
+            out = pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(words, type=pa.list_(pa.binary()))], names=["h", "h2", "first", "words"])
             yield out.filter(good)
 
-    return found.mapInArrow(run, "h bigint, first struct<doc:bigint,line:int>, words array<binary>").dropDuplicates(["h"])
+    return found.mapInArrow(run, "h bigint, h2 bigint, first struct<doc:bigint,line:int>, words array<binary>").dropDuplicates(["h", "h2"])
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -185,7 +187,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     likely = stash(_likely(distinct), "likely")
     near = _near(stash(_texts(docs, likely, id_col, text_col), "texts"))
-    bounds = distinct.join(near, "h", "left").where((F.col("c") > 1) | F.col("bound").isNotNull())
+    bounds = distinct.join(near, ["h", "h2"], "left").where((F.col("c") > 1) | F.col("bound").isNotNull())
     bounds = bounds.select("h", "h2", F.least("first", F.coalesce("bound", "first")).alias("bound"))
     return seen.join(bounds, ["h", "h2"]).where(_place("doc", "line") > F.col("bound")).select("doc", "line").distinct()
 
@@ -195,7 +197,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The other columns stay. Rows that share an id count as one document read twice: neither is earlier, and what is
     removed at a line number leaves both. A null id is earlier than all others. A null text stays null. Equal lines are
-    told by 128-bit hashes; a near line is verified word by word.
+    told by 128-bit hashes; a near line is verified word by word. Lines without a word stay.
     """
     gone = removed_lines(docs, id_col, text_col, min_words).groupBy(F.col("doc").alias("gone_doc")).agg(F.collect_set("line").alias("gone"))
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("bigint").alias("id"))
