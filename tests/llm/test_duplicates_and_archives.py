@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 import xxhash
@@ -71,30 +72,32 @@ def test_simhash_matches_brute_force(spark):
     assert simhash.simhash_groups(docs.limit(0)).count() == 0
 
 
-def test_every_close_pair_is_linked(spark):
-    rng = random.Random(9)
-    centre = [rng.getrandbits(64) for _ in range(5)]
-    fps = {c ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(4))}) for c in centre for _ in range(60)} | {0, 1, 1 << 63, 3 << 62}
+@pytest.mark.parametrize(("segments", "max_bits", "crowd"), [(2, 2, 64), (2, 2, 4), (3, 2, 3), (4, 2, 8), (1, 1, 5), (5, 1, 2), (2, 3, 6), (7, 3, 64)])
+def test_every_close_pair_is_linked(spark, segments, max_bits, crowd):
+    rng = random.Random(segments * 10 + max_bits)
+    centre = [rng.getrandbits(64) for _ in range(4)]
+    fps = {c ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(5))}) for c in centre for _ in range(40)} | {0, 1, 1 << 63, 3 << 62}
+    fps |= {centre[0] ^ k for k in range(50)}  # a crowd within a few bits
     signed = {f - (1 << 64) if f >> 63 else f for f in fps}
     frame = spark.createDataFrame([(f,) for f in signed], "fp bigint")
-    rows = simhash.links(frame).collect()
-    near = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2]
-    assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 2 for r in rows)
-    assert union(signed, near) == union(signed, [(r.a, r.b) for r in rows])
+    near = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= max_bits}
+    rows = [tuple(r) for r in simhash.links(frame, segments, max_bits, crowd).collect()]
+    assert len(rows) == len(near) and set(rows) == near
+    assert simhash.links(frame.limit(0), segments, max_bits, crowd).count() == 0
 
 
 def plain_lines(docs, least=5):
-    """Removed line numbers by document: an earlier line is equal or one word edit away."""
+    """Removed line numbers by document: an earlier line is equal, or one word edit away if both have ``least`` words."""
     seen, out = [], defaultdict(set)
     placed = sorted(((i, n, tuple(x.encode().lower().split())) for i, t in docs for n, x in enumerate((t or "").split("\n"))), key=lambda x: x[:2])
     for i, n, w in placed:
-        if len(w) < least:
+        if not w:
             continue
         cut = {w[:k] + w[k + 1 :] for k in range(len(w))}
         for j, m, v in seen:
             if (j, m) < (i, n):
                 same_length = len(v) == len(w) and sum(a != b for a, b in zip(v, w, strict=True)) <= 1
-                if v == w or same_length or v in cut or (len(v) == len(w) + 1 and any(v[:k] + v[k + 1 :] == w for k in range(len(v)))):
+                if v == w or min(len(v), len(w)) >= least and (same_length or v in cut or len(v) == len(w) + 1 and any(v[:k] + v[k + 1 :] == w for k in range(len(v)))):
                     out[i].add(n)
                     break
         seen.append((i, n, w))
@@ -221,8 +224,15 @@ def test_archives_round_trip(spark):
     big, odd = "<p>é</p>" * 40, "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n" * 5
     rows = [(9, "http://b.example/x", big), (3, "https://www.a.example/?q=1", big), (4, "http://b.example/x", "short"), (5, "http://b.example/x", "short"), (6, None, None), (7, "bad url \n", odd), (8, "http://[", odd), (3, "https://www.a.example/?q=1", big), (None, "u", big), (10, "x", "")]
     pages = spark.createDataFrame(rows, PAGES).selectExpr("*", "1 as digest", "2 as size")
-    got = [r.asDict() for r in warc.archive_pages(pages, records_per_file=3).collect()]
+    got = [r.asDict() for r in warc.archive_pages(pages, rows_per_file=2, row_bytes=500).collect()]
     assert len(got) == len(rows)
+    for r in got:  # every capture can be fetched by its place alone
+        fields, block = warc.fetch(r, Path(r["file"].removeprefix("file:")).read_bytes())
+        assert warc.entry_of(fields, block, (r["file"], r["offset"], r["length"])) == tuple(r[n] for n in warc._NAMES)
+        if r["record_type"] == "response":
+            assert hashlib.sha256(block.partition(b"\r\n\r\n")[2]).hexdigest() == r["payload_digest"]
+    sizes = {r["file"]: Path(r["file"].removeprefix("file:")).stat().st_size for r in got}
+    assert len(sizes) > 1 and all(gzip.decompress(Path(f.removeprefix("file:")).read_bytes()).startswith(b"WARC/1.1") for f in sizes)
     for page, _, html in rows:
         data = (html or "").encode()
         first = min((p for p, _, h in rows if (h or "").encode() == data and p is not None), default=None)
@@ -238,13 +248,19 @@ def test_archives_round_trip(spark):
 
 def test_reader_takes_members_and_refuses_damage():
     one = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
-    assert [b for _, b in warc.read_records(gzip.compress(one) + gzip.compress(one))] == [b"hello"] * 2
+    packed = gzip.compress(one)
+    found = [*warc.members(memoryview(packed + gzip.compress(b"") + packed))]
+    assert [(at, n) for at, n, _ in found] == [(0, len(packed)), (len(packed) + len(gzip.compress(b"")), len(packed))]
+    assert [warc.read_record(x)[1] for _, _, x in found] == [b"hello"] * 2
+    for bad in (one[:-6], one + b"x", b"HTTP/1.1 200\r\n\r\n"):
+        with pytest.raises(ValueError):
+            warc.read_record(bad)
     with pytest.raises(ValueError):
-        list(warc.read_records(gzip.compress(one[:-6])))
+        list(warc.members(memoryview(packed[:-3])))
 
 
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8, 13])
 def test_loser_tree(k):
     rng = random.Random(k)
-    runs = [sorted(((f"u{rng.randrange(5)}", "t", rng.randrange(9), 1, "d", "response", None) for _ in range(rng.randrange(20))), key=warc._order) for _ in range(k)]
+    runs = [sorted(((f"u{rng.randrange(5)}", "t", rng.randrange(9), 1, "d", "response", None, "f", 0, 1) for _ in range(rng.randrange(20))), key=warc._order) for _ in range(k)]
     assert list(warc.LoserTree(map(iter, runs))) == sorted(sum(runs, []), key=warc._order)

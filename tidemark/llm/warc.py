@@ -1,14 +1,16 @@
 r"""WARC archives of pages, and their index by an external merge.
 
-Records are written as text whose line separator is the two line breaks that end a record, through Spark's own writer
-(so a lost task leaves nothing behind) and compressed as a whole file. Reading parses each archive into index
-entries, sorted by URL key and time: a run. Runs are written out, cut into ranges of keys, and each range is merged from
+Each record is a gzip member of its own, so that a capture can be fetched by file, offset and length alone. Members are
+packed into rows of a stated size and written through Spark's own text writer (so a lost task leaves nothing behind),
+whose line separator is the empty gzip member: an archive is a plain sequence of members. Reading parses each archive
+into index entries, sorted by URL key and time: a run. Runs are written out, cut into ranges of keys, and each range is merged from
 its pieces of all runs by a loser tree. Ranges are cut by key, time and page together, so a URL with very many captures
 spans many ranges.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -19,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import fresh_path, stash
+from tidemark.llm.store import fresh_path, small_batches, stash
 
 MIN_PAYLOAD = 100
-RECORDS_PER_FILE = 4000
+#: An archive holds this many rows at most, each of this many bytes or of one record that is larger.
+ROWS_PER_FILE, ROW_BYTES = 8, 4 << 20
 ENTRIES_PER_RANGE = 250_000
 _ID = "urn:x-page:"
 _EPOCH = 1_700_000_000
 _CRLF = "\r\n"
+_EMPTY = gzip.compress(b"", mtime=0)
 
 
 def decide(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
@@ -71,66 +75,63 @@ def record() -> Column:
     return F.concat(F.concat_ws(_CRLF, *fields), F.lit(_CRLF * 2), block)
 
 
-def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Archives of all pages under ``path``, gzip-compressed, at most ``records_per_file`` records each."""
-    out = decide(pages, min_payload).select(record().alias("value"))
+def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD, rows_per_file: int = ROWS_PER_FILE, row_bytes: int = ROW_BYTES) -> None:
+    """Archives of all pages under ``path``: one gzip member for each record, files bounded by bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(members: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(members)], type=pa.binary())], names=["value"])
+
+        members, size = [], 0
+        for b in batches:
+            for raw in b.column(0):
+                member = gzip.compress(raw.as_py() + b"\r\n\r\n", compresslevel=6, mtime=0)
+                if members and size + len(member) > row_bytes:
+                    yield told(members)
+                    members, size = [], 0
+                members.append(member)
+                size += len(member)
+        if members:
+            yield told(members)
+
+    small_batches(pages.sparkSession)
+    records = decide(pages, min_payload).select(record().cast("binary").alias("value"))
     (
-        out.write.option("lineSep", _CRLF * 2).option("compression", "gzip")
-        .option("maxRecordsPerFile", records_per_file).text(path)
+        records.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+        .write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY.decode("latin-1")).option("compression", "none")
+        .option("maxRecordsPerFile", rows_per_file).text(path)
     )
 
 
-class _Inflater:
-    """Sequential reads from gzip bytes, member after member."""
-
-    def __init__(self, data: bytes, step: int = 1 << 20):
-        self.data, self.at, self.step = memoryview(data), 0, step
-        self.inflate, self.buffer = zlib.decompressobj(31), bytearray()
-
-    def _more(self) -> bool:
-        if self.at >= len(self.data):
-            return False
-        chunk = bytes(self.data[self.at : self.at + self.step])
-        self.at += len(chunk)
-        while chunk:
-            self.buffer += self.inflate.decompress(chunk)
-            chunk = self.inflate.unused_data
-            if self.inflate.eof:
-                self.inflate = zlib.decompressobj(31)
-        return True
-
-    def until(self, mark: bytes) -> bytes | None:
-        seen = 0
-        while (k := self.buffer.find(mark, seen)) < 0:
-            seen = max(0, len(self.buffer) - len(mark))
-            if not self._more():
-                return None
-        out = bytes(self.buffer[:k])
-        del self.buffer[: k + len(mark)]
-        return out
-
-    def exactly(self, n: int) -> bytes:
-        while len(self.buffer) < n and self._more():
-            pass
-        if len(self.buffer) < n:
-            raise ValueError("an archive ends inside a record")
-        out = bytes(self.buffer[:n])
-        del self.buffer[:n]
-        return out
-
-
-def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of a compressed archive."""
-    source = _Inflater(data)
-    while (head := source.until(b"\r\n\r\n")) is not None:
-        version, *lines = head.decode().split(_CRLF)
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no record begins with {version[:40]!r}")
-        fields = {k.lower(): v for k, v in (x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)}
-        block = source.exactly(int(fields["content-length"]))
-        if source.exactly(4) != b"\r\n\r\n":
-            raise ValueError("a record does not end in two line breaks")
-        yield fields, block
+def members(data: memoryview) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and content of each gzip member of an archive; the empty ones between rows are passed over."""
+    at = 0
+    while at < len(data):
+        inflate, parts, fed = zlib.decompressobj(31), [], at
+        while not inflate.eof:
+            chunk = data[fed : fed + (1 << 16)]
+            if not len(chunk):
+                raise ValueError("an archive ends inside a record")
+            parts.append(inflate.decompress(chunk))
+            fed += len(chunk)
+        end = fed - len(inflate.unused_data)
+        content = b"".join(parts)
+        if content:
+            yield at, end - at, content
+        at = end
+
+
+def read_record(content: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields (names in lower case) and block of a record."""
+    head, found, rest = content.partition(b"\r\n\r\n")
+    version, *lines = head.decode().split(_CRLF)
+    if not found or not version.startswith("WARC/"):
+        raise ValueError(f"no record begins with {version[:40]!r}")
+    fields = {k.lower(): v for k, v in (x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)}
+    size = int(fields["content-length"])
+    if rest[size:] != b"\r\n\r\n":
+        raise ValueError("a record does not end in two line breaks after its block")
+    return fields, rest[:size]
 
 
 def url_key(url: str) -> str:
@@ -150,24 +151,27 @@ def _page(value: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
-_ENTRY = "url_key string, time string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+_ENTRY = (
+    "url_key string, time string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, "
+    "file string, offset bigint, length bigint"
+)
 _NAMES = [x.split()[0] for x in _ENTRY.split(", ")]
-_KINDS = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+_KINDS = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
 
-def entry_of(fields: dict[str, str], block: bytes) -> tuple:
-    """Index entry of a record: a response's payload is measured and digested anew, a revisit's is taken from its headers."""
+def entry_of(fields: dict[str, str], block: bytes, place: tuple[str, int, int]) -> tuple:
+    """Index entry of a record, with its file, offset and length: a response's payload is measured and digested anew, a revisit's is taken from its headers."""
     http, _, payload = block.partition(b"\r\n\r\n")
     kind = fields["warc-type"]
     if kind == "response":
         size, digest = len(payload), hashlib.sha256(payload).hexdigest()
     else:
         size, digest = int(re.search(rb"Content-Length: (\d+)", http)[1]), fields["warc-payload-digest"].removeprefix("sha256:")
-    return url_key(fields["warc-target-uri"]), fields["warc-date"], _page(fields["warc-record-id"]), size, digest, kind, _page(fields.get("warc-refers-to"))
+    return url_key(fields["warc-target-uri"]), fields["warc-date"], _page(fields["warc-record-id"]), size, digest, kind, _page(fields.get("warc-refers-to")), *place
 
 
 def _order(entry: tuple) -> tuple:
-    return entry[0], entry[1], entry[2] is not None, entry[2] or 0, entry[3:6], entry[6] or 0
+    return entry[0], entry[1], entry[2] is not None, entry[2] or 0, entry[3:6], entry[6] or 0, entry[7:]
 
 
 def _batch(entries: list[tuple], extra: list[pa.Array] = (), names: list[str] = ()) -> pa.RecordBatch:
@@ -176,17 +180,18 @@ def _batch(entries: list[tuple], extra: list[pa.Array] = (), names: list[str] =
 
 
 def sorted_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of all archives, with ``run`` (the archive) and ``seq`` (place in the run's order)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    """Entries of all archives, with ``seq`` (place in the order of the archive's run)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                entries = sorted((entry_of(f, block) for f, block in read_records(content.as_buffer().to_pybytes())), key=_order)
-                extra = [pa.array([name] * len(entries), type=pa.string()), pa.array(range(len(entries)), type=pa.int32())]
-                yield _batch(entries, extra, ["run", "seq"])
+                entries = sorted((entry_of(*read_record(x), (name, at, n)) for at, n, x in members(memoryview(content.as_buffer()))), key=_order)
+                for k in range(0, len(entries), 10_000):
+                    part = entries[k : k + 10_000]
+                    yield _batch(part, [pa.array(range(k, k + len(part)), type=pa.int32())], ["seq"])
 
-    return files.select("path", "content").mapInArrow(run, f"{_ENTRY}, run string, seq int")
+    return files.select("path", "content").mapInArrow(run, f"{_ENTRY}, seq int")
 
 
 class LoserTree:
@@ -238,14 +243,14 @@ def merge_runs(runs: DataFrame, entries_per_range: int = ENTRIES_PER_RANGE) -> D
     held = stash(runs, "runs")
     ranges = max(1, -(-held.count() // entries_per_range))
     ranges = max(ranges, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pieces = held.repartitionByRange(ranges, "url_key", "time", "page_id", "payload_digest").sortWithinPartitions("run", "seq")
+    pieces = held.repartitionByRange(ranges, "url_key", "time", "page_id", "payload_digest").sortWithinPartitions("file", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_run: dict[str, list[tuple]] = {}
         for b in batches:
             columns = [b.column(k).to_pylist() for k in range(len(_NAMES))]
-            for name, entry in zip(b.column(len(_NAMES)).to_pylist(), zip(*columns, strict=True), strict=True):
-                by_run.setdefault(name, []).append(entry)
+            for entry in zip(*columns, strict=True):
+                by_run.setdefault(entry[_NAMES.index("file")], []).append(entry)
         out = []
         for entry in LoserTree(map(iter, by_run.values())):
             out.append(entry)
@@ -257,13 +262,19 @@ def merge_runs(runs: DataFrame, entries_per_range: int = ENTRIES_PER_RANGE) -> D
     return pieces.mapInArrow(run, _ENTRY)
 
 
-def archive_pages(pages: DataFrame, min_payload: int = MIN_PAYLOAD, records_per_file: int = RECORDS_PER_FILE) -> DataFrame:
+def fetch(entry: dict, data: bytes) -> tuple[dict[str, str], bytes]:
+    """The record that an index entry points to, from the bytes ``offset`` to ``offset + length`` of its file."""
+    (_, _, content), = members(memoryview(data[entry["offset"] : entry["offset"] + entry["length"]]))
+    return read_record(content)
+
+
+def archive_pages(pages: DataFrame, min_payload: int = MIN_PAYLOAD, rows_per_file: int = ROWS_PER_FILE, row_bytes: int = ROW_BYTES) -> DataFrame:
     """Write all pages to archives in the shared folder, read the archives, and return their merged index.
 
     One row per input row: :data:`_ENTRY`. A null html is an empty payload, a null url an empty target; repeated rows of
-    a page are responses both. An empty table gives an empty index.
+    a page are responses both. An empty table gives an empty index. The archives stay, as the index points into them.
     """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
-    write_archives(pages, path, min_payload, records_per_file)
+    write_archives(pages, path, min_payload, rows_per_file, row_bytes)
     return merge_runs(sorted_runs(spark, path))
