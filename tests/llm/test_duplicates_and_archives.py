@@ -137,6 +137,7 @@ def test_compact_windows_tile_all_sequences():
     for values in (rng.integers(0, 9, 40), rng.permutation(60), np.zeros(30, dtype=int)):
         h, width = values.astype(np.uint64), 7
         found = substring_dedup.compact_windows(h, width)
+        assert len(found) == len({tuple(f) for f in found.tolist()})
         for i in range(len(h)):
             for j in range(i + width - 1, len(h)):
                 c = i + int(h[i : j + 1].argmin())
@@ -192,6 +193,59 @@ def test_passages_behind_an_unrelated_first_document_are_found(spark):
         assert runs(i) <= marked
 
 
+def test_shipped_setting_against_brute_force_with_boilerplate(spark):
+    """Exact passages of 50 words and more, of documents full of phrases and license lines that many others have, too."""
+    rng = random.Random(21)
+    prose = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    phrases = [prose(rng.randrange(8, 45)) for _ in range(25)]
+
+    def body(n):
+        out = []
+        while len(out) < n:
+            out += rng.choice(phrases) if rng.random() < 0.5 else prose(rng.randrange(3, 15))
+        return out
+
+    shared = [rng.choice(phrases) + prose(rng.randrange(15, 60)) for _ in range(60)]
+    docs = {}
+    for k in range(400):
+        text = body(rng.randrange(30, 200))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = rng.choice(shared)
+        docs[k] = text
+    docs |= {900: ["tick", "tock"] * 200, 901: ["tick", "tock"] * 150 + prose(60), 902: ["tick"] * 300}
+    first, want = {}, set()
+    for i, w in docs.items():
+        for p in range(len(w) - 49):
+            j = first.setdefault(tuple(w[p : p + 50]), i)
+            if j != i:
+                want.add(i)
+    frame = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], DOCS)
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(frame).collect()}
+    found = {i for i, r in got.items() if r.spans}
+    assert len(want) > 150 and len(want & found) >= 0.95 * len(want)
+    for i in found:  # what is marked is near some earlier passage: no fewer than four fifths of its shingles are old
+        old = {tuple(w[p : p + 5]) for j, w in docs.items() if j < i for p in range(len(w) - 4)}
+        for lo, hi in (map(int, s.split(":")) for s in got[i].spans.split(",")):
+            mine = {tuple(docs[i][p : p + 5]) for p in range(lo, hi - 4)}
+            assert hi - lo >= 50 and len(mine & old) >= 0.79 * len(mine)
+
+
+def test_substring_dedup_edges(spark):
+    words = [f"u{k}" for k in range(70)]
+    text = " ".join(words)
+    long = " ".join(f"v{k % 7001}" for k in range(150_000))
+    rows = [(5, text), (5, text), (3, text.upper()), (None, text), (8, None), (8, ""), (9, "short one"), (4, long), (6, "x " + long), (7, text + " and more"), (7, "other")]
+    frame = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as text_id", "2 as key", "3 as n_links")
+    got = sorted(((r.doc_id is None, r.doc_id, r.component_id, r.n_links, r.n_dup_words, r.spans, r.sources) for r in substring_dedup.substring_dedup(frame).collect()), key=str)
+    want = [
+        (False, 3, 3, 2, 0, "", []), (False, 5, 3, 2, 70, "0:70", [3]), (False, 5, 3, 2, 70, "0:70", [3]), (True, None, 3, 3, 70, "0:70", [3]),
+        (False, 7, 3, 1, 70, "0:70", [3]), (False, 7, 7, 0, 0, "", []), (False, 8, 8, 0, 0, "", []), (False, 8, 8, 0, 0, "", []), (False, 9, 9, 0, 0, "", []),
+        (False, 4, 4, 1, 0, "", []), (False, 6, 4, 1, 150_000, "1:150001", [4]),
+    ]
+    assert got == sorted(want, key=str)
+
+
 def test_passages_with_insertions_match_brute_force(spark):
     import numpy as np
 

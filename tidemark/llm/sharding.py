@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 CELLS = 4096
 PARTS = 4
-POINTS = 64
+POINTS = 256
 
 #: (cell, part, first rank, rank after the last, shard, slot of the first)
 Range = tuple[int, int, int, int, int, int]
