@@ -117,3 +117,22 @@ def test_quality_rules_keep_clean_documents(spark):
     assert all(kept[r[0]] == bool(r[2]) for r in good + bad)
     empty = quality.quality_rules(docs.limit(0), labels.limit(0))
     assert empty.count() == 0 and empty.where("kept").count() == 0
+
+
+def test_verdicts_follow_base_rules_and_the_list(spark):
+    """``kept`` is what plain Python makes of the brute-force counts under the base rules and the learned list, in order."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rules = quality.fit(docs, labels)
+    assert rules
+    rejected = 0
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality.quality_rules(docs, labels).collect():
+        n, chars, symbols, dup, repeat = brute(texts[r.doc_id])
+        w, c = max(n, 1), max(chars, 1)
+        row = {"n_words": float(n), "mean_word": chars / w, "symbol_share": symbols / c, "symbols_per_word": symbols / w, "dup_line_share": dup / w, "repeat_share": repeat / w}
+        first = next((k for k, rule in enumerate(rules, 1) if all((row[x.feature] > x.threshold) == x.above for x in rule)), None)
+        base = n < 10 or 100 * repeat > 20 * n
+        assert (r.base_failed, r.rule, r.kept) == (base, first, not base and first is None)
+        rejected += first is not None
+    assert rejected

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given
@@ -74,6 +75,16 @@ def test_bpe_round_trip(text):
     assert own.decode(own.encode(text)).decode() == text
 
 
+def test_loss_text_is_what_the_mask_covers(spark):
+    """The digest of trained text follows the mask, not the roles."""
+    turns = spark.createDataFrame([(1, 0, "user", "q\\"), (1, 1, "assistant", "a</turn>"), (1, 2, "user", "r")], "conv_id bigint, turn bigint, role string, text string")
+    made = chat.format_turns(turns)
+    other = made.selectExpr("conv_id", "turn", "role", "segment", "body_start", "body_end", "role = 'user' as loss")
+    (r,), (o,) = (chat.read_back(x).collect() for x in (made, other))
+    assert r.turns_sha256 == o.turns_sha256 and r.loss_sha256 == hashlib.sha256(b"a</turn>").hexdigest()
+    assert (o.loss_chars, o.loss_sha256) == (3, hashlib.sha256(b"q\\r").hexdigest())
+
+
 def test_bpe_long_text_and_cache(reference, monkeypatch):
     monkeypatch.setattr(bpe, "LONG_TEXT", 50)
     monkeypatch.setattr(bpe, "CACHE_TOKENS", 3)
@@ -134,6 +145,54 @@ def test_secret_spans(spark):
     assert secret_scan.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_secret_scan_is_linear_in_a_text(spark):
+    """Long tokens and many matches in one text end in seconds, and their spans are right."""
+    rng = random.Random(2)
+    blob = "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(200_000))
+    many = " é ".join(f"token=value{k:06d}" for k in range(20_000))
+    model = secret_scan.Model([0.5 if a != b else -2.0 for a in range(len(secret_scan.ALPHABET)) for b in range(len(secret_scan.ALPHABET))], 15.0)
+    docs = spark.createDataFrame([(1, "x " + blob + " y"), (2, many), (3, "secret=abcdefgh " * 200 + blob)], DOCS)
+    began = time.monotonic()
+    got = {r.doc_id: r for r in secret_scan.find_secrets(docs, model=model).collect()}
+    assert time.monotonic() - began < 90
+    assert got[1].spans == "markov:2:200002" and got[2].n_assign == 20_000 and got[3].n_assign == 200
+    assert got[2].base_sha256 == hashlib.sha256(base_spans(many).encode()).hexdigest() and got[2].spans == base_spans(many)
+    assert got[3].spans.endswith(f"markov:3200:{3200 + len(blob)}")
+
+
+def test_markov_spans_match_plain_scoring(spark):
+    """Spans of the model are the tokens outside base spans whose plain sum of ratios exceeds the margin."""
+    rng = random.Random(7)
+    alphabet = secret_scan.ALPHABET
+    model = secret_scan.Model([round(rng.uniform(-2, 2), 4) for _ in alphabet for _ in alphabet], 6.0)
+    token = lambda: "".join(rng.choice(alphabet) for _ in range(rng.choice([1, 2, 5, 9, 30, 80])))
+    texts = [rng.choice([" ", " é", "\n", "🙂", "."]).join(rng.choice([token, token, lambda: f"secret={token()}", lambda: "0a" * 20, lambda: "AKIA" + "Z9" * 8])() for _ in range(rng.randrange(60))) for _ in range(60)]
+    found = 0
+    for r in secret_scan.find_secrets(spark.createDataFrame(list(enumerate(texts)), DOCS), model=model).collect():
+        text = texts[r.doc_id]
+        base = [tuple(map(int, s.split(":")[1:])) for s in base_spans(text).split(",") if s]
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+            total = sum(model.table[alphabet.index(a) * len(alphabet) + alphabet.index(b)] for a, b in zip(m[0], m[0][1:], strict=False))
+            if total > model.margin and not any(a < m.end() and m.start() < b for a, b in base):
+                want.append(f"markov:{m.start()}:{m.end()}")
+        assert [s for s in r.spans.split(",") if s.startswith("markov")] == want
+        found += len(want)
+    assert found > 50
+
+
+def test_secret_model_on_strings_it_has_not_seen(spark):
+    """Precision and recall of the fitted margin on the samples that training held out."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = secret_scan.train(docs)
+    held = secret_scan.training_tokens(docs, "doc_id", "text", secret_scan.SAMPLE_DOCS, secret_scan.RANDOM_STRINGS).where("held")
+    marked = held.select("label", (secret_scan.score(F.col("token"), model.table) > model.margin).alias("hit")).groupBy("label", "hit").count().collect()
+    n = {(r["label"], r["hit"]): r["count"] for r in marked}
+    assert n.get((0, True), 0) == 0 and n[1, True] / (n[1, True] + n.get((1, False), 0)) > 0.9
+
+
 def brute_hits(text, items):
     w = decontaminate.words_of(text)
     hit, found = set(), set()
@@ -149,6 +208,14 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(map(str, found))
 
 
+def test_contamination_of_long_texts_and_items(spark):
+    long = " ".join(f"w{k}" for k in range(60_000))
+    bench = spark.createDataFrame([(1, long), (2, "w1 w2 w3"), (None, None)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "start " + long + " end"), (2, "w59990 " * 20), (3, "a w1 w2 w3 b")], DOCS)
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(docs, bench, block_words=25_000).collect()}
+    assert got == {1: (60_002, 60_000, 2), 2: (20, 0, 0), 3: (5, 3, 1)}
+
+
 @pytest.mark.parametrize("block_words", [1, 40, 10**6])
 def test_contamination_matches_brute_force(spark, block_words):
     rng = random.Random(block_words)

@@ -168,7 +168,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     """Per row: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, on request, ``ids array<bigint>``.
 
     The digests are of the ids as little-endian 32-bit numbers and of the bytes that decoding them gives back. Null and
-    empty texts have no tokens. Nothing is shuffled; a worker holds the vocabulary, a bounded cache and one batch.
+    empty texts have no tokens. Rows with a null id and repeated rows give a result row each; an empty table gives an empty
+    result; other columns are not read. Nothing is shuffled; a worker holds the vocabulary, a bounded cache and one batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.store import small_batches
+
 ROLES = {"system": "System", "user": "User", "assistant": "Assistant"}
 END = "</turn>"
 _NAMES = {v: k for k, v in ROLES.items()}
@@ -25,6 +27,7 @@ _HEAD = re.compile(r'### (?:(System|User|Assistant)|role=("(?:[^"\\]|\\.)*"|null
 _MARK = r"### (?:System|User|Assistant|role=)"
 _TOKEN = re.compile(rf"\\.|{END}|{_MARK}", re.DOTALL)
 _CONFLICT = re.compile(rf"\\|{END}|{_MARK}")
+_ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 
 class GrammarError(ValueError):
@@ -55,6 +58,11 @@ def parse(text: str) -> list[tuple[str | None, str]]:
     return turns
 
 
+def unescaped(body: str) -> str:
+    """A body without its escapes."""
+    return _ESCAPED.sub(r"\1", body) if "\\" in body else body
+
+
 def head_of(role: str | None) -> str:
     name = ROLES.get(role)
     return f"### {name}: " if name else f"### role={json.dumps(role)}: "
@@ -97,6 +105,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "turn", "role", "segment", "body_start", "body_end", "loss"])
 
+    small_batches(turns.sparkSession)
     rows = turns.select(
         F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text")
     )
@@ -109,11 +118,13 @@ def in_order(segments: DataFrame) -> DataFrame:
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """Digests of conversations, from the formatted text alone.
+    """Digests of conversations, from the formatted text and its loss mask alone.
 
-    ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``. The segments of a conversation are
-    streamed in order through the parser and the hashes: no conversation is held in memory, however long.
-    Rows with a null ``conv_id`` form one conversation.
+    ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``. The turns are what the parser finds, the
+    loss text is what the mask covers, without its escapes. The segments of a conversation are streamed in order through
+    the parser and the hashes: no conversation is held in memory, however long; one conversation is one task's, as a
+    digest is taken in order. Rows with a null ``conv_id`` form one conversation, a null role is written as none. Repeated
+    rows are turns each. An empty table gives an empty result; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +141,8 @@ def read_back(segments: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
         for b in batches:
-            for conv, segment in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            masks = zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
+            for conv, segment, (start, end, loss) in zip(b.column(0).to_pylist(), b.column(1), masks, strict=True):
                 if state is None or state[0] != conv:
                     close()
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -139,12 +151,14 @@ def read_back(segments: DataFrame) -> DataFrame:
                 for role, text in parse(formatted):
                     state[1] += 1
                     state[2].update(f"{role or ''}\n{text}\n".encode())
-                    if role == "assistant":
-                        state[3] += len(text)
-                        state[4].update(text.encode())
+                if loss:
+                    text = unescaped(formatted[start:end])
+                    state[3] += len(text)
+                    state[4].update(text.encode())
             yield flush()
         close()
         yield flush()
 
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    return in_order(segments).select("conv_id", "segment").mapInArrow(run, schema)
+    small_batches(segments.sparkSession)
+    return in_order(segments).select("conv_id", "segment", "body_start", "body_end", "loss").mapInArrow(run, schema)

@@ -234,7 +234,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 3000) -> DataFrame:
     """All columns of ``docs`` and the five statistics, ``base_failed``, ``rule`` (int, first rejecting rule) and ``kept``.
 
-    One row per input row; nothing is shuffled but the labels.
+    One row per input row; columns of these names give way to those made here. A null or empty text has no words and fails
+    the base rules. Null ids and repeated rows are judged like any others, and equal texts alike; without labels the list is
+    empty, and an empty table gives an empty result. Nothing is shuffled but the labels.
     """
     rules = fit(docs, labels, id_col, text_col, sample_rows)
     made = ("base_failed", "rule", "kept")

@@ -1,13 +1,16 @@
 """Durable intermediate tables in the folder that the cluster shares.
 
-``spark.checkpoint.dir`` names that folder; where it is unset (tests, a laptop) a temporary folder stands in and is
-entered in the session, so that every later call agrees on it.
+``spark.checkpoint.dir`` names that folder; where it is unset in a local session (tests, a laptop) a temporary folder
+stands in and is entered in the session, so that every later call agrees on it. A cluster without it is an error: its
+executors have no folder in common.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,9 +38,35 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
+    for held in _HELD:
+        held.append(out)
     return out
 
 
+_HELD: list[list[DataFrame]] = []
+
+
+@contextmanager
+def only_result(before: DataFrame | None = None) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that stashes a result; on leaving, ``before`` and every other table stashed meanwhile are removed."""
+    made: list[DataFrame] = []
+    results: list[DataFrame] = []
+    _HELD.append(made)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        results.append(stash(df, name))
+        return results[-1]
+
+    try:
+        yield keep
+    finally:
+        _HELD.remove(made)
+    kept = {r._stash_path for r in results}
+    for table in (before, *made):
+        if getattr(table, "_stash_path", None) not in kept:
+            discard(table)
+
+
 def discard(df: DataFrame | None) -> None:
     """Remove a stashed table that nothing reads any more."""
     path = getattr(df, "_stash_path", None)
@@ -50,6 +81,9 @@ BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the batches of this session's Python stages, so that a worker's memory does not depend on its texts' lengths."""
+    """Bound the batches of this session's Python stages, so that a worker's memory does not depend on its texts' lengths.
+
+    Batches are made when a result is read, so this holds for the session; every operator with a Python stage calls it.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
