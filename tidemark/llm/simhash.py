@@ -59,16 +59,20 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(id, fp long)`` for every row; a null text counts as empty."""
+    """``(id, same, fp)``, all long, for every row; a null text counts as empty. ``same`` is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = pa.array((fingerprint(t.as_py(), shingle) for t in b.column(1)), type=pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fps], names=["id", "fp"])
+            fps = pa.array((fingerprint(t.as_py(), shingle) for t in b.column(2)), type=pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps], names=["id", "same", "fp"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "id bigint, fp bigint")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), _same(docs[text_col]).alias("same"), F.col(text_col).cast("binary").alias("t"))
+    return rows.mapInArrow(run, "id bigint, same bigint, fp bigint")
+
+
+def _same(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _number(bits: frozenset[int] | set[int] | tuple[int, ...]) -> int:
@@ -170,22 +174,26 @@ def links(fps: DataFrame, segments: int = SEGMENTS, max_bits: int = MAX_BITS, cr
     return edges
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, same, fp)`` of all rows, and ``(fp, group)`` of the different fingerprints."""
+    prints = stash(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    each = stash(prints.select("fp").distinct(), "different")
+    edges = links(each, max_bits=max_bits)
+    joined = connected_components(edges)
+    discard(edges)
+    return prints, each.join(joined, each["fp"] == joined["node"], "left").select("fp", F.coalesce("component", "fp").alias("group"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per input row: ``(doc_id, fingerprint, component_id)``.
 
     ``component_id`` is the smallest id reachable over links, the row's own included; rows with a null id take part and
     get the smallest id of the others, or null if there is none. Texts without words share fingerprint zero. Repeated
-    rows give repeated result rows. Extra input columns are not read.
+    rows give repeated result rows, and an empty table an empty result. Extra input columns are not read.
     """
-    prints = stash(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    each = stash(prints.groupBy("fp").agg(F.min("id").alias("low")), "different")
-    edges = links(each.select("fp"), max_bits=max_bits)
-    joined = connected_components(edges)
-    discard(edges)
-    group = each.join(joined, each["fp"] == joined["node"], "left").select(
-        "fp", "low", F.coalesce("component", "fp").alias("group")
-    )
-    least = group.groupBy("group").agg(F.min("low").alias("component_id"))
+    prints, group = _grouped(docs, id_col, text_col, shingle, max_bits)
+    low = prints.groupBy("fp").agg(F.min("id").alias("low")).join(group, "fp")
+    least = low.groupBy("group").agg(F.min("low").alias("component_id"))
     by_print = group.join(least, "group").select("fp", "component_id")
     return prints.join(by_print, "fp").select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -193,10 +201,25 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each group, that with the smallest id.
+    """``docs`` with one row of each group: that of the smallest id, one without an id only where no row has one.
 
-    Rows with a null id all stay, as nothing tells them apart; rows that repeat an id stay or leave together.
+    Of rows that share that id, the text of the smallest hash counts, and of rows with that text the one of the smallest
+    hash of all its columns. An empty table gives an empty result; all columns stay.
     """
-    groups = simhash_groups(docs, id_col, text_col, shingle, max_bits)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    prints, group = _grouped(docs, id_col, text_col, shingle, max_bits)
+    rows = prints.join(group, "fp").groupBy("group", "id", "same").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "same")
+    rows = stash(rows, "members")
+    first = stash(rows.groupBy("group").agg(F.min(order).alias("f")).select("group", "f.id", "f.same"), "first")
+    is_first = (rows["group"] == first["group"]) & rows["id"].eqNullSafe(first["id"]) & (rows["same"] == first["same"])
+    left = docs.withColumns({"gone_id_": F.col(id_col).cast("bigint"), "gone_same_": _same(F.col(text_col))})
+    on = lambda other: left["gone_id_"].eqNullSafe(other["id"]) & (left["gone_same_"] == other["same"])
+    gone = stash(rows.join(first, is_first, "left_anti").select("id", "same"), "gone")
+    stay = left.join(gone, on(gone), "left_anti")
+    again = stash(rows.where("n > 1").join(first, is_first, "left_semi").select("id", "same"), "again")
+    if not again.limit(1).count():
+        return stay.select(*docs.columns)
+    single = stay.join(again, on(again), "left_anti").select(*docs.columns)
+    several = stay.join(again, on(again), "left_semi")
+    one = several.groupBy("gone_id_", "gone_same_").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return single.unionByName(one)
