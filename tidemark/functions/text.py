@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ CODE_BLOCK = r"(?is)```(?:python)?\s*(.*?)```"
 WORD = r"[\p{L}\p{N}_]+"
 ORDINALS = "(首先|其次|然后|最后)"
 SENTENCE_ENDS = (".", "?", "!", "。", "？", "！", ":", "：")
+STEP_MARKS = (("step ", ":"), ("", "reasoning:"))  # in the text, and in its last 24 characters
 REASONING = (
     r"(?is)<think>.*?</think>",
     r"(?is)<\|startofthink\|>.*?<\|endofthink\|>",
@@ -223,6 +225,6 @@ def boundary_kind(text: Column) -> Column:
     return (
         F.when(F.contains(whole, F.lit("\n")), F.lit("newline"))
         .when(F.right(s, F.lit(1)).isin(*SENTENCE_ENDS), F.lit("punct"))
-        .when(F.contains(low, F.lit("step ")) & F.contains(end, F.lit(":")) | F.contains(end, F.lit("reasoning:")), F.lit("step_marker"))
+        .when(reduce(Column.__or__, [F.contains(low, F.lit(a)) & F.contains(end, F.lit(b)) for a, b in STEP_MARKS]), F.lit("step_marker"))
         .otherwise(F.lit(""))
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
+
 
 def vsum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
@@ -22,14 +24,15 @@ def scaled(a: Column, by: Column) -> Column:
 
 def softmax(a: Column, temperature: float = 1.0) -> Column:
     """Shifted by the maximum; the sum is 1e-8 at least."""
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp((x - top) / F.lit(max(1e-6, temperature))))
-    return scaled(e, F.greatest(vsum(e), F.lit(1e-8)))
+    by = F.lit(max(1e-6, temperature))
+    total = lambda e: let(F.greatest(vsum(e), F.lit(1e-8)), lambda t: scaled(e, t))
+    shifted = lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp((x - top) / by)))
+    return let(a, lambda v: let(shifted(v), total))
 
 
 def l2_normal(a: Column) -> Column:
     """Divided by its length, or by 1e-8 if that is smaller."""
-    return scaled(a, F.greatest(F.sqrt(dot(a, a)), F.lit(1e-8)))
+    return let(a, lambda v: let(F.greatest(F.sqrt(dot(v, v)), F.lit(1e-8)), lambda n: scaled(v, n)))
 
 
 def group_means(a: Column, groups: int, size: int) -> Column:
@@ -49,22 +52,40 @@ def dense_scores(scores: Column, size: int, penalty: float = 2.0) -> Column:
 
 
 def hashed_text(text: Column, dim: int = 64) -> Column:
-    """Counts of words, punctuation and character 3- to 5-grams in digest buckets, L2-normalised.
+    """Buckets of a text's words, punctuation and character 3- to 5-grams, one for each occurrence.
 
-    Buckets come from the first eight digits of MD5, so that the vector has an SQL form.
+    Buckets come from the first eight digits of MD5, so that the vector has an SQL form. Grams are put together from the
+    text's characters, so the cost grows with the text's length.
     """
-    low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.transform(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0)), lambda w: F.concat(F.lit("w:"), w))
-    compact = F.trim(F.regexp_replace(low, r"\s+", " "))
-    count = lambda n: F.greatest(F.length(compact) - n + 1, F.lit(1))
-    cut = lambda n: lambda i: F.concat(F.lit(f"c{n}:"), F.substring(compact, i, F.lit(n)))
+    words = lambda low: F.transform(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0)), lambda w: F.concat(F.lit("w:"), w))
     none = F.array().cast("array<string>")
-    grams = [F.when(F.length(compact) >= n, F.transform(F.sequence(F.lit(1), count(n)), cut(n))).otherwise(none) for n in (3, 4, 5)]
-    return F.transform(F.concat(words, *grams), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int"))
+
+    def grams(chars: Column) -> Column:
+        cut = lambda n: lambda i: F.concat(F.lit(f"c{n}:"), *[F.get(chars, i + k) for k in range(n)])
+        return F.concat(*[F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0))), cut(n))).otherwise(none) for n in (3, 4, 5)])
+
+    def tokens(low: Column) -> Column:
+        compact = F.trim(F.regexp_replace(low, r"\s+", " "))
+        return F.concat(words(low), let(F.filter(F.split(compact, ""), lambda c: c != ""), grams))
+
+    return F.transform(let(F.lower(F.coalesce(text, F.lit(""))), tokens), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int"))
 
 
 def bucket_counts(buckets: Column, dim: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+    """Occurrences of each bucket below ``dim``: runs of the sorted buckets, each bucket's run found by where it begins."""
+    kind = "map<int,bigint>"
+
+    def counted(b: Column) -> Column:
+        ends = F.filter(F.transform(b, lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.get(b, i + 1).alias("next"))), lambda y: y["next"].isNull() | (y["next"] != y["x"]))
+        return let(ends, lambda es: F.map_from_entries(F.transform(es, lambda y, k: F.struct(y["x"], (y["i"] - F.coalesce(F.get(es, k - 1)["i"], F.lit(-1))).cast("bigint")))).cast(kind))
+
+    held = lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0)).cast("double"))
+    return let(let(F.array_sort(buckets), counted), held)
+
+
+def hashed_vector(text: Column, dim: int = 64) -> Column:
+    """L2-normalised bucket counts of a text; zeros for an empty one."""
+    return l2_normal(bucket_counts(hashed_text(text, dim), dim))
 
 
 def repeat_ratio(tokens: Column, n: int = 3, window: int = 128) -> Column:
@@ -117,26 +138,37 @@ def pairwise_loss(margin: Column) -> Column:
 
 
 def soft_cross_entropy(target: Column, logits: Column) -> Column:
-    top = F.array_max(logits)
-    total = F.log(vsum(F.transform(logits, lambda x: F.exp(x - top)))) + top
-    return vsum(F.zip_with(target, logits, lambda t, x: -t * (x - total)))
+    total = lambda v: let(F.array_max(v), lambda top: F.log(vsum(F.transform(v, lambda x: F.exp(x - top)))) + top)
+    return let(logits, lambda v: let(total(v), lambda t: vsum(F.zip_with(target, v, lambda p, x: -p * (x - t)))))
 
 
 def sampling_filter(rows: DataFrame, logits: str, temperature: float = 1.0, top_k: int = 0, top_p: float = 1.0, min_p: float = 0.0) -> DataFrame:
     """``rows`` with ``kept array<struct<p, i>>``: the tokens left by temperature, top-k, min-p and top-p, best first, summing to 1.
 
     A temperature of 0 leaves the best token. A token stays in the nucleus while those before it sum to less than ``top_p``.
-    Each step is a column of its own, so that none is evaluated anew for every token.
+    Each step is bound once, so that none is evaluated anew for every token.
     """
-    names = rows.columns
-    p = rows.select(*names, F.transform(logits, lambda x: x.cast("double") / (temperature or 1.0)).alias("z_"))
-    p = p.select(*names, F.array_max("z_").alias("top_"), "z_").select(*names, F.transform("z_", lambda x, i: F.struct(F.exp(x - F.col("top_")).alias("p"), (-i).alias("n"))).alias("e_"))
-    ranked = p.select(*names, F.reverse(F.array_sort("e_")).alias("r_"), vsum(F.transform("e_", lambda x: x["p"])).alias("all_"))
     first = 1 if not temperature else top_k
-    cut = ranked.select(*names, (F.slice("r_", 1, first) if first else F.col("r_")).alias("r_"), "all_", F.get("r_", F.lit(0))["p"].alias("best_"))
-    cut = cut.select(*names, "all_", F.filter("r_", lambda x: x["p"] >= min_p * F.col("best_")).alias("r_"))
     empty = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
-    size = F.aggregate("r_", empty, lambda a, x: F.struct((a["sum"] + x["p"] / F.col("all_")).alias("sum"), (a["n"] + F.when(a["sum"] < top_p, 1).otherwise(0)).alias("n")), lambda a: a["n"])
-    nucleus = cut.select(*names, F.slice("r_", F.lit(1), size).alias("k_"))
-    total = nucleus.select(*names, "k_", vsum(F.transform("k_", lambda x: x["p"])).alias("t_"))
-    return total.select(*names, F.transform("k_", lambda x: F.struct((x["p"] / F.col("t_")).alias("p"), (-x["n"]).alias("i"))).alias("kept"))
+    weights = lambda e: F.transform(e, lambda x: x["p"])
+
+    def nucleus(ranked: Column, total: Column) -> Column:
+        """The first tokens of ``ranked``, up to the share of ``top_p``."""
+        size = F.aggregate(ranked, empty, lambda a, x: F.struct((a["sum"] + x["p"] / total).alias("sum"), (a["n"] + F.when(a["sum"] < top_p, 1).otherwise(0)).alias("n")), lambda a: a["n"])
+        return F.slice(ranked, F.lit(1), size)
+
+    def likely(ranked: Column) -> Column:
+        """The ``top_k`` first, less those below ``min_p`` of the best one."""
+        best = lambda b: F.filter(F.slice(ranked, 1, first) if first else ranked, lambda x: x["p"] >= min_p * b)
+        return let(F.get(ranked, F.lit(0))["p"], best)
+
+    def shares(kept: Column) -> Column:
+        return let(vsum(weights(kept)), lambda t: F.transform(kept, lambda x: F.struct((x["p"] / t).alias("p"), (-x["n"]).alias("i"))))
+
+    def cut(e: Column) -> Column:
+        chosen = lambda total: let(let(F.reverse(F.array_sort(e)), likely), lambda ranked: nucleus(ranked, total))
+        return let(let(vsum(weights(e)), chosen), shares)
+
+    lifted = lambda z: let(F.array_max(z), lambda top: F.transform(z, lambda x, i: F.struct(F.exp(x - top).alias("p"), (-i).alias("n"))))
+    scaled_logits = F.transform(logits, lambda x: x.cast("double") / (temperature or 1.0))
+    return rows.withColumn("kept", let(let(scaled_logits, lifted), cut))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import vectors as V
 from tidemark.operators.scoring import PROBLEM, safe_std
+from tidemark.sources.files import stash
 
 
 @dataclass(frozen=True)
@@ -53,20 +55,24 @@ def standardised(rows: DataFrame, kernel: Kernel = Kernel()) -> DataFrame:
     return out.drop(*stats.columns)
 
 
-def neighbour_pairs(rows: DataFrame, carry_anchor: Sequence[str], carry_candidate: Sequence[str], keys: Sequence[str] = PROBLEM, kernel: Kernel = Kernel(), buckets: Column | None = None, radius: int = 0) -> DataFrame:
+def neighbour_pairs(rows: DataFrame, carry_anchor: Sequence[str], carry_candidate: Sequence[str], keys: Sequence[str] = PROBLEM, kernel: Kernel = Kernel(), buckets: Column | None = None, radius: int = 0, every: bool = False) -> DataFrame:
     """Anchor and candidate pairs of one problem (each row with itself too) with their kernel ``weight``.
 
+    ``every`` keeps the pairs that the zone or the least weight rules out, with a weight of 0.
+
     Zone equality is part of the join key. ``buckets`` limits candidates to buckets at most ``radius`` away: anchors are
     spread over the neighbouring buckets, so that stays an equi-join.
     """
-    z = standardised(rows, kernel)
+    # read three times: for the statistics and for both sides
+    z = standardised(stash(rows, "boundaries"), kernel)
     named = [n for n, _ in kernel.numeric if n in rows.columns]
     other = [(n, w) for n, w in (*kernel.categorical, *kernel.binary) if n in rows.columns and not (n == "is_answer_zone" and kernel.same_zone)]
-    on = [*keys, *(["is_answer_zone"] if kernel.same_zone else []), *(["boundary_kind"] if kernel.same_kind else [])]
+    ruled = [*(["is_answer_zone"] if kernel.same_zone else []), *(["boundary_kind"] if kernel.same_kind else [])]
+    on = [*keys, *([] if every else ruled)]
     if buckets is not None:
         z = z.withColumn("bucket", buckets)
         on.append("bucket")
-    used = [f"k_{n}" for n in named] + [n for n, _ in other if n not in on]
+    used = [f"k_{n}" for n in named] + [n for n, _ in other if n not in on] + (ruled if every else [])
     side = lambda name, carry: z.select(*on, *[F.col(c).alias(f"{name}_{c}") for c in dict.fromkeys([*carry, *used]) if c not in on])
     anchors = side("anchor", carry_anchor)
     if buckets is not None:
@@ -80,6 +86,9 @@ def neighbour_pairs(rows: DataFrame, carry_anchor: Sequence[str], carry_candidat
             distance = distance + F.when(F.col(f"anchor_{n}").eqNullSafe(F.col(f"candidate_{n}")), F.lit(0.0)).otherwise(F.lit(w))
     weight = F.exp(-distance / max(1e-6, kernel.temperature))
     kept = [c for c in pairs.columns if c not in {f"{s}_{u}" for s in ("anchor", "candidate") for u in used} or c in {*(f"anchor_{c}" for c in carry_anchor), *(f"candidate_{c}" for c in carry_candidate)}]
+    if every:
+        met = reduce(Column.__and__, [F.col(f"anchor_{n}").eqNullSafe(F.col(f"candidate_{n}")) for n in ruled], F.lit(True))
+        return pairs.select(*kept, weight.alias("raw_weight"), met.alias("met")).withColumn("weight", F.when(F.col("met") & (F.col("raw_weight") >= kernel.least_weight), F.col("raw_weight")).otherwise(F.lit(0.0))).drop("raw_weight", "met")
     return pairs.select(*kept, weight.alias("weight")).where(F.col("weight") >= kernel.least_weight)
 
 
@@ -120,11 +129,64 @@ def score_pairs(rows: DataFrame, keys: Sequence[str], scores: str = "action_scor
     return pairs.withColumn("place", place).where(F.col("place") <= max_pairs).select(*keys, "winner_index", "loser_index", (gap / F.greatest(F.lit(1e-6), F.col("spread"))).alias("weight"))
 
 
-def feature_vector(rows: DataFrame, numeric: Sequence[str], bits: Sequence[str], kinds: Sequence[str], kind: str = "boundary_kind") -> DataFrame:
-    """Add ``features``: z-scores, bits and a one-hot kind; statistics of the whole table are one row."""
-    stats = rows.agg(*[x for n in numeric for x in (F.avg(numeric_value(n)).alias(f"{n}_mean"), safe_std(F.stddev_pop(numeric_value(n)), 1e-6).alias(f"{n}_std"))])
-    joined = rows.crossJoin(F.broadcast(stats))  # one row
-    z = [(numeric_value(n) - F.col(f"{n}_mean")) / F.col(f"{n}_std") for n in numeric]
-    flags = [F.coalesce(F.col(b).cast("double"), F.lit(0.0)) for b in bits]
-    hot = [F.when(F.coalesce(F.nullif(F.col(kind), F.lit("")), F.lit("none")) == k, F.lit(1.0)).otherwise(F.lit(0.0)) for k in kinds]
-    return joined.withColumn("features", F.array(*z, *flags, *hot)).drop(*stats.columns)
+# The features of a boundary's vector, in order; the first two as log(1 + x), the first of the text's length.
+FEATURES = (
+    "prompt_log", "generated_log", "entropy", "margin", "top1_prob", "top2_prob", "topk_mass", "eos_prob", "eos_rank",
+    "repeat_ngram_ratio", "progress_ratio", "remaining_budget_ratio", "segment_progress_ratio",
+)
+BITS = ("is_answer_zone", "is_in_think_zone", "is_code_mode")
+
+
+def feature_value(name: str) -> Column:
+    """A feature of a boundary row; 0 where it is null."""
+    if name == "prompt_log":
+        return F.log1p(F.coalesce(F.length("prompt"), F.lit(0)).cast("double"))
+    return F.coalesce(F.log1p(F.col("generated_tokens").cast("double")) if name == "generated_log" else F.col(name).cast("double"), F.lit(0.0))
+
+
+def _kind() -> Column:
+    return F.coalesce(F.nullif(F.col("boundary_kind"), F.lit("")), F.lit("none"))
+
+
+def feature_spec(rows: DataFrame) -> DataFrame:
+    """One row: mean and guarded deviation of each of :data:`FEATURES`, and the different ``kinds``, sorted.
+
+    Without rows the means are null, the deviations 1 and there is the one kind ``none``.
+    """
+    stats = [x for n in FEATURES for x in (F.avg(feature_value(n)).alias(f"{n}_mean"), F.coalesce(safe_std(F.stddev_pop(feature_value(n)), 1e-6), F.lit(1.0)).alias(f"{n}_std"))]
+    kinds = F.array_sort(F.collect_set(_kind()))
+    return rows.agg(*stats, F.when(F.size(kinds) > 0, kinds).otherwise(F.array(F.lit("none"))).alias("kinds"))
+
+
+def feature_vectors(rows: DataFrame, spec: DataFrame) -> DataFrame:
+    """Add ``features``: 13 z-scores, 3 bits and a one-hot kind; ``spec`` is one row."""
+    joined = rows.crossJoin(F.broadcast(spec))  # one row
+    z = [(feature_value(n) - F.col(f"{n}_mean")) / F.col(f"{n}_std") for n in FEATURES]
+    bits = [F.coalesce(F.col(b).cast("double"), F.lit(0.0)) for b in BITS]
+    hot = F.transform("kinds", lambda k: F.when(k == _kind(), F.lit(1.0)).otherwise(F.lit(0.0)))
+    return joined.withColumn("features", F.concat(F.array(*z, *bits), hot)).drop(*spec.columns)
+
+
+def one_hot(index: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == index, F.lit(1.0)).otherwise(F.lit(0.0)))
+
+
+def model_inputs(rows: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """Add ``x``, the named array columns one after the other: (text, slots) for the prior model, with the boundary's vector
+    and the one-hot joint action for the thinking model, with its one-hot info mode for the answer model.
+    """
+    return rows.withColumn("x", F.concat(*[F.transform(p, lambda v: v.cast("double")) for p in parts]))
+
+
+def model_metrics(rows: DataFrame, pairs: DataFrame, keys: Sequence[str], target: str = "target", logits: str = "logits", weight: str = "weight") -> DataFrame:
+    """One row: weighted cross-entropy, share of equal best actions, share of pairs that the logits order right.
+
+    Weights count relative to their mean. ``pairs(keys, winner_index, loser_index)`` are pairs of actions of the examples.
+    No examples, or no pairs, give zeros.
+    """
+    losses = rows.select(V.soft_cross_entropy(F.col(target), F.col(logits)).alias("loss"), F.col(weight).alias("w"), (V.argmax(F.col(target)) == V.argmax(F.col(logits))).cast("double").alias("same"))
+    mean = F.greatest(F.lit(1e-6), F.avg("w"))
+    overall = losses.agg(F.coalesce(F.sum(F.col("loss") * F.col("w")) / mean / F.count(F.lit(1)), F.lit(0.0)).alias("distribution_loss"), F.coalesce(F.avg("same"), F.lit(0.0)).alias("top1_match"))
+    right = F.get(logits, F.col("winner_index")) > F.get(logits, F.col("loser_index"))
+    ordered = pairs.join(rows.select(*keys, logits), list(keys)).agg(F.coalesce(F.avg(right.cast("double")), F.lit(0.0)).alias("pairwise_accuracy"))
+    return overall.crossJoin(ordered)  # one row each

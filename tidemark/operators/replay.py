@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.scoring import PROBLEM, best_action
@@ -57,59 +58,102 @@ def trace_states(traces: DataFrame, boundaries: DataFrame, keys: Sequence[str] =
     return last.join(nested, [*keys, "info_mode", "cot_mode"], "left")
 
 
-def match_row(anchor: Column, candidates: Column, tolerance: float = 0.03) -> Column:
-    """The candidate state that a switch lands on: an as-of match by progress, nearest weight first.
+def match_rows(pairs: DataFrame, anchor: Sequence[str], target: Sequence[str], order: str, tolerance: float = 0.03) -> DataFrame:
+    """For each anchor and target trace, the target's boundary that a switch lands on: ``(anchor, target, matched)``.
 
-    Candidates (structs with ``progress`` and ``weight``) may lie back by ``tolerance``. The largest positive weight wins,
-    then the smaller progress gap; without positive weights the smallest gap; without candidates the first state.
+    ``pairs`` has one row for each boundary of a target trace (``order``: its place there) with ``anchor_progress``,
+    ``progress`` and the kernel ``weight`` (0 where the kernel rules it out). Boundaries that lie back by more than
+    ``tolerance`` do not count. The largest positive weight wins, to eight digits, then the smaller gap in progress, then
+    the earlier boundary; without positive weights the smallest gap; without any boundary that counts the first one.
     """
-    gap = lambda x: F.abs(x["progress"] - anchor)
-    near = F.filter(candidates, lambda x: x["progress"] + tolerance >= anchor)
-    ranked = F.array_sort(F.transform(near, lambda x: F.struct((-F.greatest(F.round(x["weight"], 8), F.lit(0.0))).alias("w"), gap(x).alias("g"), x.alias("x"))))
-    return F.coalesce(F.get(ranked, F.lit(0))["x"], F.get(candidates, F.lit(0)))
-
-
-def _walk(paths: list[dict], max_switches: int, tolerance: float = 0.03) -> tuple[int, int, float]:
-    """Final trace, switches and tokens of one problem's walk from its first trace."""
-    at = step = switches = 0
-    used = 0.0
-    best = max(range(len(paths)), key=lambda k: paths[k]["score"])
-    for _ in range(max(8, 2 * max(len(p["progress"]) for p in paths))):
-        path = paths[at]["progress"]
-        if step >= len(path):
-            break
-        here = path[step]
-        used = max(used, here * paths[at]["token_count"])
-        if switches < max_switches and paths[best]["score"] > paths[at]["score"]:
-            at, switches = best, switches + 1
-            step = next((k for k, p in enumerate(paths[at]["progress"]) if p + tolerance >= here), len(paths[at]["progress"]))
-        else:
-            step += 1
-    return at, switches, used + max(0.0, paths[at]["token_count"] - used)
+    gap = F.abs(F.col("progress") - F.col("anchor_progress"))
+    near = F.col("progress") + tolerance >= F.col("anchor_progress")
+    rank = F.struct((-F.round("weight", 8)).alias("w"), gap.alias("g"), F.col(order).alias("matched"))
+    return pairs.groupBy(*anchor, *target).agg(F.coalesce(F.min(F.when(near, rank))["matched"], F.min(order)).alias("matched"))
 
 
-def replay_walks(states: DataFrame, max_switches: int = 8, keys: Sequence[str] = PROBLEM) -> DataFrame:
-    """Walk each problem's traces from its first action, switching to the best-scored trace at a boundary.
+def choose_action(scores: Sequence[float], current: int, remaining: float, answer: bool, budgets: Sequence[float], hysteresis: float = 0.05, switch_cost: float = 0.1, guardrail: float = 0.35) -> int:
+    """The best joint action at a boundary, the first one where equal.
 
-    ``states(keys, info_mode, cot_mode, score, token_count, progress array<double>)``, one row by action, so a problem has
-    as many rows as there are actions at most. A walk ends after max(8, twice the longest trace) steps. Result: final
-    action, switches, tokens (most consumed, plus what is left of the final trace).
+    Staying has a bonus, switching a cost, and so has a budget beyond what is left. In the answer zone only the info modes
+    compete, by their mean over budgets, and the budget level stays.
+    """
+    n = len(budgets)
+    if answer:
+        means = [sum(scores[k : k + n]) / n + (hysteresis if k // n == current // n else -switch_cost) for k in range(0, len(scores), n)]
+        return max(range(len(means)), key=means.__getitem__) * n + current % n
+    rated = [s + (hysteresis if k == current else -switch_cost) - (guardrail if budgets[k % n] > remaining else 0.0) for k, s in enumerate(scores)]
+    return max(range(len(rated)), key=rated.__getitem__)
+
+
+def _landing(rows: Sequence[dict], here: dict, tolerance: float, temperature: float, least_weight: float) -> int:
+    """Place among a trace's boundaries that a switch from ``here`` lands on."""
+    best = None
+    for k, row in enumerate(rows):
+        if row["progress"] + tolerance < here["progress"]:
+            continue
+        distance = sum(abs(a - b) for a, b in zip(row["features"], here["features"], strict=True)) + sum(w for w, a, b in zip(here["penalties"], row["marks"], here["marks"], strict=True) if a != b)
+        weight = math.exp(-distance / max(1e-6, temperature)) if row["answer"] == here["answer"] else 0.0
+        rank = (-round(weight if weight >= least_weight else 0.0, 8), abs(row["progress"] - here["progress"]), k)
+        best = rank if best is None else min(best, rank)
+    return 0 if best is None else best[2]
+
+
+def _walk(actions: Mapping[int, dict], start: int, budgets: Sequence[float], max_switches: int, tolerance: float, temperature: float, least_weight: float) -> tuple[int, int, int]:
+    """Final action, switches and tokens of one problem's walk."""
+    at, step, switches = start, 0, 0
+    rows = actions[at]["rows"] or []
+    if not rows:
+        return at, 0, actions[at]["token_count"]
+    here = rows[0]
+    used = here["generated"]
+    for _ in range(max(8, 2 * max(len(a["rows"] or ()) for a in actions.values()))):
+        target = choose_action(here["scores"], at, here["remaining"], here["answer"], budgets)
+        if target != at and switches >= max_switches:
+            break
+        landing = (actions.get(target) or {}).get("rows") if target != at else None
+        if landing:
+            step = _landing(landing, here, tolerance, temperature, least_weight)
+            at, rows, switches = target, landing, switches + 1
+        elif step + 1 < len(rows):
+            step += 1
+        else:
+            break
+        here = rows[step]
+        used = max(used, here["generated"])
+    return at, switches, used + max(0, actions[at]["token_count"] - here["generated"])
+
+
+def replay_walks(
+    states: DataFrame, budgets: Sequence[float], max_switches: int = 8, tolerance: float = 0.03, temperature: float = 0.75, least_weight: float = 1e-4, keys: Sequence[str] = PROBLEM
+) -> DataFrame:
+    """Walk each problem's stored traces as a policy would have: ``(keys, action, switches, token_count, correctness)``.
+
+    ``states(keys, start, action, token_count, correctness, rows)``: one row by action, so a problem has as many rows as
+    there are actions at most; ``rows`` are that trace's boundaries in order, with the policy's joint ``scores`` at each,
+    standardised kernel ``features``, and categorical ``marks`` with the ``penalties`` of their mismatch. At a boundary the
+    policy stays (the walk goes on to the next one) or switches: the walk lands on the matching boundary of the other
+    trace, or goes on if that has none. It ends behind the last boundary, where a switch is wanted beyond
+    ``max_switches``, or after max(8, twice the longest trace) steps. Tokens: the most consumed, and what is left of the
+    final trace. A problem without a trace of its start action begins with its smallest action.
     """
     import pyarrow as pa
 
-    row = F.struct("info_mode", "cot_mode", "score", "token_count", "progress")
-    grouped = states.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("paths"))
+    row = F.struct("action", "token_count", "correctness", "rows")
+    grouped = states.groupBy(*keys).agg(F.min("start").alias("start"), F.array_sort(F.collect_list(F.struct("action", row.alias("a")))).alias("actions"))
     n = len(keys)
 
     def run(batches):
         for b in batches:
             ends = []
-            for paths in b.column(n).to_pylist():
-                at, switches, tokens = _walk(paths, max_switches)
-                ends.append((paths[at]["info_mode"], paths[at]["cot_mode"], switches, tokens))
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64())
+            for start, listed in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True):
+                actions = {x["action"]: x["a"] for x in listed}
+                start = start if start in actions else min(actions)
+                at, switches, tokens = _walk(actions, start, budgets, max_switches, tolerance, temperature, least_weight)
+                ends.append((at, switches, tokens, actions[at]["correctness"]))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64())
             made = [pa.array([e[k] for e in ends], type=t) for k, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names=[*keys, "info_mode", "cot_mode", "switches", "tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names=[*keys, "action", "switches", "token_count", "correctness"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grouped.schema if f.name in keys)
-    return grouped.mapInArrow(run, f"{schema}, info_mode int, cot_mode int, switches int, tokens double")
+    return grouped.mapInArrow(run, f"{schema}, action int, switches int, token_count bigint, correctness double")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.ordering import exact_median
+
 PROBLEM = ("dataset", "problem_id")
 
 
@@ -90,7 +92,7 @@ def recover_lambda(scored: DataFrame) -> DataFrame:
     score = falsy_or(F.col("score"), None)
     usable = scored.where(F.abs("token_z") >= 1e-8)
     ratio = (F.col("correctness") - F.coalesce(score, F.col("correctness"))) / F.col("token_z")
-    return usable.agg(F.coalesce(F.median(ratio), F.lit(0.0)).alias("lam"))
+    return exact_median(usable, ratio).select(F.coalesce("median", F.lit(0.0)).alias("lam"))
 
 
 def best_action(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:

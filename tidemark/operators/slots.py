@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as V
+from tidemark.functions.text import let
 
 
 def _moved(units: DataFrame, centres: np.ndarray) -> np.ndarray:
@@ -55,8 +56,14 @@ def fit_centres(rows: DataFrame, vector: str, k: int = 8, seed: int = 42, sample
 
 def similarities(vector: Column, centres: np.ndarray) -> Column:
     """Cosine similarities to every centre: a constant in the expression, no join."""
-    unit = V.l2_normal(vector)
-    return F.array(*[V.dot(unit, F.array(*[F.lit(float(x)) for x in c])) for c in centres])
+    rows = _table([[float(x) for x in c] for c in centres])
+    return let(V.l2_normal(vector), lambda unit: F.transform(rows, lambda c: V.dot(unit, c)))
+
+
+def _table(rows: list[list[float]]) -> Column:
+    """A constant table, parsed once from one literal."""
+    text = ";".join(",".join(map(repr, r)) for r in rows)
+    return F.transform(F.split(F.lit(text), ";"), lambda r: F.split(r, ",").cast("array<double>"))
 
 
 def slot_priors(rows: DataFrame, vector: str, distribution: str, weight: str, centres: np.ndarray) -> DataFrame:
@@ -69,9 +76,9 @@ def slot_priors(rows: DataFrame, vector: str, distribution: str, weight: str, ce
 
 def query_slots(vector: Column, centres: np.ndarray, priors: list[list[float]], temperature: float = 0.35) -> Column:
     """Mixture of the slots' priors by softmaxed similarity."""
+    columns = _table([[p[i] for p in priors] for i in range(len(priors[0]))])
     weights = V.softmax(similarities(vector, centres), temperature)
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in p]) for p in priors])
-    return F.transform(F.sequence(F.lit(0), F.lit(len(priors[0]) - 1)), lambda i: V.vsum(F.zip_with(weights, table, lambda w, p: w * F.get(p, i))))
+    return let(weights, lambda w: F.transform(columns, lambda c: V.dot(w, c)))
 
 
 def mlp_scores(rows: DataFrame, features: str, layers: list[tuple[np.ndarray, np.ndarray]], keep: list[str]) -> DataFrame:

@@ -11,7 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tidemark.operators.ordering import dense_index
 
 
 def val_size(n: int, fraction: float) -> int:
@@ -22,16 +23,12 @@ def val_size(n: int, fraction: float) -> int:
 def hash_split(rows: DataFrame, keys: Sequence[str], seed: str, fraction: float) -> DataFrame:
     """``(keys, split)``: the problems of the smallest digests are ``val``.
 
-    The cut is the digest at the wanted rank, found by a top-k on digests alone, so no single task sorts all problems.
+    Problems take their places in the order of the digests range by range, so no task sorts or holds them all.
     """
     digest = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
-    problems = rows.select(*keys).distinct().withColumn("digest", digest)
-    size = val_size(problems.count(), fraction)
-    if not size:
-        return problems.select(*keys, F.lit("train").alias("split"))
-    order = ["digest", *keys]
-    last = problems.orderBy(*order).offset(size - 1).limit(1).select(F.struct(*order).alias("last"))
-    return problems.crossJoin(F.broadcast(last)).select(*keys, F.when(F.struct(*order) <= F.col("last"), F.lit("val")).otherwise(F.lit("train")).alias("split"))  # one row
+    placed = dense_index(rows.select(*keys).distinct().withColumn("digest", digest), ["digest", *keys])
+    size = val_size(placed.count(), fraction)
+    return placed.select(*keys, F.when(F.col("place") < size, F.lit("val")).otherwise(F.lit("train")).alias("split"))
 
 
 def exact_problem_split(keys: Sequence[tuple], seed: int, fraction: float) -> tuple[list[tuple], list[tuple]]:
@@ -49,7 +46,7 @@ def exact_split(rows: DataFrame, by: str, key: str, seed: str, sizes: Mapping[st
     ``strict`` raises if a group is too small for its parts.
     """
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(by).cast("string"), F.col(key).cast("string")))
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(digest, key)))
+    ranked = dense_index(rows.withColumn("digest_", digest), ["digest_", key], [by], start=1).drop("digest_")
     if strict:
         short = ranked.groupBy(by).agg(F.max("place").alias("n")).where(F.col("n") < sum(sizes.values())).limit(1).collect()
         if short:

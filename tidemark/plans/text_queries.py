@@ -10,7 +10,7 @@ from tidemark.sources.fixtures import table
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'")
+    return table(spark, sf_dir, "documents")
 
 
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
@@ -24,16 +24,16 @@ def str1(spark, sf_dir):
     return e.select("event_id", T.number_text(s).alias("number"))
 
 
-_CHOICES = """c as (select doc_id, case doc_id % 5 when 0 then substr(text, 1, 60) || chr(10) || 'FINAL_ANSWER: (' || chr(cast(97 + doc_id % 7 as integer)) || ')' when 1 then 'The answer is ' || chr(cast(65 + doc_id % 9 as integer)) || '. ' || substr(text, 1, 20)
-  when 2 then 'zz' || chr(10) || chr(cast(65 + doc_id % 4 as integer)) || '.' when 3 then 'so C or ' || chr(cast(65 + doc_id % 6 as integer)) || ' it' else 'hm' || doc_id end as s from documents where lang = 'en')"""
+_CHOICES = """c as (select doc_id, case doc_id % 5 when 0 then text || chr(10) || 'FINAL_ANSWER: (' || chr(cast(97 + doc_id % 7 as integer)) || ')' when 1 then 'The answer is ' || chr(cast(65 + doc_id % 9 as integer)) || '. ' || text
+  when 2 then 'zz' || chr(10) || chr(cast(65 + doc_id % 4 as integer)) || '.' when 3 then 'so C or ' || chr(cast(65 + doc_id % 6 as integer)) || ' it' else 'hm' || doc_id end as s from documents)"""
 
 
 def _choices(spark, sf_dir):
     d, i = _docs(spark, sf_dir), F.col("doc_id")
     letter = lambda base, n: F.chr(F.lit(base) + i % n)
     s = (
-        F.when(i % 5 == 0, F.concat(F.substring("text", 1, 60), F.lit("\nFINAL_ANSWER: ("), letter(97, 7), F.lit(")")))
-        .when(i % 5 == 1, F.concat(F.lit("The answer is "), letter(65, 9), F.lit(". "), F.substring("text", 1, 20)))
+        F.when(i % 5 == 0, F.concat(F.col("text"), F.lit("\nFINAL_ANSWER: ("), letter(97, 7), F.lit(")")))
+        .when(i % 5 == 1, F.concat(F.lit("The answer is "), letter(65, 9), F.lit(". "), F.col("text")))
         .when(i % 5 == 2, F.concat(F.lit("zz\n"), letter(65, 4), F.lit(".")))
         .when(i % 5 == 3, F.concat(F.lit("so C or "), letter(65, 6), F.lit(" it")))
         .otherwise(F.concat(F.lit("hm"), i.cast("string")))
@@ -45,7 +45,7 @@ _CHOICE_SQL = r"""coalesce(
     nullif(regexp_extract(upper(trim(regexp_extract_all(s, '(?i)FINAL_?ANSWER\s*:\s*([^\n]+)', 1)[-1])), '^[\(\[]?([A-J])[\)\]\.\,\:\-]?$', 1), ''),
     upper(regexp_extract_all(s, '(?i)(?:final answer|answer|option|choose)\s*(?:is|:)?\s*[\(\[]?([A-J])[\)\]]?', 1)[-1]),
     upper(regexp_extract(list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^[\(\[]?([A-Ja-j])[\)\]\.\,\:\-]?$'))[-1], '[A-Ja-j]')),
-    regexp_extract_all(upper(s), '\b([A-J])\b', 1)[-1], upper(substr(trim(s), 1, 1)))"""
+    regexp_extract_all(regexp_replace(upper(s), '([^\p{L}\p{N}_])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_])([A-J])(?:$|[^\p{L}\p{N}_])', 1)[-1], upper(substr(regexp_replace(s, '^\s+|\s+$', '', 'g'), 1, 1)))"""
 
 
 @query("STR2", f"with {_CHOICES} select doc_id, {_CHOICE_SQL} as choice from c")
@@ -53,33 +53,37 @@ def str2(spark, sf_dir):
     return _choices(spark, sf_dir).select("doc_id", T.choice(F.col("s")).alias("choice"))
 
 
-@query("STR3", r"select doc_id, coalesce(regexp_extract_all(replace(substr(text, 1, 80) || ' then ' || n_chars || ',000 is it', ',', ''), '-?\d+(?:\.\d+)?')[-1], '') as number from documents where lang = 'en'")
+_LAST_NUMBER = r"regexp_extract_all(replace(text, ',', ''), '-?\d+(?:\.\d+)?')[-1]"
+
+
+@query("STR3", rf"""with n as (select doc_id, coalesce(regexp_extract_all(replace(text || ' then ' || n_chars || ',000 is it', ',', ''), '-?\d+(?:\.\d+)?')[-1], '') as tail, {_LAST_NUMBER} as raw, cast({_LAST_NUMBER} as double) as d from documents)
+  select doc_id, tail, case when raw is null then '' when abs(d - round(d)) < 1e-9 then cast(cast(round(d) as hugeint) as varchar) else cast(d as varchar) end as number from n""")
 def str3(spark, sf_dir):
-    s = F.concat(F.substring("text", 1, 80), F.lit(" then "), F.col("n_chars").cast("string"), F.lit(",000 is it"))
-    return _docs(spark, sf_dir).select("doc_id", T.last_number(s).alias("number"))
+    s = F.concat(F.col("text"), F.lit(" then "), F.col("n_chars").cast("string"), F.lit(",000 is it"))
+    return _docs(spark, sf_dir).select("doc_id", T.last_number(s).alias("tail"), T.last_number(F.col("text")).alias("number"))
 
 
-@query("STR4", r"select doc_id, '\frac{' || doc_id || '}{2}' as boxed from documents where lang = 'en'")
+@query("STR4", r"select doc_id, '\frac{' || doc_id || '}{2}' as boxed from documents")
 def str4(spark, sf_dir):
     s = F.concat(F.lit("so \\boxed{1} and "), F.lit("\\boxed{\\frac{"), F.col("doc_id").cast("string"), F.lit("}{2}} is it }"))
     return _docs(spark, sf_dir).select("doc_id", T.boxed(s).alias("boxed"))
 
 
-@query("STR5", "select doc_id, case doc_id % 3 when 0 then cast(doc_id as varchar) when 1 then cast(doc_id as varchar) else 'x+' || doc_id end as answer from documents where lang = 'en'")
+@query("STR5", "select doc_id, case doc_id % 3 when 0 then cast(doc_id as varchar) when 1 then cast(doc_id as varchar) else 'x+' || doc_id end as answer from documents")
 def str5(spark, sf_dir):
     i = F.col("doc_id").cast("string")
-    s = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 1, 30), F.lit(" #### "), i)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("FINAL_ANSWER: "), i, F.lit(".0"))).otherwise(F.concat(F.lit("$x + "), i, F.lit("$")))
+    s = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text"), F.lit(" #### "), i)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("FINAL_ANSWER: "), i, F.lit(".0"))).otherwise(F.concat(F.lit("$x + "), i, F.lit("$")))
     return _docs(spark, sf_dir).select("doc_id", T.math_text(s).alias("answer"))
 
 
-@query("STR6", "select doc_id, case doc_id % 2 when 0 then 'n ' || doc_id else cast(doc_id as varchar) end as candidate from documents where lang = 'en'")
+@query("STR6", "select doc_id, case doc_id % 2 when 0 then 'n ' || doc_id else cast(doc_id as varchar) end as candidate from documents")
 def str6(spark, sf_dir):
     i = F.col("doc_id").cast("string")
     s = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("well\nfinal_answer:  n "), i, F.lit(" \n"))).otherwise(F.concat(F.lit("thus \\boxed{ "), i, F.lit(" } holds")))
     return _docs(spark, sf_dir).select("doc_id", T.math_candidate(s).alias("candidate"))
 
 
-@query("STR7", "select doc_id, case doc_id % 3 when 0 then 'true' when 1 then 'false' else '' end as answer from documents where lang = 'en'")
+@query("STR7", "select doc_id, case doc_id % 3 when 0 then 'true' when 1 then 'false' else '' end as answer from documents")
 def str7(spark, sf_dir):
     s = F.when(F.col("doc_id") % 3 == 0, F.lit("no. The answer is yes")).when(F.col("doc_id") % 3 == 1, F.lit("true or false ")).otherwise(F.lit("nothing"))
     return _docs(spark, sf_dir).select("doc_id", T.bool_text(s).alias("answer"))
@@ -88,13 +92,17 @@ def str7(spark, sf_dir):
 _CODE = r"""array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))"""
 
 
-@query("STR8", f"select doc_id, md5({_CODE}) as code_md5 from documents where lang = 'en'")
+@query("STR8", f"select doc_id, md5({_CODE}) as code_md5 from documents")
 def str8(spark, sf_dir):
     s = F.concat(F.lit("see ```a = 1``` and\n```python\n"), F.col("text"), F.lit("\n\n```\nend"))
     return _docs(spark, sf_dir).select("doc_id", F.md5(T.code_text(s)).alias("code_md5"))
 
 
-@query("STR9", f"with {_CHOICES} select doc_id, case when doc_id % 2 = 0 then {_CHOICE_SQL} else regexp_replace(s, '^\\s+|\\s+$', '', 'g') end as answer from c")
+_BOOL_SQL = r"""(select case when b in ('true', 'yes') then 'true' when b is not null then 'false' end from (select coalesce(regexp_extract_all(lower(s), '(?:final answer|answer|label|classification)\s*(?:is|:)?\s*(true|false|yes|no)', 1)[-1],
+    regexp_extract_all(regexp_replace(lower(s), '([^\p{L}\p{N}_])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_])(true|false|yes|no)(?:$|[^\p{L}\p{N}_])', 1)[-1]) as b))"""
+
+
+@query("STR9", f"with {_CHOICES} select doc_id, case when doc_id % 2 = 0 then coalesce({_BOOL_SQL}, {_CHOICE_SQL}) else regexp_replace(s, '^\\s+|\\s+$', '', 'g') end as answer from c")
 def str9(spark, sf_dir):
     kind = F.when(F.col("doc_id") % 2 == 0, F.lit("logic")).otherwise(F.lit("qa"))
     return _choices(spark, sf_dir).select("doc_id", T.answer(F.col("s"), kind).alias("answer"))
@@ -113,7 +121,7 @@ def str11(spark, sf_dir):
     return d.select("doc_id", *[c.alias(n) for n, c in T.structure_counts(F.col("s")).items()])
 
 
-@query("STR12", "select doc_id, case doc_id % 4 when 0 then 1.0::double when 1 then cast(doc_id % 3 = 0 as integer)::double when 2 then 1.0::double else 0.0::double end as correctness from documents where lang = 'en'")
+@query("STR12", "select doc_id, case doc_id % 4 when 0 then 1.0::double when 1 then cast(doc_id % 3 = 0 as integer)::double when 2 then 1.0::double else 0.0::double end as correctness from documents")
 def str12(spark, sf_dir):
     i = F.col("doc_id")
     label = F.when(i % 4 == 0, F.lit(1.0))
@@ -123,13 +131,13 @@ def str12(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.correctness(label, prediction, reference, kind).alias("correctness"))
 
 
-@query("STR13", "select doc_id, case when doc_id % 2 = 0 then 1.0::double else 0.0::double end as matched from documents where lang = 'en' and length(trim(text)) > 0")
+@query("STR13", "select doc_id, case when doc_id % 2 = 0 and regexp_matches(text, '\\S') then 1.0::double else 0.0::double end as matched from documents")
 def str13(spark, sf_dir):
     shown = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("it is\n"), F.col("text"), F.lit("\ndone"))).otherwise(F.lit("zz"))
-    return _docs(spark, sf_dir).where(F.length(F.trim("text")) > 0).select("doc_id", T.code_match(shown, F.col("text")).alias("matched"))
+    return _docs(spark, sf_dir).select("doc_id", T.code_match(shown, F.col("text")).alias("matched"))
 
 
-@query("STR14", r"select doc_id, case doc_id % 4 when 0 then '\frac{1}{' || doc_id || '}' when 1 then '\frac{1}{2}' when 2 then cast(doc_id as varchar) else '\sqrt{' || (doc_id % 10) || '}' end as norm from documents where lang = 'en'")
+@query("STR14", r"select doc_id, case doc_id % 4 when 0 then '\frac{1}{' || doc_id || '}' when 1 then '\frac{1}{2}' when 2 then cast(doc_id as varchar) else '\sqrt{' || (doc_id % 10) || '}' end as norm from documents")
 def str14(spark, sf_dir):
     from tidemark.functions.grading import normal_answer
 
@@ -139,17 +147,17 @@ def str14(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", normal_answer(s).alias("norm"))
 
 
-@query("STR15", "select doc_id, case doc_id % 4 when 0 then cast(doc_id as varchar) || '*10^6' when 1 then '1234' when 2 then cast(doc_id as varchar) else cast(doc_id as varchar) || '+1/2' end as norm from documents where lang = 'en' and doc_id > 0")
+@query("STR15", "select doc_id, case doc_id % 4 when 0 then cast(doc_id as varchar) || '*10^6' when 1 then '1234' when 2 then cast(doc_id as varchar) else cast(doc_id as varchar) || '+1/2' end as norm from documents")
 def str15(spark, sf_dir):
     from tidemark.functions.grading import grader_form
 
     i = F.col("doc_id").cast("string")
     k = F.col("doc_id") % 4
     s = F.when(k == 0, F.concat(F.lit("$"), i, F.lit(" million"))).when(k == 1, F.lit("1,234 degrees")).when(k == 2, F.concat(i, F.lit(" cm"))).otherwise(F.concat(i, F.lit(" 1/2")))
-    return _docs(spark, sf_dir).where("doc_id > 0").select("doc_id", grader_form(s).alias("norm"))
+    return _docs(spark, sf_dir).select("doc_id", grader_form(s).alias("norm"))
 
 
-@query("STR17", "select doc_id, doc_id % 3 = 0 as equal from documents where lang = 'en'")
+@query("STR17", "select doc_id, doc_id % 3 = 0 as equal from documents")
 def str17(spark, sf_dir):
     from tidemark.functions.grading import tuple_equal
 
@@ -164,33 +172,57 @@ def str19(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.without_reasoning(s).alias("rest"))
 
 
-@query("STR20", "select doc_id, 'x = ' || doc_id || chr(10) || 'return x' as code from documents where lang = 'en'")
+#: Answers with code in several places, and the code that is the best of them; ``{n}`` is the document's id.
+_ANSWERS = (
+    ("Here is it\n```python\nx = {n}\nprint(x)\n```\nThis text explains.", "x = {n}\nprint(x)"),
+    ("```\ndef f(a):\n    return a + {n}\n```\nor\n```\ny = 1\n```", "def f(a):\n    return a + {n}"),
+    ("Solution: see\ndef g(b):\n    return b * {n}\nNow it ends", "def g(b):\n    return b * {n}"),
+    ("<think>def h(): pass</think>def k(c):\n    return c - {n}", "def k(c):\n    return c - {n}"),
+    ("FINAL_ANSWER: def m(d):\n    return {n}", "def m(d):\n    return {n}"),
+    ("- do it\nOutput rules: none\nimport re\n\nz = re.match('a', 'b')\n# {n}", "import re\n\nz = re.match('a', 'b')\n# {n}"),
+    ("thinking {n} </think>\n\n", "thinking {n} </think>"),
+    ("no code at all {n}!", "no code at all {n}!"),
+)
+
+
+def _answers_sql(which: int) -> str:
+    quoted = lambda t: "'" + t.replace("'", "''").replace("{n}", "' || doc_id || '").replace("\n", "' || chr(10) || '") + "'"
+    return f"case doc_id % {len(_ANSWERS)} " + " ".join(f"when {k} then {quoted(a[which])}" for k, a in enumerate(_ANSWERS)) + " end"
+
+
+def _answers():
+    filled = [F.replace(F.lit(a), F.lit("{n}"), F.col("doc_id").cast("string")) for a, _ in _ANSWERS]
+    return F.get(F.array(*filled), (F.col("doc_id") % len(_ANSWERS)).cast("int"))
+
+
+@query("STR20", f"select doc_id, {_answers_sql(1)} as code from documents")
 def str20(spark, sf_dir):
     from tidemark.functions.code import best_code
 
-    s = F.concat(F.lit("Here is it\n```python\nx = "), F.col("doc_id").cast("string"), F.lit("\nreturn x\n```\nThis text explains."))
-    return _docs(spark, sf_dir).select("doc_id", best_code(s).alias("code"))
+    return _docs(spark, sf_dir).select("doc_id", best_code(_answers()).alias("code"))
 
 
-@query("STR21", r"select doc_id, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) as form_md5 from documents where lang = 'en'")
+@query("STR21", r"select doc_id, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) as form_md5 from documents")
 def str21(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(T.prompt_form(F.col("text"))).alias("form_md5"))
 
 
-@query("STR22", "select doc_id, 'f' || doc_id || ',g' as names from documents where lang = 'en'")
+@query("STR22", "select doc_id, 'f' || doc_id || ',g' as names from documents")
 def str22(spark, sf_dir):
     i = F.col("doc_id").cast("string")
     s = F.concat(F.lit("assert f"), i, F.lit("(1) == 2\nassert g is None\nassert f"), i, F.lit("(3)"))
     return _docs(spark, sf_dir).select("doc_id", F.array_join(T.asserted_names(s), ",").alias("names"))
 
 
-@query("STR23", "select doc_id, case when doc_id % 2 = 0 then 'want = f' else '' end as alias from documents where lang = 'en'")
+@query("STR23", """select doc_id, case doc_id % 4 when 0 then 'def f(x):' || chr(10) || '    return x' || chr(10) || chr(10) || 'want = f' || chr(10) || 'also = f' || chr(10)
+  when 1 then 'def f(x):' || chr(10) || '    return x' || chr(10) || 'def g(y):' || chr(10) || '    return y' when 2 then 'class want: pass' || chr(10) || chr(10) || 'also = want' || chr(10) else 'def broken(' || doc_id end as code from documents""")
 def str23(spark, sf_dir):
     from tidemark.functions.code import with_aliases
 
-    s = F.when(F.col("doc_id") % 2 == 0, F.lit("def f(x):\n    return x")).otherwise(F.lit("def f(x):\n    return x\ndef g(y):\n    return y"))
-    out = with_aliases(s, F.array(F.lit("want")))
-    return _docs(spark, sf_dir).select("doc_id", F.regexp_extract(out, "(want = f)", 1).alias("alias"))
+    k = F.col("doc_id") % 4
+    one = "def f(x):\n    return x"
+    s = F.when(k == 0, F.lit(one + "  \n\n")).when(k == 1, F.lit(one + "\ndef g(y):\n    return y")).when(k == 2, F.lit("class want: pass")).otherwise(F.concat(F.lit("def broken("), F.col("doc_id").cast("string")))
+    return _docs(spark, sf_dir).select("doc_id", with_aliases(s, F.array(F.lit("want"), F.lit("also"))).alias("code"))
 
 
 @query("STR24", "select item_id, 'Q' || item_id || chr(10) || chr(10) || 'A. ' || text || chr(10) || 'B. none' || chr(10) || chr(10) || 'Answer with one choice letter.' as prompt from benchmark")
@@ -218,18 +250,41 @@ def str26(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.boundary_kind(s).alias("kind"))
 
 
-@query("TOP5", "select doc_id, 'def f():' || chr(10) || '    return ' || doc_id as best from documents where lang = 'en'")
+@query("TOP5", """select doc_id, case doc_id % 4 when 0 then 'def f():' || chr(10) || '    return ' || doc_id when 1 then 'x = ' || doc_id || chr(10) || 'y = 2' when 2 then 'import a' else 'still not code ' || doc_id || ' !' end as best from documents""")
 def top5(spark, sf_dir):
     from tidemark.functions.code import best_candidate
 
-    good = F.concat(F.lit("def f():\n    return "), F.col("doc_id").cast("string"))
-    return _docs(spark, sf_dir).select("doc_id", best_candidate(F.array(F.lit("not code at all !"), F.lit("x = 1"), good, good)).alias("best"))
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    function, words = F.concat(F.lit("def f():\n    return "), i), F.concat(F.lit("still not code "), i, F.lit(" !"))
+    lines = F.concat(F.lit("x = "), i, F.lit("  \ny = 2\n"))
+    listed = (
+        F.when(k == 0, F.array(words, F.lit("x = 1\ny = 1\nz = 1"), function, F.lit("import b")))
+        .when(k == 1, F.array(F.lit("x = 1"), lines, F.concat(F.lit("def broken("), i)))
+        .when(k == 2, F.array(F.lit(" "), F.lit("import a\n"), F.lit("import b"), F.lit("a = 1")))
+        .otherwise(F.array(F.lit("not code !"), words, F.lit("")))
+    )
+    return _docs(spark, sf_dir).select("doc_id", best_candidate(listed).alias("best"))
 
 
-@query("PRJ1", f"""with {_CHOICES} select doc_id, 'qa_' || doc_id || '_i' || (1 + doc_id % 4) || '_c' || (doc_id % 5) || '_' || doc_id as trace_id, cast(length(s) as integer) as prediction_char_length, cast(len(regexp_extract_all(s, '[\\p{{L}}\\p{{N}}_]+')) as integer) as prediction_word_length from c""")
-def prj1(spark, sf_dir):
-    from tidemark.operators.projections import trace_id
+_PRJ1 = r"""r as (select doc_id, case when doc_id % 11 = 0 then ' ' else 'truthfulqa' end as dataset, case when doc_id % 13 = 0 then null else cast(doc_id as varchar) end as problem_id, doc_id % 6 as info_mode, doc_id % 7 as cot_mode,
+    case when doc_id % 3 = 0 then '1. ' || text else 'so ' || doc_id end as prediction, 'so ' || doc_id as reference, case when doc_id % 5 = 0 then 0.5::double end as is_correct, n_chars as own, cast(doc_id as bigint) as used, source from documents),
+  e as (select *, case when trim(dataset) = '' then 'Missing dataset field.' when problem_id is null then 'Missing problem_id field.' when info_mode not between 1 and 4 then 'info_mode out of range: ' || info_mode when cot_mode not between 0 and 4 then 'cot_mode out of range: ' || cot_mode end as error from r)"""
 
-    i = F.col("doc_id")
-    c = _choices(spark, sf_dir).select("doc_id", "s", F.lit("qa").alias("dataset"), i.cast("string").alias("problem_id"), (1 + i % 4).cast("int").alias("info_mode"), (i % 5).cast("int").alias("cot_mode"))
-    return c.select("doc_id", trace_id("dataset", "problem_id", "info_mode", "cot_mode", "doc_id").alias("trace_id"), F.length("s").alias("prediction_char_length"), T.word_count(F.col("s")).alias("prediction_word_length"))
+
+@query("PRJ1", rf"""with {_PRJ1} select doc_id, error, case when error is null then trim(dataset) || '_' || problem_id || '_i' || info_mode || '_c' || cot_mode || '_' || doc_id end as trace_id,
+    case when error is null then coalesce(is_correct, case when regexp_replace(prediction, '^\s+|\s+$', '', 'g') = reference then 1.0::double else 0.0::double end) end as correctness, case when error is null then case when own >= 0 then own else used end end as token_count,
+    case when error is null then cast(length(prediction) as integer) end as prediction_char_length, case when error is null then cast(len(regexp_extract_all(prediction, '[\p{{L}}\p{{N}}_]+')) as integer) end as prediction_word_length,
+    case when error is null then cast(len(regexp_extract_all(prediction, '(?im)^\s*(?:step\s+\d+\s*[:.\-]|\d+[.)]\s+)')) + len(regexp_extract_all(prediction, '(首先|其次|然后|最后)')) as integer) end as n_numbered_steps, case when error is null then source end as run_id from e""")
+def prj1(spark, sf_dir):
+    from tidemark.operators.projections import static_traces
+
+    i, text = F.col("doc_id"), F.col("text")
+    said = F.concat(F.lit("so "), i.cast("string"))
+    raw = _docs(spark, sf_dir).select(
+        "doc_id", F.when(i % 11 == 0, F.lit(" ")).otherwise(F.lit("truthfulqa")).alias("dataset"), F.when(i % 13 != 0, i.cast("string")).alias("problem_id"), (i % 6).alias("info_mode"), (i % 7).alias("cot_mode"),
+        F.when(i % 3 == 0, F.concat(F.lit("1. "), text)).otherwise(said).alias("prediction"), said.alias("reference"), F.when(i % 5 == 0, F.lit(0.5)).alias("is_correct"), F.lit("qa").alias("category"),
+        F.col("n_chars").alias("token_count"), F.struct(i.cast("bigint").alias("completion_tokens"), F.lit(None).cast("bigint").alias("output_tokens"), F.lit(None).cast("bigint").alias("total_tokens")).alias("usage"),
+        F.col("source").alias("run_id"),
+    )
+    out = static_traces(raw, "doc_id", "token_count", "usage")
+    return out.select("doc_id", "error", "trace_id", "correctness", "token_count", "prediction_char_length", "prediction_word_length", "n_numbered_steps", "run_id")

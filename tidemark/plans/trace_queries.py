@@ -498,13 +498,13 @@ def src10(spark, sf_dir):
     return limited(traces(spark, sf_dir), "dataset", "input_order", {"click": (5, 20), "view": (0, 30)}, limit={"view": 7}).select("dataset", "input_order")
 
 
-@query("JN5", "with i as (select item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as p from benchmark), d as (select doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as p, doc_id as want from documents where n_chars < 2000), u as (select p, min(item_id) as item_id from i group by p) select doc_id, coalesce(a.item_id, u.item_id) as item_id from d left join i a on a.item_id = d.want left join u on u.p = d.p")
+@query("JN5", "with i as (select item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as p from benchmark), d as (select doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as p, doc_id as want from documents), u as (select p, min(item_id) as item_id from i group by p) select doc_id, coalesce(a.item_id, u.item_id) as item_id from d left join (select distinct item_id from i) a on a.item_id = d.want left join u on u.p = d.p")
 def jn5(spark, sf_dir):
     from tidemark.functions.text import prompt_form
     from tidemark.sources.benchmarks import resolve_items
 
     items = table(spark, sf_dir, "benchmark").select("item_id", prompt_form(F.col("text")).alias("prompt"))
-    docs = table(spark, sf_dir, "documents").where("n_chars < 2000").select("doc_id", F.col("doc_id").alias("want"), prompt_form(F.col("text")).alias("prompt"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("want"), prompt_form(F.col("text")).alias("prompt"))
     return resolve_items(docs, items, "want", "item_id", "prompt").select("doc_id", "item_id")
 
 

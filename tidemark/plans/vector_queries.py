@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import vectors as V
 from tidemark.operators import neighborhood as N
 from tidemark.operators import slots
 from tidemark.operators.boundaries import flatten_boundaries
-from tidemark.operators.replay import match_row, replay_walks, trace_states
+from tidemark.operators.replay import match_rows, replay_walks, trace_states
 from tidemark.plans.registry import query
 from tidemark.plans.trace_queries import KEY, r, scored
 from tidemark.sources.fixtures import BOUNDARIES, SCORED, boundary_samples, table, traces
-from tidemark.streaming.segmentation import segment
+from tidemark.streaming.segmentation import decisions, segment
 
 
 def _vectors(spark, sf_dir):
@@ -31,56 +32,65 @@ def _sql_r(a, digits=5):
 _V = "v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings)"
 
 
-@query("VEC1", f"with {_V}, x as (select vec_id, list_transform(e, lambda x: exp((x - list_max(e)) / 0.25)) as p from v) select vec_id, round(list_max(p) / list_sum(p), 6) as top, round(list_sum(list_transform(p, lambda x: x / list_sum(p))), 6) as total from x")
+@query("VEC1", f"with {_V}, x as (select vec_id, list_transform(e, lambda x: exp((x - list_max(e)) / 0.25)) as p from v) select vec_id, {_sql_r('list_transform(p, lambda x: x / list_sum(p))', 6)} as p from x")
 def vec1(spark, sf_dir):
-    p = V.softmax(F.transform("embedding", lambda x: x.cast("double")), 0.25)
-    return _vectors(spark, sf_dir).select("vec_id", p.alias("p")).select("vec_id", F.round(F.array_max("p"), 6).alias("top"), F.round(V.vsum(F.col("p")), 6).alias("total"))
+    return _vectors(spark, sf_dir).select("vec_id", _r(V.softmax(F.transform("embedding", lambda x: x.cast("double")), 0.25), 6).alias("p"))
 
 
-@query("VEC2", f"with {_V} select vec_id, round(e[1] / greatest(sqrt(list_sum(list_transform(e, lambda x: x * x))), 1e-8), 6) as first from v")
+@query("VEC2", f"with {_V} select vec_id, {_sql_r('list_transform(e, lambda x: x / greatest(sqrt(list_sum(list_transform(e, lambda y: y * y))), 1e-8))', 6)} as unit from v")
 def vec2(spark, sf_dir):
-    return _vectors(spark, sf_dir).select("vec_id", F.round(F.get(V.l2_normal(F.col("embedding")), F.lit(0)), 6).alias("first"))
+    return _vectors(spark, sf_dir).select("vec_id", _r(V.l2_normal(F.col("embedding")), 6).alias("unit"))
 
 
-_H = "cast(('0x' || substr(md5(t), 1, 8)) as bigint) % 64"
-_TOKENS = r"""low as (select doc_id, lower(substr(text, 1, 300)) as s from documents where lang = 'en'), cmp as (select doc_id, s, trim(regexp_replace(s, '\s+', ' ', 'g')) as c from low),
+_TOKENS = r"""low as (select doc_id, lower(coalesce(text, '')) as s from documents), cmp as (select doc_id, s, string_split(trim(regexp_replace(s, '\s+', ' ', 'g')), '') as c from low),
   tok as (select doc_id, unnest(list_concat(list_transform(regexp_extract_all(s, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'), lambda w: 'w:' || w),
-    list_transform(range(1, greatest(length(c) - 1, 1)), lambda i: 'c3:' || substr(c, i, 3)), list_transform(range(1, greatest(length(c) - 2, 1)), lambda i: 'c4:' || substr(c, i, 4)), list_transform(range(1, greatest(length(c) - 3, 1)), lambda i: 'c5:' || substr(c, i, 5)))) as t from cmp)"""
+    list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: 'c3:' || c[i] || c[i + 1] || c[i + 2]),
+    list_transform(range(1, greatest(len(c) - 2, 1)), lambda i: 'c4:' || c[i] || c[i + 1] || c[i + 2] || c[i + 3]),
+    list_transform(range(1, greatest(len(c) - 3, 1)), lambda i: 'c5:' || c[i] || c[i + 1] || c[i + 2] || c[i + 3] || c[i + 4]))) as t from cmp),
+  cnt as (select doc_id, cast(('0x' || substr(md5(t), 1, 8)) as bigint) % 64 as b, count(*) as n from tok group by all),
+  vec as (select doc_id, cast(sum(n) as bigint) as n, sqrt(sum(n * n)) as norm, map_from_entries(list((b, n))) as m from cnt group by doc_id)"""
 
 
-@query("VEC3", f"with {_TOKENS} select doc_id, count(*) as n, cast(sum({_H}) as bigint) as bucket_sum from tok group by doc_id")
+@query("VEC3", f"with {_TOKENS} select documents.doc_id, coalesce(n, 0) as n_tokens, {_sql_r('list_transform(range(64), lambda i: coalesce(m[i], 0) / coalesce(norm, 1.0))')} as vector from documents left join vec using (doc_id)")
 def vec3(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", V.hashed_text(F.substring("text", 1, 300)).alias("b"))
-    return d.select("doc_id", F.size("b").cast("bigint").alias("n"), F.aggregate("b", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("bucket_sum"))
+    d = table(spark, sf_dir, "documents").select("doc_id", V.hashed_text(F.col("text")).alias("b"))
+    counted = d.select("doc_id", F.size("b").cast("bigint").alias("n_tokens"), V.bucket_counts(F.col("b"), 64).alias("c"))
+    return counted.select("doc_id", "n_tokens", _r(V.l2_normal(F.col("c"))).alias("vector"))
 
 
-_NUM = ("entropy", "margin", "progress_ratio", "remaining_budget_ratio")
-_STATS = ", ".join(f"avg({c}) as {c}_m, case when stddev_pop({c}) <= 1e-6 then 1 else stddev_pop({c}) end as {c}_s" for c in _NUM)
+_SQL_FEATURES = {n: {"prompt_log": "ln(1 + length(prompt))", "generated_log": "ln(1 + generated_tokens)"}.get(n, n) for n in N.FEATURES}
+_SPEC = ", ".join(f"avg({e}) as {n}_m, case when stddev_pop({e}) <= 1e-6 then 1 else stddev_pop({e}) end as {n}_s" for n, e in _SQL_FEATURES.items())
 
 
-@query("AGG16", f"with {BOUNDARIES} select {', '.join(f'round(avg({c}), 6) as {c}_mean, round(stddev_pop({c}), 6) as {c}_std' for c in _NUM)}, array_to_string(list_sort(list(distinct boundary_kind)), ',') as kinds from boundaries")
+@query("AGG16", f"with {BOUNDARIES}, s as (select {_SPEC}, array_to_string(list_sort(list(distinct boundary_kind)), ',') as kinds from boundaries) select {', '.join(f'round({n}_m, 8) as {n}_mean, round({n}_s, 8) as {n}_std' for n in N.FEATURES)}, kinds from s")
 def agg16(spark, sf_dir):
-    b = boundary_samples(spark, sf_dir)
-    stats = [x for c in _NUM for x in (F.round(F.avg(c), 6).alias(f"{c}_mean"), F.round(F.stddev_pop(c), 6).alias(f"{c}_std"))]
-    return b.agg(*stats, F.array_join(F.array_sort(F.collect_set("boundary_kind")), ",").alias("kinds"))
+    spec = N.feature_spec(boundary_samples(spark, sf_dir))
+    return spec.select(*[r(f"{n}_{k}", 8) for n in N.FEATURES for k in ("mean", "std")], F.array_join("kinds", ",").alias("kinds"))
+
+
+_KERNEL_SQL = {n: "ln(1 + generated_tokens)" if n == "generated_tokens" else n for n, _ in N.Kernel().numeric}
 
 
-@query("AGG17", f"with {BOUNDARIES} select round(avg(ln(1 + generated_tokens)), 6) as generated_tokens_mean, round(stddev_pop(ln(1 + generated_tokens)), 6) as generated_tokens_std from boundaries")
+@query("AGG17", f"with {BOUNDARIES} select {', '.join(f'round(avg({e}), 8) as {n}_mean, round(stddev_pop({e}), 8) as {n}_std' for n, e in _KERNEL_SQL.items())} from boundaries")
 def agg17(spark, sf_dir):
-    return N.numeric_stats(boundary_samples(spark, sf_dir)).select(r("generated_tokens_mean"), r("generated_tokens_std"))
+    return N.numeric_stats(boundary_samples(spark, sf_dir)).select(*[r(f"{n}_{k}", 8) for n in _KERNEL_SQL for k in ("mean", "std")])
+
+
+_FEATURE_LIST = "[" + ", ".join([f"({e} - {n}_m) / {n}_s" for n, e in _SQL_FEATURES.items()] + [f"cast(cast({b} as integer) as double)" for b in N.BITS] + [f"cast(cast(boundary_kind = '{k}' as integer) as double)" for k in "ANR"]) + "]"
 
 
-@query("VEC4", f"with {BOUNDARIES}, s as (select {_STATS} from boundaries) select trace_id, boundary_index, round(" + " + ".join(f"({c} - {c}_m) / {c}_s" for c in _NUM) + " + cast(is_answer_zone as integer) + case boundary_kind when 'A' then 1 when 'N' then 2 else 3 end, 5) as total from boundaries, s")
+@query("VEC4", f"with {BOUNDARIES}, s as (select {_SPEC} from boundaries) select trace_id, boundary_index, {_sql_r(_FEATURE_LIST, 4)} as features from boundaries, s")
 def vec4(spark, sf_dir):
-    f = N.feature_vector(boundary_samples(spark, sf_dir), _NUM, ["is_answer_zone"], ["A", "N", "R"])
-    weights = F.array(*[F.lit(x) for x in (1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 2.0, 3.0)])
-    return f.select("trace_id", "boundary_index", F.round(V.dot(F.col("features"), weights), 5).alias("total"))
+    b = boundary_samples(spark, sf_dir)
+    return N.feature_vectors(b, N.feature_spec(b)).select("trace_id", "boundary_index", _r(F.col("features"), 4).alias("features"))
 
 
-_KERNEL = f"""{BOUNDARIES}, st as (select stddev_pop(progress_ratio) as sp, stddev_pop(remaining_budget_ratio) as sr, stddev_pop(ln(1 + generated_tokens)) as sg, stddev_pop(entropy) as se, stddev_pop(margin) as sm from boundaries),
+_DISTANCE = " + ".join(f"{w} * abs(a.{n} - c.{n}) / st.{n}_s" if n != "generated_tokens" else f"{w} * abs(ln(1 + a.{n}) - ln(1 + c.{n})) / st.{n}_s" for n, w in N.Kernel().numeric)
+_KERNEL_STATS = f"st as (select {', '.join(f'stddev_pop({e}) as {n}_s' for n, e in _KERNEL_SQL.items())} from boundaries)"
+_WEIGHT = f"exp(-({_DISTANCE} + case when a.boundary_kind = c.boundary_kind then 0 else 1.1 end + case when a.is_in_think_zone = c.is_in_think_zone then 0 else 1.25 end) / 0.75)"
+_KERNEL = f"""{BOUNDARIES}, {_KERNEL_STATS},
   pr as (select a.dataset, a.problem_id, a.trace_id as anchor_trace_id, a.boundary_index as anchor_boundary_index, c.trace_id as candidate_trace_id, c.boundary_index as candidate_boundary_index,
-    (c.chosen_info_mode - 1) * 5 + c.chosen_cot_mode as action, c.score, exp(-(1.2 * abs(a.progress_ratio - c.progress_ratio) / sp + 0.9 * abs(a.remaining_budget_ratio - c.remaining_budget_ratio) / sr + 0.7 * abs(ln(1 + a.generated_tokens) - ln(1 + c.generated_tokens)) / sg
-      + 0.8 * abs(a.entropy - c.entropy) / se + 0.6 * abs(a.margin - c.margin) / sm + case when a.boundary_kind = c.boundary_kind then 0 else 1.1 end) / 0.75) as weight
+    (c.chosen_info_mode - 1) * 5 + c.chosen_cot_mode as action, c.score, {_WEIGHT} as weight
   from boundaries a join boundaries c on a.dataset = c.dataset and a.problem_id = c.problem_id and a.is_answer_zone = c.is_answer_zone{{more}}, st),
   kept as (select * from pr where weight >= 1e-4)"""
 _ANCHOR = [*KEY, "anchor_trace_id", "anchor_boundary_index"]
@@ -166,17 +176,33 @@ def vec10(spark, sf_dir):
     return _prior(spark, sf_dir).select(*KEY, _r(s, 4).alias("scores"))
 
 
-@query("VEC12", f"with {_DENSE} select dataset, problem_id, round(ln(1 + exp(-(a[1] - a[2]))), 5) as pair_loss from dense")
-def vec12(spark, sf_dir):
+#: The dense scores as a target distribution, and a stand-in for a model's logits.
+_MODEL = f"""{_DENSE}, e as (select dataset, problem_id, a, list_transform(a, lambda x: exp((x - list_max(a)) / 0.25)) as p, list_transform(range(20), lambda i: 0.5 * a[20 - i] + 0.25 * a[i + 1]) as z, greatest(0.1, list_max(a) - list_min(a)) as w from dense),
+  ex as (select dataset, problem_id, a, z, w, list_transform(p, lambda x: x / list_sum(p)) as y, ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))) + list_max(z) as total from e),
+  loss as (select *, list_sum(list_transform(range(1, 21), lambda i: -y[i] * (z[i] - total))) as ce from ex)"""
+
+
+def _examples(spark, sf_dir):
     a = F.col("action_scores")
-    return _prior(spark, sf_dir).select(*KEY, F.round(V.pairwise_loss(F.get(a, F.lit(0)) - F.get(a, F.lit(1))), 5).alias("pair_loss"))
+    logits = F.zip_with(F.reverse(a), a, lambda x, y: 0.5 * x + 0.25 * y)
+    return _prior(spark, sf_dir).select(*KEY, "action_scores", F.col("action_distribution").alias("target"), logits.alias("logits"), "weight")
+
+
+@query("VEC12", f"with {_MODEL} select dataset, problem_id, round(ce, 5) as soft_ce, round(ln(1 + exp(-(z[1] - z[2]))), 5) as pair_loss, round(ce + 0.5 * ln(1 + exp(-(z[1] - z[2]))), 5) as loss from loss")
+def vec12(spark, sf_dir):
+    z = F.col("logits")
+    losses = _examples(spark, sf_dir).select(*KEY, V.soft_cross_entropy(F.col("target"), z).alias("c"), V.pairwise_loss(F.get(z, F.lit(0)) - F.get(z, F.lit(1))).alias("p"))
+    return losses.select(*KEY, F.round("c", 5).alias("soft_ce"), F.round("p", 5).alias("pair_loss"), F.round(F.col("c") + 0.5 * F.col("p"), 5).alias("loss"))
 
 
-@query("AGG22", f"with {_DENSE} select count(*) as n, round(avg(cast(list_position(a, list_max(a)) = 21 - list_position(list_reverse(a), list_max(a)) as integer)), 5) as single_best from dense")
+@query("AGG22", f"""with {_MODEL}, s as (select dataset, problem_id, z, list_max(a) - list_min(a) as spread, unnest(range(20)) as i, unnest(a) as s from ex),
+  pr as (select w.dataset, w.problem_id, w.z, w.i as wi, l.i as li, w.s - l.s as gap from s w join s l using (dataset, problem_id) where w.s - l.s >= 0.12),
+  top as (select * from pr qualify row_number() over (partition by dataset, problem_id order by gap desc, wi, li) <= 6)
+  select round((select sum(ce * w) / avg(w) / count(*) from loss), 6) as distribution_loss, round((select avg(cast(list_position(y, list_max(y)) = list_position(z, list_max(z)) as integer)) from loss), 6) as top1_match,
+    round((select avg(cast(z[wi + 1] > z[li + 1] as integer)) from top), 6) as pairwise_accuracy""")
 def agg22(spark, sf_dir):
-    a = F.col("action_scores")
-    first, last = F.array_position(a, F.array_max(a)), 21 - F.array_position(F.reverse(a), F.array_max(a))
-    return _prior(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((first == last).cast("double")), 5).alias("single_best"))
+    ex = _examples(spark, sf_dir)
+    return N.model_metrics(ex, N.score_pairs(ex, KEY), KEY).select(*[r(c) for c in ("distribution_loss", "top1_match", "pairwise_accuracy")])
 
 
 @query("VEC9", f"with {_V}, p as (select vec_id, list_reverse_sort(list_transform(e[1:8], lambda x: exp(-abs(x) - 1))) as p from v) select vec_id, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 5) as entropy, round(p[1] - p[2], 5) as margin, round(list_sum(p[1:5]), 5) as topk_mass from p")
@@ -214,49 +240,73 @@ def jn7(spark, sf_dir):
     return out.select(*KEY, "info_mode", "cot_mode", F.size("boundaries").cast("bigint").alias("n_boundaries"), F.col("trace.trace_id").alias("last_trace"))
 
 
-@query("JN10")
+@query("JN10", f"""with {BOUNDARIES}, {_KERNEL_STATS}, pr as (select a.trace_id as anchor_trace_id, a.boundary_index as anchor_boundary_index, c.trace_id as candidate_trace_id, c.boundary_index as ix, c.progress_ratio + 0.03 >= a.progress_ratio as near,
+    abs(c.progress_ratio - a.progress_ratio) as gap, case when a.is_answer_zone = c.is_answer_zone then {_WEIGHT} else 0 end as w
+  from boundaries a join boundaries c on a.dataset = c.dataset and a.problem_id = c.problem_id and a.trace_id <> c.trace_id, st)
+  select anchor_trace_id, anchor_boundary_index, candidate_trace_id, ix as matched from pr
+  qualify row_number() over (partition by anchor_trace_id, anchor_boundary_index, candidate_trace_id order by near desc, case when near then -round(case when w >= 1e-4 then w else 0 end, 8) else 0 end, case when near then gap else 0 end, ix) = 1""")
 def jn10(spark, sf_dir):
-    b = boundary_samples(spark, sf_dir)
-    states = b.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct(F.col("progress_ratio").alias("progress"), F.col("entropy").alias("weight")))).alias("s"))
-    return states.select("trace_id", match_row(F.lit(0.5), F.col("s")).alias("m")).select("trace_id", r_("m.progress", "progress"), r_("m.weight", "weight"))
+    carried = ["trace_id", "boundary_index", "progress_ratio"]
+    pairs = N.neighbour_pairs(boundary_samples(spark, sf_dir), carried, carried, every=True).where("anchor_trace_id <> candidate_trace_id")
+    named = pairs.withColumnsRenamed({"anchor_progress_ratio": "anchor_progress", "candidate_progress_ratio": "progress"})
+    return match_rows(named, ["anchor_trace_id", "anchor_boundary_index"], ["candidate_trace_id"], "candidate_boundary_index")
+
 
+BUDGETS = [0, 64, 128, 256, 512]
 
-def r_(c, name, digits=6):
-    return F.round(c, digits).alias(name)
+
+def walk_states(spark, sf_dir):
+    """The last trace of each problem and action with its boundaries; a digest stands in for a policy's scores."""
+    kernel = N.Kernel()
+    names = [n for n, _ in kernel.numeric]
+    b = N.standardised(boundary_samples(spark, sf_dir), kernel).withColumn("action", ((F.col("chosen_info_mode") - 1) * 5 + F.col("chosen_cot_mode")).cast("int"))
+    scores = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.pmod(F.xxhash64("trace_id", "boundary_index", i), F.lit(1000)) / 4000 + F.when(i % 5 == F.col("boundary_index") % 5, F.col("progress_ratio") / 4).otherwise(F.lit(0.0)))
+    row = F.struct(
+        "boundary_index", F.col("progress_ratio").alias("progress"), F.col("generated_tokens").alias("generated"), (F.col("remaining_budget_ratio") * 512).alias("remaining"), F.col("is_answer_zone").alias("answer"),
+        F.array(*[f"k_{n}" for n in names]).alias("features"), F.array("boundary_kind", F.col("is_in_think_zone").cast("string")).alias("marks"), F.array(F.lit(1.1), F.lit(1.25)).alias("penalties"), scores.alias("scores"),
+    )
+    traced = b.groupBy(*KEY, "action", "trace_id").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.sum("generated_tokens").alias("token_count"), F.max((F.col("score") > 0.5).cast("double")).alias("correctness"))
+    last = traced.groupBy(*KEY, "action").agg(F.max_by(F.struct("rows", "token_count", "correctness"), "trace_id").alias("t"))
+    return last.select(*KEY, F.lit(6).alias("start"), "action", "t.*")
 
 
 @query("SEQ4")
 def seq4(spark, sf_dir):
-    b = boundary_samples(spark, sf_dir)
-    states = b.groupBy(*KEY, F.col("chosen_info_mode").alias("info_mode"), F.col("chosen_cot_mode").alias("cot_mode")).agg(F.max("score").alias("score"), F.sum("generated_tokens").alias("token_count"), F.array_sort(F.collect_list("progress_ratio")).alias("progress"))
-    return replay_walks(states)
+    return replay_walks(walk_states(spark, sf_dir), BUDGETS)
+
+
+CLOSERS = ("\n", "</think>", "\n\nFINAL_ANSWER: ")
 
 
 def _tokens(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), "text")
-    return t.select("key", F.split("text", r"(?<=\s)", -1).alias("tokens"))
+    """Turns as tokens that end in white space; every third one closes its reasoning in the middle of the text."""
+    t = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), "turn", "text")
+    tagged = F.when(F.col("turn") % 3 == 1, F.concat(F.col("text"), F.lit(" done.</Think>\nso "), F.col("text"))).otherwise(F.col("text"))
+    return t.select("key", F.split(tagged, r"(?<=\s)", -1).alias("tokens"))
 
 
 @query("SEQ1")
 def seq1(spark, sf_dir):
-    return segment(_tokens(spark, sf_dir))
+    return segment(_tokens(spark, sf_dir), eos=True)
 
 
 @query("SEQ2")
 def seq2(spark, sf_dir):
-    return segment(_tokens(spark, sf_dir), budget=40).where("is_answer_zone")
+    return segment(_tokens(spark, sf_dir), budget=40, closers=CLOSERS, eos=True)
 
 
 @query("WIN7")
 def win7(spark, sf_dir):
-    out = segment(_tokens(spark, sf_dir), budget=40)
-    return out.groupBy("key").agg(F.max("token_index").alias("last_cut"), F.count(F.lit(1)).alias("n_boundaries"))
+    out = segment(_tokens(spark, sf_dir), budget=40, closers=CLOSERS, eos=True)
+    since = F.col("token_index") - F.lag("token_index", 1, 0).over(Window.partitionBy("key").orderBy("boundary_index"))
+    return out.select("key", "boundary_index", "token_index", since.alias("tokens_since_boundary"), "think_used", "answer_used")
 
 
 @query("SEQ3")
 def seq3(spark, sf_dir):
-    out = segment(_tokens(spark, sf_dir))
-    return out.groupBy("key").agg(F.least(F.lit(8), F.count(F.lit(1))).alias("switches"))
+    out = segment(_tokens(spark, sf_dir), eos=True)
+    scores = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.pmod(F.crc32(F.concat_ws(":", "key", F.col("boundary_index").cast("string"), i.cast("string"))), F.lit(1000)))
+    return decisions(out, scores)
 
 
 def _slot_model(spark, sf_dir):
@@ -291,10 +341,25 @@ def agg21(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(priors)), "slot int, prior array<double>")
 
 
-@query("VEC8")
+@query("VEC8", f"""with {BOUNDARIES}, s as (select {_SPEC} from boundaries), b as (select trace_id, boundary_index, {_FEATURE_LIST} as f, (chosen_info_mode - 1) * 5 + chosen_cot_mode as action, chosen_info_mode - 1 as info from boundaries, s),
+  low as (select o_orderkey as trace_id, lower(o_orderpriority || ' ' || o_orderkey) as s from orders), cmp as (select trace_id, s, string_split(trim(regexp_replace(s, '\\s+', ' ', 'g')), '') as c from low),
+  tok as (select trace_id, unnest(list_concat(list_transform(regexp_extract_all(s, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]'), lambda w: 'w:' || w), list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: 'c3:' || c[i] || c[i + 1] || c[i + 2]),
+    list_transform(range(1, greatest(len(c) - 2, 1)), lambda i: 'c4:' || c[i] || c[i + 1] || c[i + 2] || c[i + 3]), list_transform(range(1, greatest(len(c) - 3, 1)), lambda i: 'c5:' || c[i] || c[i + 1] || c[i + 2] || c[i + 3] || c[i + 4]))) as t from cmp),
+  cnt as (select trace_id, cast(('0x' || substr(md5(t), 1, 8)) as bigint) % 16 as k, count(*) as n from tok group by all),
+  vec as (select trace_id, sqrt(sum(n * n)) as norm, map_from_entries(list((k, n))) as m from cnt group by trace_id),
+  x as (select b.*, list_transform(range(16), lambda i: coalesce(m[i], 0) / norm) as text, list_transform(range(20), lambda i: cast(cast(i % 4 = b.trace_id % 4 as integer) as double) / 5) as slots from b join vec using (trace_id))
+  select trace_id, boundary_index, {_sql_r('list_concat(text, slots)', 4)} as prior_x, {_sql_r('list_concat(text, slots, f, list_transform(range(20), lambda i: cast(cast(i = action as integer) as double)))', 4)} as think_x,
+    {_sql_r('list_concat(text, slots, f, list_transform(range(4), lambda i: cast(cast(i = info as integer) as double)))', 4)} as answer_x from x""")
 def vec8(spark, sf_dir):
-    hot = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (i == F.col("label")).cast("double"))
-    return _vectors(spark, sf_dir).select("vec_id", F.concat(V.l2_normal(F.col("embedding")), hot).alias("x"))
+    b = boundary_samples(spark, sf_dir)
+    rows = N.feature_vectors(b, N.feature_spec(b)).select(
+        "trace_id", "boundary_index", "features", V.hashed_vector(F.col("prompt"), 16).alias("text"),
+        F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.when(i % 4 == F.col("trace_id") % 4, F.lit(0.2)).otherwise(F.lit(0.0))).alias("slots"),
+        N.one_hot((F.col("chosen_info_mode") - 1) * 5 + F.col("chosen_cot_mode"), 20).alias("joint"), N.one_hot(F.col("chosen_info_mode") - 1, 4).alias("info"),
+    )
+    for name, parts in (("prior_x", ("text", "slots")), ("think_x", ("text", "slots", "features", "joint")), ("answer_x", ("text", "slots", "features", "info"))):
+        rows = N.model_inputs(rows, parts).withColumnRenamed("x", name)
+    return rows.select("trace_id", "boundary_index", *[_r(F.col(c), 4).alias(c) for c in ("prior_x", "think_x", "answer_x")])
 
 
 @query("UDF4")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +12,23 @@ from pyspark.sql.types import StructType
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """An unused path in the folder of ``spark.checkpoint.dir``, or in a temporary one where that is unset."""
+    """An unused path in the folder of ``spark.checkpoint.dir``; a local session without one has a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written in the shared folder and read back: evaluated once, and kept when executors are lost."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_jsonl_strict(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Rows of a JSON-lines file; blank lines are skipped, a line that is no object is an error that names its text.
 
@@ -63,15 +71,60 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def write_report(tables: Mapping[str, DataFrame], path: str) -> None:
+    """Small summaries, each as one CSV file with a header in a folder of its name."""
+    for name, df in tables.items():
+        write_csv(df, f"{path}/{name}")
+
+
 def write_shards(df: DataFrame, path: str, by: Sequence[str]) -> None:
     """Parquet partitioned by columns; a reader's filter on them skips the other folders."""
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def write_summary(row: Mapping[str, object], path: str) -> None:
-    """A small summary as one indented JSON file on the driver."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(row, f, indent=2, sort_keys=True)
+def write_summary(row: DataFrame, path: str) -> None:
+    """A table of one row as one indented JSON document."""
+    row.select(F.to_json(F.struct(*row.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_object(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """One JSON object as one row; a document that is no object is an error."""
+    text = spark.read.text(path, wholetext=True)
+    fault = F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 200))
+    checked = text.select(F.when(F.col("value").rlike(r"(?s)^\s*\{.*\}\s*$"), F.col("value")).otherwise(F.raise_error(fault).cast("string")).alias("value"))
+    return checked.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def read_shards(spark: SparkSession, path: str, **parts: object) -> DataFrame:
+    """Shards of the named parts only; the other folders are not opened."""
+    rows = spark.read.parquet(path)
+    for name, value in parts.items():
+        rows = rows.where(F.col(name) == F.lit(value))
+    return rows
+
+
+def write_by_name(df: DataFrame, path: str, name: str) -> None:
+    """JSON lines in one folder for each value of a column."""
+    df.write.mode("overwrite").partitionBy(name).option("ignoreNullFields", "false").json(path)
+
+
+def relabel(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], schema: StructType | str, aside: str | None = None) -> str:
+    """JSON lines with ``change`` applied, written beside them (``aside``) or in their place; where they are now.
+
+    A path is never written while it is read: the new rows are complete before the old ones give way.
+    """
+    made = aside or f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    write_jsonl(change(spark.read.schema(schema).json(path)), made)
+    if aside:
+        return aside
+    sc = spark.sparkContext
+    old, new = (sc._jvm.org.apache.hadoop.fs.Path(x) for x in (path, made))
+    fs = old.getFileSystem(sc._jsc.hadoopConfiguration())
+    kept = sc._jvm.org.apache.hadoop.fs.Path(f"{made}-old")
+    if not (fs.rename(old, kept) and fs.rename(new, old)):
+        raise OSError(f"{path} could not be replaced; the new rows are in {made}, the old ones in {path} or {made}-old")
+    fs.delete(kept, True)
+    return path
 
 
 def file_counts(df: DataFrame) -> DataFrame:

@@ -37,6 +37,13 @@ SCORED = TRACES + """, stats as (
   from traces t join stats using (dataset, problem_id))"""
 
 
+#: Features that are remainders of keys, as a share of the divisor.
+_SHARES = (
+    ("segment_progress_ratio", "l_suppkey", 17), ("top1_prob", "l_partkey", 29), ("top2_prob", "l_partkey", 23),
+    ("topk_mass", "l_partkey", 31), ("eos_prob", "l_suppkey", 13), ("repeat_ngram_ratio", "l_partkey", 11),
+)
+
+
 def boundary_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line item as one decision boundary of the trace that its order stands for."""
     from pyspark.sql.window import Window
@@ -58,15 +65,22 @@ def boundary_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("boundary_kind"),
         (F.col("l_linestatus") == "F").alias("is_answer_zone"),
         (F.col("o_totalprice").cast("double") / F.lit(314159.0)).alias("score"),
+        F.concat(F.col("o_orderpriority"), F.lit(" "), F.col("o_orderkey").cast("string")).alias("prompt"),
+        *[(F.col(c) % n / F.lit(float(n))).alias(name) for name, c, n in _SHARES],
+        (F.col("l_linenumber") * 3 % 7).cast("double").alias("eos_rank"),
+        (F.col("l_linestatus") != "F").alias("is_in_think_zone"),
+        (F.col("o_orderkey") % 3 == 0).alias("is_code_mode"),
     )
 
 
-BOUNDARIES = """boundaries as (
+BOUNDARIES = f"""boundaries as (
   select o_orderpriority as dataset, cast(o_custkey as bigint) as problem_id, cast(o_orderkey as bigint) as trace_id,
     cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 as integer) as boundary_index,
     cast(o_orderkey % 4 + 1 as integer) as chosen_info_mode, cast((o_orderkey // 4) % 5 as integer) as chosen_cot_mode,
     l_linenumber / cast(7 as double) as progress_ratio, 1 - l_linenumber / cast(7 as double) as remaining_budget_ratio,
     cast(l_discount as double) + cast(0 as double) as entropy, cast(l_tax as double) + cast(0 as double) as margin,
     cast(l_quantity as bigint) as generated_tokens, l_returnflag as boundary_kind, l_linestatus = 'F' as is_answer_zone,
-    cast(o_totalprice as double) / cast(314159 as double) as score
+    cast(o_totalprice as double) / cast(314159 as double) as score, o_orderpriority || ' ' || o_orderkey as prompt,
+    {', '.join(f'({c} % {n}) / cast({n} as double) as {name}' for name, c, n in _SHARES)},
+    cast(l_linenumber * 3 % 7 as double) as eos_rank, l_linestatus <> 'F' as is_in_think_zone, o_orderkey % 3 = 0 as is_code_mode
   from lineitem join orders on l_orderkey = o_orderkey)"""

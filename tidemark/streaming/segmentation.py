@@ -1,36 +1,44 @@
 """Boundary segmentation of token streams: a fold over arrays, and the same as a stateful stream.
 
 A boundary is cut where at least ``min_tokens`` tokens have come since the last one and the text since then (its last 128
-characters) ends in a boundary kind. After ``</think>`` the answer zone begins; it begins by force once the thinking budget
-is spent. At most ``max_boundaries`` are cut in a sequence, and at most ``max_switches`` of them may switch the mode.
+characters) ends in a boundary kind, and at the end of a sequence. After a closing tag, in any case and wherever it stands
+in the text, the answer zone begins. Once the thinking budget is spent the zone is closed by force: the tokens that close
+it are put into the sequence before the next one, or, without any, the zone changes as it is. At most ``max_boundaries``
+are cut in a sequence, and at most ``max_switches`` of them may switch the mode.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-# Ends that make a boundary.
-ENDS = (".", "?", "!", "。", "？", "！", ":", "：")
+from tidemark.functions.text import SENTENCE_ENDS, STEP_MARKS
+
+# Fixed value: the tag that ends reasoning.
 CLOSE = "</think>"
 
+#: Kinds in the order in which they are looked for: name, and test of the text, its stripped form and that in lower case.
+KINDS = (
+    ("newline", lambda text, s, low: "\n" in text),
+    ("punct", lambda text, s, low: s.endswith(SENTENCE_ENDS)),
+    ("step_marker", lambda text, s, low: any(a in low and b in low[-24:] for a, b in STEP_MARKS)),
+)
+
 
 def kind_of(text: str) -> str:
-    if "\n" in text:
-        return "newline"
+    """The boundary kind that a text ends in; empty if none."""
     s = text.rstrip()
     low = s.lower()
-    if s.endswith(ENDS):
-        return "punct"
-    return "step_marker" if ("step " in low and ":" in low[-24:]) or "reasoning:" in low[-24:] else ""
+    return next((name for name, test in KINDS if test(text, s, low)), "")
 
 
 @dataclass
 class Segmenter:
-    """State of one sequence; a few numbers and 128 characters, whatever its length."""
+    """State of one sequence; a few numbers and 136 characters, whatever its length."""
 
     min_tokens: int = 6
     max_boundaries: int = 80
@@ -42,54 +50,86 @@ class Segmenter:
     closing: str = ""
     answer: bool = False
     think_used: int = 0
+    answer_used: int = 0
 
-    def push(self, token: str) -> dict | None:
-        """Take a token; the boundary it completes, if any."""
+    def _take(self, token: str) -> None:
         self.tokens += 1
         self.since += 1
+        self.answer_used += self.answer
         self.think_used += not self.answer
         self.tail = (self.tail + token)[-128:]
-        self.closing = (self.closing + token)[-len(CLOSE) :] if not self.answer else ""
-        forced = not self.answer and self.think_used >= self.budget
-        if not self.answer and (self.closing.endswith(CLOSE) or forced):
-            self.answer = True
-        kind = kind_of(self.tail)
-        if self.cut >= self.max_boundaries or self.since < self.min_tokens or not kind:
-            return None
-        out = {"boundary_index": self.cut, "token_index": self.tokens, "boundary_kind": kind, "is_answer_zone": self.answer}
+        if not self.answer:
+            seen = self.closing + token.lower()
+            self.answer = CLOSE in seen
+            self.closing = seen[1 - len(CLOSE) :]
+
+    def _cut(self, end: bool = False) -> list[dict]:
+        kind = "eos" if end else kind_of(self.tail) if self.since >= self.min_tokens else ""
+        if not kind or self.cut >= self.max_boundaries:
+            return []
+        out = {
+            "boundary_index": self.cut, "token_index": self.tokens, "boundary_kind": kind, "is_answer_zone": self.answer,
+            "think_used": self.think_used, "answer_used": self.answer_used,
+        }
         self.cut, self.since, self.tail = self.cut + 1, 0, ""
-        return out
+        return [out]
+
+    def feed(self, token: str, end: bool = False, closers: Sequence[str] = ()) -> list[dict]:
+        """Take a token, and before it what closes the zone by force; the boundaries they complete."""
+        out = []
+        if closers and not self.answer and self.think_used >= self.budget:
+            for forced in closers:
+                self._take(forced)
+            out += self._cut()  # none is cut before the last of them
+        self._take(token)
+        if not closers and self.think_used >= self.budget:
+            self.answer = True
+        return out + self._cut(end)
+
+    def push(self, token: str) -> dict | None:
+        """Take a token; the boundary it completes, if any."""
+        return next(iter(self.feed(token)), None)
+
 
+_OUT = "key string, boundary_index int, token_index int, boundary_kind string, is_answer_zone boolean, think_used int, answer_used int"
+_COLUMNS = [x.split()[0] for x in _OUT.split(", ")]
 
-_OUT = "key string, boundary_index int, token_index int, boundary_kind string, is_answer_zone boolean"
-_COLUMNS = ["key", "boundary_index", "token_index", "boundary_kind", "is_answer_zone"]
 
+def segment(sequences: DataFrame, budget: int = 1 << 30, closers: Sequence[str] = (), eos: bool = False) -> DataFrame:
+    """``(key string, tokens array<string>)`` to boundaries; sequences are independent, so nothing is shuffled.
 
-def segment(sequences: DataFrame, budget: int = 1 << 30) -> DataFrame:
-    """``(key string, tokens array<string>)`` to boundaries; sequences are independent, so nothing is shuffled."""
+    ``eos``: the last token of a sequence is its end. A null or empty sequence has no boundary.
+    """
+    closers = tuple(closers)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for key, tokens in zip(frame["key"], frame["tokens"], strict=True):
                 s = Segmenter(budget=budget)
-                rows += [{"key": key, **b} for t in (tokens if tokens is not None else ()) if (b := s.push(t))]
+                tokens = () if tokens is None else tokens
+                for n, token in enumerate(tokens, 1):
+                    rows += [{"key": key, **b} for b in s.feed(token, eos and n == len(tokens), closers)]
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return sequences.select("key", "tokens").mapInPandas(run, _OUT)
 
 
-def segment_stream(tokens: DataFrame, budget: int = 1 << 30) -> DataFrame:
-    """A stream of ``(key string, n bigint, token string)`` to boundaries, with state kept by key between batches."""
-    state_schema = "min_tokens int, max_boundaries int, budget long, tokens int, since int, cut int, tail string, closing string, answer boolean, think_used int"
+def segment_stream(tokens: DataFrame, budget: int = 1 << 30, closers: Sequence[str] = ()) -> DataFrame:
+    """A stream of ``(key string, n bigint, token string)`` to boundaries, with state kept by key between batches.
+
+    With a column ``eos boolean``, a token for which it is true is the end of its sequence.
+    """
+    state_schema = "min_tokens int, max_boundaries int, budget long, tokens int, since int, cut int, tail string, closing string, answer boolean, think_used int, answer_used int"
+    closers, ends = tuple(closers), "eos" in tokens.columns
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         s = Segmenter(*state.get) if state.exists else Segmenter(budget=budget)
         rows = []
         for frame in frames:
-            for token in frame.sort_values("n")["token"]:
-                if b := s.push(token):
-                    rows.append({"key": key[0], **b})
+            ordered = frame.sort_values("n")
+            for token, end in zip(ordered["token"], ordered["eos"] if ends else [False] * len(ordered), strict=True):
+                rows += [{"key": key[0], **b} for b in s.feed(token, bool(end), closers)]
         state.update(tuple(asdict(s).values()))
         yield pd.DataFrame(rows, columns=_COLUMNS)
 
@@ -105,3 +145,23 @@ def decide(boundaries: pd.DataFrame, scores: list[list[float]], start: int, max_
             at, left = best, left - 1
         out.append(at)
     return out
+
+
+def decisions(boundaries: DataFrame, scores: Column, start: int = 0, max_switches: int = 8, key: str = "key") -> DataFrame:
+    """``(key, boundary_index, action, switches)``: the action after each boundary, and the switches made so far.
+
+    At a boundary the best-scored action is taken, the first one where equal, while switches are left. A sequence has
+    ``max_boundaries`` rows at most, which are folded in one array.
+    """
+    kind = "struct<at:int,n:int,out:array<struct<boundary_index:int,action:int,switches:int>>>"
+    best = (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+    rows = boundaries.select(key, "boundary_index", best.alias("best")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("boundary_index", "best"))).alias("rows"))
+    begin = F.struct(F.lit(start).alias("at"), F.lit(0).alias("n"), F.expr("cast(array() as array<struct<boundary_index:int,action:int,switches:int>>)").alias("out")).cast(kind)
+
+    def step(acc: Column, row: Column) -> Column:
+        moves = (row["best"] != acc["at"]) & (acc["n"] < max_switches)
+        at, n = F.when(moves, row["best"]).otherwise(acc["at"]), acc["n"] + F.when(moves, 1).otherwise(0)
+        return F.struct(at.alias("at"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(row["boundary_index"], at.alias("action"), n.alias("switches")))).alias("out")).cast(kind)
+
+    folded = rows.select(key, F.aggregate("rows", begin, step, lambda a: a["out"]).alias("out"))
+    return folded.select(key, F.inline("out"))
