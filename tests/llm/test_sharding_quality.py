@@ -33,8 +33,10 @@ def test_placement_matches_row_by_row_ring(spark):
 
     rows = [(i if i % 3 else 7, f"t{i % 11}" * (i % 5)) for i in range(900)] + [(None, "x")] * 40  # a third under one id
     docs = spark.createDataFrame(rows, DOCS)
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.pmod(F.xxhash64("doc_id"), F.lit(sharding.CELLS)).alias("cell"), F.pmod(F.hash(F.crc32(F.col("text").cast("binary"))), F.lit(sharding.PARTS)).alias("part")).collect()
-    queue = sorted(keyed, key=lambda r: (r.cell, r.part, r.doc_id is not None, r.doc_id or 0, crc32(r.t.encode())))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.pmod(F.xxhash64("doc_id"), F.lit(sharding.CELLS)).alias("cell"), F.hash(F.crc32(F.col("text").cast("binary")), F.octet_length("text").cast("bigint") + 1).alias("h")).collect()
+    parts = sharding.parts_of(Counter(r.cell for r in keyed))
+    assert max(parts) > 100 and sum(parts) <= 2 * sharding.CELLS
+    queue = sorted(keyed, key=lambda r: (r.cell, r.h % parts[r.cell], r.doc_id is not None, r.doc_id or 0, crc32(r.t.encode())))
     nodes = sorted((crc32(f"shard {s} point {p}".encode()) % sharding.CELLS, s) for s in range(5) for p in range(sharding.POINTS))
     room = [len(rows) // 5 + (s < len(rows) % 5) for s in range(5)]
     slots, placed, over = [0] * 5, [], []
