@@ -71,24 +71,28 @@ def _before(values: Column, op: Callable[[Column, Column], Column], zero: int) -
     return _let(F.transform(values, lambda x: x.cast("bigint")), over)
 
 
-def _matches(text: str, pattern: str, kind: int, value: Column | None = None) -> Column:
+def _matches(text: str, pattern: str, kind: int, value: Column | None = None, words: bool = False) -> Column:
     """Spans of all matches, in code points; ``value``: strings beside the matches that must have 8 characters or more.
 
-    The pieces between matches and the matches tile the text, so their lengths give the places.
+    The pieces between matches and the matches tile the text, so their lengths give the places. ``words`` keeps the
+    matches' texts as ``w``.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    told = lambda w: [w.alias("w")] if words else []
     tiles = F.zip_with(
         F.split(text, pattern, -1),
         F.arrays_zip(found.alias("m"), (value if value is not None else found).alias("v")),
-        lambda g, x: F.struct(F.length(g).alias("g"), F.length(x["m"]).alias("m"), F.length(x["v"]).alias("v")),
+        lambda g, x: F.struct(F.length(g).alias("g"), F.length(x["m"]).alias("m"), F.length(x["v"]).alias("v"), *told(x["m"])),
     )
 
     def placed(ts: Column) -> Column:
         at = _before(F.transform(ts, lambda t: t["g"] + F.coalesce(t["m"], F.lit(0))), lambda a, x: a + x, 0)
-        spans = F.zip_with(ts, at, lambda t, a: F.struct((a + t["g"]).alias("start"), F.lit(kind).alias("kind"), (a + t["g"] + t["m"]).alias("end"), t["v"].alias("v")))
+        spans = F.zip_with(ts, at, lambda t, a: F.struct((a + t["g"]).cast("int").alias("start"), F.lit(kind).alias("kind"), (a + t["g"] + t["m"]).cast("int").alias("end"), t["v"].alias("v"), *told(t["w"] if words else t["v"])))
         wanted = F.filter(spans, lambda x: x["end"].isNotNull() & (x["v"] >= (8 if value is not None else 1)))
-        return F.transform(wanted, lambda x: F.struct(x["start"], x["kind"], x["end"]).cast(_SPAN))
+        return F.transform(wanted, lambda x: F.struct(x["start"], x["kind"], x["end"], *told(x["w"] if words else x["v"])))
 
+    if words:
+        return _let(tiles, placed)
     return F.when(F.col(text).rlike(pattern), _let(tiles, placed)).otherwise(F.expr(_NONE))
 
 
@@ -106,10 +110,11 @@ def _loose(base: Column, tokens: Column) -> Column:
 
 
 def _pairs(tokens: DataFrame) -> DataFrame:
-    """``(label, pair, n)``: counts of neighbouring characters."""
+    """``(label, pair, n)``: counts of neighbouring characters; a token is taken apart once, however often it stands there."""
+    several = tokens.groupBy("label", "token").agg(F.count(F.lit(1)).alias("times"))
     last = F.greatest(F.length("token") - 1, F.lit(1))
-    each = tokens.select("label", F.explode(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring("token", i, F.lit(2)))).alias("pair"))
-    return each.where(F.length("pair") == 2).groupBy("label", "pair").agg(F.count(F.lit(1)).alias("n"))
+    each = several.select("label", "times", F.explode(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring("token", i, F.lit(2)))).alias("pair"))
+    return each.where(F.length("pair") == 2).groupBy("label", "pair").agg(F.sum("times").alias("n"))
 
 
 def training_tokens(docs: DataFrame, id_col: str, text_col: str, sample_docs: int, random_strings: int) -> DataFrame:
@@ -146,12 +151,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
 
 def score(token: Column, table: list[float]) -> Column:
-    """Log-likelihood ratio of a token: above 0 it looks random, below 0 like an identifier."""
+    """Log-likelihood ratio of a token of :data:`ALPHABET`: above 0 it looks random, below 0 like an identifier."""
+    size, at = len(ALPHABET), {ord(c): k for k, c in enumerate(ALPHABET)}
+    by_code = ((at.get(i), at.get(j)) for i in range(128) for j in range(128))
     # one literal that is parsed once, not an expression for each number
-    ratios = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
-    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    rated = _let(codes, lambda cs: F.zip_with(cs, F.slice(cs, F.lit(2), F.greatest(F.size(cs), F.lit(1))), lambda a, b: F.when((a >= 0) & (b >= 0), F.get(ratios, a * len(ALPHABET) + b))))
-    return F.aggregate(rated, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+    ratios = F.split(F.lit(",".join("0" if i is None or j is None else str(table[i * size + j]) for i, j in by_code)), ",").cast("array<double>")
+    rated = lambda cs: F.zip_with(cs, F.slice(cs, F.lit(2), F.greatest(F.size(cs) - 1, F.lit(1))), lambda a, b: F.get(ratios, a * 128 + b))
+    return F.aggregate(_let(F.transform(F.split(token, ""), F.ascii), rated), F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
 
 
 def find_secrets(
@@ -166,18 +172,20 @@ def find_secrets(
     """
     model = train(docs, id_col, text_col, sample_docs) if model is None else model
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    # no shorter token can exceed the margin
+    token = f"{TOKEN}{{{model.least_length()},}}"
+    random = lambda w: score(w, model.table) > model.margin
+    # places are told in texts that hold such a token only
+    placed = F.filter(_matches("t", token, 3, words=True), lambda x: random(x["w"]))
+    likely = F.when(F.exists(F.regexp_extract_all("t", F.lit(token), F.lit(0)), random), F.transform(placed, lambda x: F.struct(x["start"], x["kind"], x["end"]).cast(_SPAN))).otherwise(F.expr(_NONE))
     base = texts.select(
-        "doc_id", "t",
+        "doc_id",
         _matches("t", ASSIGN, 0, F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2))).alias("assign"),
         _matches("t", ACCESS, 1).alias("access"),
         _matches("t", HEX, 2).alias("hex"),
-        # no shorter token can exceed the margin
-        F.regexp_extract_all("t", F.lit(f"{TOKEN}{{{model.least_length()},}}"), F.lit(0)).alias("words"),
-        _matches("t", f"{TOKEN}{{{model.least_length()},}}", 3).alias("tokens"),
+        likely.alias("likely"),
     )
-    paired = lambda spans, words: F.zip_with(spans, words, lambda s, w: F.struct(s["start"], s["kind"], s["end"], w.alias("w")))
-    likely = F.filter(paired(F.col("tokens"), F.col("words")), lambda x: score(x["w"], model.table) > model.margin)
-    scored = base.select("doc_id", "assign", "access", "hex", F.sort_array(F.concat("assign", "access", "hex")).alias("base"), F.transform(likely, lambda x: F.struct(x["start"], x["kind"], x["end"]).cast(_SPAN)).alias("likely"))
+    scored = base.select("doc_id", "assign", "access", "hex", F.sort_array(F.concat("assign", "access", "hex")).alias("base"), "likely")
     found = scored.select("doc_id", "assign", "access", "hex", "base", _loose(F.col("base"), F.col("likely")).alias("more"))
     names = F.array(*map(F.lit, KINDS))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat(F.get(names, s["kind"]), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
