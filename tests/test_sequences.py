@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import vectors as V
 from tidemark.operators import replay, slots
 from tidemark.operators.ordering import dense_index, exact_median
 from tidemark.sources import artifacts, config
@@ -162,14 +163,17 @@ def test_slots_and_networks_match_numpy(spark):
     unit = {k: v / max(1e-8, np.linalg.norm(v)) for k, v in rows.items()}
     soft = lambda x, t: (e := np.exp((x - x.max()) / t)) / max(1e-8, e.sum())
     near = {k: int((centres @ u).argmax()) for k, u in unit.items()}
-    assert run("JN13") == near
+    frame = spark.read.parquet(f"{SF}/embeddings.parquet")
+    sims = frame.select("vec_id", slots.similarities(F.col("embedding"), centres).alias("s")).collect()
+    assert all(np.allclose(r.s, centres @ unit[r.vec_id]) for r in sims)
     shares = {k: soft(v[:20], 0.25) for k, v in rows.items()}
-    priors = {j: soft(np.mean([shares[k] for k in rows if near[k] == j], axis=0), 1.0) if j in near.values() else np.full(20, 0.05) for j in range(len(centres))}
-    for j, p in run("AGG21").items():
-        assert np.allclose(p, priors[j], atol=1e-9)
-    table = np.array([priors[j] for j in range(len(centres))])
-    for k, p in run("VEC6").items():
-        assert np.allclose(p, soft(centres @ unit[k], 0.35) @ table, atol=1e-9)
+    given = frame.select("embedding", V.softmax(F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 20), 0.25).alias("d"), F.lit(2.0).alias("w"))
+    priors = {r.slot: np.array(r.prior) for r in slots.slot_priors(given, "embedding", "d", "w", centres).collect()}
+    assert set(priors) == set(near.values())
+    assert all(np.allclose(p, soft(np.mean([shares[k] for k in rows if near[k] == j], axis=0), 1.0), atol=1e-9) for j, p in priors.items())
+    table = np.array([priors.get(j, np.full(20, 0.05)) for j in range(len(centres))])
+    for r in frame.select("vec_id", slots.query_slots(F.col("embedding"), centres, table.tolist()).alias("p")).collect():
+        assert np.allclose(r.p, soft(centres @ unit[r.vec_id], 0.35) @ table, atol=1e-9)
     rng = np.random.default_rng(7)
     sizes = [64, 32, 16, 20]
     layers = [(rng.normal(size=(a, b)) / a**0.5, np.zeros(b)) for a, b in zip(sizes, sizes[1:], strict=False)]
@@ -204,6 +208,8 @@ def test_configurations(tmp_path):
     (tmp_path / "data" / "d.jsonl").write_text("")
     assert config.dataset_path(tmp_path / "c.yaml", tmp_path / "data", "d.jsonl") == (tmp_path / "data" / "d.jsonl").resolve()
     assert config.dataset_path(tmp_path / "c.yaml", tmp_path / "data", "e.jsonl") == (tmp_path / "e.jsonl").resolve()
+    assert config.for_split({"a": {"source": "x", "limit": 5, "offset": 2}}, {"a": "y"}) == {"a": {"source": "y", "limit": None, "offset": 2}}
+    assert config.by_number({"1": 4}, 1) == config.by_number({1: 4}, 1) == 4
     assert [config.duration_text(x) for x in (-1, 4.25, 187, 7509)] == ["0.0s", "4.2s", "3m07s", "2h05m09s"]
 
 
@@ -229,3 +235,37 @@ def test_relabel_in_place_and_aside(spark):
     assert relabel(spark, path, change, "k int, v int") == path
     for p in (path, f"{path}-new"):
         assert {tuple(r) for r in spark.read.schema("k int, v int").json(p).collect()} == {(1, 10), (2, 20)}
+
+
+def test_training_matches_one_process(spark):
+    from tidemark.operators import training
+
+    rng = np.random.default_rng(1)
+    n, sizes = 90, [6, 8, 7, 4]
+    x, w = rng.normal(size=(n, 6)), rng.uniform(0.5, 2, n)
+    target = np.exp(x[:, :4] * 2)
+    target /= target.sum(axis=1, keepdims=True)
+    pairs = [[(int(a), int(b), float(rng.uniform(0.5, 1))) for a, b in [rng.permutation(4)[:2]]] if k % 3 else [] for k in range(n)]
+    frame = spark.createDataFrame([(x[k].tolist(), target[k].tolist(), float(w[k]), pairs[k]) for k in range(n)], "x array<double>, target array<double>, weight double, pairs array<struct<winner_index:int,loser_index:int,weight:double>>").repartition(3)
+    start = training.new_network(sizes)
+    listed = np.array([(k, *p) for k in range(n) for p in pairs[k]])
+    scaled = listed * [1, 1, 1, 0.5 / listed[:, 3].sum()]
+
+    def loss_of(flat):
+        return training.gradients(training._shaped(flat, start), x, target, w / w.sum(), scaled)[1]
+
+    flat = training._flat(start)
+    g, _ = training.gradients(start, x, target, w / w.sum(), scaled)
+    for k in rng.choice(len(flat), 25, replace=False):  # against differences
+        d = np.zeros_like(flat)
+        d[k] = 1e-6
+        assert abs((loss_of(flat + d) - loss_of(flat - d)) / 2e-6 - g[k]) < 1e-6
+    made, losses = training.train_network(frame, start, pairs="pairs", epochs=4, lr=0.01)
+    m, v, want = np.zeros_like(flat), np.zeros_like(flat), flat.copy()
+    for k in range(1, 5):
+        g, loss = training.gradients(training._shaped(want, start), x, target, w / w.sum(), scaled)
+        assert abs(losses[k - 1] - loss) < 1e-9
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        want = want * (1 - 0.01 * 1e-4) - 0.01 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    assert np.allclose(training._flat(made), want, atol=1e-9) and losses[-1] < losses[0]
+    assert training.train_network(frame.limit(0), start)[0] is start

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import vectors as V
 from tidemark.operators import neighborhood as N
-from tidemark.operators import slots
+from tidemark.operators import slots, training
 from tidemark.operators.boundaries import flatten_boundaries
 from tidemark.operators.replay import match_rows, replay_walks, trace_states
 from tidemark.plans.registry import query
@@ -309,36 +309,48 @@ def seq3(spark, sf_dir):
     return decisions(out, scores)
 
 
-def _slot_model(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    centres = slots.fit_centres(v, "embedding")
-    rows = v.select("embedding", V.softmax(F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 20), 0.25).alias("d"), F.lit(1.0).alias("w"))
-    found = {x["slot"]: x["prior"] for x in slots.slot_priors(rows, "embedding", "d", "w", centres).collect()}  # as many rows as slots
-    return centres, [found.get(k, [0.05] * 20) for k in range(len(centres))]
+def _centres(spark, sf_dir):
+    """Unit vectors of the eight smallest ids: centres that SQL can state too."""
+    rows = _vectors(spark, sf_dir).orderBy("vec_id").limit(8).select(V.l2_normal(F.col("embedding")).alias("c")).collect()
+    return np.array([x["c"] for x in rows])
 
 
-@query("VEC6")
-def vec6(spark, sf_dir):
-    centres, priors = _slot_model(spark, sf_dir)
-    return _vectors(spark, sf_dir).select("vec_id", slots.query_slots(F.col("embedding"), centres, priors).alias("prior"))
+def _slot_priors(spark, sf_dir, centres):
+    rows = _vectors(spark, sf_dir).select("embedding", V.softmax(F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 20), 0.25).alias("d"), (1.0 + F.col("label")).alias("w"))
+    return slots.slot_priors(rows, "embedding", "d", "w", centres)
 
 
-@query("VEC7")
-def vec7(spark, sf_dir):
-    centres = slots.fit_centres(_vectors(spark, sf_dir), "embedding")
-    return spark.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(centres)], "slot int, centre array<double>")
+_SLOTS = f"""{_V}, u as (select vec_id, label, e, list_transform(e, lambda x: x / greatest(sqrt(list_sum(list_transform(e, lambda y: y * y))), 1e-8)) as n from v), c as (select row_number() over (order by vec_id) - 1 as slot, n as centre from (select * from u order by vec_id limit 8)),
+  s as (select vec_id, label, e, slot, list_sum(list_transform(range(1, len(n) + 1), lambda i: n[i] * centre[i])) as sim from u, c), a as (select * from s qualify row_number() over (partition by vec_id order by sim desc, slot) = 1)"""
+_PRIORS = f"""{_SLOTS}, d as (select slot, 1.0 + label as w, list_transform(e[1:20], lambda x: exp((x - list_max(e[1:20])) / 0.25)) as p from a), m as (select slot, w, unnest(range(20)) as i, unnest(list_transform(p, lambda x: x / list_sum(p))) as p from d),
+  g as (select slot, i, sum(w * p) / greatest(1e-8, sum(w)) as p from m group by slot, i), q as (select slot, list(p order by i) as p from g group by slot), r as (select slot, list_transform(p, lambda x: exp(x - list_max(p))) as p from q),
+  prior as (select slot, list_transform(p, lambda x: x / list_sum(p)) as prior from r)"""
 
 
-@query("JN13")
+@query("JN13", f"with {_SLOTS} select vec_id, cast(slot as integer) as slot, round(sim, 6) as similarity from a")
 def jn13(spark, sf_dir):
-    centres = slots.fit_centres(_vectors(spark, sf_dir), "embedding")
-    return _vectors(spark, sf_dir).select("vec_id", V.argmax(slots.similarities(F.col("embedding"), centres)).alias("slot"))
+    sims = _vectors(spark, sf_dir).select("vec_id", slots.similarities(F.col("embedding"), _centres(spark, sf_dir)).alias("s"))
+    return sims.select("vec_id", V.argmax(F.col("s")).alias("slot"), F.round(F.array_max("s"), 6).alias("similarity"))
 
 
-@query("AGG21")
+@query("AGG21", f"with {_PRIORS} select cast(slot as integer) as slot, {_sql_r('prior', 6)} as prior from prior")
 def agg21(spark, sf_dir):
-    centres, priors = _slot_model(spark, sf_dir)
-    return spark.createDataFrame(list(enumerate(priors)), "slot int, prior array<double>")
+    return _slot_priors(spark, sf_dir, _centres(spark, sf_dir)).select("slot", _r(F.col("prior"), 6).alias("prior"))
+
+
+@query("VEC6", f"""with {_PRIORS}, w as (select vec_id, slot, exp((sim - max(sim) over (partition by vec_id)) / 0.35) as w from s), x as (select vec_id, slot, w / sum(w) over (partition by vec_id) as w from w),
+  f as (select vec_id, i, sum(w * coalesce(prior[cast(i as integer) + 1], 0.05)) as p from x left join prior using (slot), range(20) t(i) group by vec_id, i) select vec_id, {_sql_r('list(p order by i)', 5)} as prior from f group by vec_id""")
+def vec6(spark, sf_dir):
+    centres = _centres(spark, sf_dir)
+    found = {x["slot"]: x["prior"] for x in _slot_priors(spark, sf_dir, centres).collect()}  # as many rows as slots
+    priors = [found.get(k, [0.05] * 20) for k in range(len(centres))]
+    return _vectors(spark, sf_dir).select("vec_id", _r(slots.query_slots(F.col("embedding"), centres, priors), 5).alias("prior"))
+
+
+@query("VEC7")
+def vec7(spark, sf_dir):
+    centres = slots.fit_centres(_vectors(spark, sf_dir), "embedding")
+    return spark.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(centres)], "slot int, centre array<double>")
 
 
 @query("VEC8", f"""with {BOUNDARIES}, s as (select {_SPEC} from boundaries), b as (select trace_id, boundary_index, {_FEATURE_LIST} as f, (chosen_info_mode - 1) * 5 + chosen_cot_mode as action, chosen_info_mode - 1 as info from boundaries, s),
@@ -368,3 +380,12 @@ def udf4(spark, sf_dir):
     sizes = [64, 32, 16, 20]
     layers = [(rng.normal(size=(a, b)) / a**0.5, np.zeros(b)) for a, b in zip(sizes, sizes[1:], strict=False)]
     return slots.mlp_scores(_vectors(spark, sf_dir), "embedding", layers, ["vec_id"])
+
+
+@query("UDF5")
+def udf5(spark, sf_dir):
+    """The loss before each step of a network that learns the prior examples."""
+    rows = _examples(spark, sf_dir).select(F.concat(F.col("action_scores"), F.array((F.col("weight") / 2).alias("w"))).alias("x"), "target", "weight", *KEY)
+    ranked = N.score_pairs(_prior(spark, sf_dir), KEY).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("winner_index", "loser_index", "weight"))).alias("pairs"))
+    _, losses = training.train_network(rows.join(ranked, KEY, "left"), training.new_network([21, 16, 16, 20]), pairs="pairs", epochs=4, lr=0.01)
+    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(losses)], "step int, loss double")

@@ -46,6 +46,16 @@ def dataset_path(config: str | Path, root: str | Path, value: str) -> Path:
     return rooted if rooted.exists() else beside(config, value)
 
 
+def for_split(specs: Mapping[str, Mapping[str, Any]], sources: Mapping[str, str]) -> dict[str, dict[str, Any]]:
+    """Dataset specifications that read a split's files: other sources, no limit, the offset as it was."""
+    return {name: {**spec, "source": sources.get(name, spec.get("source")), "limit": None} for name, spec in specs.items()}
+
+
+def by_number(table: Mapping[Any, Any], key: int) -> Any:
+    """A value by its number, whether the keys are numbers or their texts, as in JSON."""
+    return table[str(key)] if str(key) in table else table[key]
+
+
 def ordered_names(names: Iterable[str], aliases: Mapping[str, str], known: Mapping[str, int]) -> list[str]:
     """Names under their canonical form, once each, in the order of their rank; unknown ones are left out."""
     canonical = dict.fromkeys(aliases.get(n, n) for n in names)
