@@ -269,3 +269,17 @@ def test_training_matches_one_process(spark):
         want = want * (1 - 0.01 * 1e-4) - 0.01 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     assert np.allclose(training._flat(made), want, atol=1e-9) and losses[-1] < losses[0]
     assert training.train_network(frame.limit(0), start)[0] is start
+
+
+def test_hashed_text_matches_token_by_token(spark):
+    import hashlib
+    import re
+
+    texts = [None, "", " ", "a", "ab cd", "É à la carte!  Ünï\tcode\xa0x", "日本語 🙂🙂🙂 ok_1", "the the the cat, sat. " * 30, "x" * 50]
+    got = {r.k: (r.c, r.v) for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", V.hashed_counts(F.col("t"), 32).alias("c"), V.hashed_vector(F.col("t"), 32).alias("v")).collect()}
+    for k, text in enumerate(texts):
+        low = (text or "").lower()
+        compact = re.sub(r"\s+", " ", low).strip()
+        tokens = [f"w:{w}" for w in re.findall(r"\w+|[^\w\s]", low)] + [f"c{n}:{compact[i : i + n]}" for n in (3, 4, 5) for i in range(len(compact) - n + 1)]
+        want = np.bincount([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 32 for t in tokens], minlength=32) if tokens else np.zeros(32)
+        assert np.array_equal(got[k][0], want) and np.allclose(got[k][1], want / max(1e-8, np.linalg.norm(want)))

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType
 
 from tidemark.functions.text import let
 
+_TOKEN = re.compile(r"\w+|[^\w\s]")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_RUN = 1 << 20
+
 
 def vsum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
@@ -51,41 +61,62 @@ def dense_scores(scores: Column, size: int, penalty: float = 2.0) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(scores, i), low - penalty))
 
 
-def hashed_text(text: Column, dim: int = 64) -> Column:
-    """Buckets of a text's words, punctuation and character 3- to 5-grams, one for each occurrence.
-
-    Buckets come from the first eight digits of MD5, so that the vector has an SQL form. Grams are put together from the
-    text's characters, so the cost grows with the text's length.
+def _digits(tokens: list[str]) -> np.ndarray:
+    """The first eight digits of each token's MD5, as a number: a hash that has an SQL form."""
+    return np.array([int(hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) for t in tokens], dtype=np.int64)
+
+
+def _token_counts(texts: list[str], dim: int) -> np.ndarray:
+    """Occurrences of words, punctuation and character 3- to 5-grams by text and bucket; each different token is digested once."""
+    out = np.zeros(len(texts) * dim, dtype=np.int64)
+
+    def add(owner: np.ndarray, code: np.ndarray, digits: np.ndarray) -> None:
+        out[:] += np.bincount(owner * dim + (digits % dim)[code], minlength=len(out))
+
+    words = [_TOKEN.findall(t) for t in texts]
+    code, different = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))
+    add(np.repeat(np.arange(len(texts)), [len(ws) for ws in words]), code, _digits([f"w:{w}" for w in different]))
+    compact = [" ".join(t.split()) for t in texts]
+    joined = "".join(compact)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(texts)), [len(c) for c in compact])
+    for n in (3, 4, 5):
+        count = max(0, len(points) - n + 1)
+        gram = np.zeros(count, dtype=np.uint64)
+        for k in range(n):
+            gram = gram * _ODD + points[k : k + count]
+        own = np.flatnonzero(owner[:count] == owner[n - 1 : n - 1 + count])  # within one text
+        code, different = pd.factorize(gram[own])
+        first = np.zeros(len(different), dtype=np.int64)
+        first[code[::-1]] = own[::-1]
+        add(owner[own], code, _digits([f"c{n}:{joined[i : i + n]}" for i in first.tolist()]))
+    return out.reshape(len(texts), dim)
+
+
+def _batch_counts(texts: pd.Series, dim: int) -> list[np.ndarray]:
+    """Counts of a batch, worked off in runs of about :data:`_RUN` characters."""
+    out: list[np.ndarray] = []
+    run, size = [], 0
+    for text in texts:
+        run.append((text or "").lower())
+        size += len(run[-1])
+        if size >= _RUN:
+            out += [*_token_counts(run, dim)]
+            run, size = [], 0
+    return out + ([*_token_counts(run, dim)] if run else [])
+
+
+def hashed_counts(text: Column, dim: int = 64) -> Column:
+    """``array<bigint>``: how many of a text's words, punctuation marks and character 3- to 5-grams fall into each bucket.
+
+    An Arrow UDF: as column expressions, every gram of every text would be digested, at twenty times the cost.
     """
-    words = lambda low: F.transform(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0)), lambda w: F.concat(F.lit("w:"), w))
-    none = F.array().cast("array<string>")
-
-    def grams(chars: Column) -> Column:
-        cut = lambda n: lambda i: F.concat(F.lit(f"c{n}:"), *[F.get(chars, i + k) for k in range(n)])
-        return F.concat(*[F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0))), cut(n))).otherwise(none) for n in (3, 4, 5)])
-
-    def tokens(low: Column) -> Column:
-        compact = F.trim(F.regexp_replace(low, r"\s+", " "))
-        return F.concat(words(low), let(F.filter(F.split(compact, ""), lambda c: c != ""), grams))
-
-    return F.transform(let(F.lower(F.coalesce(text, F.lit(""))), tokens), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int"))
-
-
-def bucket_counts(buckets: Column, dim: int) -> Column:
-    """Occurrences of each bucket below ``dim``: runs of the sorted buckets, each bucket's run found by where it begins."""
-    kind = "map<int,bigint>"
-
-    def counted(b: Column) -> Column:
-        ends = F.filter(F.transform(b, lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.get(b, i + 1).alias("next"))), lambda y: y["next"].isNull() | (y["next"] != y["x"]))
-        return let(ends, lambda es: F.map_from_entries(F.transform(es, lambda y, k: F.struct(y["x"], (y["i"] - F.coalesce(F.get(es, k - 1)["i"], F.lit(-1))).cast("bigint")))).cast(kind))
-
-    held = lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0)).cast("double"))
-    return let(let(F.array_sort(buckets), counted), held)
+    return pandas_udf(lambda texts: pd.Series(_batch_counts(texts, dim), dtype=object), ArrayType(LongType()))(text)
 
 
 def hashed_vector(text: Column, dim: int = 64) -> Column:
     """L2-normalised bucket counts of a text; zeros for an empty one."""
-    return l2_normal(bucket_counts(hashed_text(text, dim), dim))
+    return l2_normal(hashed_counts(text, dim))
 
 
 def repeat_ratio(tokens: Column, n: int = 3, window: int = 128) -> Column:

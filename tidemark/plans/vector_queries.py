@@ -53,9 +53,9 @@ _TOKENS = r"""low as (select doc_id, lower(coalesce(text, '')) as s from documen
 
 @query("VEC3", f"with {_TOKENS} select documents.doc_id, coalesce(n, 0) as n_tokens, {_sql_r('list_transform(range(64), lambda i: coalesce(m[i], 0) / coalesce(norm, 1.0))')} as vector from documents left join vec using (doc_id)")
 def vec3(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", V.hashed_text(F.col("text")).alias("b"))
-    counted = d.select("doc_id", F.size("b").cast("bigint").alias("n_tokens"), V.bucket_counts(F.col("b"), 64).alias("c"))
-    return counted.select("doc_id", "n_tokens", _r(V.l2_normal(F.col("c"))).alias("vector"))
+    counted = table(spark, sf_dir, "documents").select("doc_id", V.hashed_counts(F.col("text")).alias("c"))
+    n = F.aggregate("c", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    return counted.select("doc_id", n.alias("n_tokens"), _r(V.l2_normal(F.col("c"))).alias("vector"))
 
 
 _SQL_FEATURES = {n: {"prompt_log": "ln(1 + length(prompt))", "generated_log": "ln(1 + generated_tokens)"}.get(n, n) for n in N.FEATURES}
