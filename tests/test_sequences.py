@@ -153,7 +153,7 @@ def test_matches_fall_back(spark):
 
 
 @needs_tables
-def test_slots_and_networks_match_numpy(spark):
+def test_slots_match_numpy(spark):
     from tidemark.plans import catalog
 
     run = lambda name: {r[0]: r[1] for r in catalog.queries()[name](spark, SF).collect()}
@@ -174,14 +174,6 @@ def test_slots_and_networks_match_numpy(spark):
     table = np.array([priors.get(j, np.full(20, 0.05)) for j in range(len(centres))])
     for r in frame.select("vec_id", slots.query_slots(F.col("embedding"), centres, table.tolist()).alias("p")).collect():
         assert np.allclose(r.p, soft(centres @ unit[r.vec_id], 0.35) @ table, atol=1e-9)
-    rng = np.random.default_rng(7)
-    sizes = [64, 32, 16, 20]
-    layers = [(rng.normal(size=(a, b)) / a**0.5, np.zeros(b)) for a, b in zip(sizes, sizes[1:], strict=False)]
-    for k, z in run("UDF4").items():
-        x = rows[k]
-        for n, (w, b) in enumerate(layers):
-            x = x @ w + b if n == 2 else np.maximum(x @ w + b, 0)
-        assert np.allclose(z, x)
 
 
 def test_artifact_round_trip(spark):

@@ -374,12 +374,17 @@ def vec8(spark, sf_dir):
     return rows.select("trace_id", "boundary_index", *[_r(F.col(c), 4).alias(c) for c in ("prior_x", "think_x", "answer_x")])
 
 
-@query("UDF4")
+_NETWORK = training.new_network([64, 32, 16, 20], seed=7)
+_WEIGHTS = ", ".join(f"({k}, {i}, {j}, {w!r}::double)" for k, (m, c) in enumerate(_NETWORK) for i, row in enumerate([*m.tolist(), c.tolist()]) for j, w in enumerate(row))
+_LAYER = "{0} as (select vec_id, j as i, {1} as v from {2}, w where w.layer = {3} and w.i = {2}.i group by vec_id, j)"
+
+
+@query("UDF4", f"""with w as (select * from (values {_WEIGHTS}) t(layer, i, j, w)), x as (select vec_id, unnest(range(64)) as i, cast(unnest(embedding) as double) as v from embeddings union all select vec_id, 64, 1.0 from embeddings),
+  {_LAYER.format('h0', 'greatest(0, sum(v * w))', 'x', 0)}, h as (select * from h0 union all select vec_id, 32, 1.0 from embeddings), {_LAYER.format('g0', 'greatest(0, sum(v * w))', 'h', 1)}, g as (select * from g0 union all select vec_id, 16, 1.0 from embeddings),
+  {_LAYER.format('z', 'sum(v * w)', 'g', 2)} select vec_id, cast(i as integer) as action, round(v, 6) as logit from z""")
 def udf4(spark, sf_dir):
-    rng = np.random.default_rng(7)
-    sizes = [64, 32, 16, 20]
-    layers = [(rng.normal(size=(a, b)) / a**0.5, np.zeros(b)) for a, b in zip(sizes, sizes[1:], strict=False)]
-    return slots.mlp_scores(_vectors(spark, sf_dir), "embedding", layers, ["vec_id"])
+    out = slots.mlp_scores(_vectors(spark, sf_dir), "embedding", _NETWORK, ["vec_id"])
+    return out.select("vec_id", F.posexplode("logits").alias("action", "logit")).select("vec_id", "action", F.round("logit", 6).alias("logit"))
 
 
 @query("UDF5")
