@@ -52,7 +52,7 @@ def group_means(a: Column, groups: int, size: int) -> Column:
 
 def argmax(a: Column) -> Column:
     """Index of the largest value, the first one where equal."""
-    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
+    return let(a, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def dense_scores(scores: Column, size: int, penalty: float = 2.0) -> Column:

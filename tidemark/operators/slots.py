@@ -68,7 +68,9 @@ def _table(rows: list[list[float]]) -> Column:
 
 def slot_priors(rows: DataFrame, vector: str, distribution: str, weight: str, centres: np.ndarray) -> DataFrame:
     """``(slot, prior)``: weighted mean distribution of the rows nearest to each slot, as a softmax of itself."""
-    assigned = rows.select(V.argmax(similarities(F.col(vector), centres)).alias("slot"), F.col(weight).alias("w"), F.posexplode(distribution).alias("i", "p"))
+    # the slot is found before the distribution is taken apart, once for each row
+    found = rows.select(V.argmax(similarities(F.col(vector), centres)).alias("slot"), F.col(weight).alias("w"), F.col(distribution).alias("d"))
+    assigned = found.select("slot", "w", F.posexplode_outer("d").alias("i", "p")).where("i is not null")
     means = assigned.groupBy("slot", "i").agg((F.sum(F.col("w") * F.col("p")) / F.greatest(F.lit(1e-8), F.sum("w"))).alias("p"))
     gathered = means.groupBy("slot").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]).alias("p"))
     return gathered.select("slot", V.softmax(F.col("p")).alias("prior"))
