@@ -63,14 +63,16 @@ def neighbour_pairs(rows: DataFrame, carry_anchor: Sequence[str], carry_candidat
     Zone equality is part of the join key. ``buckets`` limits candidates to buckets at most ``radius`` away: anchors are
     spread over the neighbouring buckets, so that stays an equi-join.
     """
+    bucketed = rows if buckets is None else rows.withColumn("bucket", buckets)
+    features = [n for n, _ in (*kernel.numeric, *kernel.categorical, *kernel.binary) if n in rows.columns]
+    wanted = dict.fromkeys([*keys, *carry_anchor, *carry_candidate, *features, *(["bucket"] if buckets is not None else [])])
     # read three times: for the statistics and for both sides
-    z = standardised(stash(rows, "boundaries"), kernel)
+    z = standardised(stash(bucketed.select(*wanted), "boundaries"), kernel)
     named = [n for n, _ in kernel.numeric if n in rows.columns]
     other = [(n, w) for n, w in (*kernel.categorical, *kernel.binary) if n in rows.columns and not (n == "is_answer_zone" and kernel.same_zone)]
     ruled = [*(["is_answer_zone"] if kernel.same_zone else []), *(["boundary_kind"] if kernel.same_kind else [])]
     on = [*keys, *([] if every else ruled)]
     if buckets is not None:
-        z = z.withColumn("bucket", buckets)
         on.append("bucket")
     used = [f"k_{n}" for n in named] + [n for n, _ in other if n not in on] + (ruled if every else [])
     side = lambda name, carry: z.select(*on, *[F.col(c).alias(f"{name}_{c}") for c in dict.fromkeys([*carry, *used]) if c not in on])
