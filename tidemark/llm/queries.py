@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, line_dedup, quality, secret_scan, sharding, simhash, substring_dedup, warc
+from tidemark.llm import bpe, chat, decontaminate, line_dedup, quality, secret_scan, sharding, simhash, substring_dedup, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.token_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 _OP2 = r"""
 with turns as (
   select conv_id, turn, role, coalesce(text, '') as t from conversations
@@ -133,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_sharding, op2_chat, op3_substring_dedup, op4_bpe, op5_simhash,
         op6_warc, op7_secret_scan, op8_line_dedup, op9_quality_rules, op10_decontaminate,
+        op12_token_files,
     ]
     return {f.__name__: f for f in found}
 
