@@ -25,7 +25,7 @@ def test_query_equals_its_sql(spark, name):
     assert got == sorted(tuple(str(r[k]) for k in places) for r in result.fetchall())
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(queries.queries()) if n != "op2_chat"])
+@pytest.mark.parametrize("name", [n for n in sorted(queries.queries()) if n not in ("op2_chat", "op11_search", "op13_whitening")])
 def test_one_row_for_each_input_row(spark, name):
     table = {"op6_warc": "pages"}.get(name, "documents")
     assert queries.queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, line_dedup, quality, secret_scan, sharding, simhash, substring_dedup, token_files, warc
+from tidemark.llm import bpe, chat, decontaminate, line_dedup, quality, secret_scan, sharding, simhash, substring_dedup, token_files, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,12 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    each = out.select("vec_id", "n", F.col("deviation").cast("bigint").alias("deviation"), "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "of"))
+    return each.select("vec_id", (F.col("place") + 1).cast("int").alias("component"), "n", "deviation", "of.whitened", "of.explained", "identity_error")
+
+
 _OP2 = r"""
 with turns as (
   select conv_id, turn, role, coalesce(text, '') as t from conversations
@@ -139,7 +145,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_sharding, op2_chat, op3_substring_dedup, op4_bpe, op5_simhash,
         op6_warc, op7_secret_scan, op8_line_dedup, op9_quality_rules, op10_decontaminate,
-        op12_token_files,
+        op12_token_files, op13_whitening,
     ]
     return {f.__name__: f for f in found}
 
