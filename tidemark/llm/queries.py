@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, line_dedup, quality, secret_scan, sharding, simhash, substring_dedup, token_files, warc, whitening
+from tidemark.llm import bpe, chat, decontaminate, line_dedup, quality, search, secret_scan, sharding, simhash, substring_dedup, token_files, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -140,15 +144,43 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, c
 from doc left join hit using (k) left join its using (k)
 """
 
+_OP11 = r"""
+with doc as (
+  select row_number() over () as k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents where text is not null
+), item as (
+  select row_number() over () as q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from benchmark where text is not null
+), whole as (
+  select count(*) as n_docs, cast(sum(len(w)) as bigint) as n_words from doc where len(w) > 0
+), size as (
+  select k, doc_id, 100 - 25 + ((25 * cast(len(w) as bigint) * n_docs) // n_words) as m from doc, whole where len(w) > 0
+), tf as (
+  select k, t, count(*) as tf from (select k, unnest(w) as t from doc) group by k, t
+), weight as (
+  select t, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) as bigint) as weight
+  from (select t, count(*) as df from tf group by t), whole
+), mention as (
+  select q, t, count(*) as mentions from (select q, unnest(w) as t from item) group by q, t
+), scored as (
+  select q, k, cast(sum(mentions * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+  from mention join weight using (t) join tf using (t) join size using (k) group by q, k
+), ranked as (
+  select q, doc_id, score, row_number() over (partition by q order by score desc, doc_id) as rank
+  from scored join size using (k) where score > 0
+)
+select item_id, cast(rank as int) as rank, doc_id, score from ranked join item using (q) where rank <= 20
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_sharding, op2_chat, op3_substring_dedup, op4_bpe, op5_simhash,
         op6_warc, op7_secret_scan, op8_line_dedup, op9_quality_rules, op10_decontaminate,
-        op12_token_files, op13_whitening,
+        op11_search, op12_token_files, op13_whitening,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": _OP2, "op6_warc": _OP6, "op10_decontaminate": _OP10}
+    return {"op2_chat": _OP2, "op6_warc": _OP6, "op10_decontaminate": _OP10, "op11_search": _OP11}
