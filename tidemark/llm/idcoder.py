@@ -20,8 +20,8 @@ import numpy as np
 #: Slots of the order-2 and order-1 tables of a lane.
 ORDER2_SLOTS, ORDER1_SLOTS = 4096, 2048
 #: Bits of a place in each class of order-0 places, the class's first place, and the places in all.
-_PLACE_BITS = np.array([4, 6, 8, 11, 0, 0, 0], dtype=np.int64)
-_FIRST = np.array([0, 16, 80, 336, 0, 0, 0], dtype=np.int64)
+_PLACE_BITS = np.array([4, 6, 8, 11, 0, 0, 0, 0], dtype=np.int64)
+_FIRST = np.array([0, 16, 80, 336, 0, 0, 0, 0], dtype=np.int64)
 PLACES = 336 + (1 << 11)
 _HINTS = 4096
 #: The coder's range lies between these; the difference is one word.
@@ -41,8 +41,11 @@ _SHIFT = np.array([0, _STEP, 2 * _STEP, 63], dtype=np.int64)
 _KEEP = _FIELD >> _RATE
 _KEPT = _KEEP | _KEEP << _STEP | _KEEP << 2 * _STEP
 _MIX1, _MIX2 = 0x9E3779B1, 0x85EBCA77
-#: Classes of a lane that codes no place; nothing, and an id in full.
-_NONE, _WHOLE = 5, 6
+#: Classes of a lane that codes no place: nothing, and an id in full. By event and class of place, the class that holds.
+_NONE, _WHOLE = 5, 7
+_KINDS = np.array([_NONE] * 8 + [0, 1, 2, 3] + [_WHOLE] * 4, dtype=np.int64)
+_MORE0 = np.array([_RISE, _RISE << _STEP, _RISE << 2 * _STEP, 0, 0, 0, 0, 0], dtype=np.int64)
+_KEPT0 = np.array([_KEPT] * 4 + [0] * 4, dtype=np.int64)
 
 
 class _Lanes:
@@ -61,7 +64,7 @@ class _Lanes:
         self.by0, self.row0 = np.full(n * 8, _EQUAL, dtype=np.int64), self.lane * 8
         self.weight = np.full(n, 1 << 15, dtype=np.int64)
         self.before, self.last, self.event, self.kind = (np.zeros(n, dtype=np.int64) for _ in range(4))
-        self.bounds, self.parts = np.zeros((5, n), dtype=np.int64), np.zeros((8, n), dtype=np.int64)
+        self.bounds, self.parts = np.zeros((5, n), dtype=np.int64), np.zeros((9, n), dtype=np.int64)
         self.raw_bits = _PLACE_BITS.copy()
         self.raw_bits[_WHOLE] = id_bits
         self.choices = np.zeros((4, n), dtype=np.int64)
@@ -82,13 +85,11 @@ class _Lanes:
         self.bounds[4] = width
 
     def divide(self, width: np.ndarray) -> None:
-        """Fill ``parts`` with where each class of places begins in ``width``; the last two stand for a lane without one."""
+        """Fill ``parts`` with where each class begins in ``width``; a lane without a place has all of it, from row 5 or 7."""
         self.r0 = self.row0 + self.kind
         self.p0 = self.by0.take(self.r0)
         np.multiply(((self.p0 * _SUMS + _ONES) >> _AT) & _FIELD, width >> _SCALE, out=self.parts[1:4])
-        self.parts[4] = width
-        self.parts[6] = width
-        self.parts[7] = width
+        self.parts[4::2] = width
 
     def learn(self, ids: np.ndarray, event: np.ndarray, kind: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Enter the coded ids; gives each lane's place of the id until now and from now on, and the id that left the latter."""
@@ -98,8 +99,7 @@ class _Lanes:
         self.by2[self.r2] = self.p2 - ((self.p2 >> _RATE) & _KEPT) + more
         self.by1[self.r1] = self.p1 - ((self.p1 >> _RATE) & _KEPT) + more
         found = event == 2
-        self.by0[self.r0] = np.where(found, self.p0 - ((self.p0 >> _RATE) & _KEPT) + _MORE.take(kind & 3), self.p0)
-        self.kind = np.where(found, kind, self.kind)
+        self.by0[self.r0] = self.p0 - ((self.p0 >> _RATE) & _KEPT0.take(kind)) + _MORE0.take(kind)
         fresh = (ids << 3 | 1).astype(np.int32)
         self.two[self.i2] = np.where(self.choices[0] == ids, np.minimum(self.v2 + 1, self.v2 | 7), fresh)
         self.one[self.i1] = np.where(self.choices[1] == ids, np.minimum(self.v1 + 1, self.v1 | 7), fresh)
@@ -110,7 +110,7 @@ class _Lanes:
         other = self.list.take(self.at0 + to)
         self.list[self.at0 + place] = other
         self.list[self.at0 + to] = ids
-        self.before, self.last, self.event = self.last, ids, event
+        self.before, self.last, self.event, self.kind = self.last, ids, event, kind
         return place, to, other
 
 
@@ -152,10 +152,10 @@ def encode_blocks(ids: np.ndarray, id_bits: int) -> list[bytes]:
         start = m.bounds.ravel().take(at)
         width = m.bounds.ravel().take(at + n) - start
         m.divide(width)
-        kind = np.where(event == 2, class_of.take(place), np.where(event == 3, _WHOLE, _NONE))
+        kind = _KINDS.take(event * 4 + class_of.take(place))
         at = kind * n + m.lane
-        first = np.where(event == 2, m.parts.ravel().take(at), 0)
-        width = (np.where(event == 2, m.parts.ravel().take(at + n), width) - first) >> m.raw_bits.take(kind)
+        first = m.parts.ravel().take(at)
+        width = (m.parts.ravel().take(at + n) - first) >> m.raw_bits.take(kind)
         raw = np.where(event == 3, now, np.where(event == 2, place - _FIRST.take(kind), 0))
         low += start + first + width * raw
         held, to, other = m.learn(now, event, kind, place)
@@ -198,15 +198,14 @@ def decode_blocks(payloads: list[bytes], length: int, id_bits: int) -> np.ndarra
         code -= start
         m.divide(width)
         reached = code >= m.parts[1:4]
-        found = event == 2
-        kind = np.where(found, reached[0].astype(np.int64) + reached[1] + reached[2], np.where(event == 3, _WHOLE, _NONE))
+        kind = _KINDS.take(event * 4 + reached[0] + reached[1] + reached[2])
         at0 = kind * n + m.lane
-        start = np.where(found, m.parts.ravel().take(at0), 0)
-        width = (np.where(found, m.parts.ravel().take(at0 + n, mode="clip"), width) - start) >> m.raw_bits.take(kind)
+        start = m.parts.ravel().take(at0)
+        width = (m.parts.ravel().take(at0 + n) - start) >> m.raw_bits.take(kind)
         code -= start
         raw = _quotient(code, width)
         code -= raw * width
-        where = np.where(found, _FIRST.take(kind) + raw, 0)
+        where = np.where(event == 2, _FIRST.take(kind) + raw, 0)
         m.choices[2] = m.list.take(m.at0 + where)
         m.choices[3] = raw
         ids = m.choices.ravel().take(at)

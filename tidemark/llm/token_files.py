@@ -21,6 +21,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,34 +38,18 @@ _HEAD = struct.Struct("<4sIIBIQQI")
 _CRC = struct.Struct("<I")
 _BLOCK = struct.Struct("<II")
 #: Ids of a block, and blocks after which a file ends with the document.
-BLOCK_IDS, FILE_BLOCKS = 4096, 2048
-CACHE_CHUNKS = 200_000
+BLOCK_IDS, FILE_BLOCKS = 2048, 4096
+#: Chunks that a worker remembers, and chunks encoded as one text.
+CACHE_CHUNKS, JOINED = 400_000, 100
 _CUT = re.compile(r" (?=\S)")
 
 
-class _Chunks(dict):
-    """Ids, as bytes, of a space and a chunk that begins with no white space; emptied when it holds ``CACHE_CHUNKS``."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace():
-            raise LookupError(chunk)
-        ids = self.encode(" " + chunk)
-        if len(chunk) <= 64:
-            if len(self) >= CACHE_CHUNKS:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-
 class IdEncoder:
     """Whole texts to ids by a tokenizer of the tokenizers library.
 
     A byte-level tokenizer with the usual pattern never joins what stands before a space with the word that the space
-    belongs to. Texts are cut there, and the library encodes each different chunk once; other tokenizers get whole texts.
+    belongs to. Texts are cut there, and the library encodes each different chunk of a batch once; other tokenizers get
+    whole texts.
     """
 
     def __init__(self, path: str):
@@ -78,21 +63,45 @@ class IdEncoder:
         whole = all(not re.search(r"\s", t["content"]) and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in made.get("added_tokens") or [])
         self.cuts = bool(plain and whole and not made.get("normalizer"))
         self.id_bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self.chunks = _Chunks(self._whole)
+        #: Ids, as bytes, of a space and a chunk that begins with no white space; emptied when it holds ``CACHE_CHUNKS``.
+        self.chunks: dict[str, bytes] = {}
+        self.begins = np.array([(self.tokenizer.id_to_token(k) or "").startswith("\u0120") for k in range(1 << self.id_bits)])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        if not self.cuts or not text:
-            return self._whole(text) if text else b""
-        first, *rest = text.split(" ")
-        try:
-            return self._whole(first) + b"".join(map(self.chunks.__getitem__, rest))
-        except LookupError:  # spaces beside other white space
-            first, *rest = _CUT.split(text)
-            return self._whole(first) + b"".join(map(self.chunks.__getitem__, rest))
+    def _learn(self, new: list[str]) -> None:
+        """Enter chunks: some without a space are encoded as one text, in which each begins with the only token that has one."""
+        joined = [c for c in new if " " not in c]
+        for k in range(0, len(joined), JOINED):
+            some = joined[k : k + JOINED]
+            raw = self._whole(" " + " ".join(some))
+            starts = np.flatnonzero(self.begins[np.frombuffer(raw, dtype="<u4")]).tolist()
+            if len(starts) == len(some):
+                cuts = [4 * i for i in starts] + [len(raw)]
+                self.chunks.update((c, raw[i:j]) for c, i, j in zip(some, cuts, cuts[1:], strict=False))
+        self.chunks.update((c, self._whole(" " + c)) for c in new if c not in self.chunks)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        if not self.cuts:
+            return [self._whole(t) if t else b"" for t in texts]
+        parts = [t.split(" ") for t in texts]
+        new = set(chain.from_iterable(p[1:] for p in parts)).difference(self.chunks)
+        odd = {c for c in new if not c or c[0].isspace()}  # spaces beside other white space
+        if odd:
+            parts = [p if odd.isdisjoint(p[1:]) else _CUT.split(t) for p, t in zip(parts, texts, strict=True)]
+            new = set(chain.from_iterable(p[1:] for p in parts)).difference(self.chunks)
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.chunks.clear()
+            new = set(chain.from_iterable(p[1:] for p in parts))
+        if new:
+            self._learn([*new])
+        out = [(self._whole(p[0]) if p[0] else b"") + b"".join(map(self.chunks.__getitem__, p[1:])) for p in parts]
+        for chunk in new:
+            if len(chunk) > 64:
+                del self.chunks[chunk]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -207,8 +216,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array([content], type=pa.binary())], names=["content"])
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = coder.encode(text.as_py() or "") + end
+            encoded = coder.encode_all([t or "" for t in b.column(1).to_pylist()])
+            for doc, ids in zip(b.column(0).to_pylist(), encoded, strict=True):
+                ids += end
                 held.append((doc, len(ids) >> 2))
                 texts.append(ids)
                 size += len(ids) >> 2
