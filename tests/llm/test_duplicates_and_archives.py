@@ -335,3 +335,43 @@ def test_loser_tree(k):
     rng = random.Random(k)
     runs = [sorted(((f"u{rng.randrange(5)}", "t", rng.randrange(9), 1, "d", "response", None, "f", 0, 1) for _ in range(rng.randrange(20))), key=warc._order) for _ in range(k)]
     assert list(warc.LoserTree(map(iter, runs))) == sorted(sum(runs, []), key=warc._order)
+
+
+def test_line_dedup_tells_documents_apart_by_id_and_text(spark):
+    four = [(None, "alpha beta\nalpha beta"), (None, "x y\nquite unique line here"), (1, "p q r\np q r"), (1, "s t\nanother wholly unique line")]
+    got = {r.text for r in line_dedup.dedup_lines(spark.createDataFrame(four, DOCS)).collect()}
+    assert got == {"alpha beta", "x y\nquite unique line here", "p q r", "s t\nanother wholly unique line"}
+    rng = random.Random(17)
+    base = [" ".join(rng.choices("abcdef", k=rng.choice([2, 5, 7]))) for _ in range(30)]
+    rows = list(dict.fromkeys((rng.choice([None, None, 3, 3, 8, 9]), "\n".join(rng.choices(base, k=rng.randrange(1, 6)))) for _ in range(70)))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1], seed=42))))
+    want = plain_lines([(k, t) for k, (_, t) in enumerate(ordered)])
+    frame = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as s", "2 as z", "3 as doc", "4 as own_0").repartition(5)
+    found = {(r.doc_id, frozenset(r.removed), r.text) for r in line_dedup.dedup_lines(frame).collect()}
+    assert found == {(i, frozenset(want[k]), "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[k])) for k, (i, t) in enumerate(ordered)}
+
+
+def test_keep_first_leaves_other_columns_alone(spark):
+    rows = [(1, "one two three four"), (2, "one two three four"), (2, "one two three four"), (None, "five six seven"), (None, "five six seven")]
+    frame = spark.createDataFrame(rows, DOCS).selectExpr("*", "'mine' as gone_id_", "'too' as gone_same_", "'r' as row", "'o' as own_id", "'s' as own_same", "'f' as fp", "'g' as `group`")
+    got = simhash.keep_first(frame)
+    assert got.columns == frame.columns
+    assert sorted((r.doc_id or 0, r.gone_id_, r.gone_same_, r.row, r.own_id, r.own_same, r.fp, r.group) for r in got.collect()) == [(k, "mine", "too", "r", "o", "s", "f", "g") for k in (0, 1)]
+
+
+def test_hot_line_is_split_in_the_join(spark):
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('the one very common line of all texts\\nown line ', id) as text").repartition(8)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        removed = line_dedup.removed_lines(docs)
+        assert removed.where("line = 0").count() == 19_999
+        removed.write.format("noop").mode("overwrite").save()
+        removed.collect()
+        assert "skew=true" in removed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

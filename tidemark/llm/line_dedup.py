@@ -6,7 +6,8 @@ one word, as hashed keys. A changed word leaves equal variants with the same pla
 line a variant of the other. A key's group is never listed as pairs: each line only needs the earliest line of each of
 its keys, so groups are reduced to their earliest member, and that one is verified by its edit distance.
 
-A line is removed if any earlier line (smaller document id, then line number) equals it or is near it. Equal lines are
+A line is removed if any earlier line (smaller document id, then digest of the text, then line number) equals it or is near
+it. Documents are told apart by id and text, so rows that share an id, or have none, keep what only they hold. Equal lines are
 told at any length of a word or more; near ones from ``min_words`` words on: at five words, one edit is a similarity of 0.8.
 """
 
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import small_batches, stash
+from tidemark.llm.store import discard, small_batches, stash
 
 MIN_WORDS = 5
 _BASE = 0x9E3779B97F4A7C15
@@ -65,18 +66,19 @@ def variant_keys(words: list[bytes]) -> tuple[int, np.ndarray]:
 
 
 def hash_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """``(doc, line, h, h2, halves)`` of every line with a word; lines of fewer than ``min_words`` words have no halves."""
+    """``(doc, s, z, line, h, h2, halves)`` of every line with a word; lines of fewer than ``min_words`` words have no halves."""
 
     def pack(ids: list, numbers: list[int], keys: list[bytes], halves: list[int], ends: list[int]) -> pa.RecordBatch:
         key = np.frombuffer(b"".join(keys), dtype=">i8").reshape(-1, 2).astype(np.int64)
         listed = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(np.array(halves, dtype=np.uint64).view(np.int64)))
-        columns = [pa.array(ids, type=pa.int64()), pa.array(numbers, type=pa.int32()), pa.array(np.ascontiguousarray(key[:, 0])), pa.array(np.ascontiguousarray(key[:, 1])), listed]
-        return pa.RecordBatch.from_arrays(columns, names=["doc", "line", "h", "h2", "halves"])
+        names = [pa.array([i[k] for i in ids], type=pa.int64()) for k in range(3)]
+        columns = [*names, pa.array(numbers, type=pa.int32()), pa.array(np.ascontiguousarray(key[:, 0])), pa.array(np.ascontiguousarray(key[:, 1])), listed]
+        return pa.RecordBatch.from_arrays(columns, names=["doc", "s", "z", "line", "h", "h2", "halves"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, numbers, keys, halves, ends = [], [], [], [], [0]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for *doc, text in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
                 for number, line in enumerate((text.as_py() or b"").split(b"\n")):
                     words = line_words(line)
                     if words:
@@ -91,12 +93,22 @@ def hash_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
                     ids, numbers, keys, halves, ends = [], [], [], [], [0]
             yield pack(ids, numbers, keys, halves, ends)
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc bigint, line int, h bigint, h2 bigint, halves array<bigint>")
+    rows = docs.select(*_document(docs, id_col, text_col), F.col(text_col).cast("binary").alias("t"))
+    return rows.mapInArrow(run, "doc bigint, s bigint, z bigint, line int, h bigint, h2 bigint, halves array<bigint>")
 
 
-def _place(doc: str, line: str) -> Column:
-    return F.struct(F.col(doc).alias("doc"), F.col(line).alias("line"))
+def _document(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """What tells documents apart: id, digest of the text, and a second digest where there is no id."""
+    number, text = docs[id_col].cast("bigint"), F.coalesce(docs[text_col], F.lit(""))
+    return [number.alias("doc"), F.xxhash64(text).alias("s"), F.when(number.isNull(), F.xxhash64(F.lit(1), text)).otherwise(F.lit(0)).alias("z")]
+
+
+#: A place in the table; places are ordered by its fields.
+_PLACE = "struct<doc:bigint,s:bigint,z:bigint,line:int>"
+
+
+def _place() -> Column:
+    return F.struct("doc", "s", "z", "line")
 
 
 def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
@@ -107,7 +119,8 @@ def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
 def _likely(distinct: DataFrame) -> DataFrame:
     """``(h, h2, first)`` of the different lines that share an unchanged half with another; the rest have no near line."""
     halves = distinct.select("h", "h2", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
+    # written, so that a half of very many lines can be split in the join
+    shared = stash(halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half"), "halves")
     chosen = halves.join(shared, "half", "left_semi").select("h", "h2").distinct()
     return distinct.join(chosen, ["h", "h2"], "left_semi").select("h", "h2", "first")
 
@@ -128,7 +141,7 @@ def _variants(texts: DataFrame) -> DataFrame:
                 made = [pa.array(np.concatenate(key)), pa.array(np.concatenate(at))]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *made], names=["h", "first", "key", "at"])
 
-    return texts.select("h", "first", "words").mapInArrow(run, "h bigint, first struct<doc:bigint,line:int>, key bigint, at int")
+    return texts.select("h", "first", "words").mapInArrow(run, f"h bigint, first {_PLACE}, key bigint, at int")
 
 
 def _near(texts: DataFrame) -> DataFrame:
@@ -159,49 +172,55 @@ def _near(texts: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, likely: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(h, h2, first, words)`` of the likely lines, read where they first stand."""
-    raw = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "raw"))
-    at = _small(likely.select("h", "h2", "first", F.col("first.doc").alias("d"), F.col("first.line").alias("n")))
-    found = raw.join(at, raw["doc"].eqNullSafe(at["d"]) & (raw["line"] == at["n"])).select("h", "h2", "first", "raw")
+    raw = docs.select(*_document(docs, id_col, text_col), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "raw"))
+    at = _small(likely.select("h", "h2", "first", F.col("first.doc").alias("d"), F.col("first.s").alias("ds"), F.col("first.z").alias("dz"), F.col("first.line").alias("n")))
+    same = (raw["s"] == at["ds"]) & (raw["z"] == at["dz"]) & (raw["line"] == at["n"]) & raw["doc"].eqNullSafe(at["d"])
+    found = raw.join(at, same).select("h", "h2", "first", "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [line_words(x) for x in b.column(3).cast(pa.binary()).to_pylist()]
-            # rows that share an id may hold other lines at this place
+            # two texts of one id and digest may hold other lines at this place
             keys = np.frombuffer(b"".join(map(line_key, words)), dtype=">i8").reshape(-1, 2)
             good = pa.array((keys[:, 0] == b.column(0).to_numpy()) & (keys[:, 1] == b.column(1).to_numpy()))
             out = pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(words, type=pa.list_(pa.binary()))], names=["h", "h2", "first", "words"])
             yield out.filter(good)
 
-    return found.mapInArrow(run, "h bigint, h2 bigint, first struct<doc:bigint,line:int>, words array<binary>").dropDuplicates(["h", "h2"])
+    return found.mapInArrow(run, f"h bigint, h2 bigint, first {_PLACE}, words array<binary>").dropDuplicates(["h", "h2"])
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc, line)`` of the lines that repeat an earlier line, or are one word edit away from one."""
+    """``(doc, s, z, line)`` of the lines that repeat an earlier line, or are one word edit away from one."""
     small_batches(docs.sparkSession)
     seen = stash(hash_lines(docs, id_col, text_col, min_words), "lines")
     distinct = stash(
         seen.groupBy("h", "h2").agg(
-            F.min(_place("doc", "line")).alias("first"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("c")
+            F.min(_place()).alias("first"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("c")
         ),
         "different",
     )
     likely = stash(_likely(distinct), "likely")
-    near = _near(stash(_texts(docs, likely, id_col, text_col), "texts"))
+    texts = stash(_texts(docs, likely, id_col, text_col), "texts")
+    near = _near(texts)
     bounds = distinct.join(near, ["h", "h2"], "left").where((F.col("c") > 1) | F.col("bound").isNotNull())
-    bounds = bounds.select("h", "h2", F.least("first", F.coalesce("bound", "first")).alias("bound"))
-    return seen.join(bounds, ["h", "h2"]).where(_place("doc", "line") > F.col("bound")).select("doc", "line").distinct()
+    # written, so that a line of very many documents can be split in the join
+    bounds = stash(bounds.select("h", "h2", F.least("first", F.coalesce("bound", "first")).alias("bound")), "bounds")
+    discard(texts)
+    discard(likely)
+    return seen.join(bounds, ["h", "h2"]).where(_place() > F.col("bound")).select("doc", "s", "z", "line").distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated and nearly repeated lines taken out of ``text_col``, and ``removed array<int>`` (line numbers).
 
-    The other columns stay. Rows that share an id count as one document read twice: neither is earlier, and what is
-    removed at a line number leaves both. A null id is earlier than all others. A null text stays null. Equal lines are
-    told by 128-bit hashes; a near line is verified word by word. Lines without a word stay.
+    The other columns stay. Rows with one id and different texts are documents of their own, in the order of a digest of
+    the text, and so are rows without an id, which come before all others; rows equal in id and text are one document, and
+    lose the same lines. A null text stays null. Equal lines are told by 128-bit hashes; a near line is verified word by
+    word. Lines without a word stay.
     """
-    gone = removed_lines(docs, id_col, text_col, min_words).groupBy(F.col("doc").alias("gone_doc")).agg(F.collect_set("line").alias("gone"))
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("bigint").alias("id"))
-    joined = packed.join(gone, packed["id"].eqNullSafe(gone["gone_doc"]), "left")
+    gone = removed_lines(docs, id_col, text_col, min_words).groupBy("doc", "s", "z").agg(F.collect_set("line").alias("gone"))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[c.alias(f"own_{k}") for k, c in enumerate(_document(docs, id_col, text_col))])
+    joined = packed.join(gone, packed["own_0"].eqNullSafe(gone["doc"]) & (packed["own_1"] == gone["s"]) & (packed["own_2"] == gone["z"]), "left")
     none = F.array().cast("array<int>")
     split = joined.select("row", F.coalesce("gone", none).alias("gone"), F.split(F.col("row")[text_col], "\n", -1).alias("ls"))
     left = split.select("row", "gone", "ls", F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), "gone").alias("stay"))

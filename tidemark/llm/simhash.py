@@ -139,7 +139,8 @@ def links(fps: DataFrame, segments: int = SEGMENTS, max_bits: int = MAX_BITS, cr
         mask = reduce(lambda c, k: c.when(F.col("ix") == k, F.lit(_number(keys[k]))), range(len(keys)), F)
         probes = probes.select("fp", "ix", "near", "used", F.col("near").bitwiseAND(mask).alias("key"))
         last = BITS - min(map(len, keys)) <= FLOOR_BITS
-        size = table.groupBy("ix", "key").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("low"))
+        # written, so that an entry that very many probes ask for can be split in the join
+        size = stash(table.groupBy("ix", "key").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("low")), "entries")
         # an entry that holds the asking fingerprint alone has no candidate
         met = probes.join(size, ["ix", "key"]).where((F.col("c") > 1) | (F.col("low") != F.col("fp")))
         met = stash(met.select("fp", "ix", "near", "used", "key", "c"), "met")
@@ -148,6 +149,7 @@ def links(fps: DataFrame, segments: int = SEGMENTS, max_bits: int = MAX_BITS, cr
         close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
         pair = fetched.where((F.col("a") != F.col("b")) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         out.append(stash(pair.distinct(), "pairs"))
+        discard(size)
         held_on += [met, out[-1]]
         full = met.where(F.col("c") > crowd)
         if last or not full.limit(1).count():
@@ -212,14 +214,16 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = stash(rows, "members")
     first = stash(rows.groupBy("group").agg(F.min(order).alias("f")).select("group", "f.id", "f.same"), "first")
     is_first = (rows["group"] == first["group"]) & rows["id"].eqNullSafe(first["id"]) & (rows["same"] == first["same"])
-    left = docs.withColumns({"gone_id_": F.col(id_col).cast("bigint"), "gone_same_": _same(F.col(text_col))})
-    on = lambda other: left["gone_id_"].eqNullSafe(other["id"]) & (left["gone_same_"] == other["same"])
+    left = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("bigint").alias("own_id"), _same(docs[text_col]).alias("own_same"))
+    on = lambda other: left["own_id"].eqNullSafe(other["id"]) & (left["own_same"] == other["same"])
     gone = stash(rows.join(first, is_first, "left_anti").select("id", "same"), "gone")
     stay = left.join(gone, on(gone), "left_anti")
     again = stash(rows.where("n > 1").join(first, is_first, "left_semi").select("id", "same"), "again")
+    unpacked = lambda df: df.select(*[F.col("row")[c].alias(c) for c in docs.columns])
     if not again.limit(1).count():
-        return stay.select(*docs.columns)
-    single = stay.join(again, on(again), "left_anti").select(*docs.columns)
+        return unpacked(stay)
+    single = unpacked(stay.join(again, on(again), "left_anti"))
     several = stay.join(again, on(again), "left_semi")
-    one = several.groupBy("gone_id_", "gone_same_").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
-    return single.unionByName(one)
+    digest = F.xxhash64(*[F.col("row")[c] for c in docs.columns])
+    one = several.groupBy("own_id", "own_same").agg(F.min_by("row", digest).alias("row"))
+    return single.unionByName(unpacked(one))
