@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -121,14 +122,32 @@ def str11(spark, sf_dir):
     return d.select("doc_id", *[c.alias(n) for n, c in T.structure_counts(F.col("s")).items()])
 
 
-@query("STR12", "select doc_id, case doc_id % 4 when 0 then 1.0::double when 1 then cast(doc_id % 3 = 0 as integer)::double when 2 then 1.0::double else 0.0::double end as correctness from documents")
+# numbers of each text: its characters, and its spaces and one
+_NUMBERS = "select doc_id, coalesce(length(text), 0) as n, coalesce(length(text) - length(replace(text, ' ', '')), 0) + 1 as m from documents"
+
+
+def _numbers(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    return _docs(spark, sf_dir).select("doc_id", "text", F.length(text).alias("n"), (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))  + 1).alias("m"))
+
+
+@query("STR12", f"""with t as ({_NUMBERS}) select doc_id, case doc_id % 5 when 0 then 1.0::double when 1 then cast(n % 2 = 0 as integer)::double when 2 then 1.0::double
+  when 3 then cast(m % 2 = 0 as integer)::double else 0.0::double end as correctness from t""")
 def str12(spark, sf_dir):
-    i = F.col("doc_id")
-    label = F.when(i % 4 == 0, F.lit(1.0))
-    prediction = F.when(i % 4 == 1, F.concat(F.lit("answer: "), F.when(i % 3 == 0, F.lit("yes")).otherwise(F.lit("no")))).when(i % 4 == 2, F.lit("#### 1,200")).otherwise(F.lit(" other"))
-    reference = F.when(i % 4 == 1, F.lit("true")).when(i % 4 == 2, F.lit("1200.0")).otherwise(F.lit("ref"))
-    kind = F.when(i % 4 == 1, F.lit("logic")).when(i % 4 == 2, F.lit("math")).otherwise(F.lit("qa"))
-    return _docs(spark, sf_dir).select("doc_id", T.correctness(label, prediction, reference, kind).alias("correctness"))
+    k, n, m = F.col("doc_id") % 5, F.col("n"), F.col("m")
+    said = lambda *parts: F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    label = F.when(k == 0, F.lit(1.0))
+    prediction = (
+        F.when(k == 1, said("answer: ", F.when(n % 2 == 0, F.lit("yes")).otherwise(F.lit("no"))))
+        .when(k == 2, said("#### ", n, ".0")).when(k == 3, said("so \\boxed{(x+", m, ")(x-", n, ")}")).otherwise(F.lit(" other"))
+    )
+    product = F.concat(F.lit("\\boxed{x^2+("), m - n, F.lit(")x-"), m * n + m % 2, F.lit("}"))
+    reference = F.when(k == 1, F.lit("true")).when(k == 2, F.concat(F.lit("#### "), n)).when(k == 3, product).otherwise(F.lit("ref"))
+    kind = F.when(k == 1, F.lit("logic")).when(k.isin(2, 3), F.lit("math")).otherwise(F.lit("qa"))
+    from tidemark.functions.grading import grade_rows
+
+    dataset = F.when(k == 3, F.lit("math_500")).otherwise(F.lit("gsm8k"))
+    return grade_rows(_numbers(spark, sf_dir), label, prediction, reference, kind, dataset).select("doc_id", "correctness")
 
 
 @query("STR13", "select doc_id, case when doc_id % 2 = 0 and regexp_matches(text, '\\S') then 1.0::double else 0.0::double end as matched from documents")
@@ -157,13 +176,37 @@ def str15(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", grader_form(s).alias("norm"))
 
 
-@query("STR17", "select doc_id, doc_id % 3 = 0 as equal from documents")
-def str17(spark, sf_dir):
-    from tidemark.functions.grading import tuple_equal
+_OUTCOMES = f"""with t as ({_NUMBERS}) select doc_id, case doc_id % 6 when 0 then n % 2 = 0 when 1 then true when 2 then m % 3 = 0 when 3 then n % 2 = 1 when 4 then true else false end"""
 
-    i = F.col("doc_id").cast("string")
-    given = F.concat(F.lit("("), i, F.lit(", "), F.when(F.col("doc_id") % 3 == 0, F.lit("1,234")).otherwise(F.lit("7")), F.lit(")"))
-    return _docs(spark, sf_dir).select("doc_id", tuple_equal(given, F.concat(F.lit("( "), i, F.lit(", 1,234 )"))).alias("equal"))
+
+@query("STR16", f"{_OUTCOMES} as equal from t")
+def str16(spark, sf_dir):
+    from tidemark.functions.symbolic import equal_expressions
+
+    k, n, m = F.col("doc_id") % 6, F.col("n"), F.col("m")
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    given = (
+        F.when(k == 0, text("(x+", n, ")^2")).when(k == 1, text("(x+", n, ")/(", m, "y)")).when(k == 2, text("sqrt(", m, ")*sqrt(", n + 1, ")"))
+        .when(k == 3, text("((", n, "x)^2-", m, "^2)/(", n, "x-", m, ")")).when(k == 4, text("2^3*", n, "-x*0")).otherwise(text("x^", n + 10))
+    )
+    truth = (
+        F.when(k == 0, text("x^2+", 2 * n, "x+", n * n + n % 2)).when(k == 1, text("x/(", m, "y)+", n, "/(", m, "y)"))
+        .when(k == 2, text("sqrt(", m * (n + 1) + F.when(m % 3 == 0, 0).otherwise(1), ")")).when(k == 3, text(n + 1 - n % 2, "x+", m))
+        .when(k == 4, text("8(", n, ")")).otherwise(text("x^", n + 10))
+    )
+    return _numbers(spark, sf_dir).select("doc_id", equal_expressions(given, truth).alias("equal"))
+
+
+@query("STR17", f"with t as ({_NUMBERS}) select doc_id, case doc_id % 4 when 0 then n % 3 = 0 when 1 then m % 2 = 0 when 2 then true else m between 100 and 999 end as equal from t")
+def str17(spark, sf_dir):
+    """A number of three digits behind a comma joins the number before it, and a single element has no brackets to compare."""
+    from tidemark.functions.grading import compare_answers
+
+    k, n, m = F.col("doc_id") % 4, F.col("n"), F.col("m")
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    given = F.when(k == 0, text("(", n, ", ", F.when(n % 3 == 0, F.lit("1,234")).otherwise(F.lit("7")), ")")).when(k == 1, text("[", m, "x+x, ", n, "]")).when(k == 2, text("(x^2/x, ", m, ")")).otherwise(text("(", n, ", ", m, ")"))
+    truth = F.when(k == 0, text("( ", n, ", 1,234 )")).when(k == 1, text("[", m + 1 + m % 2, "x, ", n, ".0]")).when(k == 2, text("(1x, ", m, ".0)")).otherwise(text("(", n, ", ", m, "]"))
+    return compare_answers(_numbers(spark, sf_dir), given, truth, forms=False).select("doc_id", "equal")
 
 
 @query("STR19", "select doc_id, 'after ' || doc_id as rest from documents")
