@@ -47,7 +47,8 @@ def test_text_cases(spark, function, cases):
 
 def test_grades(spark):
     pairs = {("1,000", "1000"): True, ("(1,2)", "( 1, 2 )"): True, ("(1,2)", "[1,2]"): False, ("1/2", "0.5"): True, ("x", "y"): False}
-    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string").select("k", G.grade(F.col("a"), F.col("b")).alias("x")).orderBy("k")
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string")
+    rows = G.compare_answers(rows, F.col("a"), F.col("b"), "x").orderBy("k")
     assert [r.x for r in rows.collect()] == list(pairs.values())
 
 

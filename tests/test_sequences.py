@@ -169,9 +169,10 @@ def test_slots_match_numpy(spark):
     shares = {k: soft(v[:20], 0.25) for k, v in rows.items()}
     given = frame.select("embedding", V.softmax(F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 20), 0.25).alias("d"), F.lit(2.0).alias("w"))
     priors = {r.slot: np.array(r.prior) for r in slots.slot_priors(given, "embedding", "d", "w", centres).collect()}
-    assert set(priors) == set(near.values())
-    assert all(np.allclose(p, soft(np.mean([shares[k] for k in rows if near[k] == j], axis=0), 1.0), atol=1e-9) for j, p in priors.items())
-    table = np.array([priors.get(j, np.full(20, 0.05)) for j in range(len(centres))])
+    assert set(priors) == set(range(len(centres)))
+    own = lambda j: [shares[k] for k in rows if near[k] == j] or [*shares.values()]
+    assert all(np.allclose(p, soft(np.mean(own(j), axis=0), 1.0), atol=1e-9) for j, p in priors.items())
+    table = np.array([priors[j] for j in range(len(centres))])
     for r in frame.select("vec_id", slots.query_slots(F.col("embedding"), centres, table.tolist()).alias("p")).collect():
         assert np.allclose(r.p, soft(centres @ unit[r.vec_id], 0.35) @ table, atol=1e-9)
 

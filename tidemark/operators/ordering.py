@@ -32,8 +32,19 @@ def dense_index(rows: DataFrame, order: Sequence[Column | str], by: Sequence[str
 
 
 def exact_median(rows: DataFrame, value: Column, name: str = "median") -> DataFrame:
-    """One row: the median of a value, the mean of the two middle ones of an even number; null without values."""
-    values = dense_index(rows.select(value.cast("double").alias("v")).where("v is not null"), ["v"])
-    n = values.agg(F.count(F.lit(1)).alias("n"))
-    middle = values.join(F.broadcast(n), F.col("place").isin(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))  # one row
-    return middle.agg(F.avg("v").alias(name))
+    """One row: the median of a value, the mean of the two middle ones of an even number; null without values.
+
+    Equal values are counted before anything is shuffled, so a value that nearly all rows have is one row. The different
+    values are sorted in ranges; counts run on within a range, and from range to range.
+    """
+    counts = rows.select(value.cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    held = stash(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "counts")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = held.groupBy("part").agg(F.sum("n").alias("n")).select("part", before(Window.orderBy("part")).alias("from_part"))
+    total = held.agg(F.sum("n").alias("total"))
+    placed = held.withColumn("in_part", before(Window.partitionBy("part").orderBy("v"))).join(parts, "part").crossJoin(F.broadcast(total))  # one row
+    first = F.col("from_part") + F.col("in_part")
+    holds = lambda place: (first <= place) & (place < first + F.col("n"))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    middle = placed.select(F.when(holds(low), F.col("v")).alias("low"), F.when(holds(high), F.col("v")).alias("high"))
+    return middle.agg(((F.max("low") + F.max("high")) / 2).alias(name))

@@ -5,17 +5,27 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.scoring import PROBLEM, best_action
 
 
+# Fields of a run's rows, and their names in its summary.
+RUN_FIELDS = (("correctness", "acc"), ("score_proxy", "score"), ("token_count", "tokens"), ("think_token_count", "think_tokens"), ("answer_token_count", "answer_tokens"), ("latency_sec", "latency_sec"), ("switches", "switches"))
+
+
+def run_summary(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows and seven means of an online run, by baseline or overall; zeros without a row."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(n) for c, n in RUN_FIELDS])
+
+
 def policy_summary(rows: DataFrame, *by: str) -> DataFrame:
-    """Rows, mean correctness, score and tokens of a policy; zeros where there is no row."""
+    """Rows, mean correctness, score, tokens and (where the table has them) switches of a policy; zeros where there is no row."""
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
     return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), mean("correctness").alias("mean_correctness"), mean("score").alias("mean_score"), mean("token_count").alias("mean_tokens")
+        F.count(F.lit(1)).alias("n"), mean("correctness").alias("mean_correctness"), mean("score").alias("mean_score"), mean("token_count").alias("mean_tokens"),
+        *([mean("switches").alias("mean_switches")] if "switches" in rows.columns else []),
     )
 
 
@@ -62,14 +72,25 @@ def match_rows(pairs: DataFrame, anchor: Sequence[str], target: Sequence[str], o
     """For each anchor and target trace, the target's boundary that a switch lands on: ``(anchor, target, matched)``.
 
     ``pairs`` has one row for each boundary of a target trace (``order``: its place there) with ``anchor_progress``,
-    ``progress`` and the kernel ``weight`` (0 where the kernel rules it out). Boundaries that lie back by more than
-    ``tolerance`` do not count. The largest positive weight wins, to eight digits, then the smaller gap in progress, then
-    the earlier boundary; without positive weights the smallest gap; without any boundary that counts the first one.
+    ``progress`` and the kernel ``weight`` (0 where the kernel rules it out). Boundaries are taken in order; those that lie
+    back by more than ``tolerance`` do not count. One replaces the best so far if its weight is larger, or within 1e-8 of
+    it and its gap in progress smaller: near ties are decided against the running best, so a chain of them can drift.
+    Without a positive weight the smallest gap wins, without any boundary that counts the first one. A group holds the
+    boundaries of one trace.
     """
     gap = F.abs(F.col("progress") - F.col("anchor_progress"))
     near = F.col("progress") + tolerance >= F.col("anchor_progress")
-    rank = F.struct((-F.round("weight", 8)).alias("w"), gap.alias("g"), F.col(order).alias("matched"))
-    return pairs.groupBy(*anchor, *target).agg(F.coalesce(F.min(F.when(near, rank))["matched"], F.min(order)).alias("matched"))
+    grouped = pairs.groupBy(*anchor, *target).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("k"), F.col("weight").cast("double").alias("w"), gap.cast("double").alias("g"), near.alias("near")))).alias("rows"))
+    begin = F.struct(F.lit(None).cast("bigint").alias("k"), F.lit(-1.0).alias("w"), F.lit(float("inf")).alias("g"))
+
+    def step(best: Column, row: Column) -> Column:
+        better = row["near"] & ((row["w"] > best["w"]) | ((F.abs(row["w"] - best["w"]) < 1e-8) & (row["g"] < best["g"])))
+        return F.when(better, F.struct(row["k"].alias("k"), row["w"].alias("w"), row["g"].alias("g"))).otherwise(best)
+
+    ranked = lambda rows: F.transform(F.filter(rows, lambda r: r["near"]), lambda r: F.struct(r["g"].alias("g"), r["k"].alias("k")))
+    folded = grouped.select(*anchor, *target, F.aggregate("rows", begin, step).alias("best"), F.array_min(ranked("rows"))["k"].alias("closest"), F.get("rows", F.lit(0))["k"].alias("first"))
+    matched = F.coalesce(F.when(F.col("best.w") > 0, F.col("best.k")), F.col("closest"), F.col("first"))
+    return folded.select(*anchor, *target, matched.cast(pairs.schema[order].dataType).alias("matched"))
 
 
 def choose_action(scores: Sequence[float], current: int, remaining: float, answer: bool, budgets: Sequence[float], hysteresis: float = 0.05, switch_cost: float = 0.1, guardrail: float = 0.35) -> int:

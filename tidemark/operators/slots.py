@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as V
 from tidemark.functions.text import let
+from tidemark.sources.files import stash
 
 
 def _moved(units: DataFrame, centres: np.ndarray) -> np.ndarray:
@@ -20,7 +21,7 @@ def _moved(units: DataFrame, centres: np.ndarray) -> np.ndarray:
         total, count = np.zeros_like(centres), np.zeros(len(centres))
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column(0).to_pylist(), dtype=np.float64)
+                x = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1)
                 near = ((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None]).argmin(1)
                 np.add.at(total, near, x)
                 count += np.bincount(near, minlength=len(centres))
@@ -40,7 +41,7 @@ def fit_centres(rows: DataFrame, vector: str, k: int = 8, seed: int = 42, sample
 
     The first centres are random distinct rows among the ``sample_rows`` of the smallest id digests.
     """
-    units = rows.select(order, V.l2_normal(F.col(vector)).alias("v"))
+    units = stash(rows.select(order, V.l2_normal(F.col(vector)).alias("v")), "units")  # read by each step
     sample = units.orderBy(F.xxhash64(order), order).limit(sample_rows).collect()
     centres = np.array([r["v"] for r in sorted(sample, key=lambda r: r[order])], dtype=np.float64)
     if len(centres) > k:
@@ -67,11 +68,19 @@ def _table(rows: list[list[float]]) -> Column:
 
 
 def slot_priors(rows: DataFrame, vector: str, distribution: str, weight: str, centres: np.ndarray) -> DataFrame:
-    """``(slot, prior)``: weighted mean distribution of the rows nearest to each slot, as a softmax of itself."""
+    """``(slot, prior)`` for every slot: weighted mean distribution of the rows nearest to it, as a softmax of itself.
+
+    A slot without rows has the unweighted mean over all rows in its place. Without any rows there is no prior.
+    """
     # the slot is found before the distribution is taken apart, once for each row
     found = rows.select(V.argmax(similarities(F.col(vector), centres)).alias("slot"), F.col(weight).alias("w"), F.col(distribution).alias("d"))
     assigned = found.select("slot", "w", F.posexplode_outer("d").alias("i", "p")).where("i is not null")
-    means = assigned.groupBy("slot", "i").agg((F.sum(F.col("w") * F.col("p")) / F.greatest(F.lit(1e-8), F.sum("w"))).alias("p"))
+    sums = assigned.groupBy("slot", "i").agg(F.sum(F.col("w") * F.col("p")).alias("wp"), F.sum("w").alias("w"), F.sum("p").alias("p"), F.count(F.lit(1)).alias("n"))
+    # slots by places, whatever the rows: small tables from here on
+    overall = sums.groupBy("i").agg((F.sum("p") / F.sum("n")).alias("mean"))
+    own = sums.select("slot", "i", (F.col("wp") / F.greatest(F.lit(1e-8), F.col("w"))).alias("own"))
+    slots = rows.sparkSession.range(len(centres)).select(F.col("id").cast("int").alias("slot"))
+    means = slots.crossJoin(F.broadcast(overall)).join(own, ["slot", "i"], "left").select("slot", "i", F.coalesce("own", "mean").alias("p"))
     gathered = means.groupBy("slot").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]).alias("p"))
     return gathered.select("slot", V.softmax(F.col("p")).alias("prior"))
 

@@ -72,6 +72,14 @@ def gradients(layers: Layers, x: np.ndarray, target: np.ndarray, weight: np.ndar
     return _flat(out[::-1]), loss
 
 
+def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets, weights and pairs of a batch of ``(x, t, w, p)``."""
+    x, target = (b.column(k).flatten().to_numpy().reshape(b.num_rows, -1) for k in (0, 1))
+    listed, owner = b.column(3).flatten(), np.repeat(np.arange(b.num_rows), np.diff(b.column(3).offsets.to_numpy()))
+    fields = [listed.field(k).to_numpy(zero_copy_only=False) for k in range(3)]
+    return x, target, b.column(2).to_numpy(), np.column_stack((owner, *fields)).astype(np.float64)
+
+
 def _step(rows: DataFrame, layers: Layers) -> tuple[np.ndarray, float]:
     """Gradient and loss over all rows ``(x, target, weight, pairs)``."""
     size = sum(w.size + b.size for w, b in layers)
@@ -80,9 +88,7 @@ def _step(rows: DataFrame, layers: Layers) -> tuple[np.ndarray, float]:
         total = np.zeros(size + 1)
         for b in batches:
             if b.num_rows:
-                x, target = (np.array(b.column(k).to_pylist(), dtype=np.float64) for k in (0, 1))
-                pairs = [(n, p["winner_index"], p["loser_index"], p["weight"]) for n, ps in enumerate(b.column(3).to_pylist()) for p in ps or ()]
-                g, loss = gradients(layers, x, target, np.array(b.column(2).to_pylist(), dtype=np.float64), np.array(pairs, dtype=np.float64).reshape(-1, 4))
+                g, loss = gradients(layers, *_arrays(b))
                 total[:-1] += g
                 total[-1] += loss
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1), type=pa.int32()), pa.array(total)], names=["i", "v"])

@@ -10,9 +10,12 @@ from tidemark.functions import vectors as V
 from tidemark.operators import neighborhood as N
 from tidemark.operators import slots, training
 from tidemark.operators.boundaries import flatten_boundaries
-from tidemark.operators.replay import match_rows, replay_walks, trace_states
+from tidemark.operators.policy import Policy, compare_with_static, replay_policy
+from tidemark.operators.replay import match_rows, trace_states
+from tidemark.operators.scoring import score_traces
 from tidemark.plans.registry import query
 from tidemark.plans.trace_queries import KEY, r, scored
+from tidemark.sources.files import stash
 from tidemark.sources.fixtures import BOUNDARIES, SCORED, boundary_samples, table, traces
 from tidemark.streaming.segmentation import decisions, segment
 
@@ -130,10 +133,13 @@ def top3(spark, sf_dir):
     return _top8(spark, sf_dir).select(*_ANCHOR, "candidate_trace_id", "candidate_boundary_index", r("weight"))
 
 
-@query("AGG19", f"with {_TOP3} select dataset, problem_id, anchor_trace_id, anchor_boundary_index, cast(action as integer) as action, round(sum(weight * score) / greatest(1e-8, sum(weight)), 5) as mean_score from top group by all")
+@query("AGG19", f"""with {_TOP3}, m as (select dataset, problem_id, anchor_trace_id, anchor_boundary_index, cast(action as integer) as action, sum(weight * score) / greatest(1e-8, sum(weight)) as s from top group by all),
+  g as (select dataset, problem_id, anchor_trace_id, anchor_boundary_index, min(s) as low, map_from_entries(list((action, s))) as m from m group by all)
+  select dataset, problem_id, anchor_trace_id, anchor_boundary_index, {_sql_r('list_transform(range(20), lambda i: coalesce(m[cast(i as integer)], low - 2.0))', 5)} as action_scores from g""")
 def agg19(spark, sf_dir):
     action = ((F.col("candidate_chosen_info_mode") - 1) * 5 + F.col("candidate_chosen_cot_mode")).cast("int")
-    return N.action_means(_top8(spark, sf_dir), _ANCHOR, action, "candidate_score").withColumn("mean_score", F.round("mean_score", 5))
+    means = N.action_means(_top8(spark, sf_dir), _ANCHOR, action, "candidate_score")
+    return N.dense_targets(means, _ANCHOR, "mean_score").withColumn("action_scores", _r(F.col("action_scores"), 5))
 
 
 _DENSE = f"""{SCORED}, last as (select dataset, problem_id, (info_mode - 1) * 5 + cot_mode as action, arg_max(round(score, 6), input_order) as score from scored group by all),
@@ -168,12 +174,19 @@ def top4(spark, sf_dir):
     return N.score_pairs(_prior(spark, sf_dir), KEY).withColumn("weight", F.round("weight", 5))
 
 
-@query("VEC10", f"""with {_DENSE}, b as (select *, cast(problem_id as bigint) % 20 as cur, cast(problem_id as bigint) % 512 as rem from dense)
-  select dataset, problem_id, {_sql_r('list_transform(range(20), lambda i: 0.15 * a[i + 1] + a[20 - i] + case when i = cur then 0.05 else -0.1 end - case when [0, 64, 128, 256, 512][i % 5 + 1] > rem then 0.35 else 0 end)', 4)} as scores from b""")
+_THINK = "list_transform(range(20), lambda i: 0.15 * a[i + 1] + a[20 - i] + case when i = cur then 0.05 else -0.1 end - case when [0, 64, 128, 256, 512][i % 5 + 1] > rem then 0.35 else 0 end)"
+_ANSWER = "list_transform(range(20), lambda i: case when i % 5 <> cur % 5 then -1e9 else 0.15 * list_avg(a[i - i % 5 + 1:i - i % 5 + 5]) + list_avg(a[16 - (i - i % 5):20 - (i - i % 5)]) + case when i // 5 = cur // 5 then 0.05 else -0.1 end end)"
+
+
+@query("VEC10", f"""with {_DENSE}, b as (select *, cast(problem_id as bigint) % 20 as cur, cast(problem_id as bigint) % 512 as rem, cast(problem_id as bigint) % 3 = 0 as answer from dense)
+  select dataset, problem_id, answer, case when answer then {_sql_r(_ANSWER, 4)} else {_sql_r(_THINK, 4)} end as scores from b""")
 def vec10(spark, sf_dir):
-    p = F.col("problem_id").cast("bigint")
-    s = V.policy_scores(F.col("action_scores"), F.reverse("action_scores"), p % 20, p % 512, [0, 64, 128, 256, 512])
-    return _prior(spark, sf_dir).select(*KEY, _r(s, 4).alias("scores"))
+    """Reversed prior scores stand for the boundary's logits, their means by info mode for those of the answer zone."""
+    p, back = F.col("problem_id").cast("bigint"), F.reverse("action_scores")
+    think = V.policy_scores(F.col("action_scores"), back, p % 20, p % 512, [0, 64, 128, 256, 512])
+    answer = V.answer_scores(F.col("action_scores"), V.group_means(back, 4, 5), F.floor(p % 20 / 5) + 1, p % 5)
+    zone = p % 3 == 0
+    return _prior(spark, sf_dir).select(*KEY, zone.alias("answer"), F.when(zone, _r(answer, 4)).otherwise(_r(think, 4)).alias("scores"))
 
 
 #: The dense scores as a target distribution, and a stand-in for a model's logits.
@@ -270,9 +283,49 @@ def walk_states(spark, sf_dir):
     return last.select(*KEY, F.lit(6).alias("start"), "action", "t.*")
 
 
+PENALTIES = [1.1, 1.25]
+
+
+def replay_traces(spark, sf_dir):
+    """Orders as traces with their boundaries, vectors and scores; every seventh trace has no boundary."""
+    kernel = N.Kernel()
+    samples = N.standardised(boundary_samples(spark, sf_dir), kernel)
+    b = N.feature_vectors(samples, N.feature_spec(samples)).withColumn("action", ((F.col("chosen_info_mode") - 1) * 5 + F.col("chosen_cot_mode")).cast("int"))
+    row = F.struct(
+        "boundary_index", F.col("progress_ratio").alias("progress"), F.col("generated_tokens").alias("generated"), F.col("remaining_budget_ratio").alias("remaining"), F.col("is_answer_zone").alias("answer"),
+        F.col("features").alias("boundary"), F.array(*[f"k_{n}" for n, _ in kernel.numeric]).alias("features"), F.array(F.ascii("boundary_kind"), F.col("is_in_think_zone").cast("int")).alias("marks"),
+    )
+    traced = b.groupBy(*KEY, "action", "trace_id").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.sum("generated_tokens").alias("token_count"), F.max((F.col("score") > 0.5).cast("double")).alias("correctness"))
+    text = F.concat("dataset", F.lit(" "), F.col("problem_id").cast("string"))
+    return traced.withColumn("rows", F.when(F.col("trace_id") % 7 != 0, F.col("rows"))).withColumn("text", V.hashed_vector(text, 16)).withColumn("input_order", F.col("trace_id"))
+
+
+def replay_rule(centres, priors):
+    """A policy of networks with drawn weights, so that its decisions depend on every input."""
+    width = 16 + 20
+    return Policy(np.asarray(centres), np.asarray(priors), *(training.new_network([a, 16, 16, c], seed=k) for k, (a, c) in enumerate([(width, 20), (width + 19 + 20, 20), (width + 19 + 4, 4)])), BUDGETS)
+
+
+def _replayed(spark, sf_dir):
+    t = stash(replay_traces(spark, sf_dir), "replay")
+    vectors = t.select(F.col("text").alias("v"), F.xxhash64(*KEY).alias("vec_id"), F.lit(1.0).alias("w"), N.one_hot(F.col("action"), 20).alias("d"))
+    centres = slots.fit_centres(vectors.dropDuplicates(["vec_id"]), "v", steps=3)
+    priors = {r["slot"]: r["prior"] for r in slots.slot_priors(vectors, "v", "d", "w", centres).collect()}  # as many rows as slots
+    return t, replay_policy(t, replay_rule(centres, [priors[k] for k in range(len(centres))]), PENALTIES)
+
+
 @query("SEQ4")
 def seq4(spark, sf_dir):
-    return replay_walks(walk_states(spark, sf_dir), BUDGETS)
+    return _replayed(spark, sf_dir)[1]
+
+
+@query("JN11_replay")
+def jn11_replay(spark, sf_dir):
+    """The walk's score beside those of its start action, the best static action and the oracle."""
+    t, replayed = _replayed(spark, sf_dir)
+    action = [(F.floor(F.col("action") / 5) + 1).cast("int").alias("info_mode"), (F.col("action") % 5).alias("cot_mode")]
+    rated = score_traces(t.select(*KEY, *action, "token_count", "correctness", "input_order"))
+    return compare_with_static(replayed, rated).select(*KEY, "action", "switches", "score", "prior_score", "static_score", "oracle_score")
 
 
 CLOSERS = ("\n", "</think>", "\n\nFINAL_ANSWER: ")
@@ -315,15 +368,21 @@ def _centres(spark, sf_dir):
     return np.array([x["c"] for x in rows])
 
 
+def _given_centres(spark, sf_dir):
+    """The centres of :func:`_centres`, and the first of them again: no row is nearer to that one, so its slot is empty."""
+    centres = _centres(spark, sf_dir)
+    return np.concatenate((centres, centres[:1]))
+
+
 def _slot_priors(spark, sf_dir, centres):
     rows = _vectors(spark, sf_dir).select("embedding", V.softmax(F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 20), 0.25).alias("d"), (1.0 + F.col("label")).alias("w"))
     return slots.slot_priors(rows, "embedding", "d", "w", centres)
 
 
-_SLOTS = f"""{_V}, u as (select vec_id, label, e, list_transform(e, lambda x: x / greatest(sqrt(list_sum(list_transform(e, lambda y: y * y))), 1e-8)) as n from v), c as (select row_number() over (order by vec_id) - 1 as slot, n as centre from (select * from u order by vec_id limit 8)),
+_SLOTS = f"""{_V}, u as (select vec_id, label, e, list_transform(e, lambda x: x / greatest(sqrt(list_sum(list_transform(e, lambda y: y * y))), 1e-8)) as n from v), c8 as (select row_number() over (order by vec_id) - 1 as slot, n as centre from (select * from u order by vec_id limit 8)), c as (select * from c8 union all select 8, centre from c8 where slot = 0),
   s as (select vec_id, label, e, slot, list_sum(list_transform(range(1, len(n) + 1), lambda i: n[i] * centre[i])) as sim from u, c), a as (select * from s qualify row_number() over (partition by vec_id order by sim desc, slot) = 1)"""
 _PRIORS = f"""{_SLOTS}, d as (select slot, 1.0 + label as w, list_transform(e[1:20], lambda x: exp((x - list_max(e[1:20])) / 0.25)) as p from a), m as (select slot, w, unnest(range(20)) as i, unnest(list_transform(p, lambda x: x / list_sum(p))) as p from d),
-  g as (select slot, i, sum(w * p) / greatest(1e-8, sum(w)) as p from m group by slot, i), q as (select slot, list(p order by i) as p from g group by slot), r as (select slot, list_transform(p, lambda x: exp(x - list_max(p))) as p from q),
+  g as (select slot, i, sum(w * p) / greatest(1e-8, sum(w)) as p from m group by slot, i), o as (select i, avg(p) as p from m group by i), h as (select c.slot, o.i, coalesce(g.p, o.p) as p from c cross join o left join g on g.slot = c.slot and g.i = o.i), q as (select slot, list(p order by i) as p from h group by slot), r as (select slot, list_transform(p, lambda x: exp(x - list_max(p))) as p from q),
   prior as (select slot, list_transform(p, lambda x: x / list_sum(p)) as prior from r)"""
 
 
@@ -335,15 +394,15 @@ def jn13(spark, sf_dir):
 
 @query("AGG21", f"with {_PRIORS} select cast(slot as integer) as slot, {_sql_r('prior', 6)} as prior from prior")
 def agg21(spark, sf_dir):
-    return _slot_priors(spark, sf_dir, _centres(spark, sf_dir)).select("slot", _r(F.col("prior"), 6).alias("prior"))
+    return _slot_priors(spark, sf_dir, _given_centres(spark, sf_dir)).select("slot", _r(F.col("prior"), 6).alias("prior"))
 
 
 @query("VEC6", f"""with {_PRIORS}, w as (select vec_id, slot, exp((sim - max(sim) over (partition by vec_id)) / 0.35) as w from s), x as (select vec_id, slot, w / sum(w) over (partition by vec_id) as w from w),
-  f as (select vec_id, i, sum(w * coalesce(prior[cast(i as integer) + 1], 0.05)) as p from x left join prior using (slot), range(20) t(i) group by vec_id, i) select vec_id, {_sql_r('list(p order by i)', 5)} as prior from f group by vec_id""")
+  f as (select vec_id, i, sum(w * prior[cast(i as integer) + 1]) as p from x left join prior using (slot), range(20) t(i) group by vec_id, i) select vec_id, {_sql_r('list(p order by i)', 5)} as prior from f group by vec_id""")
 def vec6(spark, sf_dir):
-    centres = _centres(spark, sf_dir)
+    centres = _given_centres(spark, sf_dir)
     found = {x["slot"]: x["prior"] for x in _slot_priors(spark, sf_dir, centres).collect()}  # as many rows as slots
-    priors = [found.get(k, [0.05] * 20) for k in range(len(centres))]
+    priors = [found[k] for k in range(len(centres))]
     return _vectors(spark, sf_dir).select("vec_id", _r(slots.query_slots(F.col("embedding"), centres, priors), 5).alias("prior"))
 
 
