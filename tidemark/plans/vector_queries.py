@@ -15,9 +15,9 @@ from tidemark.operators.replay import match_rows, trace_states
 from tidemark.operators.scoring import score_traces
 from tidemark.plans.registry import query
 from tidemark.plans.trace_queries import KEY, r, scored
-from tidemark.sources.files import stash
+from tidemark.sources.files import scratch, stash
 from tidemark.sources.fixtures import BOUNDARIES, SCORED, boundary_samples, table, traces
-from tidemark.streaming.segmentation import decisions, segment
+from tidemark.streaming.segmentation import policy_decisions, segment, segment_stream
 
 
 def _vectors(spark, sf_dir):
@@ -357,9 +357,26 @@ def win7(spark, sf_dir):
 
 @query("SEQ3")
 def seq3(spark, sf_dir):
-    out = segment(_tokens(spark, sf_dir), eos=True)
-    scores = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.pmod(F.crc32(F.concat_ws(":", "key", F.col("boundary_index").cast("string"), i.cast("string"))), F.lit(1000)))
-    return decisions(out, scores)
+    """A digest of the boundary stands for the networks' scores; the policy's terms decide."""
+    out = segment(_tokens(spark, sf_dir), budget=40, closers=CLOSERS, eos=True)
+    scores = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.pmod(F.crc32(F.concat_ws(":", "key", F.col("boundary_index").cast("string"), i.cast("string"))), F.lit(1000)) / 2000)
+    return policy_decisions(out, scores, BUDGETS)
+
+
+@query("SEQ1_stream")
+def seq1_stream(spark, sf_dir):
+    """The tokens of all turns as a stream, dealt over files regardless of their order; every boundary that it cuts."""
+    tokens = _tokens(spark, sf_dir).where(F.size("tokens") > 0)
+    each = tokens.select("key", F.size("tokens").alias("size"), F.posexplode("tokens").alias("n", "token"))
+    source, out = scratch(spark, "tokens"), scratch(spark, "cuts")
+    each.select("key", F.col("n").cast("bigint").alias("n"), "token", (F.col("n") == F.col("size") - 1).alias("eos")).repartition(6, F.xxhash64("key", "n")).write.parquet(source)
+    schema = "key string, n bigint, token string, eos boolean"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(source)
+    cut = segment_stream(stream, budget=40, closers=CLOSERS)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # its timers would ask for batches without end
+    run = cut.writeStream.format("parquet").option("checkpointLocation", scratch(spark, "stream")).option("path", out).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(cut.schema).parquet(out).select("key", "boundary_index", "token_index", "boundary_kind", "is_answer_zone", "think_used", "answer_used")
 
 
 def _centres(spark, sf_dir):

@@ -15,8 +15,10 @@ from dataclasses import asdict, dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from tidemark.functions.text import SENTENCE_ENDS, STEP_MARKS
+from tidemark.operators.replay import choose_action
 
 # Fixed value: the tag that ends reasoning.
 CLOSE = "</think>"
@@ -115,25 +117,111 @@ def segment(sequences: DataFrame, budget: int = 1 << 30, closers: Sequence[str]
     return sequences.select("key", "tokens").mapInPandas(run, _OUT)
 
 
-def segment_stream(tokens: DataFrame, budget: int = 1 << 30, closers: Sequence[str] = ()) -> DataFrame:
-    """A stream of ``(key string, n bigint, token string)`` to boundaries, with state kept by key between batches.
-
-    With a column ``eos boolean``, a token for which it is true is the end of its sequence.
+# Fixed value: the state store that timers and keyed state need.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = "min_tokens int, max_boundaries int, budget bigint, tokens int, since int, cut int, tail string, closing string, answer boolean, think_used int, answer_used int, next bigint, action int, switches int"
+_STREAM = f"{_OUT}, action int, switches int"
+
+
+class _SequenceProcessor(StatefulProcessor):
+    """Feeds a key's tokens in the order of ``n``; what comes early waits in keyed state until its turn."""
+
+    def __init__(self, rule: dict):
+        self.rule = rule
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("sequence", _STATE)
+        self.early = handle.getMapState("early", "n bigint", "token string, eos boolean, scores array<double>")
+
+    def _load(self) -> tuple[Segmenter, int, int, int]:
+        if not self.state.exists():
+            return Segmenter(budget=self.rule["budget"]), self.rule["first"], self.rule["start"], 0
+        *own, following, action, switches = self.state.get()
+        return Segmenter(*own), following, action, switches
+
+    def _feed(self, key: str, held: list, token: str, eos: bool, scores, rows: list[dict]) -> None:
+        s, _, action, switches = held
+        for boundary in s.feed(token, bool(eos), self.rule["closers"]):
+            if scores is not None and len(scores):
+                left = self.rule["budgets"][action % len(self.rule["budgets"])] - s.think_used
+                best = choose_action(list(scores), action, left, s.answer, self.rule["budgets"])
+                if best != action and switches < self.rule["max_switches"]:
+                    action, switches = best, switches + 1
+            rows.append({"key": key, **boundary, "action": action, "switches": switches})
+        held[1:] = [held[1] + 1, action, switches]
+
+    def _forget(self) -> None:
+        self.state.clear()
+        self.early.clear()
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        held, out, ended, waiting = [*self._load()], [], False, self.early.exists()
+        for frame in rows:
+            frame = frame.sort_values("n")
+            for n, token, eos, scores in zip(frame["n"], frame["token"], frame["eos"], frame["scores"], strict=True):
+                if ended or n < held[1]:
+                    continue  # after the end, or a token that has been taken before
+                if n > held[1]:
+                    self.early.updateValue((int(n),), (token, bool(eos), None if scores is None else [float(x) for x in scores]))
+                    waiting = True
+                    continue
+                self._feed(key[0], held, token, eos, scores, out)
+                ended = bool(eos)
+            while waiting and not ended and self.early.containsKey((held[1],)):
+                at = (held[1],)
+                token, eos, scores = self.early.getValue(at)
+                self.early.removeKey(at)
+                self._feed(key[0], held, token, eos, scores, out)
+                ended = bool(eos)
+        if ended:
+            self._forget()
+        else:
+            self.state.update((*asdict(held[0]).values(), *held[1:]))
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.rule["timeout_ms"])
+        yield pd.DataFrame(out, columns=_STREAM_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        """No token has come for the time-out: take what waits, gaps left out, and forget the sequence."""
+        held, out = [*self._load()], []
+        for n in sorted(k[0] for k in self.early.keys()):
+            held[1] = n
+            self._feed(key[0], held, *self.early.getValue((n,)), out)
+        self._forget()
+        yield pd.DataFrame(out, columns=_STREAM_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+_STREAM_COLUMNS = [x.split()[0] for x in _STREAM.split(", ")]
+
+
+def segment_stream(
+    tokens: DataFrame, budget: int = 1 << 30, closers: Sequence[str] = (), first: int = 0, timeout_ms: int = 600_000,
+    budgets: Sequence[float] = (0, 64, 128, 256, 512), start: int = 0, max_switches: int = 8,
+) -> DataFrame:
+    """A stream of ``(key string, n bigint, token string)`` to boundaries, whatever order the tokens come in.
+
+    ``n`` counts a sequence's tokens from ``first`` on. A token that comes before its turn waits; one that has been taken
+    is dropped. With ``eos boolean``, a token for which it is true ends its sequence, and the state goes. A sequence that
+    gets no token for ``timeout_ms`` is taken to its end with what waits, and its state goes too. With ``scores
+    array<double>``, the joint action scores at each token, a boundary also has the ``action`` that the policy takes (see
+    :func:`choose_action`) and the ``switches`` so far.
     """
-    state_schema = "min_tokens int, max_boundaries int, budget long, tokens int, since int, cut int, tail string, closing string, answer boolean, think_used int, answer_used int"
-    closers, ends = tuple(closers), "eos" in tokens.columns
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        s = Segmenter(*state.get) if state.exists else Segmenter(budget=budget)
-        rows = []
-        for frame in frames:
-            ordered = frame.sort_values("n")
-            for token, end in zip(ordered["token"], ordered["eos"] if ends else [False] * len(ordered), strict=True):
-                rows += [{"key": key[0], **b} for b in s.feed(token, bool(end), closers)]
-        state.update(tuple(asdict(s).values()))
-        yield pd.DataFrame(rows, columns=_COLUMNS)
-
-    return tokens.groupBy("key").applyInPandasWithState(step, _OUT, state_schema, "append", "NoTimeout")
+    spark = tokens.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    own = set(tokens.columns)
+    rows = tokens.select(
+        "key", F.col("n").cast("bigint").alias("n"), "token", (F.col("eos") if "eos" in own else F.lit(False)).alias("eos"),
+        (F.col("scores") if "scores" in own else F.lit(None)).cast("array<double>").alias("scores"),
+    )
+    rule = {"budget": budget, "closers": tuple(closers), "first": first, "timeout_ms": timeout_ms, "budgets": tuple(budgets), "start": start, "max_switches": max_switches}
+    return rows.groupBy("key").transformWithStateInPandas(_SequenceProcessor(rule), _STREAM, "append", "ProcessingTime")
 
 
 def decide(boundaries: pd.DataFrame, scores: list[list[float]], start: int, max_switches: int = 8) -> list[int]:
@@ -165,3 +253,42 @@ def decisions(boundaries: DataFrame, scores: Column, start: int = 0, max_switche
 
     folded = rows.select(key, F.aggregate("rows", begin, step, lambda a: a["out"]).alias("out"))
     return folded.select(key, F.inline("out"))
+
+
+def policy_decisions(
+    boundaries: DataFrame, scores: Column, budgets: Sequence[float], start: int = 0, max_switches: int = 8, key: str = "key",
+    hysteresis: float = 0.05, switch_cost: float = 0.1, guardrail: float = 0.35,
+) -> DataFrame:
+    """``(key, boundary_index, action, switches)`` by the policy's terms, as :func:`choose_action` states them.
+
+    ``boundaries(key, boundary_index, think_used, is_answer_zone)``. Staying has a bonus, switching a cost, and so has a
+    budget beyond what the current action's leaves; in the answer zone info modes compete by their means, and the budget
+    level stays. A sequence has ``max_boundaries`` rows at most, which are folded in one array.
+    """
+    n = len(budgets)
+    listed = F.array(*[F.lit(float(b)) for b in budgets])
+    row = F.struct("boundary_index", F.col("think_used").alias("used"), F.col("is_answer_zone").alias("answer"), F.transform(scores, lambda x: x.cast("double")).alias("scores"))
+    rows = boundaries.select(key, row.alias("r")).groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    kind = "struct<at:int,n:int,out:array<struct<boundary_index:int,action:int,switches:int>>>"
+    begin = F.struct(F.lit(start).alias("at"), F.lit(0).alias("n"), F.expr("cast(array() as array<struct<boundary_index:int,action:int,switches:int>>)").alias("out")).cast(kind)
+    first_best = lambda a: F.array_position(a, F.array_max(a)) - 1
+
+    def think(row: Column, at: Column) -> Column:
+        left = F.get(listed, at % n) - row["used"]
+        cost = lambda i: F.when(F.get(listed, (i % n).cast("int")) > left, F.lit(guardrail)).otherwise(F.lit(0.0))
+        return first_best(F.transform(row["scores"], lambda x, i: x + F.when(i == at, F.lit(hysteresis)).otherwise(F.lit(-switch_cost)) - cost(i)))
+
+    def answer(row: Column, at: Column) -> Column:
+        infos = F.sequence(F.lit(0), (F.size(row["scores"]) / n).cast("int") - 1)
+        mean = lambda k: F.aggregate(F.slice(row["scores"], k * n + 1, n), F.lit(0.0), lambda s, x: s + x) / n
+        rated = F.transform(infos, lambda k: mean(k) + F.when(k == F.floor(at / n), F.lit(hysteresis)).otherwise(F.lit(-switch_cost)))
+        return first_best(rated) * n + at % n
+
+    def step(acc: Column, row: Column) -> Column:
+        best = F.when(row["answer"], answer(row, acc["at"])).otherwise(think(row, acc["at"])).cast("int")
+        made = F.transform(F.array(best), lambda b: F.struct(F.when((b != acc["at"]) & (acc["n"] < max_switches), b).otherwise(acc["at"]).alias("at"), F.when((b != acc["at"]) & (acc["n"] < max_switches), 1).otherwise(0).alias("moved")))
+        now = F.get(made, F.lit(0))
+        return F.struct(now["at"].alias("at"), (acc["n"] + now["moved"]).alias("n"), F.concat(acc["out"], F.array(F.struct(row["boundary_index"].alias("boundary_index"), now["at"].alias("action"), (acc["n"] + now["moved"]).alias("switches")))).alias("out")).cast(kind)
+
+    folded = rows.select(key, F.aggregate("rows", begin, step, lambda a: a["out"]).alias("out"))
+    return folded.select(key, F.inline("out"))
