@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -48,3 +49,27 @@ def exact_median(rows: DataFrame, value: Column, name: str = "median") -> DataFr
     low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
     middle = placed.select(F.when(holds(low), F.col("v")).alias("low"), F.when(holds(high), F.col("v")).alias("high"))
     return middle.agg(((F.max("low") + F.max("high")) / 2).alias(name))
+
+
+def epoch_place(place: Column, n: int, epoch: Column | int, seed: int = 42, rounds: int = 4) -> Column:
+    """Where a place of 0 to ``n`` - 1 comes in an epoch: a permutation drawn by seed and epoch, without a sort.
+
+    A Feistel network over pairs (place div b, place mod b) of a x b >= n, each round adding a hash of one half to the
+    other. What lands beyond ``n`` goes through it again. Fewer than a places lie beyond, so a walk ends within a steps:
+    64 are enough for every ``n`` below 4,096, and beyond that a walk of 64 has a chance of less than 64^-64.
+    """
+    a = max(1, math.isqrt(max(n, 1) - 1) + 1)
+    b = -(-max(n, 1) // a)
+    epoch = F.lit(epoch) if isinstance(epoch, int) else epoch
+
+    def turned(v: Column) -> Column:
+        left, right = F.floor(v / F.lit(b)).cast("bigint"), F.pmod(v, F.lit(b))
+        for k in range(rounds):
+            if k % 2:
+                right = F.pmod(right + F.pmod(F.xxhash64(F.lit(seed), epoch, F.lit(k), left), F.lit(b)), F.lit(b))
+            else:
+                left = F.pmod(left + F.pmod(F.xxhash64(F.lit(seed), epoch, F.lit(k), right), F.lit(a)), F.lit(a))
+        return left * b + right
+
+    first = turned(place.cast("bigint"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), first, lambda v, _: F.when(v < n, v).otherwise(turned(v)))

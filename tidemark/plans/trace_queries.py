@@ -512,3 +512,14 @@ def jn5(spark, sf_dir):
 def jn6(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(True).alias("there"))
     return table(spark, sf_dir, "documents").select("doc_id").join(items, "doc_id", "left").select("doc_id", F.when(F.col("there").isNull(), F.lit("missing_item")).alias("error"))
+
+
+@query("SMP3")
+def smp3(spark, sf_dir):
+    """The problems as shards, in the order in which each of three epochs reads them."""
+    from tidemark.operators.ordering import dense_index, epoch_place
+
+    shards = dense_index(traces(spark, sf_dir).select(*KEY).distinct(), KEY)
+    n = shards.count()
+    epochs = shards.withColumn("epoch", F.explode(F.array(*map(F.lit, range(3)))))
+    return epochs.select(*KEY, "epoch", epoch_place(F.col("place"), n, F.col("epoch")).alias("position"))
