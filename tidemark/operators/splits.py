@@ -46,13 +46,15 @@ def exact_split(rows: DataFrame, by: str, key: str, seed: str, sizes: Mapping[st
     ``strict`` raises if a group is too small for its parts.
     """
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(by).cast("string"), F.col(key).cast("string")))
-    ranked = dense_index(rows.withColumn("digest_", digest), ["digest_", key], [by], start=1).drop("digest_")
+    packed = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("row"), rows[by].alias("group"), rows[key].alias("key"), digest.alias("digest"))
+    ranked = dense_index(packed, ["digest", "key"], ["group"], start=1)
     if strict:
-        short = ranked.groupBy(by).agg(F.max("place").alias("n")).where(F.col("n") < sum(sizes.values())).limit(1).collect()
+        short = ranked.groupBy("group").agg(F.max("place").alias("n")).where(F.col("n") < sum(sizes.values())).limit(1).collect()
         if short:
             raise ValueError(f"{by} {short[0][0]} has {short[0][1]} rows of {sum(sizes.values())}")
     out, end = F, 0
     for name, n in sizes.items():
         end += n
         out = out.when(F.col("place") <= end, F.lit(name))
-    return ranked.where(F.col("place") <= end).withColumn("split", out.otherwise(None)).drop("place")
+    parts = ranked.where(F.col("place") <= end)
+    return parts.select(*[F.col("row")[c].alias(c) for c in rows.columns if c != "split"], out.otherwise(None).alias("split"))

@@ -24,14 +24,15 @@ def double_keyed(rows: DataFrame, prefix: str, first: str, second: str, order: s
 
 
 def limited(rows: DataFrame, by: str, order: str, specs: Mapping[str, tuple[int, int | None]], limit: Mapping[str, int] | None = None) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of each named group, in order; the smaller of two limits counts."""
+    """Rows ``offset`` to ``offset + limit`` of each named group, in order; the smaller of two limits counts. All columns stay."""
     kept = rows.where(F.col(by).isin(*specs))
     wanted = F.lit(False)
     for name, (offset, most) in specs.items():
         caps = [x for x in (most, (limit or {}).get(name)) if x is not None]
-        inside = (F.col(by) == name) & (F.col("place") >= offset)
+        inside = (F.col("group") == name) & (F.col("place") >= offset)
         wanted = wanted | (inside & (F.col("place") < offset + min(caps)) if caps else inside)
-    return dense_index(kept, [order], [by]).where(wanted).drop("place")
+    packed = kept.select(F.struct(*[kept[c] for c in kept.columns]).alias("row"), kept[by].alias("group"), kept[order].alias("order"))
+    return dense_index(packed, ["order"], ["group"]).where(wanted).select("row.*")
 
 
 def load_benchmark(spark: SparkSession, root: str, name: str, least: int = 0) -> DataFrame:
