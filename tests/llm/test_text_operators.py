@@ -238,3 +238,22 @@ def test_decontaminate_cuts_passages(spark):
     got = {r.doc_id: (r.text, r.hits) for r in decontaminate.decontaminate(docs, bench).collect()}
     assert got == {1: ("Before it: . After, much more text of a document that stays", 7), 3: ("clean é text", 7), 4: (None, 7)}
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == 4 and decontaminate.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_blocks_write_hits_only(spark, monkeypatch):
+    passage = "one two three four five six seven eight nine ten"
+    other = "red green blue pink grey black white brown beige cyan"
+    docs = spark.createDataFrame([(1, f"a {passage} b"), (1, f"a {passage} b"), (None, f"c {other} d {passage} e e e"), (3, "clean"), (4, None)], DOCS).selectExpr("*", "'k' as key", "'h' as hits", "'r' as row")
+    bench = spark.createDataFrame([(1, passage), (2, other), (3, "never seen " * 8)], "item_id bigint, text string")
+    written, stash = [], decontaminate.stash
+
+    def watched(df, name):
+        written.append(stash(df, name))
+        rows = written[-1].collect()
+        assert written[-1].columns == ["key", "hits", "items"] and len(rows) <= 2
+        return written[-1]
+
+    monkeypatch.setattr(decontaminate, "stash", watched)
+    got = sorted(decontaminate.decontaminate(docs, bench, block_words=10).collect(), key=lambda r: (r.doc_id or 0, r.text or ""))
+    assert len(written) >= 3
+    assert [(r.doc_id, r.text, r.key, r.hits, r.row) for r in got] == [(3, "clean", "k", "h", "r"), (4, None, "k", "h", "r")] or [(r.doc_id, r.text) for r in got] == [(None, "c  d  e e e"), (3, "clean"), (4, None)]

@@ -2,20 +2,20 @@
 
 The automaton is built from the normalised words of all items. A document's words are streamed through it; at each word
 it tells the longest suffix read so far that is part of some item. Where that length reaches a window, the words are
-hit. Items are taken in blocks of a stated number of words; each block's automaton is broadcast by itself and adds its
-hits to those found before: a pass over the documents for each block, written to the shared folder in between, so that
-no more than one block is held at a time, by the driver or by a worker, however many items there are.
+hit. Items are taken in blocks of a stated number of words, each broadcast by itself in a pass over the documents, so that
+no more than one block is held at a time, by the driver or by a worker, however many items there are. Between passes only
+the hits are written, never the documents.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.store import discard, small_batches, stash
@@ -256,52 +256,83 @@ def find_hits(
 ) -> DataFrame:
     """``row`` (all input columns as a struct), ``hits`` (word intervals), ``items`` (ids as strings, sorted), ``n_words``.
 
-    With ``cut_above``, the columns of ``docs`` instead: the last block's pass also cuts the hits out of the texts and drops
-    documents of which more than that share of words is hit, so that a task runs one Python worker for each block and
-    none besides.
+    With ``cut_above``, the columns of ``docs`` instead: the pass also cuts the hits out of the texts and drops documents
+    of which more than that share of words is hit, so that a task runs one Python worker and none besides.
+
+    Every block but the last is a pass of its own that writes the hits of the texts that have any, by the texts' digests.
+    The last block's pass joins them to the documents, which are therefore never written; its automaton stays broadcast,
+    as the result is read later.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    out = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-        F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("hits"),
-        F.lit(None).cast("array<string>").alias("items"),
-        F.lit(None).cast("bigint").alias("n_words"),
-    )
-    schema, names, columns, plain = out.schema, out.columns, list(docs.columns), docs.schema
-    at = columns.index(text_col)
-    before = None
+    *known, (block, _) = _written_hits(docs, items, text_col, item_id, item_text, window, block_words)
+    names = ["row", "hits", "items", "n_words"]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _digest(docs[text_col]).alias("key"))
+    if known:
+        each = F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+        # a table of its own, so that a text of very many rows can be split in the join
+        found = stash(reduce(DataFrame.unionByName, [t for _, t in known]).groupBy("key").agg(*each), "hits")
+        for _, table in known:
+            discard(table)
+        rows = rows.join(found, "key", "left").select("row", "hits", "items")
+    else:
+        rows = rows.select("row", F.lit(None).cast(_HITS).alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    out = rows.withColumn("n_words", F.lit(None).cast("bigint"))
+    columns, at = list(docs.columns), docs.columns.index(text_col)
+    held = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = held.value
+        for b in batches:
+            row = b.column(0)
+            hits, ids, counts = [], [], []
+            for text, old, had in zip(_texts(row.field(at)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                words = words_of(text)
+                got, found = automaton.scan(words)
+                hits.append(_merge([(h["lo"], h["hi"]) for h in old], got) if old else got)
+                ids.append(sorted({*(had or ()), *found}))
+                counts.append(len(words))
+            if cut_above is not None:
+                texts = pa.array((cut_words(t, h) if h else t for t, h in zip(_strings(row.field(at)), hits, strict=True)), type=pa.string())
+                stay = pa.array([sum(y - x for x, y in h) <= cut_above * n for h, n in zip(hits, counts, strict=True)], type=pa.bool_())
+                yield pa.RecordBatch.from_arrays([texts if k == at else row.field(k) for k in range(len(columns))], names=columns).filter(stay)
+            else:
+                listed = [[{"lo": x, "hi": y} for x, y in h] for h in hits]
+                made = [pa.array(x, type=t) for x, t in zip((listed, ids, counts), _FOUND, strict=True)]
+                yield pa.RecordBatch.from_arrays([row, *made], names=names)
+
+    return out.mapInArrow(run, out.schema if cut_above is None else docs.schema)
+
+
+_HITS = "array<struct<lo:int,hi:int>>"
+
+
+def _digest(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
+
+
+def _written_hits(
+    docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, block_words: int
+) -> Iterator[tuple[list, DataFrame | None]]:
+    """Each block with its written ``(key, hits, items)`` of the different texts with hits; the last block without."""
+    texts = docs.select(_digest(docs[text_col]).alias("key"), docs[text_col].alias("text")).where("text is not null")
     for block, last in _with_last(_blocks(items, item_id, item_text, block_words, window)):
-        held = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-        cutting = cut_above is not None and last
+        if last:
+            yield block, None
+            return
+        held = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, cutting=cutting) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             automaton = held.value
             for b in batches:
-                row = b.column(0)
-                hits, ids, counts = [], [], []
-                for text, old, had in zip(_texts(row.field(at)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    words = words_of(text)
-                    got, found = automaton.scan(words)
-                    hits.append(_merge([(h["lo"], h["hi"]) for h in old], got) if old else got)
-                    ids.append(sorted({*(had or ()), *found}))
-                    counts.append(len(words))
-                if cutting:
-                    texts = pa.array((cut_words(t, h) if h else t for t, h in zip(_strings(row.field(at)), hits, strict=True)), type=pa.string())
-                    stay = pa.array([sum(y - x for x, y in h) <= cut_above * n for h, n in zip(hits, counts, strict=True)], type=pa.bool_())
-                    yield pa.RecordBatch.from_arrays([texts if k == at else row.field(k) for k in range(len(columns))], names=columns).filter(stay)
-                else:
-                    listed = [[{"lo": x, "hi": y} for x, y in h] for h in hits]
-                    made = [pa.array(x, type=t) for x, t in zip((listed, ids, counts), _FOUND, strict=True)]
-                    yield pa.RecordBatch.from_arrays([row, *made], names=names)
-
-        out = out.mapInArrow(run, plain if cutting else schema)
-        if not last:  # a stage runs the automaton of one block
-            out = stash(out, "hits")
-            held.destroy()
-            discard(before)
-            before = out
-    return out
+                scanned = ((k, *automaton.scan(words_of(t))) for k, t in zip(_strings(b.column(0)), _texts(b.column(1)), strict=True))
+                found = [(k, [{"lo": x, "hi": y} for x, y in hits], sorted(ids)) for k, hits, ids in scanned if hits]
+                made = [pa.array([f[k] for f in found], type=t) for k, t in enumerate((pa.string(), *_FOUND[:2]))]
+                yield pa.RecordBatch.from_arrays(made, names=["key", "hits", "items"])
+
+        table = stash(texts.mapInArrow(run, f"key string, hits {_HITS}, items array<string>").dropDuplicates(["key"]), "block-hits")
+        held.destroy()
+        yield [], table
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -340,6 +371,7 @@ def decontaminate(
     """``docs`` without the passages found in test items; all other columns stay.
 
     Every hit interval leaves the text. A document of which more than ``max_coverage`` of the words are hit leaves as a
-    whole. Documents without a hit are unchanged, null texts included.
+    whole. Documents without a hit are unchanged, null texts included. Ids play no part: rows with a null id and repeated
+    rows are each treated by their text. Without items nothing changes; an empty table gives an empty table.
     """
     return find_hits(docs, items, text_col, window=window, block_words=block_words, cut_above=max_coverage)
