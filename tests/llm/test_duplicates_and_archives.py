@@ -360,18 +360,27 @@ def test_keep_first_leaves_other_columns_alone(spark):
     assert sorted((r.doc_id or 0, r.gone_id_, r.gone_same_, r.row, r.own_id, r.own_same, r.fp, r.group) for r in got.collect()) == [(k, "mine", "too", "r", "o", "s", "f", "g") for k in (0, 1)]
 
 
-def test_hot_line_is_split_in_the_join(spark):
+@pytest.fixture
+def small_partitions(spark):
     settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.autoBroadcastJoinThreshold": "-1"}
     before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_hot_line_is_split_in_the_join(spark, small_partitions):
     docs = spark.range(20_000).selectExpr("id as doc_id", "concat('the one very common line of all texts\\nown line ', id) as text").repartition(8)
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        removed = line_dedup.removed_lines(docs)
-        assert removed.where("line = 0").count() == 19_999
-        removed.write.format("noop").mode("overwrite").save()
-        removed.collect()
-        assert "skew=true" in removed._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    removed = line_dedup.removed_lines(docs)
+    assert removed.where("line = 0").count() == 19_999
+    removed.collect()
+    assert "skew=true" in removed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_payload_is_split_in_the_join(spark, small_partitions):
+    pages = spark.range(20_000).selectExpr("id as page_id", "'u' as url", "case when id % 5 = 0 then repeat(md5(string(id)), 4) else repeat('gone ', 30) end as html").repartition(8)
+    decided = warc.decide(pages)
+    assert sum(r.refers_to == 1 for r in decided.collect()) == 15_999
+    assert "skew=true" in decided._jdf.queryExecution().executedPlan().toString()

@@ -45,12 +45,11 @@ def decide(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
         F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("bigint").alias("size"),
     )
     large = rows.where(F.col("size") >= min_payload).select("page_id", "digest")
-    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).where("c > 1 and refers_to is not null")
-    again = (
-        large.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-        .select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to").distinct()
-    )
-    return rows.join(again, rows["page_id"].eqNullSafe(again["p"]) & (rows["digest"] == again["d"]), "left").drop("p", "d")
+    first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1 and first is not null")
+    # a table of its own, so that a payload of very many pages can be split in the join
+    first = stash(first.select("digest", "first"), "responses")
+    again = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    return rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", "size", again.alias("refers_to"))
 
 
 def record() -> Column:
