@@ -1,18 +1,23 @@
 """Training of the small scoring networks: gradients over all rows on the executors, AdamW steps on the driver.
 
-A step is one pass: every partition adds up the gradients of its rows, and the sums of the partitions are added up by
-parameter. What reaches the driver is one number for each parameter, whatever the rows.
+``train_network`` makes one step an epoch, a pass over all rows: every partition adds up the gradients of its rows, and the
+sums of the partitions are added up by parameter. What reaches the driver is one number for each parameter, whatever the
+rows. ``train_by_shards`` makes one step for each shard, in an order drawn anew each epoch: the tasks of a barrier stage
+keep their rows of every shard from step to step and exchange the sums of their gradients.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import base64
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import BarrierTaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordering import epoch_place
 from tidemark.sources.files import stash
 
 Layers = list[tuple[np.ndarray, np.ndarray]]
@@ -110,10 +115,7 @@ def train_network(
     mean loss of the pairs (``array<struct<winner_index, loser_index, weight>>``), weighted likewise. Without rows the
     layers stay as they are.
     """
-    none = F.expr("cast(array() as array<struct<winner_index:int,loser_index:int,weight:double>>)")
-    listed = F.coalesce(F.transform(pairs, lambda p: F.struct(p["winner_index"].cast("int").alias("winner_index"), p["loser_index"].cast("int").alias("loser_index"), p["weight"].cast("double").alias("weight"))), none) if pairs else none
-    doubles = lambda c: F.transform(c, lambda v: v.cast("double"))
-    held = stash(rows.select(doubles(features).alias("x"), doubles(target).alias("t"), F.col(weight).cast("double").alias("w"), listed.alias("p")), "examples")
+    held = stash(_examples(rows, features, target, weight, pairs), "examples")
     pair_sum = F.aggregate("p", F.lit(0.0), lambda acc, p: acc + p["weight"])
     n = held.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.size("p")).alias("np"), F.sum(pair_sum).alias("wp")).first()
     losses: list[float] = []
@@ -123,11 +125,113 @@ def train_network(
     own = 1.0 / max(1e-6 * n["n"], n["w"])
     of_pairs = pairwise_weight / max(1e-6 * n["np"], n["wp"]) if n["np"] else 0.0
     scaled = held.select("x", "t", (F.col("w") * own).alias("w"), F.transform("p", lambda p: F.struct(p["winner_index"], p["loser_index"], (p["weight"] * of_pairs).alias("weight"))).alias("p"))
-    flat = _flat(layers)
+    flat, losses = _steps(lambda flat, _: _step(scaled, _shaped(flat, layers)), _flat(layers), range(epochs), lr, weight_decay)
+    return _shaped(flat, layers), losses
+
+
+def _steps(sums: Callable[[np.ndarray, int], tuple[np.ndarray, float]], flat: np.ndarray, order: Sequence[int], lr: float, weight_decay: float) -> tuple[np.ndarray, list[float]]:
+    """AdamW steps by gradient and loss of each entry of ``order``: parameters after the last, losses before each."""
     first, second = np.zeros_like(flat), np.zeros_like(flat)
-    for k in range(1, epochs + 1):
-        g, loss = _step(scaled, _shaped(flat, layers))
+    losses = []
+    for k, entry in enumerate(order, 1):
+        g, loss = sums(flat, entry)
         losses.append(loss)
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         flat = flat * (1 - lr * weight_decay) - lr * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
-    return _shaped(flat, layers), losses
+    return flat, losses
+
+
+def shard_order(spark: SparkSession, n: int, epochs: int, seed: int = 42) -> list[int]:
+    """Places of ``n`` shards in the order in which ``epochs`` epochs visit them; as many numbers as there are steps."""
+    if not n or not epochs:
+        return []
+    told = spark.range(n).select("id", *[epoch_place(F.col("id"), n, e, seed).alias(f"e{e}") for e in range(epochs)]).collect()
+    visits = np.zeros((epochs, n), dtype=np.int64)
+    for r in told:
+        for e in range(epochs):
+            visits[e, r[e + 1]] = r["id"]
+    return visits.ravel().tolist()
+
+
+def train_by_shards(
+    rows: DataFrame, layers: Layers, shard: str = "shard", features: str = "x", target: str = "target", weight: str = "weight", pairs: str | None = None,
+    epochs: int = 40, lr: float = 3e-4, weight_decay: float = 1e-4, pairwise_weight: float = 0.5, seed: int = 42, task_bytes: int = 256 << 20,
+) -> tuple[Layers, list[tuple[int, int, float]]]:
+    """Layers after an AdamW step for each shard in each epoch, and ``(epoch, shard, loss)`` before each step.
+
+    The loss of a shard is that of :func:`train_network` over its rows alone. ``shard`` holds integers; a null is a shard of
+    its own, the first one. Rows are dealt over as many tasks as hold ``task_bytes`` of them each. If the session has that
+    many slots, one barrier stage makes all steps; a lost executor starts it again. If not, each step is a job over its
+    shard, with the same sums. Without rows the layers stay as they are.
+    """
+    spark = rows.sparkSession
+    made = _examples(rows, features, target, weight, pairs, F.col(shard).cast("bigint").alias("shard"))
+    held = stash(made, "examples")
+    pair_sum = F.aggregate("p", F.lit(0.0), lambda acc, p: acc + p["weight"])
+    by_shard = held.groupBy("shard").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("w").alias("w_sum"), F.sum(F.size("p")).alias("n_pairs"), F.sum(pair_sum).alias("p_sum"),
+        F.sum(8 * (F.size("x") + F.size("t")) + 16 * F.size("p") + 8).alias("bytes"),
+    )
+    # a row for each shard; as many numbers reach the driver as an epoch has steps
+    told = stash(by_shard.select(
+        "shard", "bytes", (1.0 / F.greatest(1e-6 * F.col("n"), "w_sum")).alias("own"),
+        F.when(F.col("n_pairs") > 0, pairwise_weight / F.greatest(1e-6 * F.col("n_pairs"), "p_sum")).otherwise(0.0).alias("of_pairs"),
+    ), "shards")
+    listed = told.select("shard", "bytes").orderBy(F.col("shard").asc_nulls_first()).collect()
+    names = [r["shard"] for r in listed]
+    order = shard_order(spark, len(names), epochs, seed)
+    if not order:
+        return layers, []
+    number = F.coalesce(F.col("shard"), F.lit(-(2**63)))
+    scaled = held.withColumnRenamed("shard", "of").join(told, F.col("of").eqNullSafe(F.col("shard"))).select(
+        "x", "t", (F.col("w") * F.col("own")).alias("w"),
+        F.transform("p", lambda p: F.struct(p["winner_index"], p["loser_index"], (p["weight"] * F.col("of_pairs")).alias("weight"))).alias("p"), number.alias("s"),
+    )
+    known = [-(2**63) if s is None else s for s in names]
+    tasks = -(-sum(r["bytes"] for r in listed) // task_bytes)
+    if tasks <= spark.sparkContext.defaultParallelism:
+        flat, losses = _in_barrier(scaled, layers, known, order, tasks, lr, weight_decay)
+    else:
+        kept = stash(scaled.repartitionByRange("s"), "scaled")  # row groups of other shards are skipped
+        flat, losses = _steps(lambda flat, k: _step(kept.where(F.col("s") == known[k]), _shaped(flat, layers)), _flat(layers), order, lr, weight_decay)
+    return _shaped(flat, layers), [(j // len(names), names[k], loss) for j, (k, loss) in enumerate(zip(order, losses, strict=True))]
+
+
+def _in_barrier(scaled: DataFrame, layers: Layers, known: list[int], order: list[int], tasks: int, lr: float, weight_decay: float) -> tuple[np.ndarray, list[float]]:
+    start = _flat(layers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        place = {s: k for k, s in enumerate(known)}
+        parts: list[list] = [[] for _ in known]
+        for b in batches:
+            own = b.column(4).to_numpy()
+            for s in np.unique(own):
+                parts[place[int(s)]].append(_arrays(pa.RecordBatch.from_arrays([c.filter(pa.array(own == s)) for c in b.columns[:4]], names=["x", "t", "w", "p"])))
+
+        def sums(flat: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+            mine = np.zeros(len(flat) + 1)
+            for part in parts[k]:
+                g, loss = gradients(_shaped(flat, layers), *part)
+                mine[:-1] += g
+                mine[-1] += loss
+            told = context.allGather(base64.b64encode(mine.tobytes()).decode())
+            total = np.sum([np.frombuffer(base64.b64decode(m)) for m in told], axis=0)
+            return total[:-1], float(total[-1])
+
+        flat, losses = _steps(sums, start, order, lr, weight_decay)
+        if context.partitionId() == 0:
+            values = np.concatenate((flat, losses))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], names=["i", "v"])
+
+    dealt = scaled.repartition(int(max(1, tasks)))
+    values = np.array([r["v"] for r in sorted(dealt.mapInArrow(run, "i bigint, v double", barrier=True).collect())])
+    return values[: len(start)], values[len(start) :].tolist()
+
+
+def _examples(rows: DataFrame, features: str, target: str, weight: str, pairs: str | None, *more: Column) -> DataFrame:
+    """``x, t, w, p`` as doubles, and ``more``; rows without pairs have none."""
+    none = F.expr("cast(array() as array<struct<winner_index:int,loser_index:int,weight:double>>)")
+    listed = F.coalesce(F.transform(pairs, lambda p: F.struct(p["winner_index"].cast("int").alias("winner_index"), p["loser_index"].cast("int").alias("loser_index"), p["weight"].cast("double").alias("weight"))), none) if pairs else none
+    doubles = lambda c: F.transform(c, lambda v: v.cast("double"))
+    return rows.select(doubles(features).alias("x"), doubles(target).alias("t"), F.col(weight).cast("double").alias("w"), listed.alias("p"), *more)
