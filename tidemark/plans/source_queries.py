@@ -213,6 +213,26 @@ def snk5(spark, sf_dir):
     return spark.read.parquet(path).where("dataset = 'click' and info_mode = 2").select("input_order", "token_count")
 
 
+#: Bytes of a shard.
+SHARD_BYTES = 16 << 20
+_STREAM = "case when doc_id % 10 = 0 then 'val' else 'train' end"
+_ZONE = "case when lang = 'en' then 'think' else 'answer' end"
+
+
+@query("SNK5_sized", f"select doc_id, {_STREAM} as split, {_ZONE} as zone, md5(text) as text_md5, cast(8 + 4 + strlen(text) + 4 + length({_STREAM}) + 4 + length({_ZONE}) as bigint) as bytes, true as fits from documents")
+def snk5_sized(spark, sf_dir):
+    """All documents through four streams of size-bounded shards, and whether each one's shard keeps to the bound."""
+    from tidemark.sources import shards
+
+    path, streams = files.scratch(spark, "snk5-sized"), ["split", "zone"]
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.expr(_STREAM).alias("split"), F.expr(_ZONE).alias("zone"))
+    shards.write_sized_shards(rows, path, streams, ["doc_id"], SHARD_BYTES)
+    fits = (F.col("bytes") <= SHARD_BYTES) | (F.col("examples") == 1)
+    told = shards.read_manifest(spark, path).select(*streams, "shard", fits.alias("fits"))
+    back = shards.read_sized_shards(spark, path).join(told, [*streams, "shard"])
+    return back.select("doc_id", *streams, F.md5("text").alias("text_md5"), "bytes", "fits")
+
+
 _ITEM_SQL = {
     "gsm8k": ("'q ' || text", "'a' || item_id"), "svamp": ("text || ' ' || 'q ' || text", "'A' || item_id"), "math_500": ("'p ' || text", "case when item_id % 2 = 0 then 's' || item_id else 'a' || item_id end"),
     "arc_challenge": ("'q ' || text || chr(10) || chr(10) || 'A. one' || chr(10) || 'B. ' || item_id || chr(10) || chr(10) || 'Answer with one choice letter.'", "case when item_id % 2 = 0 then 'B' else 'A' end"),
