@@ -6,9 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
+
+from tidemark.functions.text import let
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -29,15 +32,32 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line, value``: every line of text files with its number in its file, from 1; blank lines count.
+
+    Files are read in splits. A first pass counts the lines of each split; the sums of those before a split, a row for
+    each split, are joined to its lines, which are never shuffled or sorted.
+    """
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select("value", *split, F.monotonically_increasing_id().alias("at"))
+    counts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = stash(counts.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift")), "splits")
+    return lines.join(starts, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
+
+
 def read_jsonl_strict(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Rows of a JSON-lines file; blank lines are skipped, a line that is no object is an error that names its text.
+    """Rows of a JSON-lines file; blank lines are skipped, a line that is no object is an error with its file, number and text.
 
     Lines are checked before parsing, as a reader would take an array of objects for several rows.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    fault = F.concat(F.lit("line is not a JSON object: "), F.substring("value", 1, 200))
-    checked = lines.select(F.when(F.trim("value").rlike(r"^\{.*\}$"), F.col("value")).otherwise(F.raise_error(fault).cast("string")).alias("value"))
-    return checked.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    wanted = StructType([*fields.fields, StructField("_broken", StringType())])
+    lines = read_lines(spark, path).where(F.trim("value") != "")
+    fault = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(" is not a JSON object of the schema: "), F.col("file"), F.lit(": "), F.substring("value", 1, 200))
+    parsed = F.when(F.trim("value").rlike(r"(?s)^\{.*\}$"), F.from_json("value", wanted, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    checked = let(parsed, lambda r: F.when(r.isNotNull() & r["_broken"].isNull(), r).otherwise(F.raise_error(fault).cast(wanted)))
+    return lines.select(checked.alias("r")).select(*[F.col("r")[f.name].alias(f.name) for f in fields])
 
 
 def read_jsonl_lax(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
@@ -61,14 +81,30 @@ def read_tagged(spark: SparkSession, pattern: str, schema: StructType | str, col
     return rows.select("*", *[F.regexp_extract(F.col("_metadata.file_path"), p, 1).alias(c) for c, p in columns.items()])
 
 
+def ascii_json(text: Column) -> Column:
+    """JSON text with every character beyond ASCII as escapes of its UTF-16 units."""
+    runs = F.regexp_extract_all(text, F.lit(r"([\x00-\x7F]+|[^\x00-\x7F]+)"), F.lit(1))
+    return F.when(
+        text.rlike(r"[^\x00-\x7F]"),
+        F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^[\x00-\x7F]"), x).otherwise(F.regexp_replace(F.lower(F.hex(F.encode(x, "UTF-16BE"))), "(.{4})", r"\\u$1"))), ""),
+    ).otherwise(text)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
-    """JSON lines, nulls kept; an existing table at the path is replaced."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """JSON lines in ASCII, nulls kept; an existing table at the path is replaced."""
+    line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    df.select(ascii_json(line).alias("value")).write.mode("overwrite").text(path)
+
+
+#: A summary of more rows is written as several files.
+SUMMARY_ROWS = 1_000_000
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header, for small summaries."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """CSV with a header: one file for a small summary, several, each with the header, beyond ``SUMMARY_ROWS``."""
+    held = stash(df, "summary")
+    small = held.count() <= SUMMARY_ROWS
+    (held.coalesce(1) if small else held).write.mode("overwrite").csv(path, header=True)
 
 
 def write_report(tables: Mapping[str, DataFrame], path: str) -> None:
