@@ -384,3 +384,19 @@ def test_hot_payload_is_split_in_the_join(spark, small_partitions):
     decided = warc.decide(pages)
     assert sum(r.refers_to == 1 for r in decided.collect()) == 15_999
     assert "skew=true" in decided._jdf.queryExecution().executedPlan().toString()
+
+
+def test_simhash_passes_no_table_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def noted(df, name, stash=simhash.stash):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stash(df, name)
+
+    monkeypatch.setattr(simhash, "stash", noted)
+    monkeypatch.setattr(components, "stash", noted)
+    docs = spark.createDataFrame([(i, f"w{i // 2} common words of a text {i // 4}") for i in range(40)], "doc_id bigint, text string")
+    for result in (simhash.simhash_groups(docs), simhash.keep_first(docs)):
+        plans.append(result._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]

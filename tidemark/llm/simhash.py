@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.store import discard, small_batches, stash
+from tidemark.llm.store import discard, shuffled, small_batches, stash
 
 SEED = 42
 BITS = 64
@@ -142,10 +142,10 @@ def links(fps: DataFrame, segments: int = SEGMENTS, max_bits: int = MAX_BITS, cr
         # written, so that an entry that very many probes ask for can be split in the join
         size = stash(table.groupBy("ix", "key").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("low")), "entries")
         # an entry that holds the asking fingerprint alone has no candidate
-        met = probes.join(size, ["ix", "key"]).where((F.col("c") > 1) | (F.col("low") != F.col("fp")))
+        met = probes.join(shuffled(size), ["ix", "key"]).where((F.col("c") > 1) | (F.col("low") != F.col("fp")))
         met = stash(met.select("fp", "ix", "near", "used", "key", "c"), "met")
         calm = met if last else met.where(F.col("c") <= crowd)
-        fetched = calm.select(F.col("fp").alias("a"), "ix", "key").join(table.select(F.col("fp").alias("b"), "ix", "key"), ["ix", "key"])
+        fetched = calm.select(F.col("fp").alias("a"), "ix", "key").join(shuffled(table.select(F.col("fp").alias("b"), "ix", "key")), ["ix", "key"])
         close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
         pair = fetched.where((F.col("a") != F.col("b")) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         out.append(stash(pair.distinct(), "pairs"))
@@ -157,7 +157,7 @@ def links(fps: DataFrame, segments: int = SEGMENTS, max_bits: int = MAX_BITS, cr
         crowds = stash(full.select("ix", "key").distinct(), "crowds")
         used = {r["used"] for r in full.select("used").distinct().collect()}  # max_bits + 1 numbers at most
         finer = [(k, key, flips) for k in range(len(keys)) for key, flips in finer_indexes(keys[k], used, max_bits)]
-        inside = table.join(crowds, ["ix", "key"])
+        inside = table.join(shuffled(crowds), ["ix", "key"])
         table = stash(
             inside.select("fp", F.explode(F.array(*[F.struct(F.lit(n).alias("ix"), F.lit(k).alias("was"), at(key).alias("key")) for n, (k, key, _) in enumerate(finer)])).alias("e"), F.col("ix").alias("own"))
             .where("e.was = own").select("fp", "e.ix", "e.key"), "crowded",
@@ -183,7 +183,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits
     edges = links(each, max_bits=max_bits)
     joined = connected_components(edges)
     discard(edges)
-    return prints, each.join(joined, each["fp"] == joined["node"], "left").select("fp", F.coalesce("component", "fp").alias("group"))
+    return prints, each.join(shuffled(joined), each["fp"] == joined["node"], "left").select("fp", F.coalesce("component", "fp").alias("group"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
@@ -194,10 +194,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows give repeated result rows, and an empty table an empty result. Extra input columns are not read.
     """
     prints, group = _grouped(docs, id_col, text_col, shingle, max_bits)
-    low = prints.groupBy("fp").agg(F.min("id").alias("low")).join(group, "fp")
+    low = prints.groupBy("fp").agg(F.min("id").alias("low")).join(shuffled(group), "fp")
     least = low.groupBy("group").agg(F.min("low").alias("component_id"))
-    by_print = group.join(least, "group").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(
+    by_print = group.join(shuffled(least), "group").select("fp", "component_id")
+    return prints.join(shuffled(by_print), "fp").select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -209,21 +209,21 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hash of all its columns. An empty table gives an empty result; all columns stay.
     """
     prints, group = _grouped(docs, id_col, text_col, shingle, max_bits)
-    rows = prints.join(group, "fp").groupBy("group", "id", "same").agg(F.count(F.lit(1)).alias("n"))
+    rows = prints.join(shuffled(group), "fp").groupBy("group", "id", "same").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "same")
     rows = stash(rows, "members")
     first = stash(rows.groupBy("group").agg(F.min(order).alias("f")).select("group", "f.id", "f.same"), "first")
     is_first = (rows["group"] == first["group"]) & rows["id"].eqNullSafe(first["id"]) & (rows["same"] == first["same"])
     left = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("bigint").alias("own_id"), _same(docs[text_col]).alias("own_same"))
     on = lambda other: left["own_id"].eqNullSafe(other["id"]) & (left["own_same"] == other["same"])
-    gone = stash(rows.join(first, is_first, "left_anti").select("id", "same"), "gone")
-    stay = left.join(gone, on(gone), "left_anti")
-    again = stash(rows.where("n > 1").join(first, is_first, "left_semi").select("id", "same"), "again")
+    gone = stash(rows.join(shuffled(first), is_first, "left_anti").select("id", "same"), "gone")
+    stay = left.join(shuffled(gone), on(gone), "left_anti")
+    again = stash(rows.where("n > 1").join(shuffled(first), is_first, "left_semi").select("id", "same"), "again")
     unpacked = lambda df: df.select(*[F.col("row")[c].alias(c) for c in docs.columns])
     if not again.limit(1).count():
         return unpacked(stay)
-    single = unpacked(stay.join(again, on(again), "left_anti"))
-    several = stay.join(again, on(again), "left_semi")
+    single = unpacked(stay.join(shuffled(again), on(again), "left_anti"))
+    several = stay.join(shuffled(again), on(again), "left_semi")
     digest = F.xxhash64(*[F.col("row")[c] for c in docs.columns])
     one = several.groupBy("own_id", "own_same").agg(F.min_by("row", digest).alias("row"))
     return single.unionByName(unpacked(one))
