@@ -22,7 +22,7 @@ def differences(spark, folder, name, **tables):
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-@pytest.mark.parametrize("name", ["STR16"])
+@pytest.mark.parametrize("name", ["STR12", "STR16"])
 def test_products_of_a_long_texts_counts(spark, tmp_path, name):
     texts = ["a " * 50_000, "x" * 123_457, "b c " * 20_001, "d"]
     rows = [(k, texts[(k + k // 6) % len(texts)], "en", "s", 1) for k in range(30)]
