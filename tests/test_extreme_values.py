@@ -28,3 +28,32 @@ def test_products_of_a_long_texts_counts(spark, tmp_path, name):
     rows = [(k, texts[(k + k // 6) % len(texts)], "en", "s", 1) for k in range(30)]
     got, want = differences(spark, tmp_path, name, documents=spark.createDataFrame(rows, DOCUMENTS))
     assert got == want
+
+
+def test_scores_on_a_half_round_as_in_sql(spark, tmp_path):
+    # two events a problem; scores of six places times 0.15 stand on a half of the fourth place now and then
+    rows = [(4 * k + j * 4000 + k % 4, 30 * k + j, ["view", "buy"][j % 2 if k % 5 else 0], float(11 + (k * 7919 + j * 104729) % 37)) for k in range(2000) for j in range(3)]
+    events = spark.createDataFrame([(e, u // 30, t, v) for e, u, t, v in rows], "event_id bigint, user_id bigint, event_type string, value double")
+    got, want = differences(spark, tmp_path, "VEC10", events=events)
+    assert got == want
+
+
+def test_rounding_scales_first(spark):
+    from tidemark.functions.vectors import rounded
+
+    values = [0.23834999999999998, -0.0040499999999999998, 2.5, -2.5, 0.49999999999999994, 1e300, None]
+    got = [x.y for x in spark.createDataFrame([(v,) for v in values], "x double").select(rounded("x", 4).alias("y")).collect()]
+    want = [x for x, in duckdb.connect().execute("select round(unnest(?::double[]), 4)", [values]).fetchall()]
+    assert got == want and got[0] == 0.2384
+
+
+def test_repeat_ratio_makes_the_tokens_once(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import vectors as V
+
+    frame = spark.createDataFrame([("a b c " * 50,)], "t string").coalesce(1)
+    ratio = frame.select(V.repeat_ratio(F.regexp_extract_all(F.upper("t"), F.lit("[A-Z]+"), F.lit(0))).alias("r"))
+    plan = ratio._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert ratio.first().r == pytest.approx(123 / 126)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as V
 from tidemark.functions.execution import execute, humaneval_programs, mbpp_program
+from tidemark.functions.vectors import rounded
 from tidemark.plans.registry import query
 from tidemark.sources import files
 from tidemark.sources.fixtures import TRACES, table, traces
@@ -89,7 +90,7 @@ _SUMMARY = "select count(*) as n, round(avg(n_nationkey), 6) as mean_key, cast(n
 @query("SNK2", _SUMMARY)
 def snk2(spark, sf_dir):
     path = files.scratch(spark, "snk2")
-    summary = _nation(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("k"), 6).alias("mean_key"), F.lit(None).cast("string").alias("note"))
+    summary = _nation(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("k"), 6).alias("mean_key"), F.lit(None).cast("string").alias("note"))
     files.write_summary(summary, path)
     return files.read_object(spark, path, summary.schema)
 
@@ -97,7 +98,7 @@ def snk2(spark, sf_dir):
 @query("SRC4", _SUMMARY.replace("cast(null as varchar)", "min(n_name)"))
 def src4(spark, sf_dir):
     path = files.scratch(spark, "src4")
-    summary = _nation(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("k"), 6).alias("mean_key"), F.min("name").alias("note"))
+    summary = _nation(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("k"), 6).alias("mean_key"), F.min("name").alias("note"))
     files.write_summary(summary, path)
     return files.read_object(spark, path, summary.schema)
 
@@ -182,7 +183,7 @@ def src12(spark, sf_dir):
     write_artifact(spark, Artifact([0, 64], np.eye(2), np.full((2, 5), 0.2), networks={"prior": _LAYERS}), path)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("x"))
     out = mlp_scores(rows, "x", read_artifact(spark, path).networks["prior"], ["vec_id"])
-    return out.select("vec_id", F.posexplode("logits").alias("action", "logit")).select("vec_id", "action", F.round("logit", 6).alias("logit"))
+    return out.select("vec_id", F.posexplode("logits").alias("action", "logit")).select("vec_id", "action", rounded("logit", 6).alias("logit"))
 
 
 @query("WIN4", "select conv_id, cast(i - 1 as integer) as position, w as word from (select conv_id, string_split(string_agg(text, ' ' order by turn), ' ') as ws from conversations group by conv_id), unnest(ws) with ordinality as t(w, i)")
@@ -271,7 +272,7 @@ def str28(spark, sf_dir):
   f as (select * from n where before < 0.6) select vec_id, i, round(share / sum(share) over (partition by vec_id), 6) as p from f""")
 def vec11(spark, sf_dir):
     kept = V.sampling_filter(table(spark, sf_dir, "embeddings"), "embedding", 0.7, top_k=20, top_p=0.6, min_p=0.05)
-    return kept.select("vec_id", F.inline("kept")).select("vec_id", "i", F.round("p", 6).alias("p"))
+    return kept.select("vec_id", F.inline("kept")).select("vec_id", "i", rounded("p", 6).alias("p"))
 
 
 @query("UDF1", "select cast(n_nationkey as bigint) as k, n_nationkey % 2 = 0 as passed from nation")
