@@ -119,12 +119,16 @@ def segment(sequences: DataFrame, budget: int = 1 << 30, closers: Sequence[str]
 
 # Fixed value: the state store that timers and keyed state need.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_STATE = "min_tokens int, max_boundaries int, budget bigint, tokens int, since int, cut int, tail string, closing string, answer boolean, think_used int, answer_used int, next bigint, action int, switches int"
+_STATE = "min_tokens int, max_boundaries int, budget bigint, tokens int, since int, cut int, tail string, closing string, answer boolean, think_used int, answer_used int, next bigint, action int, switches int, lowest bigint, timer bigint"
 _STREAM = f"{_OUT}, action int, switches int"
 
 
 class _SequenceProcessor(StatefulProcessor):
-    """Feeds a key's tokens in the order of ``n``; what comes early waits in keyed state until its turn."""
+    """Feeds a key's tokens in the order of ``n``; what comes early waits in a list until its turn.
+
+    The list is appended to, and read only if its lowest ``n`` is due, so a key costs a few calls of the state store in a
+    batch, whatever its tokens.
+    """
 
     def __init__(self, rule: dict):
         self.rule = rule
@@ -132,13 +136,14 @@ class _SequenceProcessor(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.state = handle.getValueState("sequence", _STATE)
-        self.early = handle.getMapState("early", "n bigint", "token string, eos boolean, scores array<double>")
+        self.early = handle.getListState("early", "n bigint, token string, eos boolean, scores array<double>")
 
-    def _load(self) -> tuple[Segmenter, int, int, int]:
+    def _load(self) -> tuple[list, int | None, int | None]:
+        """Segmenter, next ``n``, action and switches; the lowest ``n`` that waits; the timer, if the key has state."""
         if not self.state.exists():
-            return Segmenter(budget=self.rule["budget"]), self.rule["first"], self.rule["start"], 0
-        *own, following, action, switches = self.state.get()
-        return Segmenter(*own), following, action, switches
+            return [Segmenter(budget=self.rule["budget"]), self.rule["first"], self.rule["start"], 0], None, None
+        *own, following, action, switches, lowest, timer = self.state.get()
+        return [Segmenter(*own), following, action, switches], lowest, timer
 
     def _feed(self, key: str, held: list, token: str, eos: bool, scores, rows: list[dict]) -> None:
         s, _, action, switches = held
@@ -151,47 +156,55 @@ class _SequenceProcessor(StatefulProcessor):
             rows.append({"key": key, **boundary, "action": action, "switches": switches})
         held[1:] = [held[1] + 1, action, switches]
 
-    def _forget(self) -> None:
-        self.state.clear()
-        self.early.clear()
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        held, out, ended, waiting = [*self._load()], [], False, self.early.exists()
-        for frame in rows:
-            frame = frame.sort_values("n")
-            for n, token, eos, scores in zip(frame["n"], frame["token"], frame["eos"], frame["scores"], strict=True):
-                if ended or n < held[1]:
-                    continue  # after the end, or a token that has been taken before
-                if n > held[1]:
-                    self.early.updateValue((int(n),), (token, bool(eos), None if scores is None else [float(x) for x in scores]))
-                    waiting = True
-                    continue
-                self._feed(key[0], held, token, eos, scores, out)
-                ended = bool(eos)
-            while waiting and not ended and self.early.containsKey((held[1],)):
-                at = (held[1],)
-                token, eos, scores = self.early.getValue(at)
-                self.early.removeKey(at)
+        (held, lowest, timer), out, ended = self._load(), [], False
+        stored = lowest is not None
+        early: dict[int, tuple] = {}  # of these rows
+
+        def take() -> None:
+            nonlocal ended
+            while not ended and held[1] in early:
+                n, token, eos, scores = early.pop(held[1])
                 self._feed(key[0], held, token, eos, scores, out)
                 ended = bool(eos)
+
+        for frame in rows:
+            for n, token, eos, scores in zip(frame["n"], frame["token"], frame["eos"], frame["scores"], strict=True):
+                if n >= held[1]:  # else it has been taken before
+                    early[int(n)] = (int(n), token, bool(eos), None if scores is None else [float(x) for x in scores])
+            take()
+        if stored and lowest <= held[1] and not ended:
+            early = {r[0]: tuple(r) for r in self.early.get() if r[0] >= held[1]} | early
+            take()
+            if not ended:
+                self.early.put([*early.values()]) if early else self.early.clear()
+                lowest = min(early, default=None)
+        elif early and not ended:
+            self.early.appendList([*early.values()])
+            lowest = min(early) if lowest is None else min(lowest, *early)
         if ended:
-            self._forget()
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+                self.state.clear()
+            if stored:
+                self.early.clear()
         else:
-            self.state.update((*asdict(held[0]).values(), *held[1:]))
-            for timer in self.handle.listTimers():
+            if timer is not None:
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.rule["timeout_ms"])
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.rule["timeout_ms"]
+            self.handle.registerTimer(timer)
+            self.state.update((*asdict(held[0]).values(), *held[1:], lowest, timer))
         yield pd.DataFrame(out, columns=_STREAM_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
         """No token has come for the time-out: take what waits, gaps left out, and forget the sequence."""
-        held, out = [*self._load()], []
-        for n in sorted(k[0] for k in self.early.keys()):
+        (held, lowest, timer), out = self._load(), []
+        waiting = {r[0]: r for r in self.early.get()} if lowest is not None else {}
+        for n in sorted(k for k in waiting if k >= held[1]):
             held[1] = n
-            self._feed(key[0], held, *self.early.getValue((n,)), out)
-        self._forget()
+            self._feed(key[0], held, *waiting[n][1:], out)
+        self.state.clear()
+        self.early.clear()
         yield pd.DataFrame(out, columns=_STREAM_COLUMNS)
 
     def close(self) -> None:
