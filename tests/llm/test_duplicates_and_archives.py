@@ -205,6 +205,22 @@ def test_passages_behind_an_unrelated_first_document_are_found(spark):
         assert runs(i) <= marked
 
 
+def test_passages_behind_first_documents_of_both_halves_are_found(spark):
+    """Every window of the later two documents has its first partners in two that hold too little of the passage."""
+    rng = random.Random(13)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    docs = {}
+    for k in range(0, 160, 4):
+        passage = prose(60)
+        docs |= {k: prose(60) + passage[:45] + prose(60), k + 1: prose(60) + passage[15:] + prose(60)}
+        docs |= {k + j: prose(60) + passage + prose(60) for j in (2, 3)}
+    frame = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], DOCS)
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(frame).collect()}
+    assert all(got[k + j].component_id == k + j and not got[k + j].n_links for k in range(0, 160, 4) for j in (0, 1))
+    met = [k for k in range(0, 160, 4) if got[k + 3].component_id == k + 2 and got[k + 3].sources == [k + 2] and got[k + 3].n_dup_words >= 60]
+    assert len(met) >= 38
+
+
 def test_shipped_setting_against_brute_force_with_boilerplate(spark):
     """Exact passages of 50 words and more, of documents full of phrases and license lines that many others have, too."""
     rng = random.Random(21)
