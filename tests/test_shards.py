@@ -97,6 +97,18 @@ def test_training_by_shards_matches_one_process(spark, task_bytes):
     assert np.allclose(training._flat(made), flat, atol=1e-9)
 
 
+def test_jobs_of_training_do_not_grow_with_the_shards(spark):
+    rows = [([float(k % 7), 1.0], [1.0, 0.0], 1.0, k % 60) for k in range(240)]
+    frame = spark.createDataFrame(rows, "x array<double>, target array<double>, weight double, shard int")
+    spark.sparkContext.setJobGroup("shards", "training")
+    try:
+        _, told = training.train_by_shards(frame, training.new_network([2, 2]), epochs=2, task_bytes=1)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("shards"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(told) == 120 and jobs < 40
+
+
 def test_training_without_rows_and_epoch_orders(spark):
     empty = spark.createDataFrame([], "x array<double>, target array<double>, weight double, shard int")
     start = training.new_network([2, 2])

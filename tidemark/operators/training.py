@@ -3,7 +3,7 @@
 ``train_network`` makes one step an epoch, a pass over all rows: every partition adds up the gradients of its rows, and the
 sums of the partitions are added up by parameter. What reaches the driver is one number for each parameter, whatever the
 rows. ``train_by_shards`` makes one step for each shard, in an order drawn anew each epoch: the tasks of a barrier stage
-keep their rows of every shard from step to step and exchange the sums of their gradients.
+each make the steps of a run of shards and hand the network on.
 """
 
 from __future__ import annotations
@@ -136,11 +136,16 @@ def _steps(sums: Callable[[np.ndarray, int], tuple[np.ndarray, float]], flat: np
     for k, entry in enumerate(order, 1):
         g, loss = sums(flat, entry)
         losses.append(loss)
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        flat = flat * (1 - lr * weight_decay) - lr * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
+        flat, first, second = _adamw(flat, first, second, g, k, lr, weight_decay)
     return flat, losses
 
 
+def _adamw(flat: np.ndarray, first: np.ndarray, second: np.ndarray, g: np.ndarray, k: int, lr: float, weight_decay: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters and moments after the ``k``-th step (from 1)."""
+    first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+    return flat * (1 - lr * weight_decay) - lr * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8), first, second
+
+
 def shard_order(spark: SparkSession, n: int, epochs: int, seed: int = 42) -> list[int]:
     """Places of ``n`` shards in the order in which ``epochs`` epochs visit them; as many numbers as there are steps."""
     if not n or not epochs:
@@ -160,9 +165,9 @@ def train_by_shards(
     """Layers after an AdamW step for each shard in each epoch, and ``(epoch, shard, loss)`` before each step.
 
     The loss of a shard is that of :func:`train_network` over its rows alone. ``shard`` holds integers; a null is a shard of
-    its own, the first one. Rows are dealt over as many tasks as hold ``task_bytes`` of them each. If the session has that
-    many slots, one barrier stage makes all steps; a lost executor starts it again. If not, each step is a job over its
-    shard, with the same sums. Without rows the layers stay as they are.
+    its own, the first one. An epoch is a barrier stage, which a lost executor starts again: its order of shards is cut into
+    runs, one a task, of ``task_bytes`` each where the session has that many slots, and tasks take turns. Without rows the
+    layers stay as they are.
     """
     spark = rows.sparkSession
     made = _examples(rows, features, target, weight, pairs, F.col(shard).cast("bigint").alias("shard"))
@@ -188,45 +193,61 @@ def train_by_shards(
         F.transform("p", lambda p: F.struct(p["winner_index"], p["loser_index"], (p["weight"] * F.col("of_pairs")).alias("weight"))).alias("p"), number.alias("s"),
     )
     known = [-(2**63) if s is None else s for s in names]
-    tasks = -(-sum(r["bytes"] for r in listed) // task_bytes)
-    if tasks <= spark.sparkContext.defaultParallelism:
-        flat, losses = _in_barrier(scaled, layers, known, order, tasks, lr, weight_decay)
-    else:
-        kept = stash(scaled.repartitionByRange("s"), "scaled")  # row groups of other shards are skipped
-        flat, losses = _steps(lambda flat, k: _step(kept.where(F.col("s") == known[k]), _shaped(flat, layers)), _flat(layers), order, lr, weight_decay)
-    return _shaped(flat, layers), [(j // len(names), names[k], loss) for j, (k, loss) in enumerate(zip(order, losses, strict=True))]
+    tasks = max(1, min(len(names), spark.sparkContext.defaultParallelism, -(-sum(r["bytes"] for r in listed) // task_bytes)))
+    state, losses = np.concatenate((_flat(layers), np.zeros(2 * len(_flat(layers))))), []
+    for e in range(epochs):
+        steps = [(known[k], j) for j, k in enumerate(order[e * len(names) : (e + 1) * len(names)])]  # one for each shard
+        state, told = _epoch(scaled, steps, layers, state, e * len(names), tasks, lr, weight_decay)
+        losses += told
+    return _shaped(np.split(state, 3)[0], layers), [(j // len(names), names[k], loss) for j, (k, loss) in enumerate(zip(order, losses, strict=True))]
 
 
-def _in_barrier(scaled: DataFrame, layers: Layers, known: list[int], order: list[int], tasks: int, lr: float, weight_decay: float) -> tuple[np.ndarray, list[float]]:
-    start = _flat(layers)
+def _epoch(scaled: DataFrame, steps: list[tuple[int, int]], layers: Layers, state: np.ndarray, before: int, tasks: int, lr: float, weight_decay: float) -> tuple[np.ndarray, list[float]]:
+    """Parameters and moments after a step for each ``(shard, place)`` of an epoch, and the loss before each step.
+
+    Each task has a run of the epoch's places, in order. Tasks take turns: one makes all its steps, with a shard in memory
+    at a time, and hands the state to the next one. So an epoch exchanges as many states as there are tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = BarrierTaskContext.get()
-        place = {s: k for k, s in enumerate(known)}
-        parts: list[list] = [[] for _ in known]
-        for b in batches:
-            own = b.column(4).to_numpy()
-            for s in np.unique(own):
-                parts[place[int(s)]].append(_arrays(pa.RecordBatch.from_arrays([c.filter(pa.array(own == s)) for c in b.columns[:4]], names=["x", "t", "w", "p"])))
-
-        def sums(flat: np.ndarray, k: int) -> tuple[np.ndarray, float]:
-            mine = np.zeros(len(flat) + 1)
-            for part in parts[k]:
-                g, loss = gradients(_shaped(flat, layers), *part)
-                mine[:-1] += g
-                mine[-1] += loss
-            told = context.allGather(base64.b64encode(mine.tobytes()).decode())
-            total = np.sum([np.frombuffer(base64.b64decode(m)) for m in told], axis=0)
-            return total[:-1], float(total[-1])
-
-        flat, losses = _steps(sums, start, order, lr, weight_decay)
-        if context.partitionId() == 0:
-            values = np.concatenate((flat, losses))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], names=["i", "v"])
-
-    dealt = scaled.repartition(int(max(1, tasks)))
-    values = np.array([r["v"] for r in sorted(dealt.mapInArrow(run, "i bigint, v double", barrier=True).collect())])
-    return values[: len(start)], values[len(start) :].tolist()
+        own, now, losses = context.partitionId(), state, []
+        for turn in range(tasks):
+            if turn == own:
+                for place, parts in _by_place(batches):
+                    flat, first, second = np.split(now, 3)
+                    g, loss = map(sum, zip(*(gradients(_shaped(flat, layers), *part) for part in parts), strict=True))
+                    losses.append((place, loss))
+                    now = np.concatenate(_adamw(flat, first, second, g, before + place + 1, lr, weight_decay))
+            if turn < tasks - 1:
+                told = context.allGather(base64.b64encode(now.tobytes()).decode() if turn == own else "")
+                now = np.frombuffer(base64.b64decode(told[turn]))
+        values = [(-1 - i, v) for i, v in enumerate(now.tolist())] if own == tasks - 1 else []
+        values += losses
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in values], type=pa.int64()), pa.array([v for _, v in values], type=pa.float64())], names=["i", "v"])
+
+    places = scaled.sparkSession.createDataFrame(steps, "of bigint, place bigint")
+    placed = scaled.join(F.broadcast(places), F.col("s") == F.col("of")).select("x", "t", "w", "p", "place")
+    turn = F.expr(f"cast(place * {tasks} div {len(steps)} as int)")
+    dealt = placed.repartitionById(tasks, turn).sortWithinPartitions("place")
+    values = {r["i"]: r["v"] for r in dealt.mapInArrow(run, "i bigint, v double", barrier=True).collect()}
+    return np.array([values[-1 - i] for i in range(len(state))]), [values[k] for k in range(len(steps))]
+
+
+def _by_place(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
+    """The arrays of each place's rows, which come one after the other."""
+    held, parts = None, []
+    for b in batches:
+        place = b.column(4).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), b.num_rows] if b.num_rows else [0]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if parts and held != int(place[lo]):
+                yield held, parts
+                parts = []
+            held = int(place[lo])
+            parts.append(_arrays(pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(lo, hi - lo)]) for c in b.columns[:4]], names=["x", "t", "w", "p"])))
+    if parts:
+        yield held, parts
 
 
 def _examples(rows: DataFrame, features: str, target: str, weight: str, pairs: str | None, *more: Column) -> DataFrame:
