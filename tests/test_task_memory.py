@@ -41,3 +41,30 @@ def test_an_order_key_on_several_orders_multiplies_the_lines_places(spark, tmp_p
     places = boundary_samples(spark, str(tmp_path)).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("boundary_index")).alias("at"))
     rows = places.collect()
     assert rows and all(r["at"] == list(range(r["n"])) for r in rows)
+
+
+def test_problems_are_shuffled_once(spark, no_broadcast):
+    from tidemark.operators.policy import _problems
+
+    row = "struct<progress:double,generated:bigint,remaining:double,answer:boolean,boundary:array<double>,features:array<double>,marks:array<int>>"
+    traces = spark.createDataFrame([], f"dataset string, problem_id bigint, action int, input_order bigint, token_count bigint, correctness double, text array<double>, rows array<{row}>")
+    told = plan(_problems(traces, ["dataset", "problem_id"]))
+    assert told.count("Exchange") == 1 and "SortAggregate" not in told
+
+
+def test_slots_are_found_once_as_the_column_expressions_find_them(spark):
+    import numpy as np
+
+    from tidemark.functions import vectors as V
+    from tidemark.operators import slots
+
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in rng.integers(-2, 3, 3)], None if k % 7 == 0 else float(k % 5), [None if k % 11 == 0 else 1.0, float(k)][: k % 3]) for k in range(300)]
+    rows += [(300, None, 1.0, [1.0]), (301, [1.0, None, 2.0], 1.0, [4.0, None]), (302, [0.0, 0.0, 0.0], 2.0, None)]
+    frame = spark.createDataFrame(rows, "k int, v array<double>, w double, d array<double>")
+    centres = np.array([[1.0, 0.0, 0.0], [0.6, 0.8, 0.0], [1.0, 0.0, 0.0], [0.0, 0.6, -0.8]])
+    got = slots._slot_sums(frame.select("v", "d", "w"), centres).groupBy("slot", "i").agg(*[F.sum(c).alias(c) for c in ("wp", "w", "p", "n")])
+    each = frame.select(V.argmax(slots.similarities(F.col("v"), centres)).alias("slot"), "w", F.posexplode("d").alias("i", "p"))
+    want = each.groupBy("slot", "i").agg(F.sum(F.col("w") * F.col("p")).alias("wp"), F.sum("w").alias("w"), F.sum("p").alias("p"), F.count(F.lit(1)).alias("n"))
+    told = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert told(got) == told(want) and got.where("slot is null").count()

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.operators.scoring import PROBLEM, safe_std
 from tidemark.operators.training import Layers, forward
@@ -156,18 +157,23 @@ def walk(policy: Policy, text: np.ndarray, first: np.ndarray, count: np.ndarray,
 
 def _problems(traces: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row a problem: its text, token statistics, traces by action, and their boundaries one after the other."""
-    last = traces.groupBy(*keys, "action").agg(F.max_by(F.struct("token_count", "correctness", "rows"), "input_order").alias("t"), F.first("text", ignorenulls=True).alias("text"))
-    stats = traces.groupBy(*keys).agg(F.avg("token_count").alias("mean_tokens"), safe_std(F.stddev_pop("token_count"), 1e-6).alias("std_tokens"))
-    rows = F.coalesce("t.rows", F.array().cast(traces.schema["rows"].dataType))
-    entry = F.struct("action", F.col("t.token_count").alias("token_count"), F.col("t.correctness").alias("correctness"), F.size(rows).alias("n"), rows.alias("rows"))
+    # one shuffle by problem and one sort serve the last traces, the statistics and the lists
+    of_action, of_problem = Window.partitionBy(*keys, "action").orderBy(F.col("input_order").desc_nulls_last()), Window.partitionBy(*keys)
+    placed = traces.select(*keys, "action", "input_order", "token_count", "correctness", "text", "rows").repartition(*keys).withColumn("place", F.row_number().over(of_action)).withColumns({
+        "mean_tokens": F.avg("token_count").over(of_problem), "std_tokens": safe_std(F.stddev_pop("token_count").over(of_problem), 1e-6),
+        "text": F.first("text", ignorenulls=True).over(of_problem),
+    })
+    rows = F.coalesce("rows", F.array().cast(traces.schema["rows"].dataType))
+    entry = F.struct("action", "token_count", "correctness", F.size(rows).alias("n"), rows.alias("rows"))
     # an action counts once, so a problem has as many entries as there are actions at most
-    grouped = last.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("a"), F.first("text", ignorenulls=True).alias("text"))
+    told = [F.first(c).alias(c) for c in ("text", "mean_tokens", "std_tokens")]
+    grouped = placed.where("place = 1").groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("a"), *told)
     flat = F.flatten(F.transform("a", lambda x: x["rows"]))
     field_of = lambda array, c: F.transform(array, lambda x: x[c])
     taken = [field_of("a", c).alias(c) for c in ("action", "token_count", "correctness", "n")]
     of_rows = [field_of("flat", c).alias(f"row_{c}") for c in ("progress", "generated", "remaining", "answer")]
     lists = [F.flatten(field_of("flat", c)).alias(f"row_{c}") for c in ("boundary", "features", "marks")]
-    return grouped.withColumn("flat", flat).select(*keys, "text", *taken, *of_rows, *lists).join(stats, list(keys))
+    return grouped.withColumn("flat", flat).select(*keys, "text", *taken, *of_rows, *lists, "mean_tokens", "std_tokens")
 
 
 def replay_policy(traces: DataFrame, policy: Policy, penalties: Sequence[float], lam: float = 0.2, keys: Sequence[str] = PROBLEM, **how) -> DataFrame:

@@ -67,16 +67,63 @@ def _table(rows: list[list[float]]) -> Column:
     return F.transform(F.split(F.lit(text), ";"), lambda r: F.split(r, ",").cast("array<double>"))
 
 
+def _nearest(vectors: pa.ListArray, centres: np.ndarray) -> np.ndarray:
+    """The centre of the largest :func:`similarities`, the first one where equal; -1 where a vector or a number in it is missing."""
+    n, dim = len(vectors), centres.shape[1]
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    size = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    whole = np.bincount(np.repeat(np.arange(n), np.maximum(size, 0)), ~vectors.flatten().is_null().to_numpy(zero_copy_only=False), minlength=n)
+    good = (size == dim) & (whole == dim)
+    x = flat[np.repeat(good, np.maximum(size, 0))].reshape(-1, dim)
+    # summed place by place, as the column expressions do
+    length, near = np.zeros(len(x)), np.zeros((len(x), len(centres)))
+    for k in range(dim):
+        length += x[:, k] * x[:, k]
+    unit = x / np.maximum(np.sqrt(length), 1e-8)[:, None]
+    for k in range(dim):
+        near += unit[:, k, None] * centres[None, :, k]
+    out = np.full(n, -1)
+    out[good] = near.argmax(axis=1) if len(x) else -1
+    return out
+
+
+def _slot_sums(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``(slot, i, wp, w, p, n)`` of ``rows(v, d, w)``, added up by batch: sums over the rows nearest to a slot by place of ``d``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot, d = _nearest(b.column(0), centres), b.column(1)
+            size = d.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            if not size.sum():
+                continue
+            owner = np.repeat(np.arange(b.num_rows), size)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+            width = int(size.max())
+            key = (slot[owner] + 1) * width + place
+            listed = d.flatten()
+            w, p = (c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in (b.column(2), listed))
+            has_w, has_p = (c.is_valid().to_numpy(zero_copy_only=False) for c in (b.column(2), listed))
+            w, has_w = w[owner], has_w[owner]
+            met = np.flatnonzero(np.bincount(key))
+            total = lambda values, has: pa.array(np.bincount(key[has], values[has], minlength=key.max() + 1)[met], mask=np.bincount(key[has], minlength=key.max() + 1)[met] == 0)  # noqa: E731, B023
+            slots = pa.array(met // width - 1, type=pa.int32(), mask=met < width)
+            yield pa.RecordBatch.from_arrays(
+                [slots, pa.array(met % width, type=pa.int32()), total(w * p, has_w & has_p), total(w, has_w), total(p, has_p), pa.array(np.bincount(key)[met], type=pa.int64())],
+                names=["slot", "i", "wp", "w", "p", "n"],
+            )
+
+    return rows.mapInArrow(run, "slot int, i int, wp double, w double, p double, n bigint")
+
+
 def slot_priors(rows: DataFrame, vector: str, distribution: str, weight: str, centres: np.ndarray) -> DataFrame:
     """``(slot, prior)`` for every slot: weighted mean distribution of the rows nearest to it, as a softmax of itself.
 
     A slot without rows has the unweighted mean over all rows in its place. Without any rows there is no prior.
     """
-    # the slot is found before the distribution is taken apart, once for each row
-    found = rows.select(V.argmax(similarities(F.col(vector), centres)).alias("slot"), F.col(weight).alias("w"), F.col(distribution).alias("d"))
-    assigned = found.select("slot", "w", F.posexplode_outer("d").alias("i", "p")).where("i is not null")
-    sums = assigned.groupBy("slot", "i").agg(F.sum(F.col("w") * F.col("p")).alias("wp"), F.sum("w").alias("w"), F.sum("p").alias("p"), F.count(F.lit(1)).alias("n"))
-    # slots by places, whatever the rows: small tables from here on
+    parts = _slot_sums(rows.select(F.col(vector).cast("array<double>").alias("v"), F.col(distribution).cast("array<double>").alias("d"), F.col(weight).cast("double").alias("w")), centres)
+    sums = parts.groupBy("slot", "i").agg(*[F.sum(c).alias(c) for c in ("wp", "w", "p", "n")])
+    # slots by places, whatever the rows: small tables from here on; written, as they are read twice
+    sums = stash(sums, "slot-sums")
     overall = sums.groupBy("i").agg((F.sum("p") / F.sum("n")).alias("mean"))
     own = sums.select("slot", "i", (F.col("wp") / F.greatest(F.lit(1e-8), F.col("w"))).alias("own"))
     slots = rows.sparkSession.range(len(centres)).select(F.col("id").cast("int").alias("slot"))
