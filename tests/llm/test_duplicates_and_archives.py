@@ -416,3 +416,28 @@ def test_simhash_passes_no_table_through_the_driver(spark, monkeypatch):
         plans.append(result._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 10 and any("SortMergeJoin" in p for p in plans)
     assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_collisions_are_shuffled_as_rows_and_verified_in_rounds(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    hits = {(x, a): [] for x in range(40) for a in range(x)}
+    for pair in [*hits, *[(39, 2)] * 5000]:  # a pair that fills more than one batch
+        cx, ca, *wide = rng.integers(0, 9000, 2).tolist() + rng.integers(20, 60, 4).tolist()
+        hits[pair].append((cx, ca, *wide))
+    rows = [(x, a, *h) for (x, a), some in hits.items() for h in some]
+    pairs = spark.createDataFrame(rows, "x bigint, a bigint, cx int, ca int, left int, right int, a_left int, a_right int").repartition(7)
+    joined = substring_dedup._stretches(pairs, 46, 0.8)
+    want = sorted((*pair, *s) for pair, some in hits.items() for s in substring_dedup.join_intervals(some, 46, 0.8))
+    assert sorted(map(tuple, joined.collect())) == want
+    # lists gathered before the shuffle hold a row each, at several times its size
+    assert "ObjectHashAggregate" not in joined._jdf.queryExecution().executedPlan().toString()
+
+    words = [f"w{k}" for k in rng.permutation(4000)]
+    texts = [" ".join(words[60 * k : 60 * k + 400] + words[3000:3070]) for k in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = substring_dedup.windows(docs, "doc_id", "text", 50, 0.8, 3)
+    met = substring_dedup.collisions(substring_dedup.shared_windows(found))
+    once, rounds = (sorted(map(tuple, substring_dedup.passages(docs, found, met, **how).distinct().collect())) for how in ({}, {"together": 1}))
+    assert len(once) > 30 and once == rounds
