@@ -441,3 +441,20 @@ def test_collisions_are_shuffled_as_rows_and_verified_in_rounds(spark):
     met = substring_dedup.collisions(substring_dedup.shared_windows(found))
     once, rounds = (sorted(map(tuple, substring_dedup.passages(docs, found, met, **how).distinct().collect())) for how in ({}, {"together": 1}))
     assert len(once) > 30 and once == rounds
+
+
+def test_no_join_of_simhash_and_of_components_is_broadcast(spark, monkeypatch):
+    told, real = [], simhash.stash
+
+    def spy(df, name):
+        told.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(simhash, "stash", spy)
+    monkeypatch.setattr(components, "stash", spy)
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(k, " ".join(rng.choices("abcdefgh", k=9))) for k in range(60)], DOCS)
+    out = simhash.simhash_groups(docs)
+    told.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in x for x in told)
+    assert not any("BroadcastHashJoin" in x for x in told)
