@@ -9,13 +9,16 @@ are cut in a sequence, and at most ``max_switches`` of them may switch the mode.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import asdict, dataclass
+import io
+import json
+import pickle
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.text import SENTENCE_ENDS, STEP_MARKS
 from tidemark.operators.replay import choose_action
@@ -117,101 +120,86 @@ def segment(sequences: DataFrame, budget: int = 1 << 30, closers: Sequence[str]
     return sequences.select("key", "tokens").mapInPandas(run, _OUT)
 
 
-# Fixed value: the state store that timers and keyed state need.
+# Fixed value: the state store that keeps its rows outside the heap.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_STATE = "min_tokens int, max_boundaries int, budget bigint, tokens int, since int, cut int, tail string, closing string, answer boolean, think_used int, answer_used int, next bigint, action int, switches int, lowest bigint, timer bigint"
-_STREAM = f"{_OUT}, action int, switches int"
+_STATE = "min_tokens int, max_boundaries int, budget bigint, tokens int, since int, cut int, tail string, closing string, answer boolean, think_used int, answer_used int, next bigint, action int, switches int, lowest bigint, early binary"
+_STREAM_ROW = "struct<" + ", ".join(x.replace(" ", ": ") for x in [*_OUT.split(", ")[1:], "action int", "switches int"]) + ">"
 
 
-class _SequenceProcessor(StatefulProcessor):
-    """Feeds a key's tokens in the order of ``n``; what comes early waits in a list until its turn.
+def _sequence_fold(rule: dict) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Feeds a key's tokens in the order of ``n``; what comes early waits in the key's state until its turn.
 
-    The list is appended to, and read only if its lowest ``n`` is due, so a key costs a few calls of the state store in a
-    batch, whatever its tokens.
+    State travels with the tokens, many keys in a batch: a call of the state store, or a frame of its own for its
+    boundaries, would cost each key milliseconds. What waits is packed as a list of lists, one for each batch that had
+    such tokens, and read only if its lowest ``n`` is due.
     """
 
-    def __init__(self, rule: dict):
-        self.rule = rule
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("sequence", _STATE)
-        self.early = handle.getListState("early", "n bigint, token string, eos boolean, scores array<double>")
-
-    def _load(self) -> tuple[list, int | None, int | None]:
-        """Segmenter, next ``n``, action and switches; the lowest ``n`` that waits; the timer, if the key has state."""
-        if not self.state.exists():
-            return [Segmenter(budget=self.rule["budget"]), self.rule["first"], self.rule["start"], 0], None, None
-        *own, following, action, switches, lowest, timer = self.state.get()
-        return [Segmenter(*own), following, action, switches], lowest, timer
-
-    def _feed(self, key: str, held: list, token: str, eos: bool, scores, rows: list[dict]) -> None:
+    def feed(held: list, token: str, eos: bool, scores, rows: list[dict]) -> None:
         s, _, action, switches = held
-        for boundary in s.feed(token, bool(eos), self.rule["closers"]):
+        for boundary in s.feed(token, bool(eos), rule["closers"]):
             if scores is not None and len(scores):
-                left = self.rule["budgets"][action % len(self.rule["budgets"])] - s.think_used
-                best = choose_action(list(scores), action, left, s.answer, self.rule["budgets"])
-                if best != action and switches < self.rule["max_switches"]:
+                left = rule["budgets"][action % len(rule["budgets"])] - s.think_used
+                best = choose_action(list(scores), action, left, s.answer, rule["budgets"])
+                if best != action and switches < rule["max_switches"]:
                     action, switches = best, switches + 1
-            rows.append({"key": key, **boundary, "action": action, "switches": switches})
+            rows.append({**boundary, "action": action, "switches": switches})
         held[1:] = [held[1] + 1, action, switches]
 
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        (held, lowest, timer), out, ended = self._load(), [], False
-        stored = lowest is not None
+    def told(key: str | None, rows: list[dict]) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame({"key": [key], "told": [json.dumps(rows)]})
+
+    def unpacked(packed: bytes) -> Iterator[tuple]:
+        rest = io.BytesIO(packed)
+        while rest.tell() < len(packed):
+            yield from pickle.load(rest)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            *own, following, action, switches, lowest, packed = state.get
+            held, packed = [Segmenter(*own), following, action, switches], bytes(packed)
+        else:
+            held, lowest, packed = [Segmenter(budget=rule["budget"]), rule["first"], rule["start"], 0], None, b""
+        out: list[dict] = []
+        if state.hasTimedOut:  # no token has come: take what waits, gaps left out, and forget the sequence
+            waiting = {r[0]: r for r in unpacked(packed)}
+            for n in sorted(k for k in waiting if k >= held[1]):
+                held[1] = n
+                feed(held, *waiting[n][1:], out)
+            state.remove()
+            yield from told(key[0], out)
+            return
         early: dict[int, tuple] = {}  # of these rows
+        ended = False
 
         def take() -> None:
             nonlocal ended
             while not ended and held[1] in early:
                 n, token, eos, scores = early.pop(held[1])
-                self._feed(key[0], held, token, eos, scores, out)
+                feed(held, token, eos, scores, out)
                 ended = bool(eos)
 
-        for frame in rows:
-            for n, token, eos, scores in zip(frame["n"], frame["token"], frame["eos"], frame["scores"], strict=True):
-                if n >= held[1]:  # else it has been taken before
-                    early[int(n)] = (int(n), token, bool(eos), None if scores is None else [float(x) for x in scores])
+        for frame in frames:
+            for row in json.loads("[" + ",".join(frame["packed"].tolist()) + "]"):
+                if (n := row["n"]) >= held[1]:  # else it has been taken before
+                    scores = row.get("scores")
+                    early[n] = (n, row.get("token"), row.get("eos", False), scores and [float(x) for x in scores])
             take()
-        if stored and lowest <= held[1] and not ended:
-            early = {r[0]: tuple(r) for r in self.early.get() if r[0] >= held[1]} | early
+        if not ended and lowest is not None and lowest <= held[1]:
+            early = {r[0]: r for r in unpacked(packed) if r[0] >= held[1]} | early
             take()
-            if not ended:
-                self.early.put([*early.values()]) if early else self.early.clear()
-                lowest = min(early, default=None)
-        elif early and not ended:
-            self.early.appendList([*early.values()])
-            lowest = min(early) if lowest is None else min(lowest, *early)
-        if ended:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-                self.state.clear()
-            if stored:
-                self.early.clear()
-        else:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            timer = timerValues.getCurrentProcessingTimeInMs() + self.rule["timeout_ms"]
-            self.handle.registerTimer(timer)
-            self.state.update((*asdict(held[0]).values(), *held[1:], lowest, timer))
-        yield pd.DataFrame(out, columns=_STREAM_COLUMNS)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        """No token has come for the time-out: take what waits, gaps left out, and forget the sequence."""
-        (held, lowest, timer), out = self._load(), []
-        waiting = {r[0]: r for r in self.early.get()} if lowest is not None else {}
-        for n in sorted(k for k in waiting if k >= held[1]):
-            held[1] = n
-            self._feed(key[0], held, *waiting[n][1:], out)
-        self.state.clear()
-        self.early.clear()
-        yield pd.DataFrame(out, columns=_STREAM_COLUMNS)
-
-    def close(self) -> None:
-        pass
-
+            lowest, packed = None, b""
+        if not ended:
+            if early:
+                lowest = min(early) if lowest is None else min(lowest, *early)
+                packed += pickle.dumps([*early.values()])
+            state.update((*vars(held[0]).values(), *held[1:], lowest, packed))
+            state.setTimeoutDuration(rule["timeout_ms"])
+        elif state.exists:
+            state.remove()
+        yield from told(key[0], out)
 
-_STREAM_COLUMNS = [x.split()[0] for x in _STREAM.split(", ")]
+    return run
 
 
 def segment_stream(
@@ -229,12 +217,14 @@ def segment_stream(
     spark = tokens.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     own = set(tokens.columns)
-    rows = tokens.select(
-        "key", F.col("n").cast("bigint").alias("n"), "token", (F.col("eos") if "eos" in own else F.lit(False)).alias("eos"),
-        (F.col("scores") if "scores" in own else F.lit(None)).cast("array<double>").alias("scores"),
+    token = F.struct(
+        F.col("n").cast("bigint").alias("n"), "token", *([F.col("eos")] if "eos" in own else []),
+        *([F.col("scores").cast("array<double>").alias("scores")] if "scores" in own else []),
     )
+    rows = tokens.where("n is not null").select("key", F.to_json(token).alias("packed"))  # each column would cost each key
     rule = {"budget": budget, "closers": tuple(closers), "first": first, "timeout_ms": timeout_ms, "budgets": tuple(budgets), "start": start, "max_switches": max_switches}
-    return rows.groupBy("key").transformWithStateInPandas(_SequenceProcessor(rule), _STREAM, "append", "ProcessingTime")
+    cut = rows.groupBy("key").applyInPandasWithState(_sequence_fold(rule), "key string, told string", _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return cut.select("key", F.inline(F.from_json("told", f"array<{_STREAM_ROW}>")))
 
 
 def decide(boundaries: pd.DataFrame, scores: list[list[float]], start: int, max_switches: int = 8) -> list[int]:
